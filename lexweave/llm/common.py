@@ -40,8 +40,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+    """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; empty for null.
+
+    Most texts part their words by single blanks and line feeds, for which splitting at one character is enough.
+    """
+    t = F.replace(F.btrim(F.coalesce(text, F.lit("")), F.lit("\t\n\x0b\f\r ")), F.lit("\n"), F.lit(" "))
+    some = let(t, lambda x: F.when(x == "", F.array().cast("array<string>")).when(x.rlike("[\\x09-\\x0D]|  "), F.split(x, SPACE + "+")).otherwise(F.split(x, " ")))
+    return some
 
 
 def same_columns(like: DataFrame, df: DataFrame) -> DataFrame:
