@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import quality, sharding
+from lexweave.llm import decontamination, quality, sharding, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_automaton_decontamination": decontamination.op1_suffix_automaton_decontamination,
         "op5_llr_quality": quality.op5_llr_quality,
         "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
+        "op10_block_anchor_substrings": substrings.op10_block_anchor_substrings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_suffix_automaton_decontamination": decontamination.ORACLE,
+        "op10_block_anchor_substrings": substrings.ORACLE,
+    }
