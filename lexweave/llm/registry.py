@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import decontamination, quality, sharding, substrings
+from lexweave.llm import decontamination, pii, quality, secret_scan, sharding, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_automaton_decontamination": decontamination.op1_suffix_automaton_decontamination,
+        "op2_skip_chain_pii": pii.op2_skip_chain_pii,
+        "op3_keyword_secrets": secret_scan.op3_keyword_secrets,
         "op5_llr_quality": quality.op5_llr_quality,
         "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
         "op10_block_anchor_substrings": substrings.op10_block_anchor_substrings,
