@@ -6,8 +6,8 @@ a random field whose labels are the four kinds and "other".  Nodes inside base s
 * of a node: how often a word of its shape has each label, from counts; for a word that no pattern matches "other"
   always leads, so a document without base spans has no others either;
 * of neighbours parted by one blank: how often two labels follow each other;
-* of distant nodes that are the same or similar (same last seven digits, or same name part): how often such pairs
-  have the same label.  Each node is linked with the next one like it.
+* of distant nodes that are the same or similar (same last seven digits, or same name part): how often such pairs,
+  both matched or both not, have the same label.  Each node is linked with the next one like it.
 
 Loopy sum-product messages run over neighbour and skip links; a node whose belief in one kind reaches ``BELIEF``
 becomes a further span of it.  So a number that is written once as a phone number is one wherever it recurs.
@@ -244,7 +244,8 @@ def _sample_counts(docs: DataFrame, key: str, text: str, most: int) -> Counter:
                     near, far = links(t, nodes)
                     c.update(("shape", s, str(k)) for s, k in zip(nodes.shapes, nodes.seen))
                     for what, pairs in (("near", near), ("far", far)):
-                        c.update((what, str(nodes.seen[i]), str(nodes.seen[j])) for i, j in pairs)
+                        # A node like a matched one may be what the patterns miss: such pairs say nothing.
+                        c.update((what, str(nodes.seen[i]), str(nodes.seen[j])) for i, j in pairs if what == "near" or bool(nodes.seen[i]) == bool(nodes.seen[j]))
             yield pa.RecordBatch.from_pylist([{"what": k[0], "a": k[1], "b": k[2], "n": n} for k, n in c.items()], schema=pa.schema([("what", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
 
     rows = some.mapInArrow(count, "what string, a string, b string, n bigint").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
