@@ -37,7 +37,7 @@ from lexweave.llm.secret_scan import count_of, joined, replaced
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 FIT_DOCS = 4_000
-BELIEF, ROUNDS, DAMPING = 0.8, 8, 0.3
+BELIEF, ROUNDS, DAMPING = 0.75, 8, 0.3
 #: Least lead of "other" at an unmatched node, and most.
 LEAD = (0.7, 2.5)
 #: Digits by which similar numbers are linked.
@@ -162,7 +162,7 @@ class Field:
         """From counts of ("shape", shape, label), ("near", label, label) and ("far", label, label)."""
         n = len(LABELS)
         by_shape: dict[str, np.ndarray] = {}
-        pairs = {"near": np.ones((n, n)), "far": np.ones((n, n)) + 20 * np.eye(n)}
+        pairs = {"near": np.ones((n, n)), "far": np.ones((n, n)) + 200 * np.eye(n)}
         for (what, a, b), c in counts.items():
             if what == "shape":
                 by_shape.setdefault(a, np.full(n, 0.5))[int(b)] += c
@@ -172,7 +172,7 @@ class Field:
 
         def potential(c: np.ndarray) -> np.ndarray:
             p = c / c.sum()
-            return np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -3, 3)
+            return np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -4, 4)
 
         def lead(c: np.ndarray) -> np.ndarray:
             x = np.log(c / c.sum())

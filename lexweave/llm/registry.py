@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import decontamination, pii, quality, secret_scan, sharding, substrings
+from lexweave.llm import decontamination, near_copies, pii, quality, secret_scan, sharding, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_skip_chain_pii": pii.op2_skip_chain_pii,
         "op3_keyword_secrets": secret_scan.op3_keyword_secrets,
         "op5_llr_quality": quality.op5_llr_quality,
+        "op6_adaptive_prefix_jaccard": near_copies.op6_adaptive_prefix_jaccard,
         "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
         "op10_block_anchor_substrings": substrings.op10_block_anchor_substrings,
     }

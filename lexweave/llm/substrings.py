@@ -11,10 +11,10 @@ Stages, each with one exchange of packed hashes (see ``grams``):
 1. chunks of documents send anchors and probes to buckets by hash; what a chunk alone shows to be shared by many
    documents is answered at once and sent as one entry, so a hot passage costs each chunk one entry;
 2. buckets tell the documents which of their block hashes are hit;
-3. at their home partitions documents extend their hits to whole windows and send those, of each window only the
-   smallest document id that the chunk knows;
+3. at their home partitions documents, whose texts come there packed, extend their hits to whole windows and send
+   those, of each window only the smallest document id that the chunk knows;
 4. buckets tell the documents which windows start in a smaller one;
-5. documents drop the words that those windows cover.
+5. documents, whose texts come home once more, drop the words that those windows cover.
 
 Block hashes are cut to 31 bits and the bucket, as a false hit only costs a window's comparison; windows are compared
 by 64-bit hashes.  Documents with a null id neither lose words nor make others lose any; null and empty texts have no
@@ -41,7 +41,7 @@ WINDOW = 13
 #: Documents of a chunk from which a block hash is answered without its bucket.
 HOT = 8
 # Kinds of messages, in the order in which a partition reads them.
-_ANCHOR, _HITS, _HOT_HITS, _WINDOWS, _SMALLER, _TEXT, _HELD, _DONE = range(8)
+_ANCHOR, _HITS, _HOT_HITS, _WINDOWS, _SMALLER, _KNOWN, _TEXT, _DONE = range(8)
 _LOW = np.uint64((1 << 31) - 1)
 
 
@@ -188,7 +188,7 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         yield from box.rest()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box, press = Outbox(), zstandard.ZstdCompressor(level=1)
+        box, press = Outbox(), zstandard.ZstdCompressor(level=3)
         for batch in pieces(batches, "text"):
             for doc_id, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
                 k = row_key(doc_id, t or b"")
@@ -201,6 +201,7 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         hits: dict[int, list[np.ndarray]] = defaultdict(list)
         held: list[dict] = []
         hashes: list[np.ndarray] = []
+        whole: list[np.ndarray] = []
         size = 0
 
         def send() -> None:
@@ -212,9 +213,10 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             least[order] = np.repeat(docs_[owner[order[starts]]], ends - starts)
             smaller = docs_[owner] > least
             _put_dealt(box, _WINDOWS, every[~smaller], _idents(every[~smaller], partitions)[0], owner[~smaller], keys, docs_)
-            known = np.split(smaller, np.cumsum([len(h) for h in hashes])[:-1])
-            for m, s, h in zip(held, known, hashes):
-                box.put(**m | {"kind": _HELD, "b": np.unique(h[s]).tobytes()})
+            for m, s, h, w in zip(held, np.split(smaller, np.cumsum([len(h) for h in hashes])[:-1]), hashes, whole):
+                if s.any():
+                    gone = np.isin(w, h[s])
+                    box.put(dest=m["dest"], kind=_KNOWN, key=m["key"], a=np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).view(np.int8))).astype(np.uint32).tobytes())
 
         for batch in batches:
             for m in rows_of(batch):
@@ -224,26 +226,25 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                     bucket, low = _idents(np.frombuffer(m["a"], np.uint64), partitions)
                     _by_key(hits, m, low.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(31)))
                 else:
-                    words = unpress.decompress(m["a"]).split()
-                    active = None
-                    if m["key"] in hits:
-                        h = hasher.of(words)
-                        bucket, low = _idents(rolling(h, block), partitions)
-                        at = np.flatnonzero(np.isin(low.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(31)), np.concatenate(hits[m["key"]])))
-                        n = len(h) - window + 1
-                        edge = np.zeros(n + 1, np.int32)
-                        np.add.at(edge, np.clip(at - (window - block), 0, n), 1)
-                        np.add.at(edge, np.clip(at + 1, 0, n), -1)
-                        active = np.unique(rolling(h, window)[np.cumsum(edge[:-1]) > 0])
-                    if active is None or not len(active):
-                        _done(box, m["dest"], m["doc"], words, None, texts)
-                    else:
-                        held.append(m)
+                    if m["key"] not in hits:
+                        continue
+                    h = hasher.of(unpress.decompress(m["a"]).split())
+                    bucket, low = _idents(rolling(h, block), partitions)
+                    at = np.flatnonzero(np.isin(low.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(31)), np.concatenate(hits[m["key"]])))
+                    n = len(h) - window + 1
+                    edge = np.zeros(n + 1, np.int32)
+                    np.add.at(edge, np.clip(at - (window - block), 0, n), 1)
+                    np.add.at(edge, np.clip(at + 1, 0, n), -1)
+                    windows = rolling(h, window)
+                    active = np.unique(windows[np.cumsum(edge[:-1]) > 0])
+                    if len(active):
+                        held.append({x: m[x] for x in ("dest", "key", "doc")})
                         hashes.append(active)
-                        size += len(active) + len(m["a"]) // 100
-                        if size >= CHUNK:
-                            send()
-                            held, hashes, size = [], [], 0
+                        whole.append(windows)
+                        size += len(windows)
+                    if size >= CHUNK:
+                        send()
+                        held, hashes, whole, size = [], [], [], 0
                     yield from box.full()
         if held:
             send()
@@ -252,23 +253,31 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, box, unpress = WordHashes(), Outbox(), zstandard.ZstdDecompressor()
         smaller: dict[int, list[np.ndarray]] = defaultdict(list)
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
             for m in rows_of(batch):
                 if m["kind"] == _SMALLER:
                     _by_key(smaller, m, np.frombuffer(m["a"], np.uint64))
-                elif m["kind"] == _HELD:
-                    words = unpress.decompress(m["a"]).split()
-                    gone = np.isin(rolling(hasher.of(words), window), np.concatenate([np.frombuffer(m["b"], np.uint64), *smaller.get(m["key"], [])]))
-                    _done(box, m["dest"], m["doc"], words, _covered(gone, len(words), window), texts)
+                elif m["kind"] == _KNOWN:
+                    known[m["key"]] = np.frombuffer(m["a"], np.uint32).reshape(-1, 2)
                 else:
-                    box.put(**m)
-                yield from box.full()
+                    words, gone = unpress.decompress(m["a"]).split(), None
+                    if m["key"] in smaller or m["key"] in known:
+                        starts = np.zeros(len(words) - window + 1, bool)
+                        if m["key"] in smaller:
+                            starts |= np.isin(rolling(hasher.of(words), window), np.concatenate(smaller[m["key"]]))
+                        for a, b in known.get(m["key"], ()):
+                            starts[a:b] = True
+                        gone = _covered(starts, len(words), window)
+                    _done(box, m["dest"], m["doc"], words, gone, texts)
+                    yield from box.full()
         yield from box.rest()
 
+    packed = some.mapInArrow(pack, MESSAGE)
     told = exchanged(some.mapInArrow(ask, MESSAGE), partitions).mapInArrow(answer, MESSAGE)
-    met = exchanged(told.unionByName(some.mapInArrow(pack, MESSAGE)), partitions, ordered=True)
-    judged = exchanged(met.mapInArrow(extend, MESSAGE), partitions).mapInArrow(answer, MESSAGE)
-    done = exchanged(judged, partitions, ordered=True).mapInArrow(drop, MESSAGE)
+    judged = exchanged(told.unionByName(packed), partitions, ordered=True).mapInArrow(extend, MESSAGE)
+    settled = exchanged(judged, partitions).mapInArrow(answer, MESSAGE)
+    done = exchanged(settled.unionByName(packed), partitions, ordered=True).mapInArrow(drop, MESSAGE)
     return done.select(F.col("doc").alias(key), F.col("n").alias("n_words"), F.col("m").alias("n_removed"), F.decode("a", "UTF-8").alias("kept"))
 
 
