@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import decontamination, near_copies, pii, quality, secret_scan, sharding, substrings
+from lexweave.llm import chat, decontamination, near_copies, pii, quality, secret_scan, sharding, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_automaton_decontamination": decontamination.op1_suffix_automaton_decontamination,
         "op2_skip_chain_pii": pii.op2_skip_chain_pii,
         "op3_keyword_secrets": secret_scan.op3_keyword_secrets,
+        "op4_event_sourced_chat": chat.op4_event_sourced_chat,
         "op5_llr_quality": quality.op5_llr_quality,
         "op6_adaptive_prefix_jaccard": near_copies.op6_adaptive_prefix_jaccard,
+        "op7_factorization_toxicity": toxicity.op7_factorization_toxicity,
         "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
         "op10_block_anchor_substrings": substrings.op10_block_anchor_substrings,
     }
@@ -24,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_automaton_decontamination": decontamination.ORACLE,
+        "op4_event_sourced_chat": chat.ORACLE,
         "op10_block_anchor_substrings": substrings.ORACLE,
     }
