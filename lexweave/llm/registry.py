@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import chat, decontamination, near_copies, pii, quality, secret_scan, sharding, substrings, toxicity
+from lexweave.llm import chat, decontamination, mixing, near_copies, pii, quality, secret_scan, sharding, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_adaptive_prefix_jaccard": near_copies.op6_adaptive_prefix_jaccard,
         "op7_factorization_toxicity": toxicity.op7_factorization_toxicity,
         "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
+        "op9_soft_membership_mixing": mixing.op9_soft_membership_mixing,
         "op10_block_anchor_substrings": substrings.op10_block_anchor_substrings,
     }
 
