@@ -28,10 +28,10 @@ from lexweave.llm.common import cut, let, table, words
 
 BUCKETS, PRIOR = 4_096, 1.0
 #: A text's evidence counts as that of so many words at most, which keeps memberships soft.
-EVIDENCE = 40.0
+EVIDENCE = 15.0
 STEPS, MOST = 16, 2.0
 #: The query's domains, from the labelled table, and their shares of all expected tokens.
-TARGETS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
+TARGETS = {"good": 0.92, "poor": 0.04, "toxic": 0.04}
 
 
 def domain_of_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
