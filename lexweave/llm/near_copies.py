@@ -15,9 +15,10 @@ Steps:
    prefix is long has no partner and is done; nearly all classes are.
 3. For the rest, every prefix token names the class with the fewest tokens of its own as its leader, the likeliest
    original; classes are compared with their leaders first, and links joined into components.
-4. Then, token by token, all classes that are still in different components are paired, counted by matches against
-   their levels, and compared.  A large group of near copies is one component by then and makes no pairs; no pair that
-   could join two components is left out.
+4. Then, token by token, all classes that are still in different components are paired, if the token lies in the
+   prefixes that the pair's own sizes ask for, and compared if their lengthened prefixes match often enough.  A large
+   group of near copies is one component by then and makes no pairs; no pair that could join two components is left
+   out: a pair that matches l tokens of its level-l prefixes has one among those of level 1.
 
 Links are compared by 48-bit hashes within a bucket.  Cases: null, empty and blank texts have no shingles and link with
 nothing; with one to four words the whole sequence is the one shingle; a row with a null id is in no component (null);
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -231,56 +232,66 @@ def _sets(docs: DataFrame, frequent: np.ndarray, partitions: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(token, key, n, level, own): a row for each shared token of each class's prefix."""
+    """(token, key, n, place, own): a row for each shared token of each class's prefix, with its place in the order."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, n, m, level, a in zip(*[batch.column(x).to_pylist() for x in ("key", "n", "m", "level", "a")]):
-                tokens = np.frombuffer(a, np.int64)[: n - needed(n) + level - m]
+            for key, n, m, a in zip(*[batch.column(x).to_pylist() for x in ("key", "n", "m", "a")]):
+                tokens = np.frombuffer(a, np.int64)[: n - needed(n) + 1 - m]
                 k = len(tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(k, key)), pa.array(np.full(k, n)), pa.array(np.full(k, level, np.int32)), pa.array(np.full(k, m / n))], ["token", "key", "n", "level", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.full(k, key)), pa.array(np.full(k, n)), pa.array(np.arange(m, m + k)), pa.array(np.full(k, m / n))], ["token", "key", "n", "place", "own"])
 
-    return sets.mapInArrow(spread, "token bigint, key bigint, n bigint, level int, own double")
+    return sets.mapInArrow(spread, "token bigint, key bigint, n bigint, place bigint, own double")
+
+
+def _in_prefixes(x: str, y: str) -> Column:
+    """Whether a shared token lies in both prefixes for just this pair: what the two must share follows from their sizes."""
+    share = F.ceil(80 * (F.col(f"n_{x}") + F.col(f"n_{y}")) / F.lit(180))
+    near = 100 * F.least(f"n_{x}", f"n_{y}") >= 80 * F.greatest(f"n_{x}", f"n_{y}")
+    return near & (F.col(f"place_{x}") <= F.col(f"n_{x}") - share) & (F.col(f"place_{y}") <= F.col(f"n_{y}") - share)
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (x, y) whose sets' similarity is 0.8 or more."""
+    """Those pairs (x, y) whose sets' similarity is 0.8 or more.
+
+    A pair is compared whole only if its prefixes, lengthened for the lower of the two levels, match that often.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, nx, ny = [batch.column(c).to_numpy() for c in ("x", "y", "nx", "ny")]
-            a, b = batch.column("ax"), batch.column("ay")
+            x, y, nx, ny, mx, my, lx, ly = [batch.column(c).to_numpy() for c in ("x", "y", "n_x", "n_y", "m_x", "m_y", "level_x", "level_y")]
+            a, b = batch.column("a_x"), batch.column("a_y")
             good = np.zeros(len(x), bool)
             for i in range(len(x)):
-                same = len(np.intersect1d(np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64), assume_unique=True))
-                good[i] = 100 * same >= 80 * (nx[i] + ny[i] - same)
+                s, t = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
+                share, level = -(-80 * int(nx[i] + ny[i]) // 180), int(min(lx[i], ly[i]))
+                starts = [v[: max(0, int(n) - share + level - int(m))] for v, n, m in ((s, nx[i], mx[i]), (t, ny[i], my[i]))]
+                if len(np.intersect1d(*starts, assume_unique=True)) >= level:
+                    good[i] = len(np.intersect1d(s, t, assume_unique=True)) >= share
             yield pa.RecordBatch.from_arrays([pa.array(x[good]), pa.array(y[good])], ["x", "y"])
 
-    left = sets.select(F.col("key").alias("x"), F.col("n").alias("nx"), F.col("a").alias("ax"))
-    right = sets.select(F.col("key").alias("y"), F.col("n").alias("ny"), F.col("a").alias("ay"))
+    left, right = [sets.select(F.col("key").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("n", "m", "level", "a")]) for p in "xy"]
     return pairs.select("x", "y").join(left, "x").join(right, "y").mapInArrow(compare, "x bigint, y bigint")
 
 
 def _leader_pairs(prefixes: DataFrame) -> DataFrame:
-    leaders = prefixes.groupBy("token").agg(F.min(F.struct("own", F.col("key").alias("y"), F.col("n").alias("ny"))).alias("leader"), F.count(F.lit(1)).alias("of")).where("of > 1").select("token", "leader.y", "leader.ny")
-    met = prefixes.join(leaders, "token").where((F.col("key") != F.col("y")) & (100 * F.least("n", "ny") >= 80 * F.greatest("n", "ny")))
-    votes = met.groupBy(F.col("key").alias("x"), "y").agg(F.count(F.lit(1)).alias("votes"))
+    leaders = prefixes.groupBy("token").agg(F.min(F.struct("own", "key", "n", "place")).alias("l"), F.count(F.lit(1)).alias("of")).where("of > 1").select("token", F.col("l.key").alias("y"), F.col("l.n").alias("n_y"), F.col("l.place").alias("place_y"))
+    rows = prefixes.select("token", F.col("key").alias("x"), F.col("n").alias("n_x"), F.col("place").alias("place_x"))
+    votes = rows.join(leaders, "token").where((F.col("x") != F.col("y")) & _in_prefixes("x", "y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("votes"))
     rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("votes"), "y"))  # at most as many rows as a prefix has tokens
     return votes.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select("x", "y")
 
 
 def _other_pairs(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of classes in different components that match as often as the lower of their levels asks."""
+    """All pairs of classes in different components that share a token of their prefixes."""
     named = prefixes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     parts = named.groupBy("token", "root").agg(F.count(F.lit(1)).alias("of"))
     split = parts.groupBy("token").agg(F.max(F.struct("of", "root")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("top.root").alias("main"))
     rows = cut(named.join(split, "token"))
-    x = rows.where("root <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("key", "n", "level", "root")])
-    y = rows.select("token", *[F.col(c).alias(f"{c}_y") for c in ("key", "n", "level", "root", "main")])
-    apart = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main_y")) | (F.col("key_x") < F.col("key_y"))) & (100 * F.least("n_x", "n_y") >= 80 * F.greatest("n_x", "n_y"))
-    met = x.join(y, "token").where(apart)
-    pair = met.groupBy(F.least("key_x", "key_y").alias("x"), F.greatest("key_x", "key_y").alias("y")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("level_x", "level_y")).alias("asked"))
-    return pair.where("shared >= asked").select("x", "y")
+    x, y = [rows.select("token", *[F.col(c).alias(f"{c}_{p}") for c in ("key", "n", "place", "root", "main")]) for p in "xy"]
+    apart = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main_y")) | (F.col("key_x") < F.col("key_y")))
+    met = x.where("root_x <> main_x").join(y, "token").where(apart & _in_prefixes("x", "y"))
+    return met.select(F.least("key_x", "key_y").alias("x"), F.greatest("key_x", "key_y").alias("y")).distinct()
 
 
 def near_copy_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
