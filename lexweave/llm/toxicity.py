@@ -76,7 +76,8 @@ class FactorizationMachine:
         return float(self.bias + x * self.linear[terms].sum() + 0.5 * x * x * (np.dot(total, total) - np.einsum("ij,ij->", v, v)))
 
     def score(self, terms: np.ndarray) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.logit(terms), -40, 40))))
+        z = self.logit(terms)
+        return 0.0 if z <= -40 else 1.0 if z >= 40 else float(1.0 / (1.0 + np.exp(-z)))
 
 
 def telling(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
