@@ -8,7 +8,10 @@ back to the documents' home partitions.  All rows of such an exchange have the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +22,28 @@ from pyspark.sql import DataFrame
 MESSAGE = "dest int, kind int, doc bigint, key bigint, n bigint, m bigint, a binary, b binary, c binary, d binary"
 _ARROW = pa.schema([(x.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in MESSAGE.split(", ")])
 #: Hashes of a chunk: a worker keeps some 100 bytes for each.
-CHUNK = 1_000_000
-_REMEMBERED = 500_000
+CHUNK = 500_000
+_REMEMBERED = 200_000
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def tidied(step: Callable) -> Callable:
+    """A step of record batches that gives freed memory back to the system in the end, as workers live on."""
+
+    @functools.wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 class WordHashes(dict):
     """64-bit hash of a word's bytes; remembers those of many words."""
 

@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 from lexweave.llm.arrow import as_bytes, pieces
 from lexweave.llm.common import cut, table
 from lexweave.llm.components import components
-from lexweave.llm.grams import CHUNK, MESSAGE, Outbox, WordHashes, dealt, exchanged, groups, home, partitions_for, rolling, rows_of
+from lexweave.llm.grams import CHUNK, MESSAGE, Outbox, WordHashes, dealt, exchanged, groups, home, partitions_for, rolling, rows_of, tidied
 
 SHINGLE = 5
 #: Tokens in so many documents of a chunk may be frequent, and so many at most are.
@@ -98,6 +98,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], shingler: Shingler) -> Iterator[t
 
 
 def _described(docs: DataFrame, partitions: int) -> DataFrame:
+    @tidied
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = Outbox()
         for rows, sets in _chunks(batches, Shingler(partitions)):
@@ -117,6 +118,7 @@ def _described(docs: DataFrame, partitions: int) -> DataFrame:
 def _frequent(described: DataFrame) -> np.ndarray:
     """The most frequent tokens, rarest first; at most FREQUENT, whatever the corpus."""
 
+    @tidied
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for m in rows_of(batch):
@@ -142,6 +144,7 @@ def _sets(docs: DataFrame, frequent: np.ndarray, partitions: int) -> DataFrame:
     """Classes that may have a partner: key, n tokens, m tokens of its own, level, and its shared tokens in order (a)."""
     held = docs.sparkSession.sparkContext.broadcast((np.sort(frequent), np.argsort(frequent)))
 
+    @tidied
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box, (known, rank) = Outbox(), held.value
         for _, sets in _chunks(batches, Shingler(partitions)):
@@ -164,6 +167,7 @@ def _sets(docs: DataFrame, frequent: np.ndarray, partitions: int) -> DataFrame:
             yield from box.full()
         yield from box.rest()
 
+    @tidied
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box, asked = Outbox(), defaultdict(list)
         for batch in batches:
@@ -195,6 +199,7 @@ def _sets(docs: DataFrame, frequent: np.ndarray, partitions: int) -> DataFrame:
             yield from box.full()
         yield from box.rest()
 
+    @tidied
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box, own, shared = Outbox(), {}, defaultdict(list)
         for batch in batches:
@@ -234,6 +239,7 @@ def _sets(docs: DataFrame, frequent: np.ndarray, partitions: int) -> DataFrame:
 def _prefixes(sets: DataFrame) -> DataFrame:
     """(token, key, n, place, own): a row for each shared token of each class's prefix, with its place in the order."""
 
+    @tidied
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, n, m, a in zip(*[batch.column(x).to_pylist() for x in ("key", "n", "m", "a")]):
@@ -257,6 +263,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     A pair is compared whole only if its prefixes, lengthened for the lower of the two levels, match that often.
     """
 
+    @tidied
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, nx, ny, mx, my, lx, ly = [batch.column(c).to_numpy() for c in ("x", "y", "n_x", "n_y", "m_x", "m_y", "level_x", "level_y")]

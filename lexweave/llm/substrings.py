@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.arrow import as_bytes, pieces
 from lexweave.llm.common import table
-from lexweave.llm.grams import CHUNK, MESSAGE, Outbox, WordHashes, dealt, exchanged, groups, home, partitions_for, rolling, row_key, rows_of
+from lexweave.llm.grams import CHUNK, MESSAGE, Outbox, WordHashes, dealt, exchanged, groups, home, partitions_for, rolling, row_key, rows_of, tidied
 
 WINDOW = 13
 #: Documents of a chunk from which a block hash is answered without its bucket.
@@ -153,6 +153,7 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     block, partitions = (window + 1) // 2, partitions_for(docs)
     some = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
+    @tidied
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, box, keys, blocks, size = WordHashes(), Outbox(), [], [], 0
         for batch in pieces(batches, "text"):
@@ -168,6 +169,7 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             _send_anchors(box, keys, blocks, block, partitions)
         yield from box.rest()
 
+    @tidied
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box, anchors, windows = Outbox(), defaultdict(lambda: _Inbox(np.uint32)), defaultdict(lambda: _Inbox(np.uint64))
         for batch in batches:
@@ -187,6 +189,7 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             yield from box.full()
         yield from box.rest()
 
+    @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box, press = Outbox(), zstandard.ZstdCompressor(level=3)
         for batch in pieces(batches, "text"):
@@ -196,6 +199,7 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 yield from box.full()
         yield from box.rest()
 
+    @tidied
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, box, unpress = WordHashes(), Outbox(), zstandard.ZstdDecompressor()
         hits: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -250,6 +254,7 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             send()
         yield from box.rest()
 
+    @tidied
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, box, unpress = WordHashes(), Outbox(), zstandard.ZstdDecompressor()
         smaller: dict[int, list[np.ndarray]] = defaultdict(list)
