@@ -124,11 +124,11 @@ class ListwiseScorer:
         """Scores of a column of feature vectors, in Arrow batches."""
         import pandas as pd
 
-        @F.pandas_udf("double")
-        def score(v: pd.Series) -> pd.Series:
+        def score(v):  # noqa: ANN001, ANN202
             return pd.Series(self(np.array(v.tolist()).reshape(len(v), -1))) if len(v) else pd.Series([], dtype="float64")
 
-        return score(spark_features)
+        score.__annotations__ = {"v": pd.Series, "return": pd.Series}
+        return F.pandas_udf(score, "double")(spark_features)
 
 
 def listwise_loss(scores: np.ndarray, gold: int) -> tuple[float, np.ndarray]:

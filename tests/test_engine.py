@@ -113,6 +113,13 @@ def test_slots(spark):
     assert scored_frame(frame, lambda s, r, p: [0.5] * len(s)).first()["score"] == 0.5
 
 
+def test_scorer_as_a_column(spark):
+    model = rerank.ListwiseScorer.fresh(8)
+    frame = spark.createDataFrame([([0.5] * 11,), ([0.0] * 11,)], "f array<double>")
+    got = [r["s"] for r in frame.select(model.column("f").alias("s")).collect()]
+    assert got == pytest.approx([float(model([0.5] * 11)), 0.0])
+
+
 def test_contract_and_independence():
     import __spark_entry__ as entry
 
