@@ -157,7 +157,7 @@ def grouped_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("example_id", "numeric_features", "labels", "qids")
 
 
-def reranker_mlp(spark: SparkSession, sf_dir: str, fit_groups: int = 2_000) -> DataFrame:
+def reranker_mlp(spark: SparkSession, sf_dir: str, fit_groups: int = 500) -> DataFrame:
     """Scores by a scorer that is trained on the driver, on ``fit_groups`` groups at most, those of the lowest hashes."""
     groups = grouped_training_rows(spark, sf_dir)
     some = groups.orderBy(F.xxhash64("example_id")).limit(fit_groups).collect()
