@@ -53,7 +53,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], key
     named = docs.select(key, text).join(F.broadcast(marks), key)
     grams = named.select("domain", F.explode(word_buckets(F.col(text))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(*[F.count_if(F.col("domain") == d).cast("double").alias(f"d{i}") for i, d in enumerate(domains)])
-    full = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0.0)
+    full = cut(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0.0))
     last = len(domains) - 1
     totals = full.agg(*[F.sum(F.col(f"d{i}") + PRIOR).alias(f"t{i}") for i in range(len(domains))]).first()
     by_domain = {r["domain"]: r["n"] for r in marks.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -120,11 +120,13 @@ def fit_rates(rows: DataFrame, targets: Sequence[float], total: float | None = N
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, keep_text: bool = True) -> DataFrame:
     """``docs`` with tokens, posterior, rate and copies: how often a document is to be taken, its rate on average.
 
-    The whole part of a rate is taken for sure, the rest by a hash of key and text.
+    The whole part of a rate is taken for sure, the rest by a hash of key and text.  With keep_text the posteriors are
+    computed again for the result, which costs less than to write and read the texts; without, it has no texts.
     """
     rows = posteriors(docs, labels, list(targets), key, text).withColumn("_draw", F.xxhash64(F.lit("mix"), key, text))
-    rows = cut(rows if keep_text else rows.drop(text))
-    rate, _ = fit_rates(rows, list(targets.values()), total)
+    known = cut(rows.select("tokens", "posterior") if keep_text else rows.drop(text))
+    rate, _ = fit_rates(known, list(targets.values()), total)
+    rows = rows if keep_text else known
     draw = (F.shiftrightunsigned("_draw", 11)) / F.lit(float(1 << 53))
     out = rows.withColumn("rate", rate)
     return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("bigint")).drop("_draw")
