@@ -120,13 +120,12 @@ def fit_rates(rows: DataFrame, targets: Sequence[float], total: float | None = N
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, keep_text: bool = True) -> DataFrame:
     """``docs`` with tokens, posterior, rate and copies: how often a document is to be taken, its rate on average.
 
-    The whole part of a rate is taken for sure, the rest by a hash of key and text.  With keep_text the posteriors are
-    computed again for the result, which costs less than to write and read the texts; without, it has no texts.
+    The whole part of a rate is taken for sure, the rest by a hash of key and text.  The rows are
+    written to the shared folder once; keep_text=False leaves the texts out of that.
     """
     rows = posteriors(docs, labels, list(targets), key, text).withColumn("_draw", F.xxhash64(F.lit("mix"), key, text))
-    known = cut(rows.select("tokens", "posterior") if keep_text else rows.drop(text))
-    rate, _ = fit_rates(known, list(targets.values()), total)
-    rows = rows if keep_text else known
+    rows = cut(rows if keep_text else rows.drop(text))
+    rate, _ = fit_rates(rows, list(targets.values()), total)
     draw = (F.shiftrightunsigned("_draw", 11)) / F.lit(float(1 << 53))
     out = rows.withColumn("rate", rate)
     return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("bigint")).drop("_draw")
