@@ -32,9 +32,10 @@ from lexweave.llm.common import table
 
 BUCKETS, FACTORS = 1 << 17, 4
 FIT_DOCS, FIT_TERMS = 12_000, 2_000
-EPOCHS, RATE, DECAY, SEED = 12, 0.1, 1e-4, 7
-#: Terms with weights: in so many texts of the sample, and so many standard deviations apart between the kinds.
-LEAST_TEXTS, LEAST_Z = 5, 3.5
+EPOCHS, SEED = 12, 7
+#: Step sizes of the bias, the weights and the factors, and what holds weights (L1) and factors (L2) down.
+RATE, LINEAR_RATE, FACTOR_RATE = 0.1, 1.0, 0.02
+L1, L2 = 6.0, 10.0
 _MARKS = b"\"'`.,;:!?()[]{}<>#*$%&|-_"
 _REMEMBERED = 300_000
 
@@ -80,17 +81,13 @@ class FactorizationMachine:
         return 0.0 if z <= -40 else 1.0 if z >= 40 else float(1.0 / (1.0 + np.exp(-z)))
 
 
-def telling(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Buckets whose share of texts differs between the two kinds by more than chance: the others keep weight 0."""
-    n = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
-    seen = [np.bincount(np.concatenate([t for t, y in rows if y == k]), minlength=BUCKETS) for k in (0, 1)]
-    both = (seen[0] + seen[1]) / (n[0] + n[1])
-    z = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
-    return (np.abs(z) >= LEAST_Z) & (seen[0] + seen[1] >= LEAST_TEXTS)
-
-
 def fitted(rows: list[tuple[np.ndarray, int]]) -> FactorizationMachine:
-    """By AdaGrad over the log loss, with positive and negative texts weighing the same in sum."""
+    """By gradient steps over the log loss, with positive and negative texts weighing the same in sum.
+
+    Every term of the sample has a weight and factors.  Weights are kept small in sum (L1, follow the regularised
+    leader), so that terms of one text or of chance stay near 0; factors are drawn to 0 (L2, AdaGrad), the more the
+    fewer texts have their term.  Neither looks at how a term does alone, so terms that tell only in pairs are learned.
+    """
     rng = np.random.default_rng(SEED)
     pos = sum(y for _, y in rows)
     share = pos / len(rows) if rows else 0.0
@@ -98,28 +95,30 @@ def fitted(rows: list[tuple[np.ndarray, int]]) -> FactorizationMachine:
         edge = 40.0 if share else -1e9
         return FactorizationMachine(edge, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
     w, v, b = np.zeros(BUCKETS), rng.normal(0, 0.01, (BUCKETS, FACTORS)), 0.0
-    gw, gv, gb = np.full(BUCKETS, 1e-6), np.full((BUCKETS, FACTORS), 1e-6), 1e-6
+    sw, gw, gv, gb = np.zeros(BUCKETS), np.zeros(BUCKETS), np.full((BUCKETS, FACTORS), 1e-6), 1e-6
     heft = (0.5 / (1 - share), 0.5 / share)
-    useful = telling(rows)
-    rows = [(t[useful[t]], y) for t, y in rows]
-    v[~useful] = 0
+    texts = np.bincount(np.concatenate([t for t, _ in rows]), minlength=BUCKETS)
+    v[texts == 0] = 0
+    decay = (L2 / np.maximum(texts, 1))[:, None]
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
             t, y = rows[i]
             x = weight_of(len(t)) if len(t) else 0.0
-            vt = v[t]
+            vt, wt = v[t], w[t]
             total = vt.sum(0)
-            z = b + x * w[t].sum() + 0.5 * x * x * (total @ total - np.einsum("ij,ij->", vt, vt))
+            z = b + x * wt.sum() + 0.5 * x * x * (total @ total - np.einsum("ij,ij->", vt, vt))
             e = heft[y] * (1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))) - y)
             gb += e * e
             b -= RATE * e / np.sqrt(gb)
             if len(t):
-                d = e * x + DECAY * w[t]
-                gw[t] += d * d
-                w[t] -= RATE * d / np.sqrt(gw[t])
-                d = e * x * x * (total - vt) + DECAY * vt
-                gv[t] += d * d
-                v[t] -= 0.2 * RATE * d / np.sqrt(gv[t])
+                before, after = np.sqrt(gw[t]), np.sqrt(gw[t] + (e * x) ** 2)
+                led = sw[t] + e * x - (after - before) / LINEAR_RATE * wt
+                sw[t], gw[t] = led, after**2
+                w[t] = -np.sign(led) * np.maximum(np.abs(led) - L1, 0) * LINEAR_RATE / (1e-3 + after)
+                d = e * x * x * (total - vt) + decay[t] * vt
+                g = gv[t] + d * d
+                gv[t] = g
+                v[t] = vt - FACTOR_RATE * d / np.sqrt(g)
     return FactorizationMachine(b, w.astype(np.float32), v.astype(np.float32))
 
 

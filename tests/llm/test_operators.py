@@ -272,6 +272,22 @@ def test_toxicity_learns_terms(spark, docs):
     assert toxicity.fitted([]).score(t) == 0.0
 
 
+def test_toxicity_learns_pairs_that_are_neutral_singly():
+    def made(seed, n):
+        rng, terms, out = random.Random(seed), toxicity.Terms(), []
+        for i in range(n):
+            # "group" and "mild" are each in half of the toxic and half of the clean texts: only their pair tells.
+            some = [[], ["group"], ["mild"], ["group", "mild"]][i % 4]
+            w = [rng.choice("abcdefghij") + rng.choice("abcdefghij") for _ in range(10)] + some
+            out.append((terms.of(" ".join(w).encode()), int(len(some) != 1)))
+        return out
+
+    model = toxicity.fitted(made(6, 1200))
+    right = [(model.score(t) >= 0.5) == bool(y) for t, y in made(9, 400)]
+    group, mild = (model.factors[toxicity.Terms()[w]] for w in (b"group", b"mild"))
+    assert np.mean(right) > 0.9 and group @ mild > 0.1
+
+
 # 8
 
 
