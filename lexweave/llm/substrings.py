@@ -110,8 +110,9 @@ def _answer_anchors(box: Outbox, bucket: int, inbox: _Inbox, partitions: int) ->
     low = codes[order] >> np.uint32(1)
     starts, ends = groups(low)
     anchored = np.maximum.reduceat(codes[order] & np.uint32(1), starts) > 0
-    hit = anchored & (keys[owner[order[starts]]] != keys[owner[order[ends - 1]]])
-    # A row's entries come together, but one row's may come in two messages only after a retry; equal keys are one row.
+    key = keys[owner[order]]
+    # Repeated rows have equal keys and come in any order among others: a block is shared if any two keys differ.
+    hit = anchored & (np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts))
     mine = np.sort(order[np.repeat(hit, ends - starts)])
     if len(mine):
         _put_dealt(box, _HITS, codes[mine] >> np.uint32(1), home(keys[owner[mine]], partitions), owner[mine], keys, n=bucket)

@@ -248,6 +248,16 @@ def test_repeats_are_brute_force(spark, docs, monkeypatch):
     assert all(r["n_removed"] == 0 for r in rows(substrings.repeats_removed(none))) and not rows(substrings.repeats_removed(none.limit(0)))
 
 
+def test_repeats_are_found_between_repeated_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    a, b = (1, f"{passage} first"), (2, f"{passage} second")
+    for order in ([a, b, a], [b, a, b], [a, a, b, b, a]):
+        table = spark.createDataFrame(order, "doc_id bigint, text string").coalesce(1)
+        got = rows(substrings.repeats_removed(table))
+        want = brute_kept([a, b])
+        assert len(got) == len(order) and all((r["n_words"], r["n_removed"], r["kept"]) == want[r["doc_id"]] for r in got), order
+
+
 # 7
 
 
