@@ -2,22 +2,26 @@
 
 A classifier fitted on a labelled table (multinomial naive Bayes over hashed words) gives each document its posterior
 over the domains.  A document of n tokens at rate r then adds r * n * posterior to its domains' expected totals.  The
-rates, between 0 and ``MOST``, start at 1 and are fitted by projected gradient steps to make the expected totals meet
-the targets in the least-squares sense.  A gradient step needs no more of a document than its tokens and posterior, and
-no more of the corpus than the domains' totals, so each step is one aggregate over a small table, written once.  The
-gradient is scaled by 1/n (each document's own scale) and by the inverse of the domains' second moments, and a step
-that the projection spoils is halved, so a few steps do.
+rates, 0 or more without an upper bound, start at 1 and are fitted by projected gradient steps to make the expected
+totals meet the targets in the least-squares sense.  A gradient step needs no more of a document than its tokens and
+posterior, and no more of the corpus than the domains' totals and second moments, so each step is one aggregate over a
+small table, written once.  The gradient is scaled by 1/n (each document's own scale) and by the inverse of the domains'
+second moments over the documents not at 0; a step that the projection spoils is taken again by the moments over all
+documents, by which none leads away.  Steps end when the targets are met, or come no closer; a gap that is left is
+warned of by domain.
 
 Everything is column expressions: no Python on the executors.  The driver sees totals by domain only.
 
-Defined cases: a null or empty text has no tokens and the domains' share of labelled documents as posterior; labels
-without a document count for nothing; without labels the posterior is even; a targeted domain without labels gets no
-tokens; equal rows get equal rates (and are drawn apart by their places in no order: a row is kept by a hash of its key
+Defined cases: a null or empty text has no tokens, the domains' share of labelled documents as posterior and rate 1;
+labels without a document count for nothing; without labels the posterior is even; a targeted domain without labels is
+not fitted, and its gap warned of; equal rows get equal rates (and are drawn apart by their places in no order: a row is kept by a hash of its key
 and text); an empty table gives an empty table; further columns are kept, and columns named like new ones are replaced.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,7 +33,8 @@ from lexweave.llm.common import cut, let, table, words
 BUCKETS, PRIOR = 4_096, 1.0
 #: A text's evidence counts as that of so many words at most, which keeps memberships soft.
 EVIDENCE = 15.0
-STEPS, MOST = 16, 2.0
+#: Steps at most, the gap in all tokens that counts as none, and the bound of rates, which have none.
+STEPS, CLOSE, MOST = 100, 1e-4, math.inf
 #: The query's domains, from the labelled table, and their shares of all expected tokens.
 TARGETS = {"good": 0.92, "poor": 0.04, "toxic": 0.04}
 
@@ -82,41 +87,67 @@ def _rate(steps: Sequence[Sequence[float]]) -> Column:
         return rate
     table_ = F.from_json(F.lit(str([list(s) for s in steps])), "array<array<double>>")
     move = lambda g: F.aggregate(F.zip_with("posterior", g, lambda p, x: p * x), F.lit(0.0), lambda s, v: s + v)
-    return F.aggregate(table_, rate, lambda r, g: F.greatest(F.lit(0.0), F.least(F.lit(MOST), r - move(g))))
+    moved = F.aggregate(table_, rate, lambda r, g: F.greatest(F.lit(0.0), r - move(g)))
+    return F.when(F.col("tokens") > 0, moved).otherwise(rate)
 
 
-def fit_rates(rows: DataFrame, targets: Sequence[float], total: float | None = None, steps: int = STEPS) -> tuple[Column, list[list[float]]]:
-    """The column of rates of ``rows`` (tokens, posterior), and each step's expected totals by domain.
+def fit_rates(rows: DataFrame, targets: Sequence[float], total: float | None = None, steps: int = STEPS, fitted: Sequence[bool] | None = None) -> tuple[Column, list[list[float]]]:
+    """The column of rates of ``rows`` (tokens, posterior), and the expected totals by domain before and after each step.
 
-    targets: shares by domain; total: of all expected tokens, by default the rows' own tokens.
+    targets: shares by domain; total: of all expected tokens, by default the rows' own tokens; fitted: which domains'
+    targets are to be met, by default all.  The last totals are those of the rates returned.
     """
     d = len(targets)
     p = [F.col("posterior")[i] for i in range(d)]
-    moments = rows.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-    n = moments["n"] or 0.0
+    some = [i for i in range(d) if fitted is None or fitted[i]]
+
+    def measured(taken: list[list[float]]) -> tuple[float, list[float], np.ndarray]:
+        """Tokens, expected totals by domain, and the second moments of ``some`` over the rows not at rate 0."""
+        held = rows.select("tokens", "posterior", _rate(taken).alias("_r"))
+        moments = [F.sum(F.when(F.col("_r") > 0, F.col("tokens") * p[i] * p[j])).alias(f"m{i}_{j}") for i in some for j in some if i <= j]
+        got = held.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("_r") * F.col("tokens") * p[i]).alias(f"e{i}") for i in range(d)], *moments).first()
+        n = got["n"] or 0.0
+        m = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in some] for i in some]).reshape(len(some), len(some))
+        return n, [got[f"e{i}"] or 0.0 for i in range(d)], m + 1e-6 * n * np.eye(len(some))
+
+    n, totals, every = measured([])
     if not n:
         return F.lit(1.0), []
-    aims = [t / sum(targets) * (total if total is not None else n) for t in targets]
-    m = np.array([[moments[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)]) + 1e-6 * n * np.eye(d)
+    aims = np.array(targets) / sum(targets) * (total if total is not None else n)
     taken: list[list[float]] = []
-    trace: list[list[float]] = []
-    best = np.inf
-    for _ in range(steps):
-        r = _rate(taken)
-        got = rows.agg(*[F.sum(r * F.col("tokens") * p[i]).alias(f"e{i}") for i in range(d)]).first()
-        trace.append([got[f"e{i}"] or 0.0 for i in range(d)])
-        gap = np.array(trace[-1]) - np.array(aims)
-        miss = float(np.abs(gap).sum())
-        if miss <= 1e-4 * n:
+    trace, moments = [totals], every
+
+    def step(m: np.ndarray, gap: np.ndarray) -> list[float]:
+        out = np.zeros(d)
+        out[some] = np.linalg.solve(m, gap)
+        return out.tolist()
+
+    while some:
+        gap = (np.array(trace[-1]) - aims)[some]
+        if len(trace) > steps or np.abs(gap).sum() <= CLOSE * n:
             break
-        if miss >= best and taken:
-            taken[-1] = [x / 2 for x in taken[-1]]  # the projection bent the step: go half as far
+        far = gap @ np.linalg.solve(every, gap)
+        for m in (moments, every):
+            tried = [*taken, step(m, gap)]
+            _, totals, after = measured(tried)
+            left = (np.array(totals) - aims)[some]
+            if left @ np.linalg.solve(every, left) < far * (1 - 1e-6):
+                break
         else:
-            best = miss
-            taken.append([float(x) for x in np.linalg.solve(m, gap)])
+            break  # no closer by either: the targets can't be met any better
+        taken, moments = tried, after
+        trace.append(totals)
     return _rate(taken), trace
 
 
+def _warn_of_gaps(rows: DataFrame, got: Sequence[float], targets: dict[str, float], total: float | None) -> None:
+    whole = total if total is not None else rows.agg(F.sum("tokens")).first()[0]
+    aims = {d: t / sum(targets.values()) * whole for d, t in targets.items()}
+    if sum(abs(g - a) for g, a in zip(got, aims.values())) > CLOSE * whole:
+        said = ", ".join(f"{d}: {g:.6g} of {a:.6g}" for g, (d, a) in zip(got, aims.items()))
+        warnings.warn(f"the mix misses its targets; expected tokens by domain: {said}", stacklevel=3)
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, keep_text: bool = True) -> DataFrame:
     """``docs`` with tokens, posterior, rate and copies: how often a document is to be taken, its rate on average.
 
@@ -125,7 +156,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: st
     """
     rows = posteriors(docs, labels, list(targets), key, text).withColumn("_draw", F.xxhash64(F.lit("mix"), key, text))
     rows = cut(rows if keep_text else rows.drop(text))
-    rate, _ = fit_rates(rows, list(targets.values()), total)
+    known = {r["domain"] for r in labels.where(F.col("domain").isin(*targets)).select("domain").distinct().collect()}
+    rate, trace = fit_rates(rows, list(targets.values()), total, fitted=[d in known for d in targets])
+    if trace:
+        _warn_of_gaps(rows, trace[-1], targets, total)
     draw = (F.shiftrightunsigned("_draw", 11)) / F.lit(float(1 << 53))
     out = rows.withColumn("rate", rate)
     return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("bigint")).drop("_draw")

@@ -339,3 +339,28 @@ def test_mixing_meets_targets(spark, docs):
     assert all((r["posterior"][0] > 0.5) == bool(i % 3) for i, r in enumerate(out[:300]))
     assert sum(total) == pytest.approx(sum(r["tokens"] for r in out), rel=0.01) and out[300]["tokens"] == 0
     assert not rows(mixing.mixed(docs(texts).limit(0), labels, {"left": 0.5, "right": 0.5}))
+
+
+def test_mixing_meets_targets_far_from_the_corpus(spark):
+    rng = random.Random(12)
+    made = []
+    for i in range(600):
+        kind = 0 if i % 10 < 3 else 2 if i % 100 == 99 else 1
+        x = [rng.expovariate(1) * (20 if k == kind else 1) for k in range(3)]
+        made.append((float(rng.randint(1, 400)), [v / sum(x) for v in x]))
+    n, aims = sum(t for t, _ in made), (0.92, 0.04, 0.04)
+    table = spark.createDataFrame(made, "tokens double, posterior array<double>").coalesce(1)
+    assert 2 * sum(t * p[0] for t, p in made) < 0.92 * n
+    rate, trace = mixing.fit_rates(table, aims)
+    out = rows(table.withColumn("rate", rate))
+    total = [sum(r["rate"] * r["tokens"] * r["posterior"][d] for r in out) for d in range(3)]
+    assert total == pytest.approx([a * n for a in aims], abs=2e-4 * n) and total == pytest.approx(trace[-1], abs=1e-6 * n)
+    assert min(r["rate"] for r in out) >= 0 and max(r["rate"] for r in out) > 2
+
+
+def test_mixing_warns_of_unmet_targets(spark, docs):
+    texts = ["aa bb cc " * 5] * 20 + [None]
+    labels = spark.createDataFrame([(i, "left") for i in range(10)], "doc_id bigint, domain string")
+    with pytest.warns(UserWarning, match="right: .* of 150"):
+        out = rows(mixing.mixed(docs(texts), labels, {"left": 0.5, "right": 0.5}).orderBy("doc_id"))
+    assert all(r["rate"] == pytest.approx(0.5, abs=0.01) for r in out[:20]) and out[20]["rate"] == 1.0
