@@ -12,8 +12,8 @@ a random field whose labels are the four kinds and "other".  Nodes inside base s
 Loopy sum-product messages run over neighbour and skip links; a node whose belief in one kind reaches ``BELIEF``
 becomes a further span of it.  So a number that is written once as a phone number is one wherever it recurs.
 
-The counts are taken from the ``FIT_DOCS`` documents with the lowest hashes of their keys; every text is searched
-whole, in one pass without a shuffle.  Offsets are code points, ends exclusive.  A null or empty text has no spans;
+The counts are of all texts, added up in each batch before they are shuffled; then every text is searched whole, in
+one pass without a shuffle.  Offsets are code points, ends exclusive.  A null or empty text has no spans;
 further columns are kept, one named ``pii`` is replaced; repeated rows give equal results, an empty table an empty one.
 """
 
@@ -36,7 +36,6 @@ from lexweave.llm.secret_scan import count_of, joined, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-FIT_DOCS = 4_000
 BELIEF, ROUNDS, DAMPING = 0.75, 8, 0.3
 #: Least lead of "other" at an unmatched node, and most.
 LEAD = (0.7, 2.5)
@@ -230,10 +229,8 @@ def further_spans(text: str, base: list[tuple[str, int, int]], field: Field) ->
     return [(LABELS[k], a, b) for k, a, b, _ in out]
 
 
-def _sample_counts(docs: DataFrame, key: str, text: str, most: int) -> Counter:
-    """Counts over the nodes of at most ``most`` documents; as many rows as there are shapes and pairs of labels."""
-    chosen = docs.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(most)
-    some = docs.select(key, text).join(F.broadcast(chosen), key, "left_semi").select(text)
+def _counts(docs: DataFrame, text: str) -> Counter:
+    """Counts over the nodes of all texts; as many rows as there are shapes and pairs of labels."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
@@ -248,13 +245,13 @@ def _sample_counts(docs: DataFrame, key: str, text: str, most: int) -> Counter:
                         c.update((what, str(nodes.seen[i]), str(nodes.seen[j])) for i, j in pairs if what == "near" or bool(nodes.seen[i]) == bool(nodes.seen[j]))
             yield pa.RecordBatch.from_pylist([{"what": k[0], "a": k[1], "b": k[2], "n": n} for k, n in c.items()], schema=pa.schema([("what", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
 
-    rows = some.mapInArrow(count, "what string, a string, b string, n bigint").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
+    rows = docs.select(text).mapInArrow(count, "what string, a string, b string, n bigint").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
     return Counter({(r["what"], r["a"], r["b"]): r["n"] for r in rows.collect()})
 
 
-def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", redacted: str | None = None, fit_docs: int = FIT_DOCS) -> DataFrame:
+def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", redacted: str | None = None) -> DataFrame:
     """``docs`` with ``pii``, an array of (kind, start, end, base); redacted: a column for the text with ``[kind]`` instead."""
-    field = Field.fitted(_sample_counts(docs, key, text, fit_docs))
+    field = Field.fitted(_counts(docs, text))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])
     fields = [T.StructField("pii", T.ArrayType(span))] + ([T.StructField(redacted, T.StringType())] if redacted else [])
     schema = with_fields(docs.schema, fields)

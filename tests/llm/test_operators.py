@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lexweave.llm import chat, decontamination, mixing, near_copies, pii, quality, secret_scan, sharding, substrings, toxicity
 
@@ -94,6 +95,15 @@ def test_pii_labels_recurring_numbers_alike(spark, docs):
     assert not rows(pii.find_pii(docs(["a"]).limit(0)))
 
 
+def test_pii_counts_cover_all_documents(spark):
+    said = "mail a.b@x.co and 555-3824 or 555-3824 "
+    table = spark.range(9_000).select(F.col("id").alias("doc_id"), F.lit(said).alias("text")).repartition(8)
+    table = table.union(spark.createDataFrame([(None, said), (None, None)], "doc_id bigint, text string"))
+    got = pii._counts(table, "text")
+    assert got["shape", pii._shape("a.b@x.co", ""), "1"] == 9_001 and got["far", "0", "0"] == 9_001
+    assert got["shape", pii._shape("555-3824", "5553824"), "0"] == 2 * 9_001
+
+
 # 3
 
 
