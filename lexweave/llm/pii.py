@@ -4,7 +4,7 @@ Patterns find the base spans (email, ip, card, phone).  The words of a text that
 a random field whose labels are the four kinds and "other".  Nodes inside base spans are observed.  Potentials:
 
 * of a node: how often a word of its shape has each label, from counts; for a word that no pattern matches "other"
-  always leads, so a document without base spans has no others either;
+  always leads, but links can outweigh that, also in a document without base spans;
 * of neighbours parted by one blank: how often two labels follow each other;
 * of distant nodes that are the same or similar (same last seven digits, or same name part): how often such pairs,
   both matched or both not, have the same label.  Each node is linked with the next one like it.
@@ -209,7 +209,7 @@ class Field:
 
 def further_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
     """Spans that the random field adds to the base spans of a text."""
-    if not base:
+    if not text:
         return []
     nodes = nodes_of(text, base)
     near, far = links(text, nodes)

@@ -104,6 +104,15 @@ def test_pii_counts_cover_all_documents(spark):
     assert got["shape", pii._shape("555-3824", "5553824"), "0"] == 2 * 9_001
 
 
+def test_pii_field_runs_without_base_spans():
+    shape = pii._shape("555-3824", "5553824")
+    field = pii.Field.fitted(Counter({("shape", shape, "4"): 900, ("shape", shape, "0"): 1000, ("far", "0", "0"): 1200, ("far", "4", "4"): 13}))
+    text = "see 555-3824 then 555-3824 and 555-3824 or 555-3824"
+    assert not pii.base_spans(text)
+    assert [(k, text[a:b]) for k, a, b in pii.further_spans(text, [], field)] == [("phone", "555-3824")] * 4
+    assert pii.further_spans("see 555-3824 once", [], field) == [] == pii.further_spans(None, [], field)
+
+
 # 3
 
 
