@@ -137,7 +137,7 @@ def completion_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = lambda c: F.transform(tx.tokens(tx.normalize_surface(c)), lambda w: F.char_length(w))
     rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(dataset.first_by(F.when(F.col("role") == "user", F.col("text")), "turn").alias("ask"), dataset.first_by(F.when(F.col("role") == "assistant", F.col("text")), "turn").alias("answer"))
     made = rows.select("conv_id", ids("ask").alias("p"), F.concat(ids("ask"), ids("answer")).alias("f"))
-    out = made.select("conv_id", memory.completion_labels("p", "f", 0, 256).alias("labels")).where("labels IS NOT NULL")
+    out = made.select("conv_id", memory.completion_labels("p", "f", 0, 2048).alias("labels")).where("labels IS NOT NULL")
     return out.select("conv_id", F.size("labels").alias("n_labels"), F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"), F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
 
 

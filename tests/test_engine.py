@@ -134,6 +134,16 @@ def test_contract_and_independence():
                 assert not any("llm" in n for n in names), p
 
 
+def test_completion_labels_hold_long_answers(spark, tmp_path):
+    from lexweave import catalog
+
+    said = [(1, 0, "user", "ask " * 300), (1, 1, "assistant", "answer " * 400), (2, 0, "user", "u " * 10), (2, 1, "assistant", "aa " * 2100)]
+    spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in catalog.queries()["completion_labels"](spark, str(tmp_path)).collect()}
+    assert (got[1]["n_labels"], got[1]["n_masked"]) == (701, 300) and got[1]["labels"].split(",")[300:] == ["6"] * 400 + ["0"]
+    assert (got[2]["n_labels"], got[2]["n_masked"]) == (2048, 10)
+
+
 SMALL = "/root/testdata/sf0.001"
 
 
