@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexweave.functions import text as tx
 from lexweave.operators import memory, metrics, rerank, retrieval
@@ -184,9 +185,14 @@ def reranker_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Labelled documents ask for the first words of the test item that their number names; English texts are predictions."""
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("_item"), tx.tokens(tx.normalize_surface("text")).alias("_w"))
-    asked = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.pmod("doc_id", F.lit(40)).alias("_item")).join(items, "_item")
+    """Labelled documents ask for the first words of the test item that their number names; English texts are predictions.
+
+    Numbers go round by the number of items, counted, so that each is asked for; they are in the order of the items' ids.
+    """
+    benchmark = read(spark, sf_dir, "benchmark")
+    nth = F.row_number().over(Window.orderBy("item_id")) - 1
+    items = benchmark.select("item_id", "text").withColumn("_item", nth).select("_item", tx.tokens(tx.normalize_surface("text")).alias("_w"))
+    asked = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.pmod("doc_id", F.lit(max(1, benchmark.count()))).alias("_item")).join(items, "_item")
     mentions = asked.select("id", F.array(F.get("_w", 0), F.array_join(F.slice("_w", 1, 2), " ")).alias("mentions"))
     return mentions, read(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("prediction"))
 

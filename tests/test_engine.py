@@ -144,6 +144,15 @@ def test_completion_labels_hold_long_answers(spark, tmp_path):
     assert (got[2]["n_labels"], got[2]["n_masked"]) == (2048, 10)
 
 
+def test_m_eta_asks_for_every_item(spark, tmp_path):
+    from lexweave import catalog
+
+    spark.createDataFrame([(i, f"word{i} tail") for i in range(60)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, f"has word{i % 60} in it", "en") for i in range(120)], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert tuple(catalog.queries()["m_eta"](spark, str(tmp_path)).first()) == (120, 120, 1.0)
+
+
 SMALL = "/root/testdata/sf0.001"
 
 
