@@ -158,11 +158,11 @@ def grouped_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("example_id", "numeric_features", "labels", "qids")
 
 
-def reranker_mlp(spark: SparkSession, sf_dir: str, fit_groups: int = 500) -> DataFrame:
+def reranker_mlp(spark: SparkSession, sf_dir: str, fit_groups: int = 2_000) -> DataFrame:
     """Scores by a scorer that is trained on the driver, on ``fit_groups`` groups at most, those of the lowest hashes."""
     groups = grouped_training_rows(spark, sf_dir)
     some = groups.orderBy(F.xxhash64("example_id")).limit(fit_groups).collect()
-    model, _ = rerank.trained([(r["numeric_features"], r["labels"]) for r in some], epochs=3)
+    model, _ = rerank.trained([(r["numeric_features"], r["labels"]) for r in some])
     rows = groups.select("example_id", F.explode(F.arrays_zip("numeric_features", "qids")).alias("c"))
     return rows.select("example_id", F.col("c.qids").alias("qid"), model.column(F.col("c.numeric_features")).alias("score"))
 

@@ -153,6 +153,23 @@ def test_m_eta_asks_for_every_item(spark, tmp_path):
     assert tuple(catalog.queries()["m_eta"](spark, str(tmp_path)).first()) == (120, 120, 1.0)
 
 
+def test_reranker_trains_in_full(spark, monkeypatch):
+    from lexweave.plans import entity_queries
+
+    groups = spark.createDataFrame([(i, [[float(i % 7)] * 11, [0.0] * 11], [1, 0], ["a", "b"]) for i in range(900)], "example_id int, numeric_features array<array<double>>, labels array<int>, qids array<string>")
+    seen, train = {}, rerank.trained
+    monkeypatch.setattr(entity_queries, "grouped_training_rows", lambda spark, sf_dir: groups)
+
+    def trained(some, **more):
+        model, history = train(some, **more)
+        seen.update(groups=len(some), epochs=len(history))
+        return model, history
+
+    monkeypatch.setattr(rerank, "trained", trained)
+    assert entity_queries.reranker_mlp(spark, "").count() == 1800
+    assert seen == {"groups": 900, "epochs": 10}
+
+
 SMALL = "/root/testdata/sf0.001"
 
 
