@@ -26,8 +26,8 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
 
 def with_fields(schema: T.StructType, fields: list[T.StructField]) -> T.StructType:
     """``schema`` with further fields, which replace those of the same name."""
-    new = {f.name for f in fields}
-    return T.StructType([f for f in schema.fields if f.name not in new] + fields)
+    new = {f.name.lower() for f in fields}
+    return T.StructType([f for f in schema.fields if f.name.lower() not in new] + fields)
 
 
 def extended(batch: pa.RecordBatch, schema: T.StructType, values: dict[str, list | pa.Array]) -> pa.RecordBatch:
