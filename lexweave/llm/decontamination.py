@@ -7,8 +7,11 @@ consecutive words of an item, or a whole item that has fewer; a word inside an o
 Words that lie in no run of item word pairs can't be inside a window, so the automaton is stepped through such runs
 only; that changes nothing in the result.
 
-Each document is looked at on its own: no shuffle.  The automata are broadcast; one holds at most ``BLOCK_WORDS`` words
-of items, and a larger benchmark makes several, which pass over the documents one after the other.
+Each document is looked at on its own: no shuffle.  Items come to the driver one by one and make automata of at most
+``BLOCK_WORDS`` words, or of one item, each built in turn and packed into arrays of some 100 bytes a word.  Automata of
+up to ``PASS_WORDS`` words are broadcast together.  A larger benchmark makes several passes: what a pass found is
+written to the shared folder, its broadcast destroyed, and the next pass adds to it.  So no broadcast, and no worker,
+holds more than a pass, however large the benchmark is.
 
 Defined cases: null texts have no words; items without words or with a null text make no window; an item with a null id
 hits words but isn't reported; items of equal id count once; repeated documents are judged alike; empty tables give no
@@ -17,23 +20,27 @@ hits or no rows; further columns are kept, and a column named like a new one is
 
 from __future__ import annotations
 
-import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexweave.llm.arrow import as_bytes, extended, pieces, with_fields
-from lexweave.llm.common import table
+from lexweave.llm.common import Held, cut, table
 
 WINDOW = 10
-#: An automaton of so many words takes about 150 MB of a worker's memory.
+#: Building an automaton of so many words takes some 150 MB of the driver's memory; packed, it takes some 20 MB.
 BLOCK_WORDS = 200_000
+#: Words of the automata that are broadcast together: some 200 MB at most.
+PASS_WORDS = 2_000_000
 #: A document loses its hit spans; with more than this share of its words hit it is dropped.
 MAX_COVERAGE = 0.5
 _PAIRS = 1 << 20
@@ -48,45 +55,12 @@ def normal_words(text: bytes | None) -> list[bytes]:
     return text.translate(_NORMAL).split() if text else []
 
 
-class SuffixAutomaton:
-    """Of several word sequences; knows which windows of which items end in each state."""
+class _Growing:
+    """A suffix automaton while sequences of word numbers are put into it."""
 
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
-        self.ids: dict[bytes, int] = {}
+    def __init__(self) -> None:
         self.step: list[dict[int, int]] = [{}]
-        self.link, self.size = [-1], [0]
-        coded = [(item, [self.ids.setdefault(w, len(self.ids)) for w in ws]) for item, ws in items if ws]
-        for _, seq in coded:
-            last = 0
-            for c in seq:
-                last = self._extend(last, c)
-        #: (state, length) to the items that have a window of that length there.
-        self.windows: dict[tuple[int, int], set[str]] = {}
-        self.pairs = np.zeros(_PAIRS, bool)
-        for item, seq in coded:
-            k = min(window, len(seq))
-            state = n = 0
-            for c in seq:
-                state, n = self.step[state][c], n + 1
-                if n >= k:
-                    n = k
-                    state = self._shortened(state, k)
-                    found = self.windows.setdefault((state, k), set())
-                    if item is not None:
-                        found.add(item)
-            a = np.array(seq, np.int64)
-            self.pairs[self._pair(a[:-1], a[1:])] = True
-        self.lengths = sorted({k for _, k in self.windows})
-
-    @staticmethod
-    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a * 1_000_003 + b) & (_PAIRS - 1)
-
-    def _shortened(self, state: int, k: int) -> int:
-        """The state of the last k words of what is matched in ``state``."""
-        while self.size[self.link[state]] >= k:
-            state = self.link[state]
-        return state
+        self.link, self.size = array("i", [-1]), array("i", [0])
 
     def _new(self, size: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
@@ -105,7 +79,7 @@ class SuffixAutomaton:
             p = self.link[p]
         return copy
 
-    def _extend(self, last: int, c: int) -> int:
+    def extend(self, last: int, c: int) -> int:
         if c in self.step[last]:
             return self._split(last, c, self.step[last][c])
         new = self._new(self.size[last] + 1, {}, 0)
@@ -117,6 +91,80 @@ class SuffixAutomaton:
             self.link[new] = self._split(p, c, self.step[p][c])
         return new
 
+
+def _found(keys: array, key: int) -> int:
+    """Place of a key in a sorted array, -1 if it isn't there."""
+    at = bisect_left(keys, key)
+    return at if at < len(keys) and keys[at] == key else -1
+
+
+class SuffixAutomaton:
+    """Of several word sequences; knows which windows of which items end in each state.  Everything is in flat arrays."""
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
+        self.ids: dict[bytes, int] = {}
+        self.items: list[str] = []
+        grown = _Growing()
+        coded = [(item, array("i", [self.ids.setdefault(w, len(self.ids)) for w in ws])) for item, ws in items if ws]
+        self.n_words = sum(len(seq) for _, seq in coded)
+        for _, seq in coded:
+            last = 0
+            for c in seq:
+                last = grown.extend(last, c)
+        self.link, self.size = grown.link, grown.size
+        #: (state, word) as one number, ascending, and the state each leads to.
+        self.width = len(self.ids) + 1
+        pairs = sorted((state * self.width + c, to) for state, step in enumerate(grown.step) for c, to in step.items())
+        self.steps, self.to = array("q", [x for x, _ in pairs]), array("i", [x for _, x in pairs])
+        del grown, pairs
+        self.pairs, windows, names = np.zeros(_PAIRS, bool), set(), {}
+        for item, seq in coded:
+            k = min(window, len(seq))
+            name = -1 if item is None else names.setdefault(item, len(names))
+            state = n = 0
+            for c in seq:
+                state, n = self._step(state, c), n + 1
+                if n >= k:
+                    n = k
+                    state = self._shortened(state, k)
+                    windows.add((state * (window + 1) + k, name))
+            a = np.frombuffer(seq, np.int32).astype(np.int64)
+            self.pairs[self._pair(a[:-1], a[1:])] = True
+        self.items = list(names)
+        ordered = sorted(windows)
+        #: (state, length) of each window as one number, ascending, once for each item that has it, and those items.
+        self.window, self.of = window, array("i", [x for _, x in ordered])
+        self.windows = array("q", [x for x, _ in ordered])
+        self.lengths = sorted({x % (window + 1) for x in self.windows})
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * 1_000_003 + b) & (_PAIRS - 1)
+
+    def _step(self, state: int, c: int) -> int:
+        """The state that a word leads to, -1 if none."""
+        at = _found(self.steps, state * self.width + c)
+        return self.to[at] if at >= 0 else -1
+
+    def _shortened(self, state: int, k: int) -> int:
+        """The state of the last k words of what is matched in ``state``."""
+        while self.size[self.link[state]] >= k:
+            state = self.link[state]
+        return state
+
+    def _window(self, state: int, k: int) -> set[str] | None:
+        """The items with a window of k words there, None if there is none."""
+        key = state * (self.window + 1) + k
+        at = _found(self.windows, key)
+        if at < 0:
+            return None
+        out = set()
+        while at < len(self.windows) and self.windows[at] == key:
+            if self.of[at] >= 0:
+                out.add(self.items[self.of[at]])
+            at += 1
+        return out
+
     def _runs(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """Ranges of words outside of which no window can lie."""
         least = self.lengths[0]
@@ -139,22 +187,22 @@ class SuffixAutomaton:
         if not self.lengths or not words:
             return [], items
         ids = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
-        step, link, size, windows, lengths = self.step, self.link, self.size, self.windows, self.lengths
         for begin, end in self._runs(ids):
             state = n = 0
             for i, c in enumerate(ids[begin:end].tolist(), begin):
-                while state and c not in step[state]:
-                    state = link[state]
-                    n = size[state]
-                to = step[state].get(c)
-                if to is None:
+                to = self._step(state, c)
+                while state and to < 0:
+                    state = self.link[state]
+                    n = self.size[state]
+                    to = self._step(state, c)
+                if to < 0:
                     continue
                 state, n = to, n + 1
                 longest = 0
-                for k in lengths:
+                for k in self.lengths:
                     if k > n:
                         break
-                    found = windows.get((self._shortened(state, k), k))
+                    found = self._window(self._shortened(state, k), k)
                     if found is not None:
                         longest = k
                         items |= found
@@ -169,18 +217,31 @@ class SuffixAutomaton:
         return [(a, b) for a, b in ranges], items
 
 
-def automata(items: DataFrame, key: str, text: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[SuffixAutomaton]:
-    """Automata of the items, each of ``block_words`` words or of one item.  The items come to the driver block by block."""
+def automata(items: DataFrame, key: str, text: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
+    """Automata of the items, each of ``block_words`` words or of one item; the items come to the driver one by one."""
     some = items.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    out, block, n = [], [], 0
+    block, n = [], 0
     for row in some.toLocalIterator():
         words = normal_words(row["t"].encode())
         if block and n + len(words) > block_words:
-            out.append(SuffixAutomaton(block, window))
+            yield SuffixAutomaton(block, window)
             block, n = [], 0
         block.append((row["k"], words))
         n += len(words)
-    return [*out, SuffixAutomaton(block, window)] if block else out
+    if block:
+        yield SuffixAutomaton(block, window)
+
+
+def _passes(blocks: Iterator[SuffixAutomaton], most: int) -> Iterator[tuple[list[SuffixAutomaton], bool]]:
+    """Automata of up to ``most`` words together, and whether they are the last; one empty list if there are none."""
+    held, n = [], 0
+    for a in blocks:
+        if held and n + a.n_words > most:
+            yield held, False
+            held, n = [], 0
+        held.append(a)
+        n += a.n_words
+    yield held, True
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -203,26 +264,47 @@ def without(text: str, ranges: list[tuple[int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, cleaned: str | None = None, min_span: int = 1) -> DataFrame:
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_FOUND = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_items", T.ArrayType(T.StringType())), T.StructField("hit_spans", T.ArrayType(_SPAN))]
+
+
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_FOUND = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_items", T.ArrayType(T.StringType())), T.StructField("hit_spans", T.ArrayType(_SPAN))]
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, cleaned: str | None = None, min_span: int = 1, pass_words: int = PASS_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with n_words, n_hit, hit_items (their ids, sorted as strings) and hit_spans (ranges of words, end exclusive).
 
     cleaned: a column for the text without those hit spans that have ``min_span`` words or more.
     """
-    sc = docs.sparkSession.sparkContext
-    held = [sc.broadcast(a) for a in automata(items, item_key, item_text, window)]
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_items", T.ArrayType(T.StringType())), T.StructField("hit_spans", T.ArrayType(span))]
-    fields += [T.StructField(cleaned, T.StringType())] if cleaned else []
-    schema = with_fields(docs.schema, fields)
+    safe, held = Held(docs, None, text), None
+    out = safe.rows
+    for some, last in _passes(automata(items, item_key, item_text, window, block_words), pass_words):
+        again = held is not None
+        if again:
+            out = cut(out)
+            held.destroy()
+        held = docs.sparkSession.sparkContext.broadcast(some)
+        out = _pass(out, held, again, last and cleaned is not None, min_span)
+    if cleaned is not None:
+        out = out.withColumnRenamed("clean", cleaned)
+    return safe.back(out, [f.name for f in _FOUND] + ([cleaned] if cleaned is not None else []))
+
+
+def _pass(rows: DataFrame, held: Broadcast, again: bool, clean: bool, min_span: int) -> DataFrame:
+    """Rows (t, rest) with what some automata find; again: besides what earlier ones found; clean: and the text without it."""
+    fields = _FOUND + ([T.StructField("clean", T.StringType())] if clean else [])
+    schema = with_fields(rows.schema, fields)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, "t"):
             out: dict[str, list] = {f.name: [] for f in fields}
-            for t in as_bytes(batch.column(text)):
+            before = zip(batch.column("hit_items").to_pylist(), batch.column("hit_spans").to_pylist()) if again else repeat(((), ()))
+            for t, (old_items, old_spans) in zip(as_bytes(batch.column("t")), before):
                 words = normal_words(t)
-                ranges, found = [], set()
-                for a in held:
-                    r, f = a.value.hits(words)
+                ranges, found = [(s["start"], s["end"]) for s in old_spans], set(old_items)
+                for a in held.value:
+                    r, f = a.hits(words)
                     ranges += r
                     found |= f
                 ranges = merged(ranges)
@@ -230,19 +312,19 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
                 out["n_hit"].append(sum(b - a for a, b in ranges))
                 out["hit_items"].append(sorted(found))
                 out["hit_spans"].append([{"start": a, "end": b} for a, b in ranges])
-                if cleaned:
+                if clean:
                     gone = [(a, b) for a, b in ranges if b - a >= min_span]
-                    out[cleaned].append(without(t.decode(), gone) if gone else t)
+                    out["clean"].append(without(t.decode(), gone) if gone else t)
             yield extended(batch, schema, out)
 
-    return docs.mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, min_span: int = 1, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """``docs`` without hit spans of ``min_span`` words or more, and without documents hit beyond ``max_coverage``."""
-    found = find_contamination(docs, items, text, window=window, cleaned="_cleaned", min_span=min_span)
-    stay = found.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
-    return stay.withColumn(text, F.col("_cleaned")).select(*docs.columns)
+    held = Held(docs, None, text)
+    found = find_contamination(held.rows, items, "t", window=window, cleaned="clean", min_span=min_span)
+    return held.back(found.where(F.col("n_hit") <= max_coverage * F.col("n_words")).select("rest", F.col("clean").alias("t")))
 
 
 def op1_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
