@@ -1,8 +1,8 @@
 """Secret scan: an Aho-Corasick prefilter for keywords, anchored expressions at its hits, then checksums.
 
 One automaton of all keywords runs over each text.  Expressions are matched only where it hits, at the hit itself.
-Plain hex digits have no keyword, so their runs are measured on the text's bytes instead.  Tokens that carry a checksum (the last six characters are the CRC-32 of the rest, in base 62) are
-reported only if it is right.
+Plain hex digits have no keyword, so their runs are measured on the text's bytes instead.  Tokens that carry a checksum
+(the last six characters are the CRC-32 of the rest, in base 62) are reported only if it is right.
 
 Kinds, in this order: assign, access, hex (the base kinds, reported by pattern alone), github, npm (by checksum).
 Offsets are code points, ends exclusive.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexweave.llm.arrow import extended, pieces, with_fields
-from lexweave.llm.common import table
+from lexweave.llm.common import Held, table
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = KINDS[:3]
@@ -69,9 +69,12 @@ def _hex_runs(text: str) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate(([False], on, [False])).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     long = ends - starts >= HEX_LENGTH
-    if len(raw) == len(text):
-        return [(int(a), int(b)) for a, b in zip(starts[long], ends[long])]
-    return [(at := len(raw[:a].decode("utf-8", "surrogatepass")), at + int(b - a)) for a, b in zip(starts[long], ends[long])]
+    starts, ends = starts[long], ends[long]
+    if len(raw) != len(text) and len(starts):
+        # Code points before a byte: those whose first byte is before it.
+        before = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        starts, ends = before[starts] - 1, before[ends - 1]
+    return list(zip(starts.tolist(), ends.tolist()))
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -105,20 +108,21 @@ def find_secrets(docs: DataFrame, text: str = "text", redacted: str | None = Non
     """``docs`` with ``secrets``, an array of (kind, start, end); redacted: a column for the text with ``[kind]`` instead."""
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     fields = [T.StructField("secrets", T.ArrayType(span))] + ([T.StructField(redacted, T.StringType())] if redacted else [])
-    schema = with_fields(docs.schema, fields)
+    held = Held(docs, None, text)
+    schema = with_fields(held.rows.schema, fields)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, "t"):
             found, clean = [], []
-            for t in batch.column(text).to_pylist():
+            for t in batch.column("t").to_pylist():
                 spans = secrets_in(t, automaton) if t else []
                 found.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
                 if redacted:
                     clean.append(replaced(t, spans))
             yield extended(batch, schema, {"secrets": found} | ({redacted: clean} if redacted else {}))
 
-    return docs.mapInArrow(scan, schema)
+    return held.back(held.rows.mapInArrow(scan, schema), [f.name for f in fields])
 
 
 def replaced(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
