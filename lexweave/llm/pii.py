@@ -1,27 +1,40 @@
 """Personal data: patterns, and a skip-chain conditional random field that carries their labels through a document.
 
-Patterns find the base spans (email, ip, card, phone).  The words of a text that hold a digit or an @ are the nodes of
-a random field whose labels are the four kinds and "other".  Nodes inside base spans are observed.  Potentials:
-
-* of a node: how often a word of its shape has each label, from counts; for a word that no pattern matches "other"
-  always leads, but links can outweigh that, also in a document without base spans;
-* of neighbours parted by one blank: how often two labels follow each other;
-* of distant nodes that are the same or similar (same last seven digits, or same name part): how often such pairs,
-  both matched or both not, have the same label.  Each node is linked with the next one like it.
-
-Loopy sum-product messages run over neighbour and skip links; a node whose belief in one kind reaches ``BELIEF``
-becomes a further span of it.  So a number that is written once as a phone number is one wherever it recurs.
-
-The counts are of all texts, added up in each batch before they are shuffled; then every text is searched whole, in
-one pass without a shuffle.  Offsets are code points, ends exclusive.  A null or empty text has no spans;
-further columns are kept, one named ``pii`` is replaced; repeated rows give equal results, an empty table an empty one.
+Patterns find the base spans (email, ip, card, phone).  The parts of a text's words that hold a digit or an @ are the
+nodes of a random field whose labels are the four kinds and "other".  Nodes that meet base spans are observed (of the
+kind that covers most of them), and those that meet one and the same are one node.  Potentials:
+
+* of a node: a weight of each label for each shape of word, and one for any shape;
+* of neighbours parted by one blank: a weight for each two labels;
+* of distant nodes that are the same or similar (same last seven digits, or same name part): a weight for each two
+  labels.  Each node is linked with the next one like it.
+
+The weights are those of the greatest composite pseudo-likelihood of all documents: of each node's label given its shape
+and its neighbours' labels, or parts of these, less ``DECAY`` times half the squares of the weights.  What it needs of
+the corpus is how often each combination of a shape, a label and neighbours' labels occurs; these counts are added up in
+each batch before they are shuffled.  Labels come from the patterns, which has two consequences.  A node that no pattern
+matches may be what they miss: its label counts as "other" but for ``MISSED``, which is shared by the kinds; and if it is
+like a matched node, it says nothing and is left out.  And what a pattern matches is told by its shape, and needs no
+links; so each node also counts with its shape hidden, with its shape and neighbours hidden, and with its shape and like
+nodes hidden.  That is where the weights of each kind of link come from, and those of shapes that were never seen.
+
+Loopy sum-product messages run over neighbour and skip links, also in documents without base spans; a node whose belief
+in one kind reaches ``BELIEF`` becomes a further span of it.  So a number that is written once as a phone number is one
+wherever it recurs.
+
+Every text is searched whole, in one pass without a shuffle.  Nodes, links and messages are flat arrays, some 150 bytes
+a node; nodes without links are judged by their shapes alone.  Offsets are code points, ends exclusive.  A null or empty
+text has no spans; further columns are kept, one named ``pii`` is replaced; repeated rows give equal results, an empty
+table an empty one.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,14 +44,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexweave.llm.arrow import extended, pieces, with_fields
-from lexweave.llm.common import table
+from lexweave.llm.common import Held, table
 from lexweave.llm.secret_scan import count_of, joined, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-BELIEF, ROUNDS, DAMPING = 0.75, 8, 0.3
-#: Least lead of "other" at an unmatched node, and most.
-LEAD = (0.7, 2.5)
+BELIEF, ROUNDS, DAMPING = 0.9, 8, 0.3
+#: The share of unmatched nodes that are taken to be what patterns miss, and what draws weights to 0.
+MISSED, DECAY = 0.2, 1.0
+#: Links whose messages are worked out at a time.
+BLOCK = 100_000
 #: Digits by which similar numbers are linked.
 TAIL = 7
 
@@ -49,9 +64,11 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NODE = re.compile(r"[0-9@]")
-_BLANKS = re.compile(r"\s")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_EDGE = "\"'`.,;:!?()[]{}<>#*$%&|"
+# What parts words, and what is no part of a node at its ends.
+_PARTING = ",;|<>\"'`[]{}"
+_PARTS = re.compile(rf"[\s{re.escape(_PARTING)}]")
+_EDGE = ".:!?()#*$%&"
 
 
 def luhn(digits: str) -> bool:
@@ -87,15 +104,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-@dataclass
 class Nodes:
-    """Words that hold a digit or an @, of one text."""
+    """Parts of words that hold a digit or an @, of one text."""
+
+    def __init__(self) -> None:
+        self.starts, self.ends = array("q"), array("q")
+        #: Number of each node's shape in ``names``, and of its base kind, 0 for none.
+        self.shapes, self.seen = array("i"), array("b")
+        self.names: dict[str, int] = {}
+        #: Nodes, in order of their next like ones, and those.
+        self.far, self.far_next = array("q"), array("q")
 
-    spans: list[tuple[int, int]]
-    shapes: list[str]
-    keys: list[str | None]
-    #: Number of the base kind that a node lies in or meets, 0 for none.
-    seen: list[int]
+    def near(self, text: str) -> array:
+        """Nodes whose next one follows after one blank."""
+        return array("q", (i for i in range(len(self.starts) - 1) if self.starts[i + 1] - self.ends[i] <= 3 and text[self.ends[i] : self.starts[i + 1]].strip("()") == " "))
 
 
 def _shape(word: str, digits: str) -> str:
@@ -111,142 +133,224 @@ def _key(word: str, digits: str) -> str | None:
     return f"d{digits[-TAIL:]}" if len(digits) >= TAIL else None
 
 
-def nodes_of(text: str, base: list[tuple[str, int, int]]) -> Nodes:
-    out, at, b = Nodes([], [], [], []), 0, 0
+def _words(text: str) -> Iterator[tuple[int, int]]:
+    """Parts of words that hold a digit or an @, without marks at their ends."""
+    at = 0
     while m := _NODE.search(text, at):
         start = m.start()
-        while start > at and not text[start - 1].isspace():
+        while start > at and text[start - 1] not in _PARTING and not text[start - 1].isspace():
             start -= 1
-        end = e.start() if (e := _BLANKS.search(text, m.end())) else len(text)
+        end = at = e.start() if (e := _PARTS.search(text, m.end())) else len(text)
         word = text[start:end]
-        left = len(word) - len(word.lstrip(_EDGE))
-        word = word.strip(_EDGE)
-        if word:
-            digits = _NOT_DIGIT.sub("", word)
-            out.spans.append((start + left, start + left + len(word)))
-            out.shapes.append(_shape(word, digits))
-            out.keys.append(_key(word, digits))
-            while b < len(base) and base[b][2] <= start:
-                b += 1
-            met = [KINDS.index(k) + 1 for k, s, e_ in base[b : b + 8] if s < end and e_ > start + left]
-            out.seen.append(met[0] if met else 0)
-        at = end
+        start += len(word) - len(word.lstrip(_EDGE))
+        if word := word.strip(_EDGE):
+            yield start, start + len(word)
+
+
+def _met(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """Parts of words, and the base span that covers most of each (-1 for none)."""
+    b = 0
+    for start, last in _words(text):
+        while b < len(base) and base[b][2] <= start:
+            b += 1
+        most, span, j = 0, -1, b
+        while j < len(base) and base[j][1] < last:
+            covered = min(last, base[j][2]) - max(start, base[j][1])
+            if covered > most:
+                most, span = covered, j
+            j += 1
+        yield start, last, span
+
+
+def nodes_of(text: str, base: list[tuple[str, int, int]]) -> Nodes:
+    out, latest = Nodes(), {}
+    for (span, _), same in itertools.groupby(enumerate(_met(text, base)), key=lambda x: (x[1][2], x[0] if x[1][2] < 0 else -1)):
+        start, last = None, 0
+        for _, (a, last, _) in same:
+            start = a if start is None else start
+        word, i = text[start:last], len(out.starts)
+        digits = _NOT_DIGIT.sub("", word)
+        out.starts.append(start)
+        out.ends.append(last)
+        out.shapes.append(out.names.setdefault(_shape(word, digits), len(out.names)))
+        out.seen.append(KINDS.index(base[span][0]) + 1 if span >= 0 else 0)
+        if (key := _key(word, digits)) is not None:
+            if key in latest:
+                out.far.append(latest[key])
+                out.far_next.append(i)
+            latest[key] = i
     return out
 
 
-def links(text: str, nodes: Nodes) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Pairs of neighbours, and pairs of a node with the next like it."""
-    near = [(i, i + 1) for i, (a, b) in enumerate(zip(nodes.spans, nodes.spans[1:])) if text[a[1] : b[0]].strip("()") == " "]
-    last: dict[str, int] = {}
-    far = []
-    for i, k in enumerate(nodes.keys):
-        if k is not None:
-            if k in last:
-                far.append((last[k], i))
-            last[k] = i
-    return near, far
+def combinations(text: str, base: list[tuple[str, int, int]]) -> Counter:
+    """How often each (shape, label, labels of the neighbours before, after, and of the like nodes before, after) occurs; -1 for none."""
+    nodes = nodes_of(text, base)
+    n = len(nodes.starts)
+    label, links = list(nodes.seen), list(zip(nodes.far, nodes.far_next))
+    matched = [y > 0 for y in label]
+    for i, j in links:
+        matched[j] = matched[j] or matched[i]
+    for i, j in reversed(links):
+        matched[i] = matched[i] or matched[j]
+    # An unmatched node like a matched one may be what the patterns miss.
+    label = [-1 if m and not y else y for y, m in zip(label, matched)]
+    around = [[-1] * n for _ in range(4)]
+    for i in nodes.near(text):
+        around[1][i], around[0][i + 1] = label[i + 1], label[i]
+    for i, j in links:
+        around[3][i], around[2][j] = label[j], label[i]
+    names = list(nodes.names)
+    return Counter((names[s], y, *c) for s, y, c in zip(nodes.shapes, label, zip(*around)) if y >= 0)
 
 
 @dataclass
 class Field:
-    """Log potentials: of a shape's labels, of neighbours' labels, of similar nodes' labels."""
+    """Weights: of any shape's labels, of a shape's besides, of neighbours' labels, of like nodes' labels (both symmetric)."""
 
+    any_shape: np.ndarray
     shapes: dict[str, np.ndarray]
-    unknown: np.ndarray
     near: np.ndarray
     far: np.ndarray
 
     @staticmethod
-    def fitted(counts: Counter) -> Field:
-        """From counts of ("shape", shape, label), ("near", label, label) and ("far", label, label)."""
-        n = len(LABELS)
-        by_shape: dict[str, np.ndarray] = {}
-        pairs = {"near": np.ones((n, n)), "far": np.ones((n, n)) + 200 * np.eye(n)}
-        for (what, a, b), c in counts.items():
-            if what == "shape":
-                by_shape.setdefault(a, np.full(n, 0.5))[int(b)] += c
-            else:
-                pairs[what][int(a), int(b)] += c
-                pairs[what][int(b), int(a)] += c
-
-        def potential(c: np.ndarray) -> np.ndarray:
-            p = c / c.sum()
-            return np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -4, 4)
-
-        def lead(c: np.ndarray) -> np.ndarray:
-            x = np.log(c / c.sum())
-            x[1:] = x[0] - np.clip(x[0] - x[1:], *LEAD)
-            return x
-
-        return Field({s: lead(c) for s, c in by_shape.items()}, lead(np.ones(n)), potential(pairs["near"]), potential(pairs["far"]))
-
-    def beliefs(self, nodes: Nodes, near: list[tuple[int, int]], far: list[tuple[int, int]]) -> np.ndarray:
+    def fitted(counts: Counter, steps: int = 300) -> Field:
+        """The weights of the greatest pseudo-likelihood, from counts of ``combinations``."""
+        k = len(LABELS)
+        names = sorted({c[0] for c in counts})
+        if not names:
+            return Field(np.zeros(k), {}, np.zeros((k, k)), np.zeros((k, k)))
+        number = {s: i for i, s in enumerate(names)}
+        rows = sorted(counts.items())
+        # A node counts with all it has, and without (shape 0 has weights held at 0): its shape, that and near ones, that and far ones.
+        shape = np.array([number[c[0]] + 1 for c, _ in rows] + [0] * (3 * len(rows)))
+        label = np.array([c[1] for c, _ in rows] * 4)
+        around = np.array([c[2:] for c, _ in rows] * 2 + [(-1, -1, *c[4:]) for c, _ in rows] + [(*c[2:4], -1, -1) for c, _ in rows])
+        weight = np.array([n for _, n in rows] * 4, float)
+        missed = MISSED / (k - 1)
+        aim = np.where((label == 0)[:, None], np.array([1 - MISSED] + [missed] * (k - 1)), np.eye(k)[label])
+        given = [np.eye(k + 1)[around[:, a]][:, :k] + np.eye(k + 1)[around[:, a + 1]][:, :k] for a in (0, 2)]
+
+        def unpacked(x: np.ndarray) -> tuple[np.ndarray, ...]:
+            return x[:k], x[k : k + k * (len(names) + 1)].reshape(-1, k), x[-2 * k * k : -k * k].reshape(k, k), x[-k * k :].reshape(k, k)
+
+        def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+            any_shape, own, near, far = unpacked(x)
+            z = any_shape + own[shape] + given[0] @ (near + near.T) + given[1] @ (far + far.T)
+            z -= z.max(1, keepdims=True)
+            z -= np.log(np.exp(z).sum(1, keepdims=True))
+            d = weight[:, None] * (np.exp(z) - aim)
+            g_own = np.zeros_like(own)
+            np.add.at(g_own, shape, d)
+            g_own[0] = 0
+            pair = [given[a].T @ d for a in (0, 1)]
+            g = np.concatenate([d.sum(0), g_own.ravel(), *[(m + m.T).ravel() for m in pair]]) + DECAY * x
+            return float(-(weight[:, None] * aim * z).sum() + 0.5 * DECAY * x @ x), g
+
+        x = _minimised(loss, np.zeros(k + k * (len(names) + 1) + 2 * k * k), steps)
+        any_shape, own, near, far = unpacked(x)
+        return Field(any_shape, {s: own[i + 1] for s, i in number.items()}, near + near.T, far + far.T)
+
+    def beliefs(self, text: str, nodes: Nodes) -> np.ndarray:
         """Each node's distribution over the labels, by loopy message passing."""
-        own = np.array([self.shapes.get(s, self.unknown) for s in nodes.shapes])
-        seen = np.array(nodes.seen)
+        table = np.array([self.any_shape + self.shapes.get(s, 0.0) for s in nodes.names], np.float32)
+        own, seen = table[np.frombuffer(nodes.shapes, np.int32)], np.frombuffer(nodes.seen, np.int8)
         own[seen > 0] = -20
         own[seen > 0, seen[seen > 0]] = 0
-        edges = np.array(near + far, np.int64).reshape(-1, 2)
-        tables = np.concatenate([np.repeat(self.near[None], len(near), 0), np.repeat(self.far[None], len(far), 0)])
-        source, target = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
-        tables = np.concatenate((tables, tables.transpose(0, 2, 1)))
-        back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
-        messages = np.zeros((len(source), len(LABELS)))
+        near, far, far_next = (np.frombuffer(x, np.int64) for x in (nodes.near(text), nodes.far, nodes.far_next))
+        first, second = np.concatenate((near, far)), np.concatenate((near + 1, far_next))
+        # The weights are symmetric, so both ways of a link have the same table.
+        tables = np.concatenate((self.near[None], self.far[None])).astype(np.float32)
+        kind = np.concatenate((np.zeros(len(near), np.int8), np.ones(len(far), np.int8)))
+        there, back = (np.zeros((len(first), len(LABELS)), np.float32) for _ in range(2))
 
         def total() -> np.ndarray:
             t = own.copy()
-            np.add.at(t, target, messages)
+            for label in range(len(LABELS)):
+                t[:, label] += np.bincount(second, there[:, label], len(own)) + np.bincount(first, back[:, label], len(own))
             return t
 
-        for _ in range(ROUNDS):
-            sent = total()[source] - messages[back]
-            new = np.logaddexp.reduce(sent[:, :, None] + tables, axis=1)
-            new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-            messages = DAMPING * messages + (1 - DAMPING) * new
+        def sent(now: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+            new = np.logaddexp.reduce(now[:, :, None] + tables[kinds], axis=1)
+            return new - np.logaddexp.reduce(new, axis=1, keepdims=True)
+
+        for _ in range(ROUNDS if len(first) else 0):
+            t = total()
+            for a in range(0, len(first), BLOCK):
+                part = slice(a, a + BLOCK)
+                ahead = sent(t[first[part]] - back[part], kind[part])
+                behind = sent(t[second[part]] - there[part], kind[part])
+                there[part] = DAMPING * there[part] + (1 - DAMPING) * ahead
+                back[part] = DAMPING * back[part] + (1 - DAMPING) * behind
         t = total()
         return np.exp(t - np.logaddexp.reduce(t, axis=1, keepdims=True))
 
 
-def further_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
-    """Spans that the random field adds to the base spans of a text."""
-    if not text:
+def _minimised(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
+    """The place of the least of a convex function, by limited-memory quasi-Newton steps that are halved till they pay."""
+    f, g = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        if np.abs(g).max() <= 1e-6 * max(1.0, abs(f)):
+            break
+        way, alphas = -g, []
+        for s, y, r in reversed(past):
+            alphas.append(r * (s @ way))
+            way = way - alphas[-1] * y
+        if past:
+            way = way * (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, y, r), alpha in zip(past, reversed(alphas)):
+            way = way + s * (alpha - r * (y @ way))
+        slope, size = g @ way, 1.0 if past else 1.0 / max(1.0, np.abs(g).sum())
+        while True:
+            to = x + size * way
+            f_to, g_to = loss(to)
+            if f_to <= f + 1e-4 * size * slope or size < 1e-12:
+                break
+            size /= 2
+        if not f_to < f:
+            break
+        if (to - x) @ (g_to - g) > 1e-12:
+            past = [*past, (to - x, g_to - g, 1.0 / ((to - x) @ (g_to - g)))][-memory:]
+        x, f, g = to, f_to, g_to
+    return x
+
+
+def further_spans(text: str | None, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
+    """Spans that the random field adds to the base spans of a text; neighbours of one kind are one span."""
+    if not text or not _NODE.search(text):
         return []
     nodes = nodes_of(text, base)
-    near, far = links(text, nodes)
-    if all(nodes.seen) or not near and not far:
+    if not len(nodes.starts) or all(nodes.seen):
         return []
-    belief = field.beliefs(nodes, near, far)
+    belief = field.beliefs(text, nodes)
     best = belief.argmax(1)
-    joins, out = set(near), []
-    for i, (label, seen) in enumerate(zip(best, nodes.seen)):
-        if seen or not label or belief[i, label] < BELIEF:
-            continue
-        a, b = nodes.spans[i]
-        if out and out[-1][0] == label and out[-1][3] == i - 1 and (i - 1, i) in joins:
-            out[-1] = (label, out[-1][1], b, i)
+    chosen = np.flatnonzero((best > 0) & (np.frombuffer(nodes.seen, np.int8) == 0) & (belief.max(1) >= BELIEF))
+    out: list[tuple[int, int, int, int]] = []
+    joins = set(nodes.near(text)) if len(chosen) else set()
+    for i in chosen.tolist():
+        if out and out[-1][0] == best[i] and out[-1][3] == i - 1 and i - 1 in joins:
+            out[-1] = (out[-1][0], out[-1][1], nodes.ends[i], i)
         else:
-            out.append((label, a, b, i))
+            out.append((int(best[i]), nodes.starts[i], nodes.ends[i], i))
     return [(LABELS[k], a, b) for k, a, b, _ in out]
 
 
 def _counts(docs: DataFrame, text: str) -> Counter:
-    """Counts over the nodes of all texts; as many rows as there are shapes and pairs of labels."""
+    """``combinations`` of all texts.  There are as many rows as combinations, whatever the corpus: labels are 5, and shapes a few hundred."""
+    names = ("shape", "label", "before", "after", "far_before", "far_after")
+    schema = pa.schema([(x, pa.string() if x == "shape" else pa.int32()) for x in names] + [("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
             c: Counter = Counter()
             for t in batch.column(text).to_pylist():
                 if t and _NODE.search(t):
-                    nodes = nodes_of(t, base_spans(t))
-                    near, far = links(t, nodes)
-                    c.update(("shape", s, str(k)) for s, k in zip(nodes.shapes, nodes.seen))
-                    for what, pairs in (("near", near), ("far", far)):
-                        # A node like a matched one may be what the patterns miss: such pairs say nothing.
-                        c.update((what, str(nodes.seen[i]), str(nodes.seen[j])) for i, j in pairs if what == "near" or bool(nodes.seen[i]) == bool(nodes.seen[j]))
-            yield pa.RecordBatch.from_pylist([{"what": k[0], "a": k[1], "b": k[2], "n": n} for k, n in c.items()], schema=pa.schema([("what", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
+                    c.update(combinations(t, base_spans(t)))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, k)) | {"n": n} for k, n in c.items()], schema=schema)
 
-    rows = docs.select(text).mapInArrow(count, "what string, a string, b string, n bigint").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
-    return Counter({(r["what"], r["a"], r["b"]): r["n"] for r in rows.collect()})
+    kinds = ", ".join(f"{x} {'string' if x == 'shape' else 'int'}" for x in names)
+    rows = docs.select(text).mapInArrow(count, f"{kinds}, n bigint").groupBy(*names).agg(F.sum("n").alias("n"))
+    return Counter({tuple(r[x] for x in names): r["n"] for r in rows.collect()})
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", redacted: str | None = None) -> DataFrame:
@@ -254,12 +358,13 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", redacted:
     field = Field.fitted(_counts(docs, text))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])
     fields = [T.StructField("pii", T.ArrayType(span))] + ([T.StructField(redacted, T.StringType())] if redacted else [])
-    schema = with_fields(docs.schema, fields)
+    held = Held(docs, None, text)
+    schema = with_fields(held.rows.schema, fields)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, "t"):
             found, clean = [], []
-            for t in batch.column(text).to_pylist():
+            for t in batch.column("t").to_pylist():
                 base = base_spans(t) if t else []
                 spans = [(*s, True) for s in base] + [(*s, False) for s in further_spans(t, base, field)]
                 spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
@@ -268,10 +373,13 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", redacted:
                     clean.append(replaced(t, [s[:3] for s in spans]))
             yield extended(batch, schema, {"pii": found} | ({redacted: clean} if redacted else {}))
 
-    return docs.mapInArrow(scan, schema)
+    return held.back(held.rows.mapInArrow(scan, schema), [f.name for f in fields])
 
 
 def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("pii", lambda s: s["base"])
-    return found.select("doc_id", *[count_of(base, k).alias(f"n_{k}") for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return found.select(
+        "doc_id", *[count_of(base, k).alias(f"n_{k}") for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"),
+        F.size("pii").cast("bigint").alias("n_pii"),
+    )
