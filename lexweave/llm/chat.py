@@ -17,10 +17,14 @@ drops them.  The loss mask covers the texts of assistant messages, as they stand
 Reading back streams over the rendered messages, sorted within partitions, and keeps no more than a batch of them: the
 digests of a conversation are sequential, its size isn't bounded by memory.
 
+Sequence numbers are anything that can be ordered.  ``log_of_rows`` makes a log of finished messages, in which some are
+streamed, some edited and some regenerated, all to the same final texts; its numbers are (pass, turn, step), as edits
+and regenerations come after all messages have been opened.
+
 Defined cases: a null text is empty, and so is a null role; events of a null conversation form one; events of a message
 that no ``message`` event opens have an empty role; ties of sequence are broken by kind of event, role and text;
-repeated opening events open messages of their own in ``messages_of_rows``; an empty table gives no rows; further
-columns are ignored.
+rows of one turn are messages of their own in ``log_of_rows``, in the order of role and text; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,14 +44,35 @@ CONTROL = r"<</?SYS>>|</?s>|\[/?INST\]|<\|im_(?:start|end)\|>"
 _READ = re.compile(r"\\(.)|<s>|</s>", re.S)
 
 
-def events_of_rows(rows: DataFrame) -> DataFrame:
-    """A ``message`` event for each row (conv_id, turn, role, text); equal turns are messages of their own."""
-    some = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+def log_of_rows(rows: DataFrame) -> DataFrame:
+    """A log of events that folds to the rows (conv_id, turn, role, text), each of which is a message of its own.
+
+    By a hash of the row its message comes whole, as an opening with deltas, as a draft that is edited, or as a draft
+    that is regenerated in deltas.
+    """
+    some = rows.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return some.select(
-        "conv_id", F.col("turn").cast("bigint").alias("seq"), F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("")), nth.cast("string")).alias("message_id"),
-        F.lit("message").alias("event"), "role", "text",
-    )
+    # Numbers as text of one width are in the order of the numbers.
+    named = some.withColumn("message_id", F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("")), F.lpad(nth.cast("string"), 20, "0")))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    left, right, draft = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text")), F.lit("<s>draft</s>")
+
+    def event(again: int, step: int, kind: str, text: Column) -> Column:
+        seq = F.struct(F.lit(again).alias("pass"), F.col("turn"), F.lit(step).alias("step"))
+        return F.struct(seq.alias("seq"), F.lit(kind).alias("event"), (F.col("role") if kind == "message" else F.lit(None).cast("string")).alias("role"), text.alias("text"))
+
+    none = F.lit(None).cast("string")
+    ways = [
+        [event(0, 0, "message", F.col("text"))],
+        [event(0, 0, "message", none), event(0, 1, "delta", left), event(0, 2, "delta", right)],
+        [event(0, 0, "message", draft), event(1, 0, "edit", F.col("text"))],
+        [event(0, 0, "message", none), event(0, 1, "delta", draft), event(1, 0, "regenerate", none), event(1, 1, "delta", left), event(1, 2, "delta", right)],
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "message_id", "text"), F.lit(len(ways)))
+    events = F.when(way == 0, F.array(*ways[0]))
+    for i, w in enumerate(ways[1:], 1):
+        events = events.when(way == i, F.array(*w))
+    return named.select("conv_id", "message_id", F.explode(events).alias("e")).select("conv_id", "message_id", "e.seq", "e.event", "e.role", "e.text")
 
 
 def folded(events: DataFrame) -> DataFrame:
@@ -146,7 +171,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
 def op4_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    return read_back(rendered(folded(events_of_rows(rows.unionByName(tricky)))))
+    return read_back(rendered(folded(log_of_rows(rows.unionByName(tricky)))))
 
 
 ORACLE = r"""
