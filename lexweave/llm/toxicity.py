@@ -1,16 +1,18 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 A text's terms are its distinct words, small-lettered and stripped of marks, hashed into ``BUCKETS``; each weighs one
-over the square root of their number's logarithm-damped size, so long texts don't drown a single term.  The score is
+over the square root of their number's logarithm-damped size, in training as in scoring, so long texts don't drown a
+single term.  The score is
 the logistic of ``w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j``: besides each term's own weight, every pair of
 terms counts by the product of their factors, such as an insult that meets a group's name.
 
-The model is fitted on the driver, on the labelled documents of the lowest hashes, at most ``FIT_DOCS`` of them, whose
-terms come there as bucket numbers (at most ``FIT_TERMS`` a text, those of the lowest hashes).  Every text is scored
-whole, in one pass without a shuffle; the broadcast weights have a fixed size.
+The model is fitted on the driver, on the labelled documents of the lowest hashes, whose terms come there as bucket
+numbers: at most ``FIT_DOCS`` documents, and no more of them, in that order, than have ``FIT_TERMS`` terms in sum.  Texts
+are fitted whole, and every text is scored whole, in one pass without a shuffle; the broadcast weights have a fixed size.
 
 Defined cases: a null or empty text has no terms and scores by w0 alone; null labels and labels without a document
-count for nothing; a document labelled more than once is toxic if any label says so; repeated rows score alike; with
+count for nothing; a document labelled more than once is toxic if any label says so; of rows of one labelled id one text
+is fitted, that of the lowest hash of terms; repeated rows score alike; with
 labels of one kind only, or none, the score is the share of toxic ones (0.0 without any); an empty table gives an empty
 table; further columns are kept, and columns named like the new ones are replaced.
 """
@@ -26,12 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lexweave.llm.arrow import as_bytes, extended, pieces, with_fields
-from lexweave.llm.common import table
+from lexweave.llm.common import Held, cut, table
 
 BUCKETS, FACTORS = 1 << 17, 4
-FIT_DOCS, FIT_TERMS = 12_000, 2_000
+FIT_DOCS, FIT_TERMS = 12_000, 8_000_000
 EPOCHS, SEED = 12, 7
 #: Step sizes of the bias, the weights and the factors, and what holds weights (L1) and factors (L2) down.
 RATE, LINEAR_RATE, FACTOR_RATE = 0.1, 1.0, 0.02
@@ -122,34 +125,37 @@ def fitted(rows: list[tuple[np.ndarray, int]]) -> FactorizationMachine:
     return FactorizationMachine(b, w.astype(np.float32), v.astype(np.float32))
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = FIT_DOCS) -> list[tuple[np.ndarray, int]]:
-    """Terms and labels of at most ``most`` labelled documents."""
-    marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
-    chosen = marks.orderBy(F.xxhash64(key), key).limit(most)
-    some = docs.select(key, text).join(F.broadcast(chosen), key).select(key, text, "_y")
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = FIT_DOCS, most_terms: int = FIT_TERMS) -> list[tuple[np.ndarray, int]]:
+    """Terms and labels of at most ``most`` labelled documents of at most ``most_terms`` terms in sum."""
+    marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    chosen = marks.orderBy(F.xxhash64("k"), "k").limit(most)
+    some = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select(F.col("k").cast("string").alias("k"), F.xxhash64("k").alias("h"), "t", "y")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for batch in pieces(batches, text):
-            found = [np.sort(terms.of(t)[:FIT_TERMS]).astype(np.int32).tobytes() for t in as_bytes(batch.column(text))]
-            yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.string()), pa.array(found, pa.binary()), batch.column("_y").cast(pa.int32())], ["k", "terms", "y"])
+        for batch in pieces(batches, "t"):
+            found = [terms.of(t).astype(np.int32).tobytes() for t in as_bytes(batch.column("t"))]
+            yield pa.RecordBatch.from_arrays([batch.column("k").cast(pa.string()), batch.column("h"), pa.array(found, pa.binary()), batch.column("y").cast(pa.int32())], ["k", "h", "terms", "y"])
 
-    rows = some.mapInArrow(reduce, "k string, terms binary, y int").toArrow()
-    found = sorted(zip(rows.column("k").to_pylist(), rows.column("terms").to_pylist(), rows.column("y").to_pylist()))
-    return [(np.frombuffer(t, np.int32).astype(np.int64), int(y > 0)) for _, t, y in found]
+    one = F.min_by(F.struct("terms", "y"), F.xxhash64("terms")).alias("r")
+    rows = cut(some.mapInArrow(reduce, "k string, h bigint, terms binary, y int").groupBy("h", "k").agg(one).select("h", "k", "r.terms", "r.y"))
+    before = F.sum(F.octet_length("terms") / 4).over(Window.orderBy("h", "k"))  # at most ``most`` rows
+    few = rows.withColumn("sum", before).where(F.col("sum") <= most_terms).orderBy("h", "k").select("terms", "y").toArrow()
+    return [(np.frombuffer(t, np.int32).astype(np.int64), int(y > 0)) for t, y in zip(few.column("terms").to_pylist(), few.column("y").to_pylist())]
 
 
 def toxicity_scores(docs: DataFrame, model: FactorizationMachine, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the score of each text."""
-    schema = with_fields(docs.schema, [T.StructField(out, T.DoubleType())])
+    rows = Held(docs, None, text)
+    schema = with_fields(rows.rows.schema, [T.StructField("score", T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for batch in pieces(batches, text):
-            yield extended(batch, schema, {out: [held.value.score(terms.of(t)) for t in as_bytes(batch.column(text))]})
+        for batch in pieces(batches, "t"):
+            yield extended(batch, schema, {"score": [held.value.score(terms.of(t)) for t in as_bytes(batch.column("t"))]})
 
-    return docs.mapInArrow(scan, schema)
+    return rows.back(rows.rows.mapInArrow(scan, schema).withColumnRenamed("score", out), [out])
 
 
 def held_out(key: str, parts: int = 5) -> Column:
