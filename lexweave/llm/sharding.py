@@ -5,7 +5,7 @@ highest.  A shard's score doesn't depend on the other shards, so adding one move
 one moves only its own records.  Scores are ``-weight / ln(u)`` with ``u`` uniform in (0, 1), which gives each shard a
 share in proportion to its weight.
 
-All of it is column expressions: no shuffle for the assignment, and for slot numbers one shuffle of keys (no texts).
+All of it is column expressions: no shuffle for the assignment, and for slot numbers shuffles of keys (no texts).
 
 Defined cases: a null key is a key like any other; a null or empty text has size 1; repeated rows get the same shard
 and slots of their own; an empty table gives an empty table; further columns are kept, and a column named like a new
@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexweave.llm.common import table
+from lexweave.llm.common import cut, quoted, table
 
-#: Slot numbers are counted within so many buckets of each shard, and the buckets laid end to end.
-SLOT_BUCKETS = 64
+#: Slot numbers are counted within buckets of about so many rows, and a shard's buckets laid end to end.
+SLOT_ROWS = 50_000
 #: Repeated rows are written out from their count in runs of this many.
 RUN = 100_000
 
@@ -46,26 +46,28 @@ def shard_records(docs: DataFrame, keys: Sequence[str], shards: Sequence[tuple[i
 
 
 def number_slots(rows: DataFrame, shard: str, order: Sequence[str], slot: str = "slot") -> DataFrame:
-    """``rows`` with a number in each shard, gapless from 0.
+    """``rows`` with a number in each shard, gapless from 0; columns need an order, so maps are no part of them.
 
-    Equal rows are counted first, which also folds hot keys before the shuffle, numbered as runs within a bucket of
-    their shard, and written out again from their count.
+    Equal rows are counted first, which also folds hot keys before the shuffle; the counts are written to the shared
+    folder once.  They are numbered as runs within a bucket of their shard, of which there are as many as the number of
+    rows asks for, and written out again from their count.
     """
-    names = rows.columns
-    counted = (
-        rows.groupBy(*names)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(SLOT_BUCKETS)).cast("int"))
-    )
-    ends = counted.groupBy(shard, "_bucket").agg(F.sum("_n").alias("_total"))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select(shard, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    inner = Window.partitionBy(shard, "_bucket").orderBy(*order, *[c for c in names if c not in order]).rowsBetween(Window.unboundedPreceding, -1)
-    # starts has at most SLOT_BUCKETS rows for each shard.
-    numbered = counted.withColumn("_at", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(F.broadcast(starts), [shard, "_bucket"])
-    runs = numbered.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / RUN))))
-    last = F.least(F.col("_n") - 1, (F.col("_run") + 1) * RUN - 1)
-    return runs.withColumn("_i", F.explode(F.sequence(F.col("_run") * RUN, last))).select(*names, (F.col("_start") + F.col("_at") + F.col("_i")).alias(slot))
+    at = {c: f"c{i}" for i, c in enumerate(rows.columns)}
+    counted = cut(rows.select(*[F.col(quoted(c)).alias(a) for c, a in at.items()]).groupBy(*at.values()).agg(F.count(F.lit(1)).alias("n")))
+    most = counted.groupBy(at[shard]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    buckets = -(-most // SLOT_ROWS)
+    named = counted.withColumn("s", F.col(at[shard])).withColumn("b", F.pmod(F.xxhash64(*[F.col(at[c]) for c in order]), F.lit(buckets)))
+    ends = named.groupBy("s", "b").agg(F.sum("n").alias("total"))
+    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(F.col("s").alias("s_"), F.col("b").alias("b_"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    inner = Window.partitionBy("s", "b").orderBy(*[at[c] for c in order], *[a for c, a in at.items() if c not in order]).rowsBetween(Window.unboundedPreceding, -1)
+    # starts has a row for each SLOT_ROWS rows of the largest shard, and shard; Spark broadcasts it if that is small.
+    numbered = named.withColumn("at", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(starts, F.col("s").eqNullSafe(F.col("s_")) & (F.col("b") == F.col("b_")))
+    runs = numbered.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RUN))))
+    last = F.least(F.col("n") - 1, (F.col("run") + 1) * RUN - 1)
+    out = runs.withColumn("i", F.explode(F.sequence(F.col("run") * RUN, last)))
+    names = [c for c in rows.columns if c.lower() != slot.lower()]
+    return out.select(*[F.col(at[c]).alias(c) for c in names], (F.col("start") + F.col("at") + F.col("i")).alias(slot))
 
 
 def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
