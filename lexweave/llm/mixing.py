@@ -1,42 +1,51 @@
 """Mixing sources to target weights by soft memberships.
 
 A classifier fitted on a labelled table (multinomial naive Bayes over hashed words) gives each document its posterior
-over the domains.  A document of n tokens at rate r then adds r * n * posterior to its domains' expected totals.  The
-rates, 0 or more without an upper bound, start at 1 and are fitted by projected gradient steps to make the expected
-totals meet the targets in the least-squares sense.  A gradient step needs no more of a document than its tokens and
-posterior, and no more of the corpus than the domains' totals and second moments, so each step is one aggregate over a
-small table, written once.  The gradient is scaled by 1/n (each document's own scale) and by the inverse of the domains'
-second moments over the documents not at 0; a step that the projection spoils is taken again by the moments over all
-documents, by which none leads away.  Steps end when the targets are met, or come no closer; a gap that is left is
-warned of by domain.
+over the domains.  Naive Bayes is too sure of long texts, so a text's evidence is scaled down to that of a number of
+words; the number is the one of ``EVIDENCE`` that gives held-out labels the least log loss.
+
+A document of n tokens at rate r adds r * n * posterior to its domains' expected totals.  The rates, 0 or more without
+an upper bound, start at 1 and are fitted by projected gradient steps to make the expected totals meet the targets in
+the least-squares sense: they minimise half the squared gap between shares of tokens and targets, and ``RIDGE`` times
+half the token-weighted mean of (r - 1)^2, which makes the solution the only one and the nearest to 1.  The gradient at
+a document is the product of its posterior and the gap, so a step moves all rates by one vector of as many numbers as
+there are domains.  Steps are scaled by the inverse of the domains' second moments over the documents not at 0, and
+the projection to 0 is taken of the sum of all steps (lazy projection): a rate is ``max(0, 1 + posterior . steps)``.
+So a step needs no more than one aggregate over a small table (tokens and posterior), whatever went before.  A step is
+tried at several lengths at once, and ends when the gradient vanishes wherever a rate is above 0: what is then left of
+the gap can't be closed by any rates.  It is warned of by domain, and ``mixed`` gives it to a caller who asks.
 
 Everything is column expressions: no Python on the executors.  The driver sees totals by domain only.
 
 Defined cases: a null or empty text has no tokens, the domains' share of labelled documents as posterior and rate 1;
 labels without a document count for nothing; without labels the posterior is even; a targeted domain without labels is
-not fitted, and its gap warned of; equal rows get equal rates (and are drawn apart by their places in no order: a row is kept by a hash of its key
-and text); an empty table gives an empty table; further columns are kept, and columns named like new ones are replaced.
+not fitted, and its gap warned of; equal rows get equal rates, and repeated rows (of equal key and text) one draw; an
+empty table gives an empty table; further columns are kept, and columns named like new ones are replaced.
 """
 
 from __future__ import annotations
 
-import math
 import warnings
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import cut, let, table, words
+from lexweave.llm.common import Held, cut, let, table, words
 
 BUCKETS, PRIOR = 4_096, 1.0
-#: A text's evidence counts as that of so many words at most, which keeps memberships soft.
-EVIDENCE = 15.0
-#: Steps at most, the gap in all tokens that counts as none, and the bound of rates, which have none.
-STEPS, CLOSE, MOST = 100, 1e-4, math.inf
-#: The query's domains, from the labelled table, and their shares of all expected tokens.
-TARGETS = {"good": 0.92, "poor": 0.04, "toxic": 0.04}
+#: A text's evidence counts as that of one of these numbers of words at most; of the first where no label is held out.
+EVIDENCE = (16.0, 1.0, 2.0, 4.0, 8.0, 32.0, 64.0, 128.0, 256.0, 1024.0)
+#: Labelled keys that the classifier is fitted on, and its evidence chosen by, at most.
+FITTED, HELD_OUT = 20_000, 5_000
+#: The weight of the rates' distance from 1, the gap in shares that counts as none, and the most steps.
+RIDGE, CLOSE, STEPS = 1e-9, 1e-3, 60
+_LENGTHS = (1.0, 0.5, 0.2, 0.05, 0.01)
+#: The query's domains, from the labelled table, and their shares of all expected tokens: mostly good text, some poor
+#: text for robustness, and a little toxic text to learn what to avoid.  They are a policy, whatever the corpus holds.
+TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 
 
 def domain_of_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -49,120 +58,138 @@ def word_buckets(text: Column, n_buckets: int = BUCKETS) -> Column:
     return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(n_buckets)).cast("int"))
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], key: str = "doc_id", text: str = "text", most: int = 20_000) -> DataFrame:
-    """``docs`` with ``tokens`` and ``posterior``, an array in the order of ``domains``.
+def _softmax(logits: Column) -> Column:
+    odds = let(F.array_max(logits), lambda m: F.transform(logits, lambda x: F.exp(x - m)))
+    return let(odds, lambda o: F.transform(o, lambda x: x / F.aggregate(o, F.lit(0.0), lambda s, y: s + y)))
 
-    The classifier is fitted on the ``most`` labelled keys of the lowest hashes, so that they can be broadcast.
+
+def posteriors(rows: DataFrame, labelled: DataFrame, domains: Sequence[str], key: str = "doc_id", most: int = FITTED, held_out: int = HELD_OUT) -> DataFrame:
+    """Rows (k, t, ...) with ``tokens`` and ``posterior``, an array in the order of ``domains``.
+
+    The classifier is fitted on the ``most`` labelled keys of the lowest hashes, so that they can be broadcast, of those
+    that aren't held out: a fifth of all, of which up to ``held_out`` choose the evidence.
     """
-    marks = labelled.where(F.col("domain").isin(*domains)).orderBy(F.xxhash64(key), key).limit(most)
-    named = docs.select(key, text).join(F.broadcast(marks), key)
-    grams = named.select("domain", F.explode(word_buckets(F.col(text))).alias("bucket"))
+    marks = labelled.where(F.col("domain").isin(*domains)).select(F.col(key).alias("k"), "domain")
+    out = F.pmod(F.xxhash64("k", F.lit("held out")), F.lit(5)) == 0
+    fit = marks.where(~out).orderBy(F.xxhash64("k"), "k").limit(most)
+    grams = rows.select("k", "t").join(F.broadcast(fit), "k").select("domain", F.explode(word_buckets(F.col("t"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(*[F.count_if(F.col("domain") == d).cast("double").alias(f"d{i}") for i, d in enumerate(domains)])
-    full = cut(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0.0))
+    full = cut(rows.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0.0))
     last = len(domains) - 1
     totals = full.agg(*[F.sum(F.col(f"d{i}") + PRIOR).alias(f"t{i}") for i in range(len(domains))]).first()
-    by_domain = {r["domain"]: r["n"] for r in marks.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_domain = {r["domain"]: r["n"] for r in fit.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = [by_domain.get(d, 0) + 1e-3 for d in domains]
     # Each bucket's log-likelihood by domain, against that of the last domain.
     ratio = [(F.log((F.col(f"d{i}") + PRIOR) / totals[f"t{i}"]) - F.log((F.col(f"d{last}") + PRIOR) / totals[f"t{last}"])).alias(f"r{i}") for i in range(last)]
     weights = full.select("bucket", *ratio).agg(F.sort_array(F.collect_list(F.struct("bucket", *[f"r{i}" for i in range(last)]))).alias("w"))
     columns = weights.select(F.struct(*[F.col("w").getField(f"r{i}").alias(f"r{i}") for i in range(last)]).alias("w"))
 
-    held = docs.withColumn("_buckets", word_buckets(F.col(text))).withColumn("_weights", columns.scalar())
+    def evident(some: DataFrame) -> DataFrame:
+        """With tokens and, against the last domain, the sums of all words' log-likelihoods."""
+        held = some.withColumn("_buckets", word_buckets(F.col("t"))).withColumn("_weights", columns.scalar())
+        sums = lambda w: F.array(*[let(w[f"r{i}"], lambda r: F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + F.get(r, b))) for i in range(last)])
+        return held.withColumn("_sums", let(F.col("_weights"), sums)).withColumn("tokens", F.size("_buckets").cast("double")).drop("_buckets", "_weights")
+
+    def posterior(evidence: float) -> Column:
+        scale = F.least(F.lit(1.0), F.lit(evidence) / F.greatest(F.col("tokens"), F.lit(1.0)))
+        return _softmax(F.array(*[F.col("_sums")[i] * scale + float(np.log(prior[i] / prior[last])) for i in range(last)], F.lit(0.0)))
+
+    judges = cut(evident(rows.select("k", "t").join(F.broadcast(marks.where(out).orderBy(F.xxhash64("k"), "k").limit(held_out)), "k")).select("domain", "tokens", "_sums"))
+    place = F.array_position(F.lit(list(domains)), F.col("domain")).cast("int") - 1
+    losses = judges.agg(*[F.avg(-F.log(F.greatest(F.get(posterior(e), place), F.lit(1e-12)))).alias(f"e{i}") for i, e in enumerate(EVIDENCE)]).first()
+    best = min(range(len(EVIDENCE)), key=lambda i: losses[i]) if losses[0] is not None else 0
+    return evident(rows).withColumn("posterior", posterior(EVIDENCE[best])).drop("_sums")
 
-    def evidence(w: Column) -> Column:
-        scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.size("_buckets"), F.lit(1)))
-        sums = [let(w[f"r{i}"], lambda r: F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + F.get(r, b))) * scale + F.log(F.lit(prior[i] / prior[last])) for i in range(last)]
-        return F.array(*sums, F.lit(0.0))
 
-    scored = held.withColumn("_log", let(F.col("_weights"), evidence)).withColumn("tokens", F.size("_buckets").cast("double"))
-    odds = let(F.array_max("_log"), lambda m: F.transform("_log", lambda x: F.exp(x - m)))
-    return scored.withColumn("posterior", let(odds, lambda o: F.transform(o, lambda x: x / F.aggregate(o, F.lit(0.0), lambda s, y: s + y)))).drop("_buckets", "_weights", "_log")
+@dataclass
+class Rates:
+    """What a rate is by posterior, and the expected totals by domain that come of it, among those that were to be met."""
 
+    steps: list[float]
+    totals: list[float]
+    aims: list[float]
+    tokens: float
 
-def _rate(steps: Sequence[Sequence[float]]) -> Column:
-    """A document's rate after some steps, each given by what it takes off by posterior; projected after each."""
-    rate = F.lit(1.0)
-    if not steps:
-        return rate
-    table_ = F.from_json(F.lit(str([list(s) for s in steps])), "array<array<double>>")
-    move = lambda g: F.aggregate(F.zip_with("posterior", g, lambda p, x: p * x), F.lit(0.0), lambda s, v: s + v)
-    moved = F.aggregate(table_, rate, lambda r, g: F.greatest(F.lit(0.0), r - move(g)))
-    return F.when(F.col("tokens") > 0, moved).otherwise(rate)
+    def column(self) -> Column:
+        """The rate of rows (tokens, posterior); 1 for rows without tokens."""
+        moved = F.lit(1.0)
+        for i, s in enumerate(self.steps):
+            moved = moved + F.lit(float(s)) * F.col("posterior")[i]
+        return F.when(F.col("tokens") > 0, F.greatest(F.lit(0.0), moved)).otherwise(F.lit(1.0))
 
+    def gap(self) -> float:
+        """Summed differences of totals and aims, as a share of all tokens."""
+        return sum(abs(t - a) for t, a in zip(self.totals, self.aims)) / self.tokens if self.tokens else 0.0
 
-def fit_rates(rows: DataFrame, targets: Sequence[float], total: float | None = None, steps: int = STEPS, fitted: Sequence[bool] | None = None) -> tuple[Column, list[list[float]]]:
-    """The column of rates of ``rows`` (tokens, posterior), and the expected totals by domain before and after each step.
+
+def fit_rates(rows: DataFrame, targets: Sequence[float], total: float | None = None, fitted: Sequence[bool] | None = None, ridge: float = RIDGE) -> Rates:
+    """Rates of ``rows`` (tokens, posterior) that meet the targets as well as rates of 0 or more can.
 
     targets: shares by domain; total: of all expected tokens, by default the rows' own tokens; fitted: which domains'
-    targets are to be met, by default all.  The last totals are those of the rates returned.
+    targets are to be met, by default all.
     """
     d = len(targets)
-    p = [F.col("posterior")[i] for i in range(d)]
-    some = [i for i in range(d) if fitted is None or fitted[i]]
-
-    def measured(taken: list[list[float]]) -> tuple[float, list[float], np.ndarray]:
-        """Tokens, expected totals by domain, and the second moments of ``some`` over the rows not at rate 0."""
-        held = rows.select("tokens", "posterior", _rate(taken).alias("_r"))
-        moments = [F.sum(F.when(F.col("_r") > 0, F.col("tokens") * p[i] * p[j])).alias(f"m{i}_{j}") for i in some for j in some if i <= j]
-        got = held.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("_r") * F.col("tokens") * p[i]).alias(f"e{i}") for i in range(d)], *moments).first()
-        n = got["n"] or 0.0
-        m = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in some] for i in some]).reshape(len(some), len(some))
-        return n, [got[f"e{i}"] or 0.0 for i in range(d)], m + 1e-6 * n * np.eye(len(some))
-
-    n, totals, every = measured([])
+    some = np.array([i for i in range(d) if fitted is None or fitted[i]], np.int64)
+    n = rows.agg(F.sum("tokens")).first()[0] or 0.0
+    aims = np.array(targets, float) / sum(targets) * (total if total is not None else n)
     if not n:
-        return F.lit(1.0), []
-    aims = np.array(targets) / sum(targets) * (total if total is not None else n)
-    taken: list[list[float]] = []
-    trace, moments = [totals], every
-
-    def step(m: np.ndarray, gap: np.ndarray) -> list[float]:
-        out = np.zeros(d)
-        out[some] = np.linalg.solve(m, gap)
-        return out.tolist()
-
-    while some:
-        gap = (np.array(trace[-1]) - aims)[some]
-        if len(trace) > steps or np.abs(gap).sum() <= CLOSE * n:
+        return Rates([0.0] * d, [0.0] * d, aims.tolist(), 0.0)
+    p = [F.col("posterior")[i] for i in range(d)]
+    a = aims / n
+
+    def measured(tried: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each sum of steps: the dual loss, the shares by domain, and the second moments over rates above 0."""
+        held, sums = rows.where("tokens > 0").select("tokens", "posterior", *[Rates(t.tolist(), [], [], 0).column().alias(f"r{j}") for j, t in enumerate(tried)]), []
+        for j in range(len(tried)):
+            r, w = F.col(f"r{j}"), F.col("tokens")
+            sums += [F.sum(w * r * r).alias(f"l{j}"), *[F.sum(w * r * p[i]).alias(f"e{j}_{i}") for i in range(d)]]
+            sums += [F.sum(F.when(r > 0, w * p[i] * p[k])).alias(f"m{j}_{i}_{k}") for i in some.tolist() for k in some.tolist() if i <= k]
+        got = held.agg(*sums).first()
+        out = []
+        for j, t in enumerate(tried):
+            m = np.array([[got[f"m{j}_{min(i, k)}_{max(i, k)}"] or 0.0 for k in some.tolist()] for i in some.tolist()]).reshape(len(some), len(some)) / n
+            e = np.array([got[f"e{j}_{i}"] for i in range(d)]) / n
+            out.append((0.5 * got[f"l{j}"] / n + 0.5 * ridge * float(t @ t) - float(a @ t), e, m))
+        return out
+
+    taken = np.zeros(d)
+    loss, shares, moments = measured([taken])[0]
+    for _ in range(STEPS if len(some) else 0):
+        gradient = ridge * taken[some] + shares[some] - a[some]
+        if np.abs(gradient).max() <= 1e-9:
             break
-        far = gap @ np.linalg.solve(every, gap)
-        for m in (moments, every):
-            tried = [*taken, step(m, gap)]
-            _, totals, after = measured(tried)
-            left = (np.array(totals) - aims)[some]
-            if left @ np.linalg.solve(every, left) < far * (1 - 1e-6):
-                break
-        else:
-            break  # no closer by either: the targets can't be met any better
-        taken, moments = tried, after
-        trace.append(totals)
-    return _rate(taken), trace
-
-
-def _warn_of_gaps(rows: DataFrame, got: Sequence[float], targets: dict[str, float], total: float | None) -> None:
-    whole = total if total is not None else rows.agg(F.sum("tokens")).first()[0]
-    aims = {d: t / sum(targets.values()) * whole for d, t in targets.items()}
-    if sum(abs(g - a) for g, a in zip(got, aims.values())) > CLOSE * whole:
-        said = ", ".join(f"{d}: {g:.6g} of {a:.6g}" for g, (d, a) in zip(got, aims.items()))
-        warnings.warn(f"the mix misses its targets; expected tokens by domain: {said}", stacklevel=3)
-
-
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, keep_text: bool = True) -> DataFrame:
+        way = np.zeros(d)
+        way[some] = -np.linalg.solve(moments + (ridge + 1e-12) * np.eye(len(some)), gradient)
+        tried = [taken + x * way for x in _LENGTHS]
+        found = measured(tried)
+        at = min(range(len(tried)), key=lambda j: found[j][0])
+        if not found[at][0] < loss:
+            break  # as close as floating-point sums can tell
+        taken, (loss, shares, moments) = tried[at], found[at]
+    return Rates(taken.tolist(), (shares * n).tolist(), aims.tolist(), n)
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, keep_text: bool = True, report: dict | None = None) -> DataFrame:
     """``docs`` with tokens, posterior, rate and copies: how often a document is to be taken, its rate on average.
 
-    The whole part of a rate is taken for sure, the rest by a hash of key and text.  The rows are
-    written to the shared folder once; keep_text=False leaves the texts out of that.
+    labels: key and domain.  The whole part of a rate is taken for sure, the rest by a hash of key and text.  The rows are
+    written to the shared folder once; keep_text=False leaves the texts out of that.  report: gets each domain's expected
+    tokens and those aimed at.
     """
-    rows = posteriors(docs, labels, list(targets), key, text).withColumn("_draw", F.xxhash64(F.lit("mix"), key, text))
-    rows = cut(rows if keep_text else rows.drop(text))
+    held = Held(docs, key, text)
+    rows = posteriors(held.rows, labels, list(targets), key).withColumn("_draw", F.xxhash64(F.lit("mix"), "k", "t"))
+    rows = cut(rows if keep_text else rows.drop("t"))
     known = {r["domain"] for r in labels.where(F.col("domain").isin(*targets)).select("domain").distinct().collect()}
-    rate, trace = fit_rates(rows, list(targets.values()), total, fitted=[d in known for d in targets])
-    if trace:
-        _warn_of_gaps(rows, trace[-1], targets, total)
-    draw = (F.shiftrightunsigned("_draw", 11)) / F.lit(float(1 << 53))
-    out = rows.withColumn("rate", rate)
-    return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("bigint")).drop("_draw")
+    rates = fit_rates(rows, list(targets.values()), total, [d in known for d in targets])
+    if report is not None:
+        report.update({d: (t, a) for d, t, a in zip(targets, rates.totals, rates.aims)})
+    if rates.gap() > CLOSE:
+        said = ", ".join(f"{d}: {t:.6g} of {a:.6g}" for d, t, a in zip(targets, rates.totals, rates.aims))
+        warnings.warn(f"the mix misses its targets; expected tokens by domain: {said}", stacklevel=2)
+    draw = F.shiftrightunsigned("_draw", 11) / F.lit(float(1 << 53))
+    out = rows.withColumn("rate", rates.column())
+    out = out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("bigint"))
+    return held.back(out, ["tokens", "posterior", "rate", "copies"])
 
 
 def op9_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
