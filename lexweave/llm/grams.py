@@ -3,7 +3,10 @@
 A corpus has about as many n-grams as words, and as rows of their own they would take several times the corpus's size
 in a shuffle.  Here a worker gathers the hashes of many documents (a chunk), deals them into buckets by hash, and sends
 each bucket one row: hashes, the documents they are from, and how many are from each.  The same way the answers go
-back to the documents' home partitions.  All rows of such an exchange have the schema ``MESSAGE``.
+back to the documents' home buckets.  All rows of such an exchange have the schema ``MESSAGE``.
+
+The number of buckets follows from the input's size, that of partitions is Spark's; a partition's rows come sorted by
+bucket (Spark sorts, and spills, in the JVM), so a worker holds one bucket's rows at a time, whatever a partition holds.
 """
 
 from __future__ import annotations
@@ -11,19 +14,23 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: dest: partition to go to; kind: what the row is; the rest depends on the kind.
+#: dest: bucket to go to; kind: what the row is; the rest depends on the kind.
 MESSAGE = "dest int, kind int, doc bigint, key bigint, n bigint, m bigint, a binary, b binary, c binary, d binary"
 _ARROW = pa.schema([(x.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in MESSAGE.split(", ")])
 #: Hashes of a chunk: a worker keeps some 100 bytes for each.
 CHUNK = 500_000
 _REMEMBERED = 200_000
+#: Bytes of files, compressed, that a bucket stands for, and buckets at most (a bucket and 44 bits of a hash make 64).
+BUCKET_BYTES, _MOST_BUCKETS = 16 << 20, (1 << 20) - 1
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -77,19 +84,33 @@ def row_key(doc_id: int | None, text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text, seed=xxhash.xxh3_64_intdigest(repr(doc_id).encode())) - (1 << 63)
 
 
-def home(key: np.ndarray, partitions: int) -> np.ndarray:
-    return ((key.astype(np.uint64) >> np.uint64(7)) % np.uint64(partitions)).astype(np.int64)
+def home(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key.astype(np.uint64) >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
 
 
-def partitions_for(df: DataFrame) -> int:
-    """Partitions, and buckets, of an exchange."""
+def partitions_of(df: DataFrame) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def exchanged(df: DataFrame, partitions: int, ordered: bool = False) -> DataFrame:
-    """Rows at their destination; ordered: by kind there."""
-    out = df.repartitionById(partitions, "dest")
-    return out.sortWithinPartitions("kind") if ordered else out
+def buckets_for(df: DataFrame) -> int:
+    """Buckets of an exchange: one for each ``BUCKET_BYTES`` of the files that ``df`` reads, and one a partition at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # Spark takes 8 EiB for what it knows nothing of
+    return min(_MOST_BUCKETS, max(partitions_of(df), -(-known // BUCKET_BYTES)))
+
+
+def exchanged(df: DataFrame, kinds: bool = False) -> DataFrame:
+    """Rows at their bucket's partition, bucket by bucket; kinds: and by kind in a bucket."""
+    partitions = partitions_of(df)
+    out = df.repartitionById(partitions, F.pmod("dest", F.lit(partitions)).cast("int"))
+    return out.sortWithinPartitions("dest", "kind") if kinds else out.sortWithinPartitions("dest")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """The rows of a partition, bucket by bucket."""
+    rows = (m for batch in batches for m in rows_of(batch))
+    return itertools.groupby(rows, key=lambda m: m["dest"])
 
 
 class Outbox:

@@ -11,7 +11,7 @@ Stages, each with one exchange of packed hashes (see ``grams``):
 1. chunks of documents send anchors and probes to buckets by hash; what a chunk alone shows to be shared by many
    documents is answered at once and sent as one entry, so a hot passage costs each chunk one entry;
 2. buckets tell the documents which of their block hashes are hit;
-3. at their home partitions documents, whose texts come there packed, extend their hits to whole windows and send
+3. at their home buckets documents, whose texts come there packed, extend their hits to whole windows and send
    those, of each window only the smallest document id that the chunk knows;
 4. buckets tell the documents which windows start in a smaller one;
 5. documents, whose texts come home once more, drop the words that those windows cover.
@@ -35,19 +35,19 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.arrow import as_bytes, pieces
 from lexweave.llm.common import table
-from lexweave.llm.grams import CHUNK, MESSAGE, Outbox, WordHashes, dealt, exchanged, groups, home, partitions_for, rolling, row_key, rows_of, tidied
+from lexweave.llm.grams import CHUNK, MESSAGE, Outbox, WordHashes, buckets_for, by_bucket, dealt, exchanged, groups, home, rolling, row_key, tidied
 
 WINDOW = 13
 #: Documents of a chunk from which a block hash is answered without its bucket.
 HOT = 8
-# Kinds of messages, in the order in which a partition reads them.
+# Kinds of messages, in the order in which a bucket reads them.
 _ANCHOR, _HITS, _HOT_HITS, _WINDOWS, _SMALLER, _KNOWN, _TEXT, _DONE = range(8)
 _LOW = np.uint64((1 << 31) - 1)
 
 
-def _idents(blocks: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:
+def _idents(blocks: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and 31-bit rest of block hashes."""
-    return ((blocks >> np.uint64(33)) % np.uint64(partitions)).astype(np.int64), (blocks & _LOW).astype(np.uint32)
+    return ((blocks >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64), (blocks & _LOW).astype(np.uint32)
 
 
 def _put_dealt(box: Outbox, kind: int, values: np.ndarray, dest: np.ndarray, owner: np.ndarray, keys: np.ndarray, docs: np.ndarray | None = None, **more) -> None:
@@ -63,7 +63,7 @@ def _anchors(doc_ids: list, texts: Iterator, hasher: WordHashes, block: int, win
                 yield row_key(doc_id, t), rolling(h, block)
 
 
-def _send_anchors(box: Outbox, keys: list[int], blocks: list[np.ndarray], block: int, partitions: int) -> None:
+def _send_anchors(box: Outbox, keys: list[int], blocks: list[np.ndarray], block: int, buckets: int) -> None:
     lens = np.array([len(x) for x in blocks])
     owner, key = np.repeat(np.arange(len(blocks)), lens), np.array(keys, np.int64)
     every = np.concatenate(blocks)
@@ -79,8 +79,8 @@ def _send_anchors(box: Outbox, keys: list[int], blocks: list[np.ndarray], block:
         send[known] = False
         first = order[starts[hot]]
         send[first] = anchor[first] = True
-        _put_dealt(box, _HOT_HITS, every[known], home(key[owner[known]], partitions), owner[known], key)
-    bucket, low = _idents(every[send], partitions)
+        _put_dealt(box, _HOT_HITS, every[known], home(key[owner[known]], buckets), owner[known], key)
+    bucket, low = _idents(every[send], buckets)
     _put_dealt(box, _ANCHOR, (low << np.uint32(1)) | anchor[send].astype(np.uint32), bucket, owner[send], key)
 
 
@@ -104,7 +104,7 @@ class _Inbox:
         return np.concatenate(self.values), np.repeat(np.arange(len(counts), dtype=np.int32), counts), np.concatenate(self.keys), np.concatenate(self.docs) if self.docs else None
 
 
-def _answer_anchors(box: Outbox, bucket: int, inbox: _Inbox, partitions: int) -> None:
+def _answer_anchors(box: Outbox, bucket: int, inbox: _Inbox, buckets: int) -> None:
     codes, owner, keys, _ = inbox.all()
     order = np.argsort(codes >> np.uint32(1), kind="stable")
     low = codes[order] >> np.uint32(1)
@@ -115,10 +115,10 @@ def _answer_anchors(box: Outbox, bucket: int, inbox: _Inbox, partitions: int) ->
     hit = anchored & (np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts))
     mine = np.sort(order[np.repeat(hit, ends - starts)])
     if len(mine):
-        _put_dealt(box, _HITS, codes[mine] >> np.uint32(1), home(keys[owner[mine]], partitions), owner[mine], keys, n=bucket)
+        _put_dealt(box, _HITS, codes[mine] >> np.uint32(1), home(keys[owner[mine]], buckets), owner[mine], keys, n=bucket)
 
 
-def _answer_windows(box: Outbox, inbox: _Inbox, partitions: int) -> None:
+def _answer_windows(box: Outbox, inbox: _Inbox, buckets: int) -> None:
     hashes, owner, keys, docs = inbox.all()
     order = np.argsort(hashes, kind="stable")
     starts, ends = groups(hashes[order])
@@ -126,7 +126,7 @@ def _answer_windows(box: Outbox, inbox: _Inbox, partitions: int) -> None:
     least = np.repeat(np.minimum.reduceat(doc, starts), ends - starts)
     mine = np.sort(order[doc > least])
     if len(mine):
-        _put_dealt(box, _SMALLER, hashes[mine], home(keys[owner[mine]], partitions), owner[mine], keys)
+        _put_dealt(box, _SMALLER, hashes[mine], home(keys[owner[mine]], buckets), owner[mine], keys)
 
 
 def _by_key(into: dict[int, list[np.ndarray]], m: dict, values: np.ndarray) -> None:
@@ -151,7 +151,7 @@ def _done(box: Outbox, dest: int, doc_id: int | None, words: list[bytes], gone:
 
 def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, texts: bool = True) -> DataFrame:
     """(key, n_words, n_removed, kept) for every row: kept words joined by one space, or with texts=False their SHA-256."""
-    block, partitions = (window + 1) // 2, partitions_for(docs)
+    block, buckets = (window + 1) // 2, buckets_for(docs)
     some = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
     @tidied
@@ -163,30 +163,30 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 blocks.append(b)
                 size += len(b)
                 if size >= CHUNK:
-                    _send_anchors(box, keys, blocks, block, partitions)
+                    _send_anchors(box, keys, blocks, block, buckets)
                     keys, blocks, size = [], [], 0
                     yield from box.full()
         if keys:
-            _send_anchors(box, keys, blocks, block, partitions)
+            _send_anchors(box, keys, blocks, block, buckets)
         yield from box.rest()
 
     @tidied
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box, anchors, windows = Outbox(), defaultdict(lambda: _Inbox(np.uint32)), defaultdict(lambda: _Inbox(np.uint64))
-        for batch in batches:
-            for m in rows_of(batch):
+        box = Outbox()
+        for bucket, rows in by_bucket(batches):
+            anchors, windows = _Inbox(np.uint32), _Inbox(np.uint64)
+            for m in rows:
                 if m["kind"] == _ANCHOR:
-                    anchors[m["dest"]].add(m)
+                    anchors.add(m)
                 elif m["kind"] == _WINDOWS:
-                    windows[m["dest"]].add(m)
+                    windows.add(m)
                 else:
                     box.put(**m)
                     yield from box.full()
-        for bucket in list(anchors):
-            _answer_anchors(box, bucket, anchors.pop(bucket), partitions)
-            yield from box.full()
-        for bucket in list(windows):
-            _answer_windows(box, windows.pop(bucket), partitions)
+            if anchors.values:
+                _answer_anchors(box, bucket, anchors, buckets)
+            if windows.values:
+                _answer_windows(box, windows, buckets)
             yield from box.full()
         yield from box.rest()
 
@@ -196,14 +196,13 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         for batch in pieces(batches, "text"):
             for doc_id, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
                 k = row_key(doc_id, t or b"")
-                box.put(dest=int(home(np.array([k]), partitions)[0]), kind=_TEXT, doc=doc_id, key=k, a=press.compress(t or b""))
+                box.put(dest=int(home(np.array([k]), buckets)[0]), kind=_TEXT, doc=doc_id, key=k, a=press.compress(t or b""))
                 yield from box.full()
         yield from box.rest()
 
     @tidied
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, box, unpress = WordHashes(), Outbox(), zstandard.ZstdDecompressor()
-        hits: dict[int, list[np.ndarray]] = defaultdict(list)
         held: list[dict] = []
         hashes: list[np.ndarray] = []
         whole: list[np.ndarray] = []
@@ -217,24 +216,23 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             least = np.empty(len(every), np.int64)
             least[order] = np.repeat(docs_[owner[order[starts]]], ends - starts)
             smaller = docs_[owner] > least
-            _put_dealt(box, _WINDOWS, every[~smaller], _idents(every[~smaller], partitions)[0], owner[~smaller], keys, docs_)
+            _put_dealt(box, _WINDOWS, every[~smaller], _idents(every[~smaller], buckets)[0], owner[~smaller], keys, docs_)
             for m, s, h, w in zip(held, np.split(smaller, np.cumsum([len(h) for h in hashes])[:-1]), hashes, whole):
                 if s.any():
                     gone = np.isin(w, h[s])
                     box.put(dest=m["dest"], kind=_KNOWN, key=m["key"], a=np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).view(np.int8))).astype(np.uint32).tobytes())
 
-        for batch in batches:
-            for m in rows_of(batch):
+        for _, rows in by_bucket(batches):
+            hits: dict[int, list[np.ndarray]] = defaultdict(list)
+            for m in rows:
                 if m["kind"] == _HITS:
                     _by_key(hits, m, np.frombuffer(m["a"], np.uint32).astype(np.uint64) | np.uint64(m["n"] << 31))
                 elif m["kind"] == _HOT_HITS:
-                    bucket, low = _idents(np.frombuffer(m["a"], np.uint64), partitions)
+                    bucket, low = _idents(np.frombuffer(m["a"], np.uint64), buckets)
                     _by_key(hits, m, low.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(31)))
-                else:
-                    if m["key"] not in hits:
-                        continue
+                elif m["key"] in hits:
                     h = hasher.of(unpress.decompress(m["a"]).split())
-                    bucket, low = _idents(rolling(h, block), partitions)
+                    bucket, low = _idents(rolling(h, block), buckets)
                     at = np.flatnonzero(np.isin(low.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(31)), np.concatenate(hits[m["key"]])))
                     n = len(h) - window + 1
                     edge = np.zeros(n + 1, np.int32)
@@ -258,10 +256,10 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     @tidied
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, box, unpress = WordHashes(), Outbox(), zstandard.ZstdDecompressor()
-        smaller: dict[int, list[np.ndarray]] = defaultdict(list)
-        known: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for m in rows_of(batch):
+        for _, rows in by_bucket(batches):
+            smaller: dict[int, list[np.ndarray]] = defaultdict(list)
+            known: dict[int, np.ndarray] = {}
+            for m in rows:
                 if m["kind"] == _SMALLER:
                     _by_key(smaller, m, np.frombuffer(m["a"], np.uint64))
                 elif m["kind"] == _KNOWN:
@@ -280,10 +278,10 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         yield from box.rest()
 
     packed = some.mapInArrow(pack, MESSAGE)
-    told = exchanged(some.mapInArrow(ask, MESSAGE), partitions).mapInArrow(answer, MESSAGE)
-    judged = exchanged(told.unionByName(packed), partitions, ordered=True).mapInArrow(extend, MESSAGE)
-    settled = exchanged(judged, partitions).mapInArrow(answer, MESSAGE)
-    done = exchanged(settled.unionByName(packed), partitions, ordered=True).mapInArrow(drop, MESSAGE)
+    told = exchanged(some.mapInArrow(ask, MESSAGE)).mapInArrow(answer, MESSAGE)
+    judged = exchanged(told.unionByName(packed), kinds=True).mapInArrow(extend, MESSAGE)
+    settled = exchanged(judged).mapInArrow(answer, MESSAGE)
+    done = exchanged(settled.unionByName(packed), kinds=True).mapInArrow(drop, MESSAGE)
     return done.select(F.col("doc").alias(key), F.col("n").alias("n_words"), F.col("m").alias("n_removed"), F.decode("a", "UTF-8").alias("kept"))
 
 
