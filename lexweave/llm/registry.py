@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_keyword_secrets": secret_scan.op3_keyword_secrets,
         "op4_event_sourced_chat": chat.op4_event_sourced_chat,
         "op5_llr_quality": quality.op5_llr_quality,
+        "quality_base_rules": quality.quality_base_rules,
         "op6_adaptive_prefix_jaccard": near_copies.op6_adaptive_prefix_jaccard,
         "op7_factorization_toxicity": toxicity.op7_factorization_toxicity,
         "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
@@ -28,5 +29,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_automaton_decontamination": decontamination.ORACLE,
         "op4_event_sourced_chat": chat.ORACLE,
+        "quality_base_rules": quality.ORACLE_BASE,
+        "op6_adaptive_prefix_jaccard": near_copies.ORACLE,
         "op10_block_anchor_substrings": substrings.ORACLE,
     }
