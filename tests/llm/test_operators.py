@@ -1,6 +1,7 @@
 """Each operator against brute force on small texts, with nulls, empty texts, ties, repeated rows and empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -60,7 +61,7 @@ def test_decontamination_is_brute_force(spark, docs):
 def test_decontamination_in_blocks_and_cleaning(spark, docs, monkeypatch):
     texts = ["keep this. The quick brown Fox, jumps over! And stay", None, ""]
     table = spark.createDataFrame([(1, "quick brown fox jumps over"), (2, "nothing here at all")], "item_id bigint, text string")
-    assert len(decontamination.automata(table, "item_id", "text", block_words=3)) == 2
+    assert len(list(decontamination.automata(table, "item_id", "text", block_words=3))) == 2
     out = rows(decontamination.decontaminate(docs(texts), table, max_coverage=0.9).orderBy("doc_id"))
     assert [r["text"] for r in out] == ["keep this. The ! And stay", None, ""]
     assert not rows(decontamination.decontaminate(docs(texts[:1]), table, max_coverage=0.2))
@@ -68,6 +69,18 @@ def test_decontamination_in_blocks_and_cleaning(spark, docs, monkeypatch):
     assert not rows(decontamination.find_contamination(docs(texts).limit(0), table))
 
 
+def test_decontamination_in_several_passes(spark, docs):
+    texts = some_texts(vocabulary=3) + ["É b c"]
+    items = [(i, t) for i, t in enumerate(some_texts(seed=8, n=12, vocabulary=3, longest=14)[5:17])] + [(11, "É B c")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    assert len(list(decontamination._passes(decontamination.automata(table, "item_id", "text", block_words=10), 40))) > 2
+    for more in ({}, {"block_words": 10, "pass_words": 40}, {"block_words": 10}):
+        got = rows(decontamination.find_contamination(docs(texts), table, cleaned="clean", **more).orderBy("doc_id"))
+        assert [(r["n_words"], r["n_hit"], r["hit_items"]) for r in got] == brute_hits(texts, items)
+        words = [decontamination.normal_words((r["clean"] or "").encode()) for r in got]
+        assert [len(w) for w in words] == [r["n_words"] - r["n_hit"] for r in got]
+
+
 # 2
 
 
@@ -83,11 +96,14 @@ def test_pii_base_spans_are_the_patterns():
         assert pii.base_spans(t) == sorted(want, key=lambda s: (s[1], pii.KINDS.index(s[0]))), t
 
 
+def said_twice(n):
+    return [f"mail u{i}@x.com or +49 30 {5550000 + i} today, or +49 30 {5550000 + i}; u{i}@x.com again, {i} times" for i in range(n)]
+
+
 def test_pii_labels_recurring_numbers_alike(spark, docs):
     plain = ["nothing to see", None, "", "year 1999 and 2024", "9 9 9 " * 2000]
     said = "call +1 (743) 555-3824 now, she said; later 743-555-3824 again"
-    many = [f"mail u{i}@x.com or +49 30 {5550000 + i} today" for i in range(40)]
-    out = rows(pii.find_pii(docs([*plain, said, *many])).orderBy("doc_id"))
+    out = rows(pii.find_pii(docs([*plain, said, *said_twice(40)])).orderBy("doc_id"))
     assert all(not r["pii"] for r in out[: len(plain)])
     spans = out[len(plain)]["pii"]
     assert [said[s["start"] : s["end"]] for s in spans if s["base"]] == ["+1 (743) 555-3824"]
@@ -96,17 +112,66 @@ def test_pii_labels_recurring_numbers_alike(spark, docs):
 
 
 def test_pii_counts_cover_all_documents(spark):
-    said = "mail a.b@x.co and 555-3824 or 555-3824 "
+    said = "mail a.b@x.co, 555-3824 or 555-3824 "
     table = spark.range(9_000).select(F.col("id").alias("doc_id"), F.lit(said).alias("text")).repartition(8)
     table = table.union(spark.createDataFrame([(None, said), (None, None)], "doc_id bigint, text string"))
     got = pii._counts(table, "text")
-    assert got["shape", pii._shape("a.b@x.co", ""), "1"] == 9_001 and got["far", "0", "0"] == 9_001
-    assert got["shape", pii._shape("555-3824", "5553824"), "0"] == 2 * 9_001
+    number = pii._shape("555-3824", "5553824")
+    assert got == Counter({(pii._shape("a.b@x.co", ""), 1, -1, -1, -1, -1): 9_001, (number, 0, -1, -1, -1, 0): 9_001, (number, 0, -1, -1, 0, -1): 9_001})
+
+
+def test_pii_leaves_half_matched_likes_out():
+    got = pii.combinations(t := "+1 743 555-3824 or 743-555-3824, or 17", pii.base_spans(t))
+    assert got == Counter({("9-11+-", 4, -1, -1, -1, -1): 1, ("1-3", 0, -1, -1, -1, -1): 1})
+
+
+def test_pii_nodes_are_parts_of_words_and_take_the_kind_that_covers_most():
+    text = 'a@b.co,555-3824;"1.2.3.4"' + " 1" * 20
+    nodes = pii.nodes_of(text, pii.base_spans(text))
+    assert [text[a:b] for a, b in zip(nodes.starts, nodes.ends)] == ["a@b.co", "555-3824", "1.2.3.4"] + ["1"] * 20 and list(nodes.seen) == [1, 0, 2] + [0] * 20
+    many = " ".join(f"x{i}@y.co" for i in range(30))
+    assert set(pii.nodes_of(many, pii.base_spans(many)).seen) == {1}
+
+
+def test_pii_beliefs_are_exact_on_a_tree():
+    rng = np.random.default_rng(5)
+    k = len(pii.LABELS)
+    near, far = (m + m.T for m in rng.normal(0, 1, (2, k, k)))
+    text = "a@b.co 77 555-3824 and 743-555-3824 12"
+    nodes = pii.nodes_of(text, pii.base_spans(text))
+    field = pii.Field(rng.normal(0, 1, k), {s: rng.normal(0, 1, k) for s in nodes.names}, near, far)
+    n, names = len(nodes.starts), list(nodes.names)
+    edges = [(i, i + 1, near) for i in nodes.near(text)] + [(i, j, far) for i, j in zip(nodes.far, nodes.far_next)]
+    assert n == 5 and len(edges) == 4  # a tree
+    want = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        if labels[0] != 1:
+            continue
+        weight = np.exp(sum((field.any_shape + field.shapes[names[nodes.shapes[i]]])[y] for i, y in enumerate(labels) if i) + sum(t[labels[i], labels[j]] for i, j, t in edges))
+        for i, y in enumerate(labels):
+            want[i, y] += weight
+    rounds, pii.ROUNDS = pii.ROUNDS, 60
+    try:
+        got = field.beliefs(text, nodes)
+    finally:
+        pii.ROUNDS = rounds
+    assert got == pytest.approx(want / want.sum(1, keepdims=True), abs=1e-3)
+
+
+def test_pii_weights_are_those_of_the_greatest_likelihood():
+    counts = Counter()
+    for t in said_twice(60):
+        counts.update(pii.combinations(t, pii.base_spans(t)))
+    field = pii.Field.fitted(counts)
+    assert field.far[4, 4] > 2 and field.far[1, 1] > 2 and field.far[4, 0] < 0 and (field.near == field.near.T).all()
+    f = lambda x: (float(((x - 3) ** 2).sum() + (x[0] * x[1]) ** 2), 2 * (x - 3) + np.array([2 * x[0] * x[1] ** 2, 2 * x[1] * x[0] ** 2]))
+    best = pii._minimised(f, np.zeros(2), 200)
+    assert np.abs(f(best)[1]).max() < 1e-3
 
 
 def test_pii_field_runs_without_base_spans():
-    shape = pii._shape("555-3824", "5553824")
-    field = pii.Field.fitted(Counter({("shape", shape, "4"): 900, ("shape", shape, "0"): 1000, ("far", "0", "0"): 1200, ("far", "4", "4"): 13}))
+    k = len(pii.LABELS)
+    field = pii.Field(np.array([1.0, 0, 0, 0, 0.6]), {}, np.zeros((k, k)), 2 * np.eye(k) + 2 * np.diag([0, 0, 0, 0, 1]))
     text = "see 555-3824 then 555-3824 and 555-3824 or 555-3824"
     assert not pii.base_spans(text)
     assert [(k, text[a:b]) for k, a, b in pii.further_spans(text, [], field)] == [("phone", "555-3824")] * 4
@@ -139,15 +204,34 @@ def test_secrets_are_the_patterns_and_checksums(spark, docs):
 def test_chat_round_trip(spark):
     said = [("user", "a\\b</s><s>[INST] x <<SYS>>"), ("assistant", "é </s>\n<|im_end|> \\"), ("odd\nrole\\", ""), ("assistant", None), ("assistant", "tail")]
     table = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(said)] + [(None, 0, "user", "x"), (2, 0, None, "y"), (2, 0, None, "y")], "conv_id bigint, turn bigint, role string, text string")
-    pieces = chat.rendered(chat.folded(chat.events_of_rows(table)))
-    text = "".join(r["formatted"] for r in sorted(rows(pieces.where("conv_id = 1")), key=lambda r: r["seq"]))
+    pieces = chat.rendered(chat.folded(chat.log_of_rows(table)))
+    text = "".join(r["formatted"] for r in rows(pieces.where("conv_id = 1").orderBy("seq", "message_id")))
     assert list(chat.parsed(text)) == [(r, t or "") for r, t in said]
     got = {r["conv_id"]: r for r in rows(chat.read_back(pieces))}
     assert got[1]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t or ''}\n" for r, t in said).encode()).hexdigest()
     answers = "".join(t or "" for r, t in said if r == "assistant")
     assert got[1]["loss_sha256"] == hashlib.sha256(answers.encode()).hexdigest() and got[1]["loss_chars"] == len(answers)
     assert got[2]["n_turns"] == 2 and got[None]["n_turns"] == 1 and got[1]["formatted_chars"] == len(text)
-    assert not rows(chat.read_back(chat.rendered(chat.folded(chat.events_of_rows(table.limit(0))))))
+    assert not rows(chat.read_back(chat.rendered(chat.folded(chat.log_of_rows(table.limit(0))))))
+
+
+def test_chat_orders_many_rows_of_one_turn(spark):
+    said = [(1, 0, "user", f"t{i:02d}") for i in range(12)] + [(1, 3, "assistant", f"x{i % 7}") for i in range(300)]
+    table = spark.createDataFrame(random.Random(3).sample(said, len(said)), "conv_id bigint, turn bigint, role string, text string")
+    pieces = chat.rendered(chat.folded(chat.log_of_rows(table)))
+    text = "".join(r["formatted"] for r in rows(pieces.orderBy("seq", "message_id")))
+    want = [(r, t) for _, _, r, t in sorted(said)]
+    assert list(chat.parsed(text)) == want
+    got = rows(chat.read_back(pieces))[0]
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in want).encode()).hexdigest() and got["formatted_chars"] == len(text)
+
+
+def test_chat_log_has_deltas_edits_and_regenerations(spark):
+    said = [(c, t, "assistant" if t % 2 else "user", f"é {c} \\ {t}" * (t % 4)) for c in range(20) for t in range(10)]
+    log = chat.log_of_rows(spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string"))
+    assert {r["event"]: r["n"] > 20 for r in rows(log.groupBy("event").agg(F.count("*").alias("n")))} == {"message": True, "delta": True, "edit": True, "regenerate": True}
+    got = rows(chat.folded(log).orderBy("conv_id", "seq"))
+    assert [(r["conv_id"], r["role"], r["text"]) for r in got] == [(c, r, t) for c, _, r, t in sorted(said)]
 
 
 def test_chat_folds_events(spark):
@@ -180,6 +264,7 @@ def test_quality_score_is_brute_force(spark, docs):
     texts = [t for t in some_texts(vocabulary=9) if t]
     good = set(range(0, len(texts), 2))
     labels = spark.createDataFrame([(i, int(i in good)) for i in range(len(texts))], "doc_id bigint, quality int")
+    good &= {r["doc_id"] for r in rows(labels.where(F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(2)) == 0))}
     got = rows(quality.quality_verdicts(docs(texts), labels).orderBy("doc_id"))
 
     def signed(x):
@@ -187,7 +272,7 @@ def test_quality_score_is_brute_force(spark, docs):
 
     def grams(t):
         h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in t.split()]
-        pairs = [xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42) for a in h[-1:]]
+        pairs = []
         for a, b in zip(h, h[1:]):
             pairs.append(xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)))
         return [signed(x) % quality.BUCKETS for x in h + pairs]
@@ -348,38 +433,71 @@ def test_query8(spark, tmp_path, docs):
 # 9
 
 
+def made_rows(seed=12, n=600, softest=1.0):
+    rng = random.Random(seed)
+    made = []
+    for i in range(n):
+        kind = 0 if i % 10 < 3 else 2 if i % 100 == 99 else 1
+        x = [rng.expovariate(1) * (20 if k == kind else softest) for k in range(3)]
+        made.append((float(rng.randint(1, 400)), [v / sum(x) for v in x]))
+    return made
+
+
 def test_mixing_meets_targets(spark, docs):
     rng = random.Random(8)
     texts = [" ".join(rng.choice(("aa", "bb", "cc") if i % 3 else ("xx", "yy", "cc")) for _ in range(rng.randint(20, 80))) for i in range(300)] + [None, ""]
     labels = spark.createDataFrame([(i, "left" if i % 3 else "right") for i in range(0, 300, 2)], "doc_id bigint, domain string")
-    out = rows(mixing.mixed(docs(texts), labels, {"left": 0.5, "right": 0.5}).orderBy("doc_id"))
+    told = {}
+    out = rows(mixing.mixed(docs(texts), labels, {"left": 0.5, "right": 0.5}, report=told).orderBy("doc_id"))
     total = [sum(r["rate"] * r["tokens"] * r["posterior"][d] for r in out) for d in (0, 1)]
-    assert total[0] == pytest.approx(total[1], rel=0.01) and all(0 <= r["rate"] <= mixing.MOST for r in out)
+    assert total[0] == pytest.approx(total[1], rel=0.01) and all(r["rate"] >= 0 for r in out)
     assert all((r["posterior"][0] > 0.5) == bool(i % 3) for i, r in enumerate(out[:300]))
     assert sum(total) == pytest.approx(sum(r["tokens"] for r in out), rel=0.01) and out[300]["tokens"] == 0
+    assert [told[d][0] for d in ("left", "right")] == pytest.approx(total, rel=1e-6) and told["left"][1] == told["right"][1]
     assert not rows(mixing.mixed(docs(texts).limit(0), labels, {"left": 0.5, "right": 0.5}))
 
 
-def test_mixing_meets_targets_far_from_the_corpus(spark):
-    rng = random.Random(12)
-    made = []
-    for i in range(600):
-        kind = 0 if i % 10 < 3 else 2 if i % 100 == 99 else 1
-        x = [rng.expovariate(1) * (20 if k == kind else 1) for k in range(3)]
-        made.append((float(rng.randint(1, 400)), [v / sum(x) for v in x]))
-    n, aims = sum(t for t, _ in made), (0.92, 0.04, 0.04)
+@pytest.mark.parametrize("aims", [(0.92, 0.04, 0.04), (0.2, 0.4, 0.4), (1 / 3, 1 / 3, 1 / 3), (0.02, 0.03, 0.95)])
+@pytest.mark.parametrize("softest", [1.0, 12.0])
+def test_mixing_is_the_least_squares_optimum(spark, aims, softest):
+    """Where the targets can be met they are; where they can't, the rates fulfil the conditions of the optimum."""
+    made = made_rows(softest=softest)
+    w, p = np.array([t for t, _ in made]), np.array([x for _, x in made])
     table = spark.createDataFrame(made, "tokens double, posterior array<double>").coalesce(1)
-    assert 2 * sum(t * p[0] for t, p in made) < 0.92 * n
-    rate, trace = mixing.fit_rates(table, aims)
-    out = rows(table.withColumn("rate", rate))
-    total = [sum(r["rate"] * r["tokens"] * r["posterior"][d] for r in out) for d in range(3)]
-    assert total == pytest.approx([a * n for a in aims], abs=2e-4 * n) and total == pytest.approx(trace[-1], abs=1e-6 * n)
-    assert min(r["rate"] for r in out) >= 0 and max(r["rate"] for r in out) > 2
+    found = mixing.fit_rates(table, aims)
+    out = rows(table.withColumn("rate", found.column()))
+    rate, n = np.array([r["rate"] for r in out]), w.sum()
+    share = (rate * w) @ p / n
+    assert (share * n).tolist() == pytest.approx(found.totals, rel=1e-6) and rate.min() >= 0
+    gradient = p @ (share - np.array(aims)) + mixing.RIDGE * (rate - 1)
+    assert gradient.min() > -1e-7 and np.abs(gradient[rate > 0]).max() < 1e-7
+    # Brute force: plain projected gradient, many steps from 1.
+    r, v = np.ones(len(w)), np.ones(len(w))
+    step = 1 / np.linalg.eigvalsh((p * w[:, None]).T @ p / n).max()
+    for i in range(20_000):
+        to = np.maximum(0, v - step * (p @ ((v * w) @ p / n - np.array(aims))))
+        v, r = to + i / (i + 3) * (to - r), to
+    least = ((r * w) @ p / n - np.array(aims)) ** 2
+    assert ((share - np.array(aims)) ** 2).sum() <= least.sum() + 1e-5
+    assert found.gap() < 1e-3 or least.sum() > 1e-7
+
+
+def test_mixing_chooses_evidence_by_held_out_labels(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(600):
+        # Words that come in runs look like more evidence than they are.
+        texts.append((i, " ".join(rng.choice(("aa", "bb") if (i % 2) ^ (rng.random() < 0.25) else ("xx", "yy")) + " " for _ in range(1)) * 60))
+    labels = spark.createDataFrame([(i, "left" if i % 2 else "right") for i in range(600)], "doc_id bigint, domain string")
+    rows_ = spark.createDataFrame(texts, "k bigint, t string")
+    got = rows(mixing.posteriors(rows_, labels, ["left", "right"]))
+    sure = [max(r["posterior"]) for r in got]
+    assert 0.6 < np.mean(sure) < 0.9  # a quarter is of the other kind, however long the texts
 
 
 def test_mixing_warns_of_unmet_targets(spark, docs):
     texts = ["aa bb cc " * 5] * 20 + [None]
-    labels = spark.createDataFrame([(i, "left") for i in range(10)], "doc_id bigint, domain string")
+    labels = spark.createDataFrame([(i, "left") for i in range(20)], "doc_id bigint, domain string")
     with pytest.warns(UserWarning, match="right: .* of 150"):
         out = rows(mixing.mixed(docs(texts), labels, {"left": 0.5, "right": 0.5}).orderBy("doc_id"))
     assert all(r["rate"] == pytest.approx(0.5, abs=0.01) for r in out[:20]) and out[20]["rate"] == 1.0
