@@ -1,7 +1,11 @@
 """From raw documents to shards: five stages, each of which takes and returns documents.
 
 Each stage is one operator of ``lexweave.llm`` at its production parameters.  ``run`` writes every stage's rows to the
-shared folder as Parquet and reads them again for the next.
+shared folder as Parquet and reads them again for the next; what a stage wrote besides is
+deleted then.  All stages but the last return the columns of documents, whatever these are called.
+
+Mixing takes a document as often as its rate says, so the last two stages' rows may repeat ids.  Rows without an id, or
+with null or empty texts, don't pass the quality rules; the other stages keep them where they meet them.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexweave.llm.common import cut, table
+from lexweave.llm.common import Held, quoted, scratch, table
 from lexweave.llm.decontamination import decontaminate
 from lexweave.llm.mixing import TARGETS, domain_of_labels, mixed
 from lexweave.llm.near_copies import near_copy_components
@@ -22,7 +26,8 @@ SHARDS = 16
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the log-likelihood ratio."""
-    return quality_verdicts(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")).where("kept").select(*docs.columns)
+    held, labels = Held(docs, "doc_id", "text"), table(spark, sf_dir, "labels")
+    return held.back(quality_verdicts(held.rows, labels.select(F.col("doc_id").alias("k"), "quality"), text="t", key="k").where("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,23 +35,24 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one id count as one document, and of their texts one stays; rows without an id all stay.
     """
-    found = near_copy_components(docs.select("doc_id", "text"))
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    named = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first))
-    return named.where("_nth = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    held = Held(docs, "doc_id", "text")
+    stay = near_copy_components(held.rows, "k", "t").where("k = component_id").select("k").distinct()
+    first = Window.partitionBy("k").orderBy(F.xxhash64("t"), "t")
+    named = held.rows.where("k IS NOT NULL").join(stay, "k", "left_semi").withColumn("nth", F.row_number().over(first))
+    return held.back(named.where("nth = 1").drop("nth").unionByName(held.rows.where("k IS NULL")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their spans of test items, and none that mostly consist of such."""
     clean = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return clean.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    return clean.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*[quoted(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say."""
-    rated = mixed(docs, domain_of_labels(table(spark, sf_dir, "labels")), TARGETS).where("copies > 0")
-    return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*docs.columns)
+    held, labels = Held(docs, "doc_id", "text"), domain_of_labels(table(spark, sf_dir, "labels"))
+    rated = mixed(held.rows, labels.withColumnRenamed("doc_id", "k"), TARGETS, key="k", text="t").where("copies > 0")
+    return held.back(rated.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage for the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark) as kept:
+            docs = kept(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
