@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -37,6 +38,16 @@ def or_null(x: Column | str) -> Column:
     return F.nullif(stripped(x), F.lit(""))
 
 
+def first_non_empty(*values: Column | str) -> Column:
+    """The first of several texts that isn't empty, stripped; '' if all are."""
+    return F.coalesce(*[or_null(v) for v in values], F.lit(""))
+
+
+def listed(x: Column | str) -> Column:
+    """Items of a text that commas part, stripped and not empty."""
+    return F.filter(F.transform(F.split(F.coalesce(col(x), F.lit("")), ","), safe), lambda s: s != "")
+
+
 def normalize_surface(x: Column | str) -> Column:
     """Without punctuation, white space collapsed, stripped, small letters."""
     kept = F.regexp_replace(F.coalesce(col(x), F.lit("")), rf"[^\p{{L}}\p{{N}}_\s\x1c-\x1f\x85\p{{Z}}]", "")
@@ -65,12 +76,6 @@ def token_count(surface: Column | str) -> Column:
     return F.size(tokens(surface))
 
 
-def span_order(surface: Column | str) -> list[Column]:
-    """Longest span first: by tokens, then characters, then text."""
-    s = col(surface)
-    return [token_count(s).desc(), F.char_length(s).desc(), s.asc()]
-
-
 def valid_span(x: Column | str, min_chars: int = 2) -> Column:
     """Long enough once normalised, not all digits, and with a letter."""
     s = normalize_surface(x)
@@ -83,6 +88,27 @@ def candidate_spans(source: Column | str, min_n: int = 1, max_n: int = 5, min_ch
     return F.filter(ngrams(tokens(normalize_surface(source)), min_n, max_n), lambda s: (F.char_length(s) >= min_chars) & s.rlike(r"\p{L}"))
 
 
+@functools.cache
+def _case_free() -> dict[str, str]:
+    """Small letters whose case-free form is another text, such as ß or a final sigma."""
+    letters = map(chr, range(0x80, 0x20000))
+    return {c: c.casefold() for c in letters if c.lower() == c and c.casefold() != c}
+
+
+def casefolded(x: Column | str) -> Column:
+    """Text for comparisons without case; '' for null."""
+    special = _case_free()
+    small = F.lower(F.coalesce(col(x), F.lit("")))
+
+    def letter(c: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(t) for kv in special.items() for t in kv]), c), c)
+
+    def folded(t: Column) -> Column:
+        return F.when(t.rlike(f"[{''.join(special)}]"), F.array_join(F.transform(F.split(t, ""), letter), "")).otherwise(t)
+
+    return let(small, folded)
+
+
 def feature_text(x: Column | str) -> Column:
     """Stripped, small letters, white space collapsed."""
     return F.regexp_replace(F.lower(safe(x)), f"{BLANK}+", " ")

@@ -3,9 +3,13 @@
 Knowledge base rows: qid, target_lang, label_en, aliases_en, target_label, target_aliases, entity_type, description,
 language_available, popularity, surfaces (normalised).  Examples: example_id, source, target_lang, gold_qid.
 
-A surface's best ``per_surface_k`` entities don't depend on the example, so they are ranked once on the index and only
-they are joined.  The join is an equi-join on surface and language, which Catalyst broadcasts if the index is small
-enough and shuffles otherwise; examples are dealt out by id once, which serves both windows after the join.
+A surface's best ``per_surface_k`` entities don't depend on the example, so they are ranked once on the index, and with
+the anchored entities they make one table of lookups by (kind, key, language).  Examples ask for their gold entity and
+for those of their n-grams that may be surfaces: n-grams are hashed inside the array of a text's words and held against
+a bit table of the index's hashes (of a size bounded by ``MOST_BITS``) before any becomes a row, so texts are not
+shuffled and hardly any n-grams are.  What is looked up are keys, ranks and the number of the knowledge base's row; its
+fields are joined to the ranked candidates that are left in the end.  Examples are dealt out by id once, which serves
+both windows.
 """
 
 from __future__ import annotations
@@ -18,6 +22,9 @@ from lexweave.functions import text as tx
 
 MODES = ("anchored", "surface", "retrieve", "rerank")
 KB_FIELDS = ("target_label", "target_aliases", "label_en", "aliases_en", "entity_type", "description", "popularity")
+#: Bits a surface in the table that n-grams are held against, and bits at most; with less than one a surface it is left out.
+BITS, MOST_BITS = 16, 1 << 24
+_ANCHORED, _SURFACE = 0, 1
 
 
 def usable() -> Column:
@@ -25,11 +32,19 @@ def usable() -> Column:
     return F.coalesce(F.col("language_available"), F.lit(False)) & (tx.safe("target_label") != "")
 
 
+def _kb_row() -> Column:
+    """Number of a row of the knowledge base: equal for rows of equal fields, their surfaces aside."""
+    return F.xxhash64("qid", "target_lang", "language_available", *KB_FIELDS)
+
+
 def surface_index(kb: DataFrame) -> DataFrame:
-    """(surface, qid, target_lang, ...): one row for each entity and surface, the last of equal ones by popularity."""
-    exploded = kb.withColumn("surface", F.explode(F.array_distinct("surfaces"))).where("surface <> ''")
-    nth = F.row_number().over(Window.partitionBy("surface", "qid", "target_lang").orderBy(F.desc("popularity"), "target_label"))
-    return exploded.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "surfaces")
+    """(surface, qid, target_lang, popularity, usable, kb_row): one row for each entity and surface, the most popular of equal ones.
+
+    Rows are dealt out by surface, which serves all windows over the index.
+    """
+    some = kb.select("qid", "target_lang", "target_label", "popularity", usable().alias("usable"), _kb_row().alias("kb_row"), F.explode(F.array_distinct("surfaces")).alias("surface"))
+    nth = F.row_number().over(Window.partitionBy("surface", "qid", "target_lang").orderBy(F.desc("popularity"), "target_label", "kb_row"))
+    return some.where("surface <> ''").repartition("surface").withColumn("_nth", nth).where("_nth = 1").drop("_nth", "target_label")
 
 
 def ambiguity(index: DataFrame) -> DataFrame:
@@ -38,53 +53,118 @@ def ambiguity(index: DataFrame) -> DataFrame:
 
 
 def ranked_index(index: DataFrame, per_surface_k: int = 5) -> DataFrame:
-    """The usable entities that a surface can yield: its ``per_surface_k`` most popular ones, with their ranks."""
-    rank = F.row_number().over(Window.partitionBy("surface", "target_lang").orderBy(F.desc("popularity"), "qid"))
-    best = index.where(usable()).withColumn("in_span_rank", rank).where(F.col("in_span_rank") <= per_surface_k)
-    return best.join(ambiguity(index), "surface")
+    """The usable entities that a surface can yield: its ``per_surface_k`` most popular ones, with their ranks and its ambiguity."""
+    rank = F.row_number().over(Window.partitionBy("surface", "target_lang").orderBy(F.desc("usable"), F.desc("popularity"), "qid"))
+    entity = F.dense_rank().over(Window.partitionBy("surface").orderBy("qid"))
+    counted = index.withColumn("_entity", entity).withColumn("ambiguity_count", F.max("_entity").over(Window.partitionBy("surface")).cast("bigint"))
+    return counted.withColumn("in_span_rank", rank).where(F.col("usable") & (F.col("in_span_rank") <= per_surface_k)).drop("_entity")
+
+
+def anchored_index(kb: DataFrame) -> DataFrame:
+    """(qid, target_lang, kb_row): the most popular usable row of each entity."""
+    rank = F.row_number().over(Window.partitionBy("qid", "target_lang").orderBy(F.desc("popularity"), "target_label"))
+    return kb.where(usable()).select("qid", "target_lang", "popularity", "target_label", _kb_row().alias("kb_row")).withColumn("_nth", rank).where("_nth = 1").select("qid", "target_lang", "kb_row")
+
+
+def asking(examples: DataFrame) -> DataFrame:
+    """Examples that can have candidates: those with a source and a language."""
+    return examples.where((tx.safe("source") != "") & (tx.safe("target_lang") != ""))
+
+
+def _gram_hash(hashes: Column, at: Column, n: int) -> Column:
+    return F.xxhash64(*[F.get(hashes, at + i) for i in range(n)])
+
+
+def _bits(index: DataFrame, n_surfaces: int, min_n: int, max_n: int) -> tuple[Column, int] | None:
+    """A table of the surfaces' hashes as one array of 64-bit numbers, and its bits; None if they were too few."""
+    bits = 1 << 21
+    while bits < BITS * n_surfaces and bits < MOST_BITS:
+        bits *= 2
+    if bits < n_surfaces:
+        return None
+    words = index.select(tx.tokens("surface").alias("w")).where(F.size("w").between(min_n, max_n)).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    gram = F.coalesce(*[F.when(F.size("w") == n, _gram_hash(F.col("h"), F.lit(0), n)) for n in range(min_n, max_n + 1)])
+    placed = words.select(F.pmod(gram, F.lit(bits)).alias("p")).select(F.shiftright("p", 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int")).alias("bit"))
+    full = index.sparkSession.range(bits // 64).join(placed.groupBy("id").agg(F.bit_or("bit").alias("bits")), "id", "left")
+    whole = full.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("b")))), lambda x: x["b"]).alias("t"))
+    return whole.scalar(), bits
 
 
 def example_spans(examples: DataFrame, min_n: int = 1, max_n: int = 5, min_chars: int = 2) -> DataFrame:
     """A row for each valid distinct n-gram of each source."""
-    some = examples.where((tx.safe("source") != "") & (tx.safe("target_lang") != ""))
-    return some.select("example_id", "target_lang", F.explode(tx.candidate_spans("source", min_n, max_n, min_chars)).alias("surface"))
+    return asking(examples).select("example_id", "target_lang", F.explode(tx.candidate_spans("source", min_n, max_n, min_chars)).alias("surface"))
 
 
-def surface_candidates(examples: DataFrame, index: DataFrame, per_surface_k: int = 5, min_n: int = 1, max_n: int = 5, min_chars: int = 2) -> DataFrame:
-    hits = example_spans(examples, min_n, max_n, min_chars).join(ranked_index(index, per_surface_k), ["surface", "target_lang"])
-    return hits.select(
-        "example_id", "qid", F.lit(1).alias("stage"), F.lit("surface_search").alias("candidate_source"), F.col("surface").alias("source_span"),
-        tx.token_count("surface").alias("n_tokens"), F.char_length("surface").alias("n_chars"), "in_span_rank", "ambiguity_count", *KB_FIELDS,
-    )
+def _found_spans(words: Column, hashes: Column, table: Column, bits: int, min_n: int, max_n: int, min_chars: int) -> Column:
+    """Valid distinct n-grams of an array of words whose hashes are in a table of bits."""
 
+    def known(at: Column, n: int, t: Column) -> Column:
+        # pmod is 0 or more, so its upper bits are the place in the table.
+        held = tx.let(F.pmod(_gram_hash(hashes, at, n), F.lit(bits)), lambda p: F.call_function("getbit", F.get(t, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")))
+        return held == 1
 
-def anchored_candidates(examples: DataFrame, kb: DataFrame) -> DataFrame:
-    """The gold entity of each example, if it is usable: the most popular row."""
-    rank = F.row_number().over(Window.partitionBy("qid", "target_lang").orderBy(F.desc("popularity"), "target_label"))
-    best = kb.where(usable()).withColumn("_nth", rank).where("_nth = 1")
-    hits = examples.select("example_id", "target_lang", F.col("gold_qid").alias("qid")).join(best, ["qid", "target_lang"])
-    return hits.select(
-        "example_id", "qid", F.lit(0).alias("stage"), F.lit("anchored_qid").alias("candidate_source"), F.lit(None).cast("string").alias("source_span"),
-        F.lit(0).alias("n_tokens"), F.lit(0).alias("n_chars"), F.lit(1).alias("in_span_rank"), F.lit(1).cast("bigint").alias("ambiguity_count"), *KB_FIELDS,
-    )
+    def of(n: int) -> Column:
+        places = tx.let(table, lambda t: F.filter(F.sequence(F.lit(0), F.size(words) - n), lambda i: known(i, n, t)))
+        return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    every = F.array_distinct(F.flatten(F.array(*[of(n) for n in range(min_n, max_n + 1)])))
+    return F.filter(every, lambda s: (F.char_length(s) >= min_chars) & s.rlike(r"\p{L}"))
+
+
+def _asked(examples: DataFrame, index: DataFrame | None, n_surfaces: int, anchored: bool, min_n: int, max_n: int, min_chars: int) -> DataFrame:
+    """(example_id, target_lang, stage, key): what examples look up."""
+    some = asking(examples)
+    gold = F.filter(F.array(tx.or_null("gold_qid")), lambda q: q.isNotNull())
+    keys = [F.transform(gold, lambda q: F.struct(F.lit(_ANCHORED).alias("stage"), q.alias("key")))] if anchored else []
+    if index is not None:
+        low, high = max(1, min_n), max(1, min_n, max_n)
+        table = _bits(index, n_surfaces, low, high)
+        if table is None:
+            spans = tx.candidate_spans("source", min_n, max_n, min_chars)
+        else:
+            some = some.withColumn("_words", tx.tokens(tx.normalize_surface("source"))).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_table", table[0])
+            spans = _found_spans(F.col("_words"), F.col("_hashes"), F.col("_table"), table[1], low, high, min_chars)
+        keys.append(F.transform(spans, lambda s: F.struct(F.lit(_SURFACE).alias("stage"), s.alias("key"))))
+    return some.select("example_id", "target_lang", F.explode(F.concat(*keys)).alias("a")).select("example_id", "target_lang", "a.stage", "a.key")
 
 
 def candidates(examples: DataFrame, kb: DataFrame, index: DataFrame | None = None, mode: str = "rerank", top_k: int = 10, per_surface_k: int = 5, min_n: int = 1, max_n: int = 5, min_chars: int = 2) -> DataFrame:
     """Ranked candidates of each example: anchored ones first, then longer spans before shorter, then by popularity.
 
     Of rows for one entity the first is kept, and of each example the first ``top_k``; mode "retrieve" keeps one.
+    Examples without a source or a language have none.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}: {mode}")
-    index = surface_index(kb) if index is None else index
-    parts = []
+    tables, by_surface, n_surfaces = [], None, 0
     if mode != "surface":
-        parts.append(anchored_candidates(examples, kb))
+        found = anchored_index(kb).select("target_lang", "qid", "kb_row", F.lit(_ANCHORED).alias("stage"), F.col("qid").alias("key"), F.lit(1).alias("in_span_rank"), F.lit(1).cast("bigint").alias("ambiguity_count"))
+        tables.append(found)
     if mode != "anchored":
-        parts.append(surface_candidates(examples, index, per_surface_k, min_n, max_n, min_chars))
-    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        by_surface = surface_index(kb) if index is None else index
+        n_surfaces = kb.agg(F.sum(F.greatest(F.size("surfaces"), F.lit(0)))).first()[0] or 0
+        ranked = ranked_index(by_surface, per_surface_k)
+        tables.append(ranked.select("target_lang", "qid", "kb_row", F.lit(_SURFACE).alias("stage"), F.col("surface").alias("key"), "in_span_rank", "ambiguity_count"))
+    lookup = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+    surfaces = kb.select(F.explode("surfaces").alias("surface")) if by_surface is not None else None
+    hits = _asked(examples, surfaces, n_surfaces, mode != "surface", min_n, max_n, min_chars).join(lookup, ["stage", "key", "target_lang"])
+    span = F.when(F.col("stage") == _SURFACE, F.col("key"))
+    rows = hits.select(
+        "example_id", "qid", "kb_row", "stage", span.alias("source_span"), F.when(span.isNotNull(), tx.token_count("key")).otherwise(0).alias("n_tokens"),
+        F.when(span.isNotNull(), F.char_length("key")).otherwise(0).alias("n_chars"), "in_span_rank", "ambiguity_count",
+    )
     order = ["stage", F.desc("n_tokens"), F.desc("n_chars"), "source_span", "in_span_rank"]
-    dealt = every.repartition("example_id")
+    dealt = rows.repartition("example_id")
     first = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("example_id", "qid").orderBy(*order))).where("_nth = 1").drop("_nth")
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("example_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= (1 if mode == "retrieve" else top_k))
+    best = ranked.where(F.col("rank") <= (1 if mode == "retrieve" else top_k))
+    fields = kb.select(_kb_row().alias("kb_row"), *KB_FIELDS).dropDuplicates(["kb_row"])
+    source = F.when(F.col("stage") == _ANCHORED, "anchored_qid").otherwise("surface_search")
+    return best.join(fields, "kb_row").select("example_id", "qid", "stage", source.alias("candidate_source"), "source_span", "n_tokens", "n_chars", "in_span_rank", "ambiguity_count", *KB_FIELDS, "rank")
+
+
+def first_by_qid(candidates: DataFrame, order: str = "rank") -> DataFrame:
+    """Of each example's candidates of one identifier the first; those without an identifier are all kept."""
+    named = tx.safe("qid") != ""
+    nth = F.row_number().over(Window.partitionBy("example_id", "qid").orderBy(order))
+    return candidates.withColumn("_nth", F.when(named, nth).otherwise(1)).where("_nth = 1").drop("_nth")
