@@ -27,14 +27,28 @@ def ranking_summary(ranks: DataFrame, ks: Sequence[int] = (1, 3, 5), rank: str =
     return ranks.agg(F.count(F.lit(1)).alias("n_groups"), top1.alias("top1_accuracy"), F.coalesce(F.avg(rr), F.lit(0.0)).alias("mrr"), *[c.alias(n) for n, c in recall_at(ks, rank).items()])
 
 
-def entity_accuracy(mentions: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One row of correct, total and m_eta: predictions that hold any of their references' mentions.
+def last_of(rows: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
+    """(key, value): of rows of one key the last by ``order``, or else the greatest value."""
+    return rows.groupBy(key).agg(F.max(F.struct(F.col(order or key).alias("o"), F.col(value).alias("v")))["v"].alias(value))
+
+
+def entity_accuracy(mentions: DataFrame, predictions: DataFrame, skip_empty: bool = False, order: str | None = None) -> DataFrame:
+    """One row of correct, total, missing_predictions and m_eta: predictions that hold any of their references' mentions.
 
     mentions: id, mentions (array); predictions: id, prediction.  Missing predictions count as wrong, others are ignored.
+    Of rows of one id the last by ``order`` counts.  Rows without a mention raise an error, or are skipped if told so.
     """
-    hit = F.exists("mentions", lambda m: (tx.safe(m) != "") & F.contains(F.lower(F.coalesce("prediction", F.lit(""))), F.lower(tx.safe(m))))
-    rows = mentions.join(predictions, "id", "left").select(hit.cast("int").alias("hit"))
-    return rows.agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("correct"), F.count(F.lit(1)).alias("total"), F.coalesce(F.avg("hit"), F.lit(0.0)).alias("m_eta"))
+    asked = last_of(mentions, "id", "mentions", order).select("id", tx.ordered_distinct(F.coalesce("mentions", F.array().cast("array<string>"))).alias("mentions"))
+    named = F.size("mentions") > 0
+    asked = asked.where(named) if skip_empty else asked.where(F.when(named, True).otherwise(F.raise_error(F.concat(F.lit("no mentions for "), F.col("id").cast("string"))).cast("boolean")))
+    said = last_of(predictions.withColumn("prediction", F.coalesce("prediction", F.lit(""))), "id", "prediction", order)
+    folded = tx.casefolded("prediction")
+    rows = asked.join(said, "id", "left").select(tx.let(folded, lambda p: F.exists("mentions", lambda m: F.contains(p, tx.casefolded(m)))).alias("hit"), F.col("prediction").isNull().alias("gone"))
+    hit = F.coalesce(F.col("hit") & ~F.col("gone"), F.lit(False)).cast("int")
+    return rows.agg(
+        F.coalesce(F.sum(hit), F.lit(0)).alias("correct"), F.count(F.lit(1)).alias("total"), F.count_if("gone").alias("missing_predictions"),
+        F.coalesce(F.sum(hit) / F.count(F.lit(1)), F.lit(0.0)).alias("m_eta"),
+    )
 
 
 def best_reference_mean(scores: DataFrame, ids: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +50,30 @@ def features(source: Column | str, span: Column | str, match_score: Column | str
     }
 
 
+def feature_record(source: Column | str, span: Column | str, match_score: Column | str, match_kind: Column | str, passed_span: Column | str | None = None, canonical: Column | str | None = None) -> dict[str, Column]:
+    """All of a candidate's features by name: those of a vector, and what they were made from.
+
+    canonical: the identifier that is known to be right, for the prior; without it the prior is 0.
+    """
+    values = features(source, span, match_score, passed_span)
+    passed = tx.safe(passed_span) if passed_span is not None else F.lit("")
+    own, whole = tx.safe(span), tx.safe(source)
+    bonus = prior("qid", canonical) if canonical is not None else F.lit(0.0)
+    aliases = F.coalesce(F.col("target_aliases"), F.array().cast("array<string>"))
+    texts = {
+        "source_text": whole, "source_span_text": passed, "comparison_source_text": F.when(passed != "", passed).when(own != "", own).otherwise(whole),
+        "comparison_source_origin": F.when(passed != "", "source_span").when(own != "", "candidate_span_match").otherwise("full_source"),
+        "target_label": tx.safe("target_label"), "entity_type": tx.safe("entity_type"), "description": tx.safe("description"), "qid": tx.safe("qid"),
+        "candidate_source": F.coalesce(tx.or_null("candidate_source"), F.lit("unknown")), "span_match_kind": F.coalesce(tx.or_null(match_kind), F.lit("none")),
+    }
+    raw = {
+        "is_canonical_prior": bonus.cast("int"), "prior_bonus": bonus, "raw_target_label_len": F.char_length(tx.safe("target_label")),
+        "raw_alias_count": F.size(tx.ordered_distinct(aliases)), "raw_ambiguity_count": tx.non_negative("ambiguity_count").cast("bigint"),
+    }
+    whole_numbers = ("has_source_span", "has_entity_type", "has_description")
+    return texts | {n: v.cast("int") if n in whole_numbers else F.round(v, 6) for n, v in values.items()} | raw
+
+
 def vector(values: dict[str, Column]) -> Column:
     """The features as an array, 0 for what is no number."""
     return F.array(*[F.coalesce(values[f], F.lit(0.0)) for f in FEATURES])
@@ -63,6 +87,21 @@ def heuristic(values: dict[str, Column]) -> Column:
     )
 
 
+#: Ways to score a candidate: by its named features, by their vector, or by fixed weights.
+STRATEGIES = ("features", "vector", "heuristic")
+
+
+def score(values: dict[str, Column], strategy: str = "heuristic", model: Callable[[Column], Column] | None = None) -> Column:
+    """Scores by a strategy: a model of the features' structure, one of their vector, or the heuristic weights."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}: {strategy}")
+    if strategy == "heuristic":
+        return heuristic(values)
+    if model is None:
+        raise ValueError(f"strategy {strategy} needs a model")
+    return model(F.struct(*[values[f].alias(f) for f in FEATURES]) if strategy == "features" else vector(values))
+
+
 def prior(qid: Column | str, canonical: Column | str) -> Column:
     """1 for the canonical entity; none if there is none."""
     return F.when(F.coalesce(tx.col(qid) == tx.or_null(canonical), F.lit(False)), 1.0).otherwise(0.0)
@@ -120,6 +159,15 @@ class ListwiseScorer:
         with np.load(path) as f:
             return ListwiseScorer(f["w1"], f["b1"], f["w2"], float(f["b2"]))
 
+    def as_sql(self, features: Column | str) -> Column:
+        """Scores by column expressions alone, for scorers of a few hidden units."""
+        x = tx.col(features)
+        dot = lambda w: F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        out = F.lit(float(self.b2))
+        for w, b, v in zip(self.w1.T, self.b1, self.w2):
+            out = out + F.greatest(F.lit(0.0), dot(w) + float(b)) * float(v)
+        return out
+
     def column(self, spark_features: Column | str) -> Column:
         """Scores of a column of feature vectors, in Arrow batches."""
         import pandas as pd

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,40 @@ def first_by(value: Column | str, *order: Column | str) -> Column:
     return F.min(F.when(v.isNotNull(), F.struct(*[tx.col(o).alias(f"k{i}") for i, o in enumerate(order)], v.alias("v"))))["v"]
 
 
+@dataclass
+class Tables:
+    """Examples (example_id, split, source_locale, target_locale, source), references, entities, types and terms."""
+
+    examples: DataFrame
+    references: DataFrame
+    entities: DataFrame
+    types: DataFrame
+    terms: DataFrame
+
+
+def load(tables: Tables, split: str | None = None, target_locale: str | None = None, source_locale: str | None = None, limit: int | None = None, require_references: bool = True, require_mentions: bool = True) -> DataFrame:
+    """Assembled examples of a split and locales; limit: the first so many by example_id.
+
+    References and entities are read for these examples only, and terms for their entities.
+    """
+    some = filtered(tables.examples, split=split, target_locale=target_locale, source_locale=source_locale)
+    if limit is not None:
+        some = some.orderBy("example_id").limit(limit)
+    if limit is not None or split is not None or target_locale is not None or source_locale is not None:
+        ids = some.select("example_id")
+        references, entities = (t.join(ids, "example_id", "left_semi") for t in (tables.references, tables.entities))
+        terms = tables.terms.join(entities.select("qid"), "qid", "left_semi")
+    else:
+        references, entities, terms = tables.references, tables.entities, tables.terms
+    return assembled(some, references, entities, tables.types, terms, require_references, require_mentions)
+
+
+def with_example_ids(rows: DataFrame, examples: DataFrame, order: str = "example_id") -> DataFrame:
+    """Rows (dataset_id, ...) with the example_id of their dataset_id, the last of several; rows without one are left out."""
+    ids = keep_last(examples.select("dataset_id", F.col("example_id"), F.col(order).alias("_order")), ["dataset_id"], "_order").drop("_order")
+    return rows.join(ids, "dataset_id")
+
+
 def assembled(examples: DataFrame, references: DataFrame, entities: DataFrame, types: DataFrame, terms: DataFrame, require_references: bool = True, require_mentions: bool = True) -> DataFrame:
     """Examples with target, targets, gold_qid, qids, types, and mentions recovered from terms in the target language.
 
