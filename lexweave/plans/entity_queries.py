@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexweave.functions import text as tx
-from lexweave.operators import memory, metrics, rerank, retrieval
-from lexweave.operators.alignment import align
+from lexweave.operators import evaluation, linking, memory, metrics, rerank, retrieval, samples
+from lexweave.operators.alignment import align, legacy_span
 from lexweave.plans.bindings import benchmark_kb, document_examples, order_examples, part_kb, part_terms, read
 from lexweave.sources import dataset, files
 
@@ -57,11 +60,7 @@ def candidate_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates with their sources and spans: a surface candidate's own n-gram is aligned, an anchored one's names."""
-    found = _part_candidates(spark, sf_dir).join(order_examples(spark, sf_dir).select("example_id", "source", "gold_qid"), "example_id")
-    label = F.when(F.col("source_span").isNotNull(), F.col("source_span")).otherwise(F.col("target_label"))
-    aliases = F.when(F.col("source_span").isNotNull(), F.array().cast("array<string>")).otherwise(F.col("target_aliases"))
-    return found.withColumn("span", align("source", label, aliases)).withColumn("span_text", F.coalesce("source_span", F.col("span.matched_text"), F.lit("")))
+    return linking.aligned(_part_candidates(spark, sf_dir), order_examples(spark, sf_dir))
 
 
 def align_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,23 +68,23 @@ def align_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _aligned(spark, sf_dir)
-    first = rows.where("rank = 1").select("example_id", F.col("span_text").alias("passed_span"))
-    named = rows.join(first, "example_id").withColumn("_score", F.col("span.match_score"))
-    return named.withColumns({f"f_{k}": v for k, v in rerank.features("source", "span_text", "_score", "passed_span").items()})
-
-
-def _values() -> dict:
-    return {f: F.col(f"f_{f}") for f in rerank.FEATURES}
+    return linking.featured(_aligned(spark, sf_dir))
 
 
 def rerank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _featured(spark, sf_dir).select("example_id", "qid", *[F.round(F.col(f"f_{f}"), 6).alias(f) for f in rerank.FEATURES])
 
 
+def feature_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the candidates of each order by name, with the gold part as the prior."""
+    first = F.first_value("span_text").over(Window.partitionBy("example_id").orderBy("rank"))
+    rows = _aligned(spark, sf_dir).withColumn("passed_span", first).withColumn("_score", F.col("span.match_score")).withColumn("_kind", F.col("span.match_kind"))
+    record = rerank.feature_record("source", "span_text", "_score", "_kind", "passed_span", "gold_qid")
+    return rows.select("example_id", *[v.alias(n) for n, v in record.items()])
+
+
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _featured(spark, sf_dir).withColumn("reranker_score", F.round(rerank.heuristic(_values()), 6)).withColumn("prior_bonus", rerank.prior("qid", "gold_qid"))
-    return rerank.reranked(scored)
+    return linking.scored(_featured(spark, sf_dir))
 
 
 def rerank_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +95,21 @@ def margin_to_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reranked(spark, sf_dir).where("final_rank = 1").select("example_id", "qid", F.round("margin_to_next", 6).alias("margin_to_next"))
 
 
-def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = _part_candidates(spark, sf_dir, "anchored")
-    rows = order_examples(spark, sf_dir).join(best.select("example_id", "qid", "target_label", "target_aliases", "entity_type", "description"), "example_id", "left")
-    rows = rows.withColumn("span", align("source", "target_label", "target_aliases"))
-    return rows.withColumn("memory", memory.memory_block("source", "span.matched_text", "qid", "target_label", "target_aliases", "entity_type", "description"))
+def _memories(spark: SparkSession, sf_dir: str, mode: str = "anchored") -> DataFrame:
+    return linking.entity_memories(order_examples(spark, sf_dir), part_kb(spark, sf_dir), mode)
+
+
+def pipeline_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each mode of the pipeline remembers of each order."""
+    parts = [_memories(spark, sf_dir, mode).select("example_id", F.lit(mode).alias("mode"), "memory.qid", "memory.source_span", "memory.canonical_target") for mode in retrieval.MODES]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def gold_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories of the orders' gold parts; parts of size 20 or more are taken to be unknown."""
+    known = part_kb(spark, sf_dir).join(read(spark, sf_dir, "part").where("p_size < 20").select(F.concat(F.lit("P"), "p_partkey").alias("qid")), "qid", "left_semi")
+    rows = linking.gold_memories(order_examples(spark, sf_dir), known)
+    return rows.select("example_id", "candidate_source", memory.memory_text("memory", "target_lang").alias("memory_text"))
 
 
 def entity_memory_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +131,16 @@ def noisy_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sft_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(F.col("memory").isNotNull(), memory.memory_text("memory", "target_lang"))
-    rows = _memories(spark, sf_dir).select("example_id", memory.translation_prompt("source", "target_lang", text).alias("prompt"), tx.safe("target_label").alias("target"), F.when(F.col("memory").isNull(), "plain").otherwise("entity-aware").alias("mode"), "source")
-    return rows.where((F.col("target") != "") & (tx.safe("source") != "")).drop("source")
+    return samples.samples(_memories(spark, sf_dir), mode="entity-memory", target="target_label")
+
+
+def plain_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), F.col("text").alias("source"), F.col("source").alias("target"), F.concat_ws("_", "lang", F.lit("XX")).alias("target_lang"))
+    return samples.samples(rows)
+
+
+def noisy_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.samples(_memories(spark, sf_dir), mode="entity-memory", noise="drop_description", target="target_label")
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,9 +159,10 @@ def completion_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _part_candidates(spark, sf_dir).join(order_examples(spark, sf_dir).select("example_id", "source", "gold_qid"), "example_id")
-    shown = found.withColumn("span_text", F.coalesce("source_span", "target_label")).withColumn("surface_overlap_score", tx.surface_overlap("span_text", F.array("target_label", "span_text")))
-    return rerank.hard_negatives(shown.withColumn("span_match_score", F.lit(1.0)), F.col("gold_qid"))
+    """Candidates of each order to train on; without a passed span, as it isn't known in training."""
+    rows = _aligned(spark, sf_dir).withColumn("_score", F.col("span.match_score"))
+    rows = rows.withColumns({f"f_{k}": v for k, v in rerank.features("source", "span_text", "_score").items()})
+    return rerank.hard_negatives(rows.withColumns({c: F.round(f"f_{c}", 6) for c in ("surface_overlap_score", "span_match_score")}), F.col("gold_qid"))
 
 
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,20 +170,35 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rerank.hard_negatives(_featured(spark, sf_dir).withColumns({"surface_overlap_score": F.col("f_surface_overlap_score"), "span_match_score": F.col("f_span_match_score")}), F.col("gold_qid"))
-    groups = rerank.grouped(rows.withColumn("features", rerank.vector(_values())))
-    return groups.select("example_id", "numeric_features", "labels", "qids")
+    """Features (as texts of six decimals), labels and identifiers of each order's candidates to train on, in order."""
+    groups = _groups(spark, sf_dir)
+    numbers = F.transform("numeric_features", lambda v: F.array_join(F.transform(v, lambda x: F.format_string("%.6f", F.round(x, 6))), ","))
+    return groups.select("example_id", F.array_join(numbers, "|").alias("numeric_features"), F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"), F.array_join("qids", ",").alias("qids"))
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rerank.grouped(_hard(spark, sf_dir).withColumn("features", rerank.vector(linking.feature_columns()))).select("example_id", "numeric_features", "labels", "qids")
 
 
 def reranker_mlp(spark: SparkSession, sf_dir: str, fit_groups: int = 2_000) -> DataFrame:
     """Scores by a scorer that is trained on the driver, on ``fit_groups`` groups at most, those of the lowest hashes."""
-    groups = grouped_training_rows(spark, sf_dir)
+    groups = _groups(spark, sf_dir)
     some = groups.orderBy(F.xxhash64("example_id")).limit(fit_groups).collect()
     model, _ = rerank.trained([(r["numeric_features"], r["labels"]) for r in some])
     rows = groups.select("example_id", F.explode(F.arrays_zip("numeric_features", "qids")).alias("c"))
     return rows.select("example_id", F.col("c.qids").alias("qid"), model.column(F.col("c.numeric_features")).alias("score"))
 
 
+#: A scorer of two hidden units with fixed weights.
+FIXED = rerank.ListwiseScorer(np.array([[0.5, -0.25]] + [[0.125, 0.25]] * 4 + [[0.0625, -0.125]] * 4 + [[0.001, 0.0], [-0.5, 0.25]]), np.array([0.25, -0.5]), np.array([1.0, -2.0]), 0.125)
+
+
+def fixed_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the candidates to train on by a scorer of fixed weights, in Arrow batches."""
+    rows = _hard(spark, sf_dir).withColumn("features", F.transform(rerank.vector(linking.feature_columns()), lambda x: F.round(x, 6)))
+    return rows.select("example_id", "qid", F.round(FIXED.column(F.col("features")), 11).alias("score"))
+
+
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With and without the gold entity as an anchored candidate."""
     examples, kb = order_examples(spark, sf_dir), part_kb(spark, sf_dir)
@@ -177,6 +209,12 @@ def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def legacy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest name of each order's parts and brands that stands in the name of the part it is asked of."""
+    named = order_examples(spark, sf_dir).join(part_kb(spark, sf_dir).select(F.col("qid").alias("gold_qid"), "target_label", "target_aliases"), "gold_qid")
+    return named.select("example_id", legacy_span(F.upper("source"), F.split_part("target_label", F.lit(" "), F.lit(1)), F.concat("target_aliases", F.array(F.split_part("target_label", F.lit(" "), F.lit(2))))).alias("span"))
+
+
 def reranker_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _reranked(spark, sf_dir)
     ranks = rows.where("qid = gold_qid").select("example_id", F.col("final_rank").alias("gold_rank"))
@@ -198,7 +236,30 @@ def _mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def m_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.entity_accuracy(*_mentions(spark, sf_dir)).select("correct", "total", F.round("m_eta", 9).alias("m_eta"))
+    return metrics.entity_accuracy(*_mentions(spark, sf_dir)).select("correct", "total", "missing_predictions", F.round("m_eta", 9).alias("m_eta"))
+
+
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the labelled documents: their sources' and languages' names as mentions, their kinds as entity types."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), "lang", F.col("source").alias("site"))
+    labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("x"))
+    first = F.element_at(tx.tokens(tx.normalize_surface("source")), 1)
+    target = F.struct(F.col("lang").alias("translation"), F.coalesce(first, F.lit("none")).alias("mention"), F.array("site").alias("mention_candidates"))
+    types = F.array(F.when(F.col("q") == 1, "Good").otherwise("POOR"), F.when(F.col("x") == 1, "Toxic").otherwise("clean"))
+    return docs.join(labels, "id").select("id", "source", F.array(target).alias("targets"), types.alias("entity_types"))
+
+
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents but German ones predict themselves, and are scored by their language; of records only good ones count."""
+    records = _references(spark, sf_dir)
+    predictions = read(spark, sf_dir, "documents").where("lang <> 'de'").select(F.col("doc_id").alias("id"), F.col("text").alias("prediction"))
+    scores = records.select("id", F.explode("targets.translation").alias("t")).select("id", F.when(F.col("t") == "en", 0.75).otherwise(0.5).alias("score"))
+    out = evaluation.evaluate_predictions(predictions, records, scores=scores, entity_types=["gOOd"])
+    return out.select("correct", "total", "missing_predictions", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("correct", "total", "missing_predictions")])
+
+
+def mention_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.mention_sets(_references(spark, sf_dir)).select("id", F.array_join("mentions", "|").alias("mentions"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,19 +281,40 @@ def prediction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.prediction_records(rows)
 
 
-def dataset_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _order_tables(spark: SparkSession, sf_dir: str) -> dataset.Tables:
+    """Orders as examples (their states as splits), lineitems as references and entities, parts as types and terms."""
     lines, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
-    examples = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id"), F.lit("en").alias("target_locale"), F.col("o_orderpriority").alias("source"))
-    refs = lines.select(F.col("l_orderkey").alias("example_id"), F.col("l_partkey").alias("reference_id"), F.concat("l_returnflag", "l_linestatus").alias("translation_text"), F.lit(None).cast("string").alias("mention_text"), F.col("l_linenumber").alias("reference_order"))
-    entities = lines.select(F.col("l_orderkey").alias("example_id"), F.concat(F.lit("P"), "l_partkey").alias("qid"), F.col("l_linenumber").alias("entity_order"))
-    types = part.select(F.concat(F.lit("P"), "p_partkey").alias("qid"), F.col("p_type").alias("type_text"))
-    rows = dataset.assembled(examples, refs, entities, types, part_terms(spark, sf_dir), require_references=False, require_mentions=False)
+    orders = read(spark, sf_dir, "orders")
+    return dataset.Tables(
+        orders.select(F.col("o_orderkey").alias("example_id"), F.col("o_orderstatus").alias("split"), F.col("o_orderpriority").alias("source_locale"), F.lit("en").alias("target_locale"), F.col("o_orderpriority").alias("source")),
+        lines.select(F.col("l_orderkey").alias("example_id"), F.col("l_partkey").alias("reference_id"), F.concat("l_returnflag", "l_linestatus").alias("translation_text"), F.lit(None).cast("string").alias("mention_text"), F.col("l_linenumber").alias("reference_order")),
+        lines.select(F.col("l_orderkey").alias("example_id"), F.concat(F.lit("P"), "l_partkey").alias("qid"), F.col("l_linenumber").alias("entity_order")),
+        part.select(F.concat(F.lit("P"), "p_partkey").alias("qid"), F.col("p_type").alias("type_text")), part_terms(spark, sf_dir),
+    )
+
+
+def _told(rows: DataFrame) -> DataFrame:
     return rows.select(
         "example_id", "target", "gold_qid", F.greatest(F.size("targets"), F.lit(0)).alias("n_targets"), F.get("targets", 0)["mention"].alias("mention"),
         F.array_join("entity_qids", ",").alias("qids"), F.array_join("entity_types", ",").alias("types"), F.array_join(F.get("targets", 0)["mention_candidates"], ",").alias("mention_candidates"),
     )
 
 
+def dataset_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _order_tables(spark, sf_dir)
+    return _told(dataset.assembled(t.examples, t.references, t.entities, t.types, t.terms, require_references=False, require_mentions=False))
+
+
+def dataset_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished urgent orders."""
+    return _told(dataset.load(_order_tables(spark, sf_dir), split="F", source_locale="1-URGENT", require_references=False, require_mentions=False))
+
+
+def dataset_load_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred open orders, as a scan with a limit gives them."""
+    return _told(dataset.load(_order_tables(spark, sf_dir), split="O", limit=100, require_references=False, require_mentions=False))
+
+
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(read(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_partkey")
     return rows.groupBy("l_orderkey").agg(F.array_join(tx.ordered_distinct(dataset.ordered_list("p_type", "l_linenumber", "p_partkey")), ",").alias("types"))
@@ -286,6 +368,7 @@ def nation_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     normalize_surface, span_ngrams, surface_index, ambiguity_count, surface_topk, surface_topk_ambiguous, anchored_lookup, retrieve_top1, candidate_list, align_spans,
     rerank_features, rerank_heuristic, margin_to_next, entity_memory_text, translation_prompt, plain_prompt, noisy_memory, sft_samples, chat_messages, completion_labels,
+    pipeline_modes, gold_memories, plain_samples, noisy_samples, feature_records, fixed_scorer, legacy_spans, evaluation_summary, mention_sets, dataset_load, dataset_load_first,
     hard_negatives, grouped_training_rows, reranker_mlp, retrieval_recall, reranker_mrr, m_eta, comet_aggregate, harmonic_final, prediction_records, dataset_assembly,
     ordered_distinct, kb_build, upsert_antijoin, custom_term_order, explode_entities, event_keys, filtered_orders, nation_regions,
 )

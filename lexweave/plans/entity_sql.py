@@ -94,11 +94,22 @@ def parts_query(select: str, *ctes: str, cand: str = BOTH, k: int = 10) -> str:
     return "WITH " + ",".join([PARTS, ranked(cand, k), *ctes]) + select
 
 
+FEATURED_OWN = FEATURED.replace("first_value(aligned) OVER (PARTITION BY example_id ORDER BY rank)", "aligned")
+
+#: The rows to train on: the gold candidate and the eight hardest others, with their places.
+HARD = """
+hard AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY y DESC, nth) - 1 AS place FROM (
+  SELECT *, coalesce(qid = gold_qid, false)::INT AS y, row_number() OVER (PARTITION BY example_id, coalesce(qid = gold_qid, false) ORDER BY round(so, 6) DESC, pop DESC, ambiguity_count DESC, rank) AS nth FROM feat
+) WHERE y = 1 OR nth <= 8)
+"""
+
+VECTOR = "[ctx, 1.0, 1.0, round(so, 6), round(dso, 6), round(ln(1 + length(label)), 6), round(ln(2), 6), 1.0, 1.0, round(pop, 6), round(ln(1 + ambiguity_count), 6)]"
+
 MENTIONS = f"""
-it AS (SELECT item_id, list_filter(string_split({norm('text')}, ' '), lambda w: w <> '') AS w FROM benchmark),
-ment AS (SELECT l.doc_id, [w[1], array_to_string(w[1:2], ' ')] AS m FROM labels l JOIN it ON item_id = l.doc_id % 40),
-ok AS (SELECT coalesce(len(list_filter(m, lambda x: contains(lower(coalesce(text, '')), lower(x)))) > 0, false)::INT AS hit FROM ment LEFT JOIN (SELECT * FROM documents WHERE lang = 'en') d USING (doc_id)),
-eta AS (SELECT coalesce(sum(hit), 0)::BIGINT AS correct, count(*) AS total, coalesce(avg(hit), 0.0) AS m_eta FROM ok)
+it AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS nth, count(*) OVER () AS n_items, list_filter(string_split({norm('text')}, ' '), lambda w: w <> '') AS w FROM benchmark),
+ment AS (SELECT l.doc_id, [w[1], array_to_string(w[1:2], ' ')] AS m FROM labels l JOIN it ON nth = l.doc_id % n_items),
+ok AS (SELECT coalesce(len(list_filter(m, lambda x: x <> '' AND contains(lower(coalesce(text, '')), lower(x)))) > 0, false)::INT AS hit, (d.doc_id IS NULL)::INT AS gone FROM ment LEFT JOIN (SELECT * FROM documents WHERE lang = 'en') d USING (doc_id)),
+eta AS (SELECT coalesce(sum(hit), 0)::BIGINT AS correct, count(*) AS total, coalesce(sum(gone), 0)::BIGINT AS missing_predictions, coalesce(avg(hit), 0.0) AS m_eta FROM ok)
 """
 
 MEANS = """
@@ -106,6 +117,17 @@ sc AS (SELECT l_orderkey AS id, max(1.0 - l_discount) AS best FROM lineitem GROU
 ag AS (SELECT count(best) AS matched, count(*) - count(best) AS missing, coalesce(sum(best) / count(*), 0.0) AS mean_score FROM (SELECT DISTINCT o_orderkey AS id FROM orders) LEFT JOIN sc USING (id))
 """
 
+NAMES = """
+rec AS (SELECT d.doc_id AS id, d.lang, max(l.quality) AS q, any_value(d.text) AS text, any_value(d.source) AS site FROM documents d JOIN labels l USING (doc_id) GROUP BY 1, 2),
+nam AS (SELECT *, list_sort(list_distinct(list_filter([coalesce(list_filter(string_split({norm}, ' '), lambda w: w <> '')[1], 'none'), {strip}], lambda w: w <> ''))) AS m FROM rec)
+""".format(norm=norm("text"), strip=strip("site"))
+
+
+def mode_query(mode: str, chosen: str, *ctes: str, cand: str = BOTH) -> str:
+    """What a mode remembers of each order; chosen: the candidates of one each."""
+    return "(" + parts_query(f"SELECT ex.example_id, '{mode}' AS mode, c.qid, coalesce(c.source_span, c.label) AS source_span, c.label AS canonical_target FROM ex LEFT JOIN ({chosen}) c USING (example_id)", *ctes, cand=cand) + ")"
+
+
 RECALLS = ", ".join(f"round(coalesce(avg(coalesce(gr <= {k}, false)::INT), 0.0), 9) AS recall_at_{k}" for k in (1, 3, 5, 10))
 FIRST_TURNS = """
 f AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user' AND trim(text) <> '') AS ask, arg_min(text, turn) FILTER (WHERE role = 'assistant' AND trim(text) <> '') AS answer
@@ -113,6 +135,17 @@ f AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user' AND trim(t
 """
 _IDS = "list_transform(list_filter(string_split({0}, ' '), lambda w: w <> ''), lambda w: length(w))"
 
+ASSEMBLY = """WITH l AS (SELECT l_orderkey AS example_id, list(l_returnflag || l_linestatus ORDER BY l_linenumber, l_partkey, l_returnflag || l_linestatus) AS targets,
+        list('P' || l_partkey ORDER BY l_linenumber, 'P' || l_partkey) AS qids FROM lineitem GROUP BY 1),
+      t AS (SELECT l_orderkey AS example_id, list_filter(list(p_type ORDER BY l_linenumber, p_type), lambda x: true) AS ty FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+      m AS (SELECT l_orderkey AS example_id, list(term ORDER BY l_linenumber, f, id, term) AS names FROM lineitem JOIN (
+          SELECT p_partkey, p_name AS term, 0 AS f, p_partkey * 4 AS id FROM part UNION ALL SELECT p_partkey, p_brand, 1, p_partkey * 4 + 1 FROM part) ON l_partkey = p_partkey GROUP BY 1),
+      d AS (SELECT example_id, list_reduce(list_prepend([]::VARCHAR[], list_transform(names, lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS names FROM m),
+      e AS (SELECT example_id, list_reduce(list_prepend([]::VARCHAR[], list_transform(ty, lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS ty FROM t)
+      SELECT o_orderkey AS example_id, targets[1] AS target, qids[1] AS gold_qid, coalesce(len(targets), 0)::INT AS n_targets, names[1] AS mention, coalesce(array_to_string(qids, ','), '') AS qids,
+        coalesce(array_to_string(ty, ','), '') AS types, array_to_string(names, ',') AS mention_candidates
+      FROM orders LEFT JOIN l ON l.example_id = o_orderkey LEFT JOIN d ON d.example_id = o_orderkey LEFT JOIN e ON e.example_id = o_orderkey {where}"""
+
 SQL = {
     "normalize_surface": f"SELECT doc_id, surface, len(list_filter(string_split(surface, ' '), lambda w: w <> ''))::INT AS n_tokens FROM (SELECT doc_id, {norm('text')} AS surface FROM documents)",
     "span_ngrams": f"WITH {DOCS} SELECT example_id, n::INT AS n, count(*) AS n_spans, sum(length(surface))::BIGINT AS n_chars FROM spans GROUP BY example_id, n",
@@ -142,13 +175,13 @@ SQL = {
     "plain_prompt": f"SELECT doc_id, '[TASK]' || chr(10) || 'Translate the following sentence into ' || {LANGUAGE} || ' naturally and accurately.' || chr(10) || chr(10) || '[SOURCE]' || chr(10) || {strip('text')} AS prompt FROM documents",
     "noisy_memory": f"""WITH {PARTS}, {MEMORIES} SELECT example_id, head || line_type || line_text AS drop_alias, head || line_alias || line_type AS drop_description,
       replace(head, '  Target (en): ' || label, '  Target (en): ' || alias) || line_alias || line_type || line_text AS replace_canonical_with_alias FROM txt WHERE qid IS NOT NULL""",
-    "sft_samples": f"WITH {PARTS}, {MEMORIES} SELECT example_id, {PROMPT} AS prompt, label AS target, 'entity-aware' AS mode FROM txt WHERE qid IS NOT NULL",
+    "sft_samples": f"WITH {PARTS}, {MEMORIES} SELECT example_id, {PROMPT} AS prompt, label AS target, 'entity-memory' AS mode FROM txt WHERE qid IS NOT NULL",
     "chat_messages": f"""WITH {FIRST_TURNS.format(where="WHERE role IN ('user', 'assistant')")}
       SELECT conv_id, '[SYSTEM]' || chr(10) || '{SYSTEM}' || chr(10) || chr(10) || '[USER]' || chr(10) || coalesce({strip('ask')}, '') ||
         CASE WHEN answer IS NULL THEN '' ELSE chr(10) || chr(10) || '[ASSISTANT]' || chr(10) || {strip('answer')} END AS chat FROM f""",
     "completion_labels": f"""WITH {FIRST_TURNS.format(where='')},
       i AS (SELECT conv_id, {_IDS.format(norm('ask'))} AS p, {_IDS.format(norm('answer'))} AS q FROM f),
-      l AS (SELECT conv_id, len(p) AS k, list_concat(list_concat(list_transform(p, lambda x: -100), q), [0])[1:256] AS labels FROM i)
+      l AS (SELECT conv_id, len(p) AS k, list_concat(list_concat(list_transform(p, lambda x: -100), q), [0])[1:2048] AS labels FROM i)
       SELECT conv_id, len(labels)::INT AS n_labels, len(list_filter(labels, lambda x: x = -100))::INT AS n_masked, array_to_string(labels, ',') AS labels FROM l WHERE len(list_filter(labels, lambda x: x <> -100)) > 0""",
     "hard_negatives": parts_query(
         """SELECT example_id, (row_number() OVER (PARTITION BY example_id ORDER BY label DESC, nth) - 1)::INT AS candidate_rank_in_group, qid, label FROM (
@@ -165,21 +198,48 @@ SQL = {
         "SELECT count(*) AS n_groups, round(coalesce(avg((final_rank = 1)::INT), 0.0), 9) AS top1_accuracy, round(coalesce(avg(1.0 / final_rank), 0.0), 9) AS mrr, "
         + ", ".join(f"round(coalesce(avg((final_rank <= {k})::INT), 0.0), 9) AS recall_at_{k}" for k in (1, 3, 5)) + " FROM rr WHERE qid = gold_qid", SPANS, FEATURED
     ),
-    "m_eta": f"WITH {MENTIONS} SELECT correct, total, round(m_eta, 9) AS m_eta FROM eta",
+    "m_eta": f"WITH {MENTIONS} SELECT correct, total, missing_predictions, round(m_eta, 9) AS m_eta FROM eta",
     "comet_aggregate": f"WITH {MEANS} SELECT matched, missing, round(mean_score, 9) AS mean_score FROM ag",
     "harmonic_final": f"WITH {MENTIONS}, {MEANS} SELECT round(CASE WHEN m_eta <= 0 OR mean_score <= 0 THEN 0.0 ELSE 2 * m_eta * mean_score / (m_eta + mean_score) END, 9) AS harmonic_mean FROM eta, ag",
     "prediction_records": f"""SELECT doc_id::VARCHAR AS id, 'en_US' AS source_language, CASE lang WHEN 'en' THEN 'en_US' WHEN 'de' THEN 'de_DE' WHEN 'fr' THEN 'fr_FR' WHEN 'es' THEN 'es_ES' ELSE lang END AS target_language,
       {strip('text')} AS text, {strip('text')} AS prediction FROM documents""",
-    "dataset_assembly": """WITH l AS (SELECT l_orderkey AS example_id, list(l_returnflag || l_linestatus ORDER BY l_linenumber, l_partkey, l_returnflag || l_linestatus) AS targets,
-        list('P' || l_partkey ORDER BY l_linenumber, 'P' || l_partkey) AS qids FROM lineitem GROUP BY 1),
-      t AS (SELECT l_orderkey AS example_id, list_filter(list(p_type ORDER BY l_linenumber, p_type), lambda x: true) AS ty FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
-      m AS (SELECT l_orderkey AS example_id, list(term ORDER BY l_linenumber, f, id, term) AS names FROM lineitem JOIN (
-          SELECT p_partkey, p_name AS term, 0 AS f, p_partkey * 4 AS id FROM part UNION ALL SELECT p_partkey, p_brand, 1, p_partkey * 4 + 1 FROM part) ON l_partkey = p_partkey GROUP BY 1),
-      d AS (SELECT example_id, list_reduce(list_prepend([]::VARCHAR[], list_transform(names, lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS names FROM m),
-      e AS (SELECT example_id, list_reduce(list_prepend([]::VARCHAR[], list_transform(ty, lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS ty FROM t)
-      SELECT o_orderkey AS example_id, targets[1] AS target, qids[1] AS gold_qid, coalesce(len(targets), 0)::INT AS n_targets, names[1] AS mention, coalesce(array_to_string(qids, ','), '') AS qids,
-        coalesce(array_to_string(ty, ','), '') AS types, array_to_string(names, ',') AS mention_candidates
-      FROM orders LEFT JOIN l ON l.example_id = o_orderkey LEFT JOIN d ON d.example_id = o_orderkey LEFT JOIN e ON e.example_id = o_orderkey""",
+    "dataset_assembly": ASSEMBLY.format(where=""),
+    "dataset_load": ASSEMBLY.format(where="WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"),
+    "dataset_load_first": ASSEMBLY.format(where="WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 100)"),
+    "pipeline_modes": " UNION ALL ".join([
+        mode_query("anchored", "SELECT * FROM cand WHERE rank = 1", cand=ONLY_ANCHORED), mode_query("surface", "SELECT * FROM cand WHERE rank = 1", cand=ONLY_SURFACE),
+        mode_query("retrieve", "SELECT * FROM cand WHERE rank = 1"), mode_query("rerank", "SELECT * FROM rr WHERE final_rank = 1", SPANS, FEATURED),
+    ]),
+    "gold_memories": f"""WITH {PARTS}, g AS (SELECT ex.example_id, source, gold_qid, p_size < 20 AS known, kb.* FROM ex JOIN kb ON qid = gold_qid JOIN part ON 'P' || p_partkey = qid)
+      SELECT example_id, CASE WHEN known THEN 'gold_qid_lookup' ELSE 'fallback_qid_only' END AS candidate_source,
+        '[ENTITY MEMORY]' || chr(10) || '- Source Sentence: ' || source || CASE WHEN known THEN chr(10) || '- Source Span: ' || label ELSE '' END || chr(10) || '  QID: ' || gold_qid ||
+        CASE WHEN known THEN chr(10) || '  Target (en): ' || label || chr(10) || '  Aliases: ' || alias || chr(10) || '  Type: ' || etype || chr(10) || '  Description: ' || description ELSE '' END AS memory_text FROM g""",
+    "plain_samples": f"""SELECT doc_id AS example_id, '[TASK]' || chr(10) || 'Translate the following sentence into ' || {LANGUAGE} || ' naturally and accurately.' || chr(10) || chr(10) || '[SOURCE]' || chr(10) || {strip('text')} AS prompt,
+      {strip('source')} AS target, 'plain' AS mode FROM documents WHERE {strip('text')} <> '' AND {strip('source')} <> ''""",
+    "noisy_samples": f"WITH {PARTS}, {MEMORIES} SELECT example_id, {PROMPT.replace(' || line_text', '')} AS prompt, label AS target, 'noisy-memory' AS mode FROM txt WHERE qid IS NOT NULL",
+    "feature_records": parts_query(
+        """SELECT example_id, source AS source_text, passed AS source_span_text, passed AS comparison_source_text, 'source_span' AS comparison_source_origin, label AS target_label, etype AS entity_type, description, qid,
+        candidate_source, 'boundary_exact' AS span_match_kind, ctx AS context_suitability, 1::INT AS has_source_span, 1.0::DOUBLE AS span_match_score, round(so, 6) AS surface_overlap_score, round(dso, 6) AS description_overlap_score,
+        round(ln(1 + length(label)), 6) AS target_label_len, round(ln(2), 6) AS alias_count, 1::INT AS has_entity_type, 1::INT AS has_description, round(pop, 6) AS popularity_score, round(ln(1 + ambiguity_count), 6) AS ambiguity_count,
+        prior::INT AS is_canonical_prior, prior::DOUBLE AS prior_bonus, length(label)::INT AS raw_target_label_len, 1::INT AS raw_alias_count, ambiguity_count::BIGINT AS raw_ambiguity_count FROM feat""", SPANS, FEATURED
+    ),
+    "fixed_scorer": parts_query(
+        f"""SELECT example_id, qid, round(0.125 + greatest(0, 0.25 + 0.5 * v[1] + 0.125 * (v[2] + v[3] + v[4] + v[5]) + 0.0625 * (v[6] + v[7] + v[8] + v[9]) + 0.001 * v[10] - 0.5 * v[11])
+          - 2 * greatest(0, -0.5 - 0.25 * v[1] + 0.25 * (v[2] + v[3] + v[4] + v[5]) - 0.125 * (v[6] + v[7] + v[8] + v[9]) + 0.25 * v[11]), 11) AS score FROM (SELECT *, {VECTOR}::DOUBLE[] AS v FROM hard)""", SPANS, FEATURED_OWN, HARD
+    ),
+    "grouped_training_rows": parts_query(
+        f"""SELECT example_id, string_agg(array_to_string(list_transform({VECTOR}::DOUBLE[], lambda x: printf('%.6f', x)), ','), '|' ORDER BY place) AS numeric_features,
+        string_agg(y::VARCHAR, ',' ORDER BY place) AS labels, string_agg(qid, ',' ORDER BY place) AS qids FROM hard GROUP BY example_id""", SPANS, FEATURED_OWN, HARD
+    ),
+    "legacy_spans": f"""WITH {PARTS} SELECT example_id, coalesce(upper(list_sort(list_transform(list_filter([split_part(label, ' ', 1), alias, split_part(label, ' ', 2)], lambda n: n <> '' AND contains(lower(source), lower(n))),
+      lambda n: {{'l': -length(n), 'n': n}}))[1].n), '') AS span FROM ex JOIN kb ON qid = gold_qid""",
+    "evaluation_summary": f"""WITH {NAMES},
+      ok AS (SELECT id, lang = 'de' AS gone, coalesce(lang <> 'de' AND len(list_filter(m, lambda x: contains(lower(coalesce(text, '')), lower(x)))) > 0, false)::INT AS hit FROM nam WHERE q = 1),
+      a AS (SELECT sum(hit)::BIGINT AS correct, count(*) AS total, count_if(gone)::BIGINT AS missing_predictions, sum(hit) / count(*) AS e FROM ok),
+      c AS (SELECT sum(CASE WHEN lang = 'de' THEN 0.0 WHEN lang = 'en' THEN 0.75 ELSE 0.5 END)::DOUBLE / count(*) AS comet FROM rec WHERE q = 1)
+      SELECT correct, total, missing_predictions, round(e, 6) AS m_eta, round(100 * e, 6) AS m_eta_percent, round(comet, 6) AS comet, round(100 * comet, 6) AS comet_percent,
+        round(CASE WHEN e <= 0 OR comet <= 0 THEN 0.0 ELSE 2 * e * comet / (e + comet) END, 6) AS final_score, round(100 * CASE WHEN e <= 0 OR comet <= 0 THEN 0.0 ELSE 2 * e * comet / (e + comet) END, 6) AS final_score_percent FROM a, c""",
+    "mention_sets": f"WITH {NAMES} SELECT id, array_to_string(m, '|') AS mentions FROM nam",
     "ordered_distinct": """WITH t AS (SELECT l_orderkey, list(p_type ORDER BY l_linenumber, l_partkey) AS ty FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
       SELECT l_orderkey, array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(ty, lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), ',') AS types FROM t""",
     "kb_build": f"""SELECT 'P' || p_partkey AS qid, p_name AS label_en, p_brand AS aliases_en, CASE WHEN p_size >= 10 THEN p_name END AS target_label, p_brand AS entity_type, p_type AS description,
