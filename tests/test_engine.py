@@ -4,12 +4,14 @@ import ast
 import json
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions.slots import generate_halving, generated_frame, scored_frame
-from lexweave.operators import metrics, rerank, retrieval
-from lexweave.sources import dataset, files
+from lexweave.functions import text as tx
+from lexweave.operators import evaluation, linking, metrics, rerank, retrieval, samples
+from lexweave.sources import dataset, files, runs
 from lexweave.streaming.ingest import ingest
 
 KB = "qid string, target_lang string, label_en string, aliases_en array<string>, target_label string, target_aliases array<string>, entity_type string, description string, language_available boolean, popularity double, surfaces array<string>"
@@ -39,6 +41,140 @@ def test_candidates(kb, examples):
         retrieval.candidates(examples, kb, mode="none")
 
 
+def test_examples_without_source_have_no_candidates(spark, kb):
+    some = spark.createDataFrame([(1, "", "ko", "Q1"), (2, None, "ko", "Q1"), (3, " ", "ko", "Q1"), (4, "x", " ", "Q1"), (5, "x", "ko", "Q1")], "example_id int, source string, target_lang string, gold_qid string")
+    for mode in ("anchored", "retrieve", "rerank"):
+        assert [x[0] for x in ranked(retrieval.candidates(some, kb, mode=mode))] == [5]
+
+
+def test_bits_only_leave_out_what_is_no_surface(spark, monkeypatch):
+    words = ["ab", "cd", "ef", "gh", "ij"]
+    texts = [(i, " ".join(words[(i * 7 + j * j) % 5] for j in range(12)) + ".", "ko", None) for i in range(40)]
+    some = spark.createDataFrame(texts, "example_id int, source string, target_lang string, gold_qid string")
+    rows = [(f"Q{i}", "ko", "l", [], f"label {i}", [], None, None, i % 4 > 0, float(i % 3), [" ".join(words[(i + j) % 5] for j in range(1 + i % 5)), words[i % 5]]) for i in range(30)]
+    table = spark.createDataFrame(rows, KB)
+    want = ranked(retrieval.candidates(some, table, mode="surface", top_k=50))
+    monkeypatch.setattr(retrieval, "_bits", lambda *_: None)
+    assert want and ranked(retrieval.candidates(some, table, mode="surface", top_k=50)) == want
+
+
+def test_knowledge_base_rows_of_one_entity(spark):
+    """Each surface yields the fields of the row that holds it."""
+    rows = [("Q1", "ko", "a", [], "first", [], None, None, True, 1.0, ["one"]), ("Q1", "ko", "a", [], "second", [], None, None, True, 2.0, ["two"]), ("Q1", "ko", "a", [], "first", [], None, None, True, 1.0, ["one", "six"])]
+    table = spark.createDataFrame(rows, KB)
+    some = spark.createDataFrame([(1, "one", "ko", None), (2, "two", "ko", None), (3, "none", "ko", "Q1"), (4, "six", "ko", None)], "example_id int, source string, target_lang string, gold_qid string")
+    assert {r["example_id"]: r["target_label"] for r in retrieval.candidates(some, table).collect()} == {1: "first", 2: "second", 3: "second", 4: "first"}
+    assert retrieval.candidates(some, table).count() == 4
+
+
+def test_first_by_qid_and_gold_rescue(spark, kb):
+    rows = spark.createDataFrame([(1, 1, "Q1"), (1, 2, "Q1"), (1, 3, None), (1, 4, None), (2, 1, "Q1")], "example_id int, rank int, qid string")
+    assert sorted((r["example_id"], r["rank"]) for r in retrieval.first_by_qid(rows).collect()) == [(1, 1), (1, 3), (1, 4), (2, 1)]
+    some = spark.createDataFrame([(1, "New York", "ko", "Q2"), (2, "nothing", "ko", "Q4"), (3, "York", "ko", "Q3")], "example_id int, source string, target_lang string, gold_qid string")
+    found = retrieval.candidates(some, kb, mode="surface", top_k=1)
+    assert {(x[0], x[1], x[2]) for x in ranked(linking.with_gold(found, some, kb))} == {(1, 1, "Q1"), (1, 2, "Q2"), (2, 1, "Q4"), (3, 1, "Q2")}
+
+
+def test_memories_of_every_mode(spark, kb):
+    some = spark.createDataFrame([(1, "I saw York and New York", "ko", "Q2"), (2, "nothing", "ko", None), (3, "", "ko", "Q1")], "example_id int, source string, target_lang string, gold_qid string")
+    for mode, qid, span in (("anchored", "Q2", "York"), ("surface", "Q1", "new york"), ("retrieve", "Q2", "York"), ("rerank", "Q2", "York")):
+        got = {r["example_id"]: r["memory"] for r in linking.entity_memories(some, kb, mode).collect()}
+        assert (got[1]["qid"], got[1]["source_span"]) == (qid, span), mode
+        assert got[2] is None and got[3] is None
+    with pytest.raises(ValueError):
+        linking.entity_memories(some, kb, "none")
+    by_model = linking.selected(some, kb, "rerank", strategy="vector", model=lambda v: v[9]).collect()
+    assert [r["qid"] for r in by_model] == ["Q2"]
+    with pytest.raises(ValueError):
+        linking.selected(some, kb, "rerank", strategy="vector")
+
+
+def test_anchored_candidates_align_their_english_names(spark):
+    table = spark.createDataFrame([("Q1", "ko", "Seoul", ["Hanyang"], "서울", ["한양"], None, None, True, 0.0, [])], KB)
+    some = spark.createDataFrame([(1, "old Hanyang", "ko", "Q1")], "example_id int, source string, target_lang string, gold_qid string")
+    assert linking.entity_memories(some, table, "anchored").first()["memory"]["source_span"] == "Hanyang"
+
+
+def test_gold_memories_and_samples(spark, kb):
+    some = spark.createDataFrame(
+        [(1, "in new york", "ko_KR", "Q1", None, "t1"), (2, "x", "ko", None, ["", "Q9"], "t2"), (3, "y", "ko", None, None, " "), (4, "z", "", "Q1", None, "t4")],
+        "example_id int, source string, target_lang string, gold_qid string, entity_qids array<string>, target string",
+    )
+    memories = linking.gold_memories(some.withColumn("target_lang", F.split_part("target_lang", F.lit("_"), F.lit(1))), kb)
+    got = {r["example_id"]: r for r in memories.collect()}
+    assert (got[1]["candidate_source"], got[1]["memory"]["source_span"], got[1]["memory"]["canonical_target"]) == ("gold_qid_lookup", "new york", "New York")
+    assert (got[2]["candidate_source"], got[2]["memory"]["qid"], got[2]["memory"]["canonical_target"]) == ("fallback_qid_only", "Q9", "")
+    plain = {r["example_id"]: r for r in samples.samples(some).collect()}
+    assert set(plain) == {1, 2} and "Korean" in plain[1]["prompt"] and plain[1]["mode"] == "plain"
+    noisy = {r["example_id"]: r for r in samples.samples(memories, "entity-memory", "drop_alias").collect()}
+    assert noisy[1]["mode"] == "noisy-memory" and "QID: Q1" in noisy[1]["prompt"]
+    made = samples.tokenized(samples.samples(some), lambda: lambda texts: [[len(w) for w in t.split()] for t in texts], eos=0)
+    rows = {r["example_id"]: r for r in made.collect()}
+    assert rows[1]["full_ids"][: len(rows[1]["prompt_ids"])] == rows[1]["prompt_ids"] and rows[1]["labels"][-2:] == [2, 0] and rows[1]["labels"][0] == -100
+    counts = samples.sample_counts(made).first()
+    assert (counts["samples"], counts["kept"], counts["skipped"], counts["target_tokens"]) == (2, 2, 0, 4)
+    with pytest.raises(Exception, match="lacks a target language"):
+        samples.payload(some).collect()
+
+
+def test_evaluation_from_examples_to_metrics(spark, kb):
+    some = spark.createDataFrame([(1, "I saw New York", "ko", "Q1"), (2, "York", "ko", "Q2"), (3, "nothing", "ko", None)], "example_id int, source string, target_lang string, gold_qid string")
+    target = "array<struct<translation: string, mention: string, mention_candidates: array<string>>>"
+    records = spark.createDataFrame(
+        [("1", "s", [("x", "NEW YORK", ["n"])], ["City"]), ("2", "s", [("x", "none", None), ("y", None, ["York"])], ["town", "CITY"]), ("3", "s", [("x", "q", [])], ["River"]), ("4", "s", [], ["City"]), ("5", "s", [("x", "straße", [])], ["city "])],
+        f"id string, source string, targets {target}, entity_types array<string>",
+    )
+
+    def generator():
+        return lambda prompts: [next((x.split(": ", 1)[1] for x in p.splitlines() if x.startswith("  Target (")), "?") for p in prompts]
+
+    predictions, row = evaluation.evaluate(some, records, generator, lambda s, r, p: [0.5 if x == "x" else 0.9 for x in r], kb, "anchored", ["city"])
+    assert {r["id"]: r["prediction"] for r in predictions.collect()} == {"1": "New York", "2": "York", "3": "?"}
+    got = row.first()
+    assert (got["correct"], got["total"], got["missing_predictions"]) == (2, 3, 1) and got["comet"] == pytest.approx((0.5 + 0.9) / 3)
+    assert got["final_score"] == pytest.approx(2 * (2 / 3) * (1.4 / 3) / (2 / 3 + 1.4 / 3)) and got["m_eta_percent"] == pytest.approx(200 / 3)
+    assert evaluation.usable_references(records).count() == 4
+    said = spark.createDataFrame([("5", "die STRASSE")], "id string, prediction string")
+    assert evaluation.evaluate_predictions(said, records.where("id = '5'"), scores=spark.createDataFrame([("5", 1.0)], "id string, score double")).first()["final_score"] == 1.0
+    with pytest.raises(ValueError):
+        evaluation.evaluate_predictions(said, records)
+    options = evaluation.generation_options
+    assert options() == {"max_new_tokens": 256, "do_sample": False} and options(temperature=0.5, top_k=3)["temperature"] == 0.5 and options(temperature=0.5, do_sample=False, top_p=0.1).get("top_p") is None
+
+
+def test_case_is_folded_as_python_does(spark):
+    texts = ["Straße STRASSE ẞ", "ὈΔΥΣΣΕΎΣ ς σ", "ﬁn ŉ ǰ", "İstanbul ı", "ſ K Å µ", "Ꭰꭰ", "plain ÀÉ", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.casefolded("t").alias("f")).orderBy("i").collect()
+    assert [r["f"] for r in rows] == [(t or "").casefold() for t in texts]
+
+
+def test_run_files(spark, tmp_path):
+    row = spark.createDataFrame([(0.5, "é")], "m_eta double, name string")
+    path = runs.metrics_path(None, f"{tmp_path}/out/predictions.jsonl", "x")
+    assert path == f"{tmp_path}/out/predictions_metrics.json" and runs.metrics_path("a.json", "b", "c") == "a.json" and runs.metrics_path(None, None, "d/") == "d/metrics.json"
+    assert runs.write_metrics(row, path, seconds=2.0) == runs.read_json(spark, path) == {"m_eta": 0.5, "name": "é", "seconds": 2.0}
+    with pytest.raises(ValueError):
+        runs.metrics_path(None, None, None)
+    assert runs.overlaid({"a": None, "b": 3}, {"a": 1, "b": 2, "c": 0}, {"a": 9, "b": 8, "z": 7}) == {"a": 9, "b": 3, "c": 0}
+    runs.write_json_array(spark.createDataFrame([("Q1", "ko"), ("Q2", "de")], files.QID_LOCALES).orderBy("qid"), f"{tmp_path}/q.json")
+    assert [tuple(r) for r in files.qid_locales(spark, f"{tmp_path}/q.json").orderBy("qid").collect()] == [("Q1", "ko"), ("Q2", "de")]
+
+
+def test_loading_a_split(spark):
+    examples = spark.createDataFrame([(i, "train" if i % 2 else "test", "en", "ko" if i < 6 else "de", f"s{i}") for i in range(10)], "example_id int, split string, source_locale string, target_locale string, source string")
+    refs = spark.createDataFrame([(i, i, f"t{i}", f"m{i}", 0) for i in range(10)], "reference_id int, example_id int, translation_text string, mention_text string, reference_order int")
+    entities = spark.createDataFrame([(i, "Q1", 0) for i in range(10)], "example_id int, qid string, entity_order int")
+    types = spark.createDataFrame([("Q1", "a")], "qid string, type_text string")
+    terms = spark.createDataFrame([(1, "Q1", "ko", "label", "가")], "term_id int, qid string, lang_code string, term_type string, term_text string")
+    tables = dataset.Tables(examples, refs, entities, types, terms)
+    got = dataset.load(tables, split="train", target_locale="ko", limit=2).orderBy("example_id").collect()
+    assert [(r["example_id"], r["target"], r["targets"][0]["mention_candidates"]) for r in got] == [(1, "t1", ["m1", "가"]), (3, "t3", ["m3", "가"])]
+    assert dataset.load(tables).count() == 10 and dataset.load(tables, source_locale="fr").count() == 0
+    ids = spark.createDataFrame([("d", 1), ("d", 2), ("e", 3)], "dataset_id string, example_id int")
+    joined = dataset.with_example_ids(spark.createDataFrame([("d", "x"), ("gone", "y")], "dataset_id string, v string"), ids)
+    assert [tuple(r) for r in joined.collect()] == [("d", "x", 2)]
+
+
 def test_margin_is_null_for_one(spark):
     scored = spark.createDataFrame([(1, 1, 0.5, 0.0), (2, 1, 0.2, 0.0), (2, 2, 0.2, 1.0)], "example_id int, rank int, reranker_score double, prior_bonus double")
     got = {(r["example_id"], r["final_rank"]): r for r in rerank.reranked(scored).collect()}
@@ -52,7 +188,16 @@ def test_metrics(spark):
     assert got["recall_at_1"] <= got["recall_at_3"] <= got["recall_at_5"]
     mentions = spark.createDataFrame([("a", ["Seoul"]), ("b", ["x"]), ("c", ["y"])], "id string, mentions array<string>")
     predictions = spark.createDataFrame([("a", "in SEOUL now"), ("b", "no"), ("z", "x")], "id string, prediction string")
-    assert metrics.entity_accuracy(mentions, predictions).first()[:2] == (1, 3)
+    assert metrics.entity_accuracy(mentions, predictions).first()[:3] == (1, 3, 2 - 1)
+    twice = mentions.union(spark.createDataFrame([("a", ["Zzz", "seoul"])], "id string, mentions array<string>"))
+    said = predictions.union(spark.createDataFrame([("a", "zzz"), ("b", None)], "id string, prediction string"))
+    assert tuple(metrics.entity_accuracy(twice, said).first()) == (1, 3, 1, pytest.approx(1 / 3))
+    none = mentions.union(spark.createDataFrame([("n", None), ("e", [" "])], "id string, mentions array<string>"))
+    assert tuple(metrics.entity_accuracy(none, predictions, skip_empty=True).first()) == (1, 3, 1, pytest.approx(1 / 3))
+    with pytest.raises(Exception, match="no mentions for"):
+        metrics.entity_accuracy(none, predictions).collect()
+    ordered = metrics.last_of(spark.createDataFrame([("a", 2, "x"), ("a", 1, "z")], "id string, n int, v string"), "id", "v", "n")
+    assert ordered.first()["v"] == "x"
     scores = spark.createDataFrame([("a", 0.4), ("a", 0.9)], "id string, score double")
     assert metrics.best_reference_mean(scores, mentions).first() == (1, 2, pytest.approx(0.3))
     assert spark.range(1).select(metrics.harmonic_mean(F.lit(0.0), F.lit(1.0))).first()[0] == 0.0
@@ -118,6 +263,20 @@ def test_scorer_as_a_column(spark):
     frame = spark.createDataFrame([([0.5] * 11,), ([0.0] * 11,)], "f array<double>")
     got = [r["s"] for r in frame.select(model.column("f").alias("s")).collect()]
     assert got == pytest.approx([float(model([0.5] * 11)), 0.0])
+    assert [r["s"] for r in frame.select(model.as_sql("f").alias("s")).collect()] == pytest.approx(got)
+
+
+def test_scorer_is_saved_and_its_gradient_right(tmp_path):
+    model = rerank.ListwiseScorer.fresh(4, seed=3)
+    model.save(str(tmp_path / "m.npz"))
+    again, x = rerank.ListwiseScorer.load(str(tmp_path / "m.npz")), np.random.default_rng(1).normal(size=(5, 11))
+    assert (again(x) == model(x)).all()
+    scores = np.array([0.3, -1.0, 2.0])
+    _, gradient = rerank.listwise_loss(scores, 1)
+    for i in range(3):
+        step = np.eye(3)[i] * 1e-6
+        assert gradient[i] == pytest.approx((rerank.listwise_loss(scores + step, 1)[0] - rerank.listwise_loss(scores - step, 1)[0]) / 2e-6, abs=1e-6)
+    assert rerank.listwise_loss(scores, -1)[0] == 0.0
 
 
 def test_contract_and_independence():
@@ -150,7 +309,7 @@ def test_m_eta_asks_for_every_item(spark, tmp_path):
     spark.createDataFrame([(i, f"word{i} tail") for i in range(60)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(i, f"has word{i % 60} in it", "en") for i in range(120)], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert tuple(catalog.queries()["m_eta"](spark, str(tmp_path)).first()) == (120, 120, 1.0)
+    assert tuple(catalog.queries()["m_eta"](spark, str(tmp_path)).first()) == (120, 120, 0, 1.0)
 
 
 def test_reranker_trains_in_full(spark, monkeypatch):
@@ -158,7 +317,7 @@ def test_reranker_trains_in_full(spark, monkeypatch):
 
     groups = spark.createDataFrame([(i, [[float(i % 7)] * 11, [0.0] * 11], [1, 0], ["a", "b"]) for i in range(900)], "example_id int, numeric_features array<array<double>>, labels array<int>, qids array<string>")
     seen, train = {}, rerank.trained
-    monkeypatch.setattr(entity_queries, "grouped_training_rows", lambda spark, sf_dir: groups)
+    monkeypatch.setattr(entity_queries, "_groups", lambda spark, sf_dir: groups)
 
     def trained(some, **more):
         model, history = train(some, **more)
@@ -174,7 +333,10 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["surface_topk", "align_spans", "dataset_assembly", "kb_build", "translation_prompt", "m_eta", "upsert_antijoin"])
+@pytest.mark.parametrize(
+    "name",
+    ["surface_topk", "align_spans", "dataset_assembly", "dataset_load", "kb_build", "translation_prompt", "pipeline_modes", "gold_memories", "noisy_samples", "fixed_scorer", "evaluation_summary", "m_eta", "completion_labels", "upsert_antijoin"],
+)
 def test_queries_match_sql(spark, name):
     import duckdb
 

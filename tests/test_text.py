@@ -1,11 +1,14 @@
 """Golden cases of normalisation, n-grams, spans, alignment, features, memory and prompts."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as tx
 from lexweave.operators import memory, rerank
-from lexweave.operators.alignment import align
+from lexweave.operators.alignment import align, raw_match
 
 
 def one(spark, column, **values):
@@ -89,3 +92,23 @@ def test_reranker_learns():
     model, history = rerank.trained(groups, epochs=25, rate=1e-2, validate=groups)
     assert history[-1]["loss"] < history[0]["loss"] and max(h["top1"] for h in history) > 0.8
     assert rerank.listwise_loss(np.zeros(3), -1)[0] == 0.0 and model(np.zeros((2, 11))).shape == (2,)
+
+
+def test_raw_matches_are_those_of_a_regular_expression(spark):
+    """Against a search at word boundaries that ignores case, and then one for small letters anywhere."""
+    rng = random.Random(4)
+    parts = ["us", "Us", "a", " ", "-", "é", "É", "x.", "\\E", "(", "σ", "Σ", "ς", "😀", "1", "_", "ſ", "s"]
+    cases = [("".join(rng.choice(parts) for _ in range(rng.randint(1, 12))), "".join(rng.choice(parts[:12]) for _ in range(rng.randint(1, 3)))) for _ in range(400)]
+    cases += [("must go us", "us"), ("must", "us"), ("us must", "US"), ("ΟΔΟΣ", "οδος"), ("Kelvin \u212a", "k"), ("xusx us", "us"), ("", "us")]
+    frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, s string, v string")
+    got = frame.select("i", raw_match(F.col("s"), F.col("v")).alias("m")).orderBy("i").collect()
+    for (source, variant), r in zip(cases, got):
+        word = r"[^\W]"
+        found = re.search(rf"(?<!{word}){re.escape(variant)}(?!{word})", source, re.I)
+        m = r["m"]
+        if found:
+            assert (m["kind"], m["start"], m["matched_text"]) == ("boundary_exact", found.start(), found[0]), (source, variant)
+        elif (at := source.lower().find(variant.lower())) >= 0 and len(source.lower()) == len(source):
+            assert (m["kind"], m["start"], m["matched_text"]) == ("substring", at, source[at : at + len(variant)]), (source, variant)
+        else:
+            assert m is None, (source, variant)
