@@ -92,3 +92,20 @@ def with_gold(found: DataFrame, examples: DataFrame, kb: DataFrame) -> DataFrame
     last = found.groupBy("example_id").agg(F.max("rank").alias("_last"))
     rescued = missing.join(last, "example_id", "left").withColumn("rank", F.coalesce("_last", F.lit(0)) + 1).drop("_last")
     return found.unionByName(rescued.select(*found.columns))
+
+
+def training_rows(examples: DataFrame, kb: DataFrame, max_negatives: int = 8, rescue: bool = False, **more: object) -> DataFrame:
+    """Candidates to train a scorer on: each example's gold one (label 1) and its hardest others, with ``f_`` features and places.
+
+    No span is passed, as there is none in training: candidates are compared with their own.  rescue: a usable gold
+    entity that wasn't found is added.  more: as for ``retrieval.candidates``.
+    """
+    found = retrieval.candidates(examples, kb, **more)
+    rows = aligned(with_gold(found, examples, kb) if rescue else found, examples).withColumn("_score", F.col("span.match_score"))
+    rows = rows.withColumns({f"f_{k}": v for k, v in rerank.features("source", "span_text", "_score").items()})
+    return rerank.hard_negatives(rows.withColumns({c: F.round(f"f_{c}", 6) for c in ("surface_overlap_score", "span_match_score")}), F.col("gold_qid"), max_negatives)
+
+
+def training_groups(examples: DataFrame, kb: DataFrame, max_negatives: int = 8, **more: object) -> DataFrame:
+    """(example_id, numeric_features, labels, qids): the rows to train on, one for each example."""
+    return rerank.grouped(training_rows(examples, kb, max_negatives, **more).withColumn("features", rerank.vector(feature_columns())))

@@ -159,10 +159,7 @@ def completion_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of each order to train on; without a passed span, as it isn't known in training."""
-    rows = _aligned(spark, sf_dir).withColumn("_score", F.col("span.match_score"))
-    rows = rows.withColumns({f"f_{k}": v for k, v in rerank.features("source", "span_text", "_score").items()})
-    return rerank.hard_negatives(rows.withColumns({c: F.round(f"f_{c}", 6) for c in ("surface_overlap_score", "span_match_score")}), F.col("gold_qid"))
+    return linking.training_rows(order_examples(spark, sf_dir), part_kb(spark, sf_dir))
 
 
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +174,7 @@ def grouped_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.grouped(_hard(spark, sf_dir).withColumn("features", rerank.vector(linking.feature_columns()))).select("example_id", "numeric_features", "labels", "qids")
+    return linking.training_groups(order_examples(spark, sf_dir), part_kb(spark, sf_dir))
 
 
 def reranker_mlp(spark: SparkSession, sf_dir: str, fit_groups: int = 2_000) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +76,37 @@ def entity_terms(documents: DataFrame, languages: list[str] | None = None) -> Da
     return every if languages is None else every.where(F.col("lang_code").isin(languages))
 
 
-def jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
-    """A table of a database; predicates and columns are pushed down by Spark's reader."""
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+def entities(train: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """(qid, popularity_score) of all distinct entities of both feeds, their popularity unknown."""
+    every = train.select(F.explode("entities").alias("qid")).union(evaluation.select("wikidata_id")).select(tx.safe("qid").alias("qid"))
+    return every.where("qid <> ''").distinct().select("qid", F.lit(None).cast("double").alias("popularity_score"))
+
+
+def jdbc_options(env: Mapping[str, str]) -> dict[str, str]:
+    """Options of a MySQL database from settings DB_HOST, DB_PORT (3306), DB_USER, DB_PASSWORD and DB_NAME."""
+    missing = [k for k in ("DB_HOST", "DB_NAME") if not env.get(k)]
+    if missing:
+        raise ValueError(f"settings lack {', '.join(missing)}")
+    given = {"user": env.get("DB_USER"), "password": env.get("DB_PASSWORD")}
+    return {"url": f"jdbc:mysql://{env['DB_HOST']}:{int(env.get('DB_PORT') or 3306)}/{env['DB_NAME']}?characterEncoding=UTF-8"} | {k: v for k, v in given.items() if v is not None}
+
+
+def jdbc(spark: SparkSession, name: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A table of a database; predicates and columns are pushed down by Spark's reader.
+
+    partition: a numeric column, its bounds and into how many parts it is read; without it one task reads the table.
+    """
+    reader = spark.read.format("jdbc").options(dbtable=name, **options)
+    if partition is not None:
+        column, low, high, parts = partition
+        reader = reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
+    return reader.load()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on whatever file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def prediction_records(predictions: DataFrame) -> DataFrame:

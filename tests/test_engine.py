@@ -12,7 +12,7 @@ from lexweave.functions.slots import generate_halving, generated_frame, scored_f
 from lexweave.functions import text as tx
 from lexweave.operators import evaluation, linking, metrics, rerank, retrieval, samples
 from lexweave.sources import dataset, files, runs
-from lexweave.streaming.ingest import ingest
+from lexweave.streaming.ingest import append_missing, ingest
 
 KB = "qid string, target_lang string, label_en string, aliases_en array<string>, target_label string, target_aliases array<string>, entity_type string, description string, language_available boolean, popularity double, surfaces array<string>"
 
@@ -213,6 +213,8 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in files.train_examples(train, "ko").select("example_id", "gold_qid").collect()] == [("t1::0", "Q1"), ("t1::1", "Q2")]
     assert files.references(train, val).count() == 3 and files.example_entities(train, val).count() == 3
     assert [tuple(r) for r in files.entity_types(val).collect()] == [("Q3", "T")]
+    assert sorted(tuple(r) for r in files.entities(train, val).collect()) == [("Q1", None), ("Q2", None), ("Q3", None)]
+    assert [tuple(r) for r in files.validation_examples(val, "ko").select("example_id", "gold_qid").collect()] == [("v1", "Q3")] and not files.validation_examples(val, "de").count()
     assert [r["qid"] for r in files.qid_locale_pairs(train, val).collect()] == ["Q1", "Q2", "Q3"]
     (tmp_path / "w.json").write_text(json.dumps({"entities": {"Q1": {"labels": {"ko": {"value": "파리"}}, "aliases": {"ko": [{"value": "a"}, {"value": "b"}]}}, "Q2": {"missing": ""}}}), encoding="utf-8")
     assert files.entity_terms(spark.read.schema(files.ENTITIES).json(str(tmp_path / "w.json")), ["ko"]).count() == 3
@@ -246,6 +248,46 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_ingest_survives_a_half_written_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], "id int, v string")
+    write = append_missing(str(tmp_path / "out"), ["id"], "r")
+    write(rows.where("id = 1"), 0)
+    write(rows.where("id > 1"), 1)
+    part = next((tmp_path / "out" / "ingest_run=r" / "ingest_batch=1").glob("part-*.parquet"))
+    part.unlink()  # as if the batch had been cut off
+    write(rows.where("id > 1"), 1)
+    write(rows, 2)
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def score_by_length(sources, references, predictions):
+    return [min(1.0, len(p) / 10) for p in predictions]
+
+
+def test_evaluation_from_the_command_line(spark, tmp_path):
+    from lexweave import evaluate
+
+    spark.createDataFrame([(1, "validation", "en", "ko", "s"), (2, "validation", "en", "de", "s"), (3, "test", "en", "ko", "s")], "example_id int, split string, source_locale string, target_locale string, source string").write.parquet(str(tmp_path / "t" / "examples"))
+    spark.createDataFrame([(1, 1, "x", "Seoul", 0), (2, 2, "y", "Berlin", 0)], "reference_id int, example_id int, translation_text string, mention_text string, reference_order int").write.parquet(str(tmp_path / "t" / "references"))
+    spark.createDataFrame([(1, "Q1", 0), (2, "Q2", 0)], "example_id int, qid string, entity_order int").write.parquet(str(tmp_path / "t" / "entities"))
+    spark.createDataFrame([("Q1", "City")], "qid string, type_text string").write.parquet(str(tmp_path / "t" / "types"))
+    spark.createDataFrame([], "term_id int, qid string, lang_code string, term_type string, term_text string").write.parquet(str(tmp_path / "t" / "terms"))
+    files.write_json_lines(spark.createDataFrame([("1", "in seoul")], "id string, prediction string"), str(tmp_path / "predictions"))
+    runs.write_json(spark, {"eval_split": "validation", "target_locale": "ko"}, str(tmp_path / "summary.json"))
+    common = ["--tables", str(tmp_path / "t"), "--predictions", str(tmp_path / "predictions"), "--score", f"{__name__}:score_by_length"]
+    got = evaluate.main([*common, "--summary", str(tmp_path / "summary.json")], spark)
+    assert (got["correct"], got["total"], got["comet"], got["settings"]["target_locale"]) == (1, 1, pytest.approx(0.8), "ko")
+    assert runs.read_json(spark, str(tmp_path / "predictions_metrics.json"))["total"] == 1
+    assert evaluate.main([*common, "--metrics", str(tmp_path / "m.json")], spark)["total"] == 2
+
+
+def test_databases_are_named_by_settings():
+    found = files.jdbc_options({"DB_HOST": "h", "DB_NAME": "n", "DB_USER": "u"})
+    assert found == {"url": "jdbc:mysql://h:3306/n?characterEncoding=UTF-8", "user": "u"}
+    with pytest.raises(ValueError, match="DB_HOST"):
+        files.jdbc_options({"DB_NAME": "n"})
+
+
 def test_slots(spark):
     def small(prompts):
         if len(prompts) > 2:
