@@ -67,6 +67,14 @@ def align_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir).select("example_id", "qid", F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"), "span.matched_text", "span.match_kind", "span.match_score")
 
 
+def align_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a part of their second word, and their fifth word in capitals as an alias: matches inside words, and none."""
+    word = lambda n: F.coalesce(F.get(F.split(F.coalesce("text", F.lit("")), " "), n), F.lit(""))
+    large = F.translate(word(4), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    rows = read(spark, sf_dir, "documents").select("doc_id", align("text", F.substring(word(1), 2, 3), F.array(large)).alias("span"))
+    return rows.select("doc_id", F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"), "span.matched_text", "span.match_kind", "span.match_score")
+
+
 def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.featured(_aligned(spark, sf_dir))
 
@@ -365,7 +373,7 @@ def nation_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     normalize_surface, span_ngrams, surface_index, ambiguity_count, surface_topk, surface_topk_ambiguous, anchored_lookup, retrieve_top1, candidate_list, align_spans,
     rerank_features, rerank_heuristic, margin_to_next, entity_memory_text, translation_prompt, plain_prompt, noisy_memory, sft_samples, chat_messages, completion_labels,
-    pipeline_modes, gold_memories, plain_samples, noisy_samples, feature_records, fixed_scorer, legacy_spans, evaluation_summary, mention_sets, dataset_load, dataset_load_first,
+    align_variants, pipeline_modes, gold_memories, plain_samples, noisy_samples, feature_records, fixed_scorer, legacy_spans, evaluation_summary, mention_sets, dataset_load, dataset_load_first,
     hard_negatives, grouped_training_rows, reranker_mlp, retrieval_recall, reranker_mrr, m_eta, comet_aggregate, harmonic_final, prediction_records, dataset_assembly,
     ordered_distinct, kb_build, upsert_antijoin, custom_term_order, explode_entities, event_keys, filtered_orders, nation_regions,
 )

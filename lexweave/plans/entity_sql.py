@@ -206,6 +206,17 @@ SQL = {
     "dataset_assembly": ASSEMBLY.format(where=""),
     "dataset_load": ASSEMBLY.format(where="WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"),
     "dataset_load_first": ASSEMBLY.format(where="WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 100)"),
+    # RE2 has no lookbehind: what is before a match at boundaries is empty or ends in a character that is no word's.
+    "align_variants": rf"""WITH d AS (SELECT doc_id, {strip('text')} AS source, string_split(coalesce(text, ''), ' ') AS w FROM documents),
+      v AS (SELECT doc_id, source, unnest([0, 1]) AS nth, unnest([substr(coalesce(w[2], ''), 2, 3), translate(coalesce(w[5], ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')]) AS raw FROM d),
+      n AS (SELECT doc_id, source, nth, {strip('raw')} AS variant, {norm('raw')} AS surface FROM v),
+      ok AS (SELECT * FROM n WHERE length(surface) >= 2 AND regexp_matches(surface, '\p{{L}}') QUALIFY row_number() OVER (PARTITION BY doc_id, surface ORDER BY nth) = 1),
+      p AS (SELECT *, '(?s)^((?:.*?[^\p{{L}}\p{{N}}_])??)' || regexp_escape(lower(variant)) || '(?:$|[^\p{{L}}\p{{N}}_])' AS pattern FROM ok),
+      m AS (SELECT *, regexp_matches(lower(source), pattern) AS bounded, length(regexp_extract(lower(source), pattern, 1)) AS pos, strpos(lower(source), lower(variant)) - 1 AS loose FROM p),
+      f AS (SELECT doc_id, source, length(variant) AS len, CASE WHEN bounded THEN pos WHEN loose >= 0 THEN loose END AS start, bounded FROM m WHERE bounded OR loose >= 0),
+      b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY bounded DESC, len DESC, start) = 1)
+      SELECT doc_id, start::INT AS span_start, (start + len)::INT AS span_end, substr(b.source, (start + 1)::BIGINT, len) AS matched_text, CASE WHEN bounded THEN 'boundary_exact' WHEN start IS NOT NULL THEN 'substring' END AS match_kind,
+        CASE WHEN bounded THEN 1.0 WHEN start IS NOT NULL THEN 0.85 END::DOUBLE AS match_score FROM d LEFT JOIN (SELECT doc_id, source, len, start, bounded FROM b) b USING (doc_id)""",
     "pipeline_modes": " UNION ALL ".join([
         mode_query("anchored", "SELECT * FROM cand WHERE rank = 1", cand=ONLY_ANCHORED), mode_query("surface", "SELECT * FROM cand WHERE rank = 1", cand=ONLY_SURFACE),
         mode_query("retrieve", "SELECT * FROM cand WHERE rank = 1"), mode_query("rerank", "SELECT * FROM rr WHERE final_rank = 1", SPANS, FEATURED),
