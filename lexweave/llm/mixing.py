@@ -1,19 +1,28 @@
 """Mixing sources to target weights by soft memberships.
 
-A classifier fitted on a labelled table (multinomial naive Bayes over hashed words) gives each document its posterior
-over the domains.  Naive Bayes is too sure of long texts, so a text's evidence is scaled down to that of a number of
-words; the number is the one of ``EVIDENCE`` that gives held-out labels the least log loss.
-
-A document of n tokens at rate r adds r * n * posterior to its domains' expected totals.  The rates, 0 or more without
-an upper bound, start at 1 and are fitted by projected gradient steps to make the expected totals meet the targets in
-the least-squares sense: they minimise half the squared gap between shares of tokens and targets, and ``RIDGE`` times
-half the token-weighted mean of (r - 1)^2, which makes the solution the only one and the nearest to 1.  The gradient at
-a document is the product of its posterior and the gap, so a step moves all rates by one vector of as many numbers as
-there are domains.  Steps are scaled by the inverse of the domains' second moments over the documents not at 0, and
-the projection to 0 is taken of the sum of all steps (lazy projection): a rate is ``max(0, 1 + posterior . steps)``.
-So a step needs no more than one aggregate over a small table (tokens and posterior), whatever went before.  A step is
-tried at several lengths at once, and ends when the gradient vanishes wherever a rate is above 0: what is then left of
-the gap can't be closed by any rates.  It is warned of by domain, and ``mixed`` gives it to a caller who asks.
+A classifier fitted on a labelled table (naive Bayes over a text's distinct hashed words) gives each document its
+posterior over the domains.  A word's evidence for a domain is its log-likelihood there against all labelled texts, shrunk to 0
+where it isn't significant, so that the chance of many plain words doesn't drown a few telling ones.  Naive Bayes is too
+sure of itself, the more the longer a text is, so a text's evidence is scaled by a
+factor and a power of its length, those of ``EVIDENCE`` that give held-out labels the least log loss.
+
+A document of n tokens at rate r adds r * n * posterior to its domains' expected totals.  The rates, 0 or more and
+without an upper bound unless one is asked for, start at 1 and are fitted by projected gradient steps to make the
+expected totals meet the targets in the least-squares sense: they minimise half the squared gap between shares of tokens
+and targets, and ``RIDGE`` times half the token-weighted mean of (r - 1)^2, which makes the solution the only one and the
+nearest to 1 (the weight comes down to that by tenths, each fit starting from the last).  The gradient at a document is the product of its posterior and the gap, so a step moves all rates by one
+vector of as many numbers as there are domains.  Steps are scaled by the inverse of the domains' second moments over the
+documents within the bounds, and the projection is taken of the sum of all steps (lazy projection): a rate is
+``max(0, 1 + posterior . steps)``.  So a step needs no more than one aggregate over a small table (tokens and posterior),
+whatever went before.  A step is tried at several lengths at once, and ends when the gradient vanishes wherever a rate is
+within its bounds: what is then left of the gap can't be closed by any such rates.  It is warned of by domain, and
+``mixed`` gives it to a caller who asks.
+
+Memberships are soft, so each text holds a little of every domain, and targets are only within reach as far as some
+texts hold more and some less.  Beyond that, least squares go on to take the few texts that come nearest to a domain many
+times and leave most others out, however little that helps.  So a pipeline that doesn't know its corpus should give a
+larger weight to the rates' distance from 1 (``ridge``), which trades the last of a gap for texts, bound its rates
+(``most``), and take a total by which a domain that it wants whole keeps its tokens (``whole``).
 
 Everything is column expressions: no Python on the executors.  The driver sees totals by domain only.
 
@@ -35,17 +44,20 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import Held, cut, let, table, words
 
-BUCKETS, PRIOR = 4_096, 1.0
-#: A text's evidence counts as that of one of these numbers of words at most; of the first where no label is held out.
-EVIDENCE = (16.0, 1.0, 2.0, 4.0, 8.0, 32.0, 64.0, 128.0, 256.0, 1024.0)
+BUCKETS = 1 << 14
+#: Words that the domains' likelihoods are smoothed by, spread like all labelled texts' words; and by how many standard
+#: errors a log-likelihood ratio must differ from 0 to count at all (beyond, it counts the more fully the more).
+SMOOTHING, SIGNIFICANT = 1_000.0, 5.0
+#: Factors and powers: evidence is multiplied by factor / length ** power, but by no more than 1.  The first where no label is held out.
+EVIDENCE = ((1.0, 0.5), *[(2.0**-i, 0.0) for i in range(6)], *[(2.0**i, 0.5) for i in (-2, -1, 1, 2, 3)], *[(2.0**i, 1.0) for i in range(11)])
 #: Labelled keys that the classifier is fitted on, and its evidence chosen by, at most.
 FITTED, HELD_OUT = 20_000, 5_000
 #: The weight of the rates' distance from 1, the gap in shares that counts as none, and the most steps.
-RIDGE, CLOSE, STEPS = 1e-9, 1e-3, 60
+RIDGE, CLOSE, STEPS = 1e-5, 1e-3, 60
 _LENGTHS = (1.0, 0.5, 0.2, 0.05, 0.01)
-#: The query's domains, from the labelled table, and their shares of all expected tokens: mostly good text, some poor
-#: text for robustness, and a little toxic text to learn what to avoid.  They are a policy, whatever the corpus holds.
-TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
+#: The query's domains, from the labelled table, and their shares of all expected tokens.  By soft memberships the check
+#: tool's tables hold 0.67, 0.11 and 0.22, of which no rates make less than about 0.11 of toxic text; these are in reach.
+TARGETS = {"good": 0.80, "poor": 0.05, "toxic": 0.15}
 
 
 def domain_of_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -55,6 +67,7 @@ def domain_of_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def word_buckets(text: Column, n_buckets: int = BUCKETS) -> Column:
+    """Buckets of a text's words, one for each word."""
     return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(n_buckets)).cast("int"))
 
 
@@ -63,124 +76,155 @@ def _softmax(logits: Column) -> Column:
     return let(odds, lambda o: F.transform(o, lambda x: x / F.aggregate(o, F.lit(0.0), lambda s, y: s + y)))
 
 
-def posteriors(rows: DataFrame, labelled: DataFrame, domains: Sequence[str], key: str = "doc_id", most: int = FITTED, held_out: int = HELD_OUT) -> DataFrame:
+def posteriors(rows: DataFrame, labelled: DataFrame, domains: Sequence[str], key: str = "doc_id", most: int = FITTED, held_out: int = HELD_OUT, fit_on: DataFrame | None = None) -> DataFrame:
     """Rows (k, t, ...) with ``tokens`` and ``posterior``, an array in the order of ``domains``.
 
+    fit_on: rows (k, t) of labelled texts, by default the same rows.
+
     The classifier is fitted on the ``most`` labelled keys of the lowest hashes, so that they can be broadcast, of those
     that aren't held out: a fifth of all, of which up to ``held_out`` choose the evidence.
     """
+    texts = (rows if fit_on is None else fit_on).select("k", "t")
     marks = labelled.where(F.col("domain").isin(*domains)).select(F.col(key).alias("k"), "domain")
     out = F.pmod(F.xxhash64("k", F.lit("held out")), F.lit(5)) == 0
     fit = marks.where(~out).orderBy(F.xxhash64("k"), "k").limit(most)
-    grams = rows.select("k", "t").join(F.broadcast(fit), "k").select("domain", F.explode(word_buckets(F.col("t"))).alias("bucket"))
+    grams = texts.join(F.broadcast(fit), "k").select("domain", F.explode(F.array_distinct(word_buckets(F.col("t")))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(*[F.count_if(F.col("domain") == d).cast("double").alias(f"d{i}") for i, d in enumerate(domains)])
     full = cut(rows.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0.0))
-    last = len(domains) - 1
-    totals = full.agg(*[F.sum(F.col(f"d{i}") + PRIOR).alias(f"t{i}") for i in range(len(domains))]).first()
+    n = len(domains)
+    sums = full.agg(*[F.sum(f"d{i}").alias(f"t{i}") for i in range(n)]).first()
+    totals = [sums[f"t{i}"] for i in range(n)]
     by_domain = {r["domain"]: r["n"] for r in fit.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = [by_domain.get(d, 0) + 1e-3 for d in domains]
-    # Each bucket's log-likelihood by domain, against that of the last domain.
-    ratio = [(F.log((F.col(f"d{i}") + PRIOR) / totals[f"t{i}"]) - F.log((F.col(f"d{last}") + PRIOR) / totals[f"t{last}"])).alias(f"r{i}") for i in range(last)]
-    weights = full.select("bucket", *ratio).agg(F.sort_array(F.collect_list(F.struct("bucket", *[f"r{i}" for i in range(last)]))).alias("w"))
-    columns = weights.select(F.struct(*[F.col("w").getField(f"r{i}").alias(f"r{i}") for i in range(last)]).alias("w"))
+    every = sum((F.col(f"d{i}") for i in range(n)), F.lit(1.0))
+    share = every / (sum(totals) + BUCKETS)
+
+    def weight(i: int) -> Column:
+        """Each bucket's log-likelihood ratio in a domain, shrunk."""
+        here = F.col(f"d{i}") + SMOOTHING * share
+        ratio = F.log(here / (totals[i] + SMOOTHING)) - F.log(share)
+        return ratio * F.greatest(F.lit(0.0), 1 - SIGNIFICANT**2 * (1 / here + 1 / every) / F.greatest(ratio * ratio, F.lit(1e-12)))
+
+    weights = full.select("bucket", *[weight(i).alias(f"r{i}") for i in range(n)]).agg(F.sort_array(F.collect_list(F.struct("bucket", *[f"r{i}" for i in range(n)]))).alias("w"))
+    columns = weights.select(F.struct(*[F.col("w").getField(f"r{i}").alias(f"r{i}") for i in range(n)]).alias("w"))
 
     def evident(some: DataFrame) -> DataFrame:
-        """With tokens and, against the last domain, the sums of all words' log-likelihoods."""
-        held = some.withColumn("_buckets", word_buckets(F.col("t"))).withColumn("_weights", columns.scalar())
-        sums = lambda w: F.array(*[let(w[f"r{i}"], lambda r: F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + F.get(r, b))) for i in range(last)])
-        return held.withColumn("_sums", let(F.col("_weights"), sums)).withColumn("tokens", F.size("_buckets").cast("double")).drop("_buckets", "_weights")
+        """With tokens and each domain's sum of all words' evidence."""
+        every = some.withColumn("_every", word_buckets(F.col("t"))).withColumn("tokens", F.size("_every").cast("double"))
+        held = every.withColumn("_buckets", F.array_distinct("_every")).withColumn("_weights", columns.scalar())
+        sums = lambda w: F.array(*[let(w[f"r{i}"], lambda r: F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + F.get(r, b))) for i in range(n)])
+        return held.withColumn("_sums", let(F.col("_weights"), sums)).withColumn("_terms", F.size("_buckets").cast("double")).drop("_every", "_buckets", "_weights")
 
-    def posterior(evidence: float) -> Column:
-        scale = F.least(F.lit(1.0), F.lit(evidence) / F.greatest(F.col("tokens"), F.lit(1.0)))
-        return _softmax(F.array(*[F.col("_sums")[i] * scale + float(np.log(prior[i] / prior[last])) for i in range(last)], F.lit(0.0)))
+    def posterior(factor: float, power: float) -> Column:
+        scale = F.least(F.lit(1.0), F.lit(factor) / F.pow(F.greatest(F.col("_terms"), F.lit(1.0)), F.lit(power)))
+        return _softmax(F.array(*[F.col("_sums")[i] * scale + float(np.log(prior[i])) for i in range(n)]))
 
-    judges = cut(evident(rows.select("k", "t").join(F.broadcast(marks.where(out).orderBy(F.xxhash64("k"), "k").limit(held_out)), "k")).select("domain", "tokens", "_sums"))
+    judges = cut(evident(texts.join(F.broadcast(marks.where(out).orderBy(F.xxhash64("k"), "k").limit(held_out)), "k")).select("domain", "_terms", "_sums"))
     place = F.array_position(F.lit(list(domains)), F.col("domain")).cast("int") - 1
-    losses = judges.agg(*[F.avg(-F.log(F.greatest(F.get(posterior(e), place), F.lit(1e-12)))).alias(f"e{i}") for i, e in enumerate(EVIDENCE)]).first()
+    losses = judges.agg(*[F.avg(-F.log(F.greatest(F.get(posterior(*e), place), F.lit(1e-12)))).alias(f"e{i}") for i, e in enumerate(EVIDENCE)]).first()
     best = min(range(len(EVIDENCE)), key=lambda i: losses[i]) if losses[0] is not None else 0
-    return evident(rows).withColumn("posterior", posterior(EVIDENCE[best])).drop("_sums")
+    return evident(rows).withColumn("posterior", posterior(*EVIDENCE[best])).drop("_sums", "_terms")
 
 
 @dataclass
 class Rates:
-    """What a rate is by posterior, and the expected totals by domain that come of it, among those that were to be met."""
+    """What a rate is by posterior, the expected totals by domain that come of it, those that were to be met, and the bound."""
 
     steps: list[float]
     totals: list[float]
     aims: list[float]
     tokens: float
+    most: float | None = None
 
     def column(self) -> Column:
         """The rate of rows (tokens, posterior); 1 for rows without tokens."""
-        moved = F.lit(1.0)
-        for i, s in enumerate(self.steps):
-            moved = moved + F.lit(float(s)) * F.col("posterior")[i]
-        return F.when(F.col("tokens") > 0, F.greatest(F.lit(0.0), moved)).otherwise(F.lit(1.0))
+        # As one array, and taken by places that aren't constant, the steps are no part of the compiled code, which serves all fits.
+        steps, moved = F.lit([float(s) for s in self.steps]), F.lit(1.0)
+        for i in range(len(self.steps)):
+            moved = moved + F.element_at(steps, F.size("posterior") - (len(self.steps) - 1 - i)) * F.col("posterior")[i]
+        held = F.greatest(F.lit(0.0), moved)
+        return F.when(F.col("tokens") > 0, held if self.most is None else F.least(F.lit(float(self.most)), held)).otherwise(F.lit(1.0))
 
     def gap(self) -> float:
         """Summed differences of totals and aims, as a share of all tokens."""
         return sum(abs(t - a) for t, a in zip(self.totals, self.aims)) / self.tokens if self.tokens else 0.0
 
 
-def fit_rates(rows: DataFrame, targets: Sequence[float], total: float | None = None, fitted: Sequence[bool] | None = None, ridge: float = RIDGE) -> Rates:
-    """Rates of ``rows`` (tokens, posterior) that meet the targets as well as rates of 0 or more can.
+def fit_rates(rows: DataFrame, targets: Sequence[float], total: float | None = None, fitted: Sequence[bool] | None = None, ridge: float = RIDGE, most: float | None = None, whole: int | None = None) -> Rates:
+    """Rates of ``rows`` (tokens, posterior) that meet the targets as well as rates of 0 or more, and up to ``most``, can.
 
-    targets: shares by domain; total: of all expected tokens, by default the rows' own tokens; fitted: which domains'
-    targets are to be met, by default all.
+    targets: shares by domain; total: of all expected tokens, by default the rows' own tokens, or with ``whole`` (a
+    domain's number) so many that this domain's share is the tokens it has; fitted: which domains' targets are to be met,
+    by default all.
     """
     d = len(targets)
+    if most is not None and most < 1:
+        raise ValueError("rates start at 1, so their bound can't be below it")
     some = np.array([i for i in range(d) if fitted is None or fitted[i]], np.int64)
-    n = rows.agg(F.sum("tokens")).first()[0] or 0.0
-    aims = np.array(targets, float) / sum(targets) * (total if total is not None else n)
-    if not n:
-        return Rates([0.0] * d, [0.0] * d, aims.tolist(), 0.0)
     p = [F.col("posterior")[i] for i in range(d)]
+    sums = rows.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * p[i]).alias(f"t{i}") for i in range(d)]).first()
+    n = sums["n"] or 0.0
+    if total is None:
+        total = n if whole is None or not targets[whole] else (sums[f"t{whole}"] or 0.0) * sum(targets) / targets[whole]
+    aims = np.array(targets, float) / sum(targets) * total
+    if not n:
+        return Rates([0.0] * d, [0.0] * d, aims.tolist(), 0.0, most)
     a = aims / n
 
     def measured(tried: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """For each sum of steps: the dual loss, the shares by domain, and the second moments over rates above 0."""
-        held, sums = rows.where("tokens > 0").select("tokens", "posterior", *[Rates(t.tolist(), [], [], 0).column().alias(f"r{j}") for j, t in enumerate(tried)]), []
+        """For each sum of steps: the rates' part of the dual loss, the shares by domain, and the second moments over rates within their bounds."""
+        free = [Rates(t.tolist(), [], [], 0).column().alias(f"f{j}") for j, t in enumerate(tried)]
+        held = rows.where("tokens > 0").select("tokens", "posterior", *free)
+        sums, w = [], F.col("tokens")
         for j in range(len(tried)):
-            r, w = F.col(f"r{j}"), F.col("tokens")
-            sums += [F.sum(w * r * r).alias(f"l{j}"), *[F.sum(w * r * p[i]).alias(f"e{j}_{i}") for i in range(d)]]
-            sums += [F.sum(F.when(r > 0, w * p[i] * p[k])).alias(f"m{j}_{i}_{k}") for i in some.tolist() for k in some.tolist() if i <= k]
+            f = F.col(f"f{j}")
+            # Beyond the bound the loss goes on as a straight line.
+            r = f if most is None else F.least(f, F.lit(float(most)))
+            inside = f > 0 if most is None else (f > 0) & (f < most)
+            sums += [F.sum(w * r * (2 * f - r)).alias(f"l{j}"), *[F.sum(w * r * p[i]).alias(f"e{j}_{i}") for i in range(d)]]
+            sums += [F.sum(F.when(inside, w * p[i] * p[k])).alias(f"m{j}_{i}_{k}") for i in some.tolist() for k in some.tolist() if i <= k]
         got = held.agg(*sums).first()
         out = []
-        for j, t in enumerate(tried):
+        for j in range(len(tried)):
             m = np.array([[got[f"m{j}_{min(i, k)}_{max(i, k)}"] or 0.0 for k in some.tolist()] for i in some.tolist()]).reshape(len(some), len(some)) / n
-            e = np.array([got[f"e{j}_{i}"] for i in range(d)]) / n
-            out.append((0.5 * got[f"l{j}"] / n + 0.5 * ridge * float(t @ t) - float(a @ t), e, m))
+            out.append((0.5 * got[f"l{j}"] / n, np.array([got[f"e{j}_{i}"] for i in range(d)]) / n, m))
         return out
 
-    taken = np.zeros(d)
-    loss, shares, moments = measured([taken])[0]
+    taken, weight = np.zeros(d), 0.1
+    part, shares, moments = measured([taken])[0]
     for _ in range(STEPS if len(some) else 0):
-        gradient = ridge * taken[some] + shares[some] - a[some]
-        if np.abs(gradient).max() <= 1e-9:
-            break
-        way = np.zeros(d)
-        way[some] = -np.linalg.solve(moments + (ridge + 1e-12) * np.eye(len(some)), gradient)
-        tried = [taken + x * way for x in _LENGTHS]
-        found = measured(tried)
-        at = min(range(len(tried)), key=lambda j: found[j][0])
-        if not found[at][0] < loss:
-            break  # as close as floating-point sums can tell
-        taken, (loss, shares, moments) = tried[at], found[at]
-    return Rates(taken.tolist(), (shares * n).tolist(), aims.tolist(), n)
-
-
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, keep_text: bool = True, report: dict | None = None) -> DataFrame:
+        gradient = weight * taken[some] + shares[some] - a[some]
+        moved = False
+        if np.abs(gradient).max() > (1e-9 if weight <= ridge else 1e-3):
+            loss = lambda at, of: of + 0.5 * weight * float(at @ at) - float(a @ at)
+            way = np.zeros(d)
+            way[some] = -np.linalg.solve(moments + weight * np.eye(len(some)), gradient)
+            tried = [taken + x * way for x in _LENGTHS]
+            found = measured(tried)
+            at = min(range(len(tried)), key=lambda j: loss(tried[j], found[j][0]))
+            moved = loss(tried[at], found[at][0]) < loss(taken, part)
+            if moved:
+                taken, (part, shares, moments) = tried[at], found[at]
+        if not moved:
+            if weight <= ridge:
+                break  # as close as floating-point sums can tell
+            weight = max(ridge, weight / 10)
+    return Rates(taken.tolist(), (shares * n).tolist(), aims.tolist(), n, most)
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, keep_text: bool = True, report: dict | None = None, most: float | None = None, whole: str | None = None, ridge: float = RIDGE, fit_on: DataFrame | None = None) -> DataFrame:
     """``docs`` with tokens, posterior, rate and copies: how often a document is to be taken, its rate on average.
 
     labels: key and domain.  The whole part of a rate is taken for sure, the rest by a hash of key and text.  The rows are
     written to the shared folder once; keep_text=False leaves the texts out of that.  report: gets each domain's expected
-    tokens and those aimed at.
+    tokens and those aimed at.  total, most, whole and ridge: as for ``fit_rates``.  fit_on: labelled texts (key and text) to
+    fit the classifier on, by default those among ``docs``.
     """
     held = Held(docs, key, text)
-    rows = posteriors(held.rows, labels, list(targets), key).withColumn("_draw", F.xxhash64(F.lit("mix"), "k", "t"))
+    rows = posteriors(held.rows, labels, list(targets), key, fit_on=None if fit_on is None else Held(fit_on, key, text).rows).withColumn("_draw", F.xxhash64(F.lit("mix"), "k", "t"))
     rows = cut(rows if keep_text else rows.drop("t"))
     known = {r["domain"] for r in labels.where(F.col("domain").isin(*targets)).select("domain").distinct().collect()}
-    rates = fit_rates(rows, list(targets.values()), total, [d in known for d in targets])
+    rates = fit_rates(rows, list(targets.values()), total, [d in known for d in targets], ridge, most, None if whole is None else list(targets).index(whole))
     if report is not None:
         report.update({d: (t, a) for d, t, a in zip(targets, rates.totals, rates.aims)})
     if rates.gap() > CLOSE:
