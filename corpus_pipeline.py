@@ -22,6 +22,9 @@ from lexweave.llm.quality import quality_verdicts
 from lexweave.llm.sharding import shard_records
 
 SHARDS = 16
+#: A document is taken so often at most: up to four passes over a text are about as good for training as new text.  And
+#: the weight of the rates' distance from 1: the mix misses its targets rather than leave many good documents out.
+MOST_COPIES, KEEPING = 4.0, 0.05
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +52,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say."""
+    """Documents as often as their rates say.
+
+    The quality rules leave little of the poor domain, so good text is kept whole, and the other domains come as near to
+    their targets beside it as that allows.  The classifier is fitted on labelled texts of the whole table.
+    """
     held, labels = Held(docs, "doc_id", "text"), domain_of_labels(table(spark, sf_dir, "labels"))
-    rated = mixed(held.rows, labels.withColumnRenamed("doc_id", "k"), TARGETS, key="k", text="t").where("copies > 0")
+    labelled = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("t"))
+    rated = mixed(held.rows, labels.withColumnRenamed("doc_id", "k"), TARGETS, key="k", text="t", most=MOST_COPIES, whole="good", ridge=KEEPING, fit_on=labelled).where("copies > 0")
     return held.back(rated.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))))
 
 
