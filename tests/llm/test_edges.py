@@ -1,7 +1,10 @@
 """Edge cases of every operator and stage: clashing columns, repeated rows, nulls, empty tables and very long texts."""
 
+import hashlib
 import random
 import time
+import zlib
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
@@ -178,7 +181,7 @@ def test_queries_return_their_contract(spark, tmp_path):
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     five = {r["doc_id"]: r for r in found["op2"]}
-    said = f"email:5:13,phone:22:37"
+    said = "email:5:13,phone:22:37"
     assert five[5]["spans"] == said and five[5]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest() and five[5]["n_pii"] == 2
     assert {r["doc_id"]: r["spans"] for r in found["op3"]}[6] == "assign:0:24"
     assert {r["doc_id"]: r["contaminated"] for r in found["op1"]} == {i: i in (4, 5) for i in range(8)}
@@ -238,3 +241,22 @@ def test_levels_leave_fewer_pairs_to_compare(spark, monkeypatch):
         none = spark.createDataFrame([], "node bigint, root bigint")
         pairs[most] = near_copies._other_pairs(near_copies._prefixes(sets), none).count()
     assert pairs[4] < pairs[1] or pairs[1] == 0
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_match_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for p in Path(SMALL).iterdir():
+        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    want = con.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, SMALL)
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns)
+    key = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert key(got.select(*columns).collect()) == key(want.select(*[f'"{c}"' for c in columns]).fetchall())
