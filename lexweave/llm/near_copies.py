@@ -250,7 +250,7 @@ def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(token, key, n, level, place, own): a row for each shared token of each class's prefix, with its place in the order."""
+    """(token, key, n, m, level, place): a row for each shared token of each class's prefix, with its place in the order."""
 
     @tidied
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +258,9 @@ def _prefixes(sets: DataFrame) -> DataFrame:
             for key, n, m, level, a in zip(*[batch.column(x).to_pylist() for x in ("key", "n", "m", "level", "a")]):
                 tokens = np.frombuffer(a, np.int64)[: n - needed(n) + level - m]
                 k = len(tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), *[pa.array(np.full(k, v)) for v in (key, n, level)], pa.array(np.arange(m, m + k)), pa.array(np.full(k, m / n))], ["token", "key", "n", "level", "place", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), *[pa.array(np.full(k, v)) for v in (key, n, m, level)], pa.array(np.arange(m, m + k))], ["token", "key", "n", "m", "level", "place"])
 
-    return sets.mapInArrow(spread, "token bigint, key bigint, n bigint, level bigint, place bigint, own double")
+    return sets.mapInArrow(spread, "token bigint, key bigint, n bigint, m bigint, level bigint, place bigint")
 
 
 def _level(x: str, y: str) -> Column:
@@ -268,10 +268,16 @@ def _level(x: str, y: str) -> Column:
 
 
 def _in_prefixes(x: str, y: str) -> Column:
-    """Whether a shared token lies in both prefixes for just this pair: what the two must share follows from their sizes."""
+    """Whether a shared token lies in both prefixes for just this pair, and the two can share enough beside it.
+
+    What they must share follows from their sizes.  As all sets have one order, tokens before the shared one can only
+    match tokens before it, of which those of one class alone match none, and tokens after it tokens after it.
+    """
     share = F.ceil(80 * (F.col(f"n_{x}") + F.col(f"n_{y}")) / F.lit(180))
     near = 100 * F.least(f"n_{x}", f"n_{y}") >= 80 * F.greatest(f"n_{x}", f"n_{y}")
-    return near & (F.col(f"place_{x}") < F.col(f"n_{x}") - share + _level(x, y)) & (F.col(f"place_{y}") < F.col(f"n_{y}") - share + _level(x, y))
+    before = F.least(*[F.col(f"place_{c}") - F.col(f"m_{c}") for c in (x, y)])
+    after = F.least(*[F.col(f"n_{c}") - F.col(f"place_{c}") for c in (x, y)])
+    return near & (before + after >= share) & (F.col(f"place_{x}") < F.col(f"n_{x}") - share + _level(x, y)) & (F.col(f"place_{y}") < F.col(f"n_{y}") - share + _level(x, y))
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -293,9 +299,9 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(prefixes: DataFrame) -> DataFrame:
-    best = F.min(F.struct("own", "key", "n", "level", "place")).alias("l")
-    leaders = prefixes.groupBy("token").agg(best, F.count(F.lit(1)).alias("of")).where("of > 1").select("token", F.col("l.key").alias("y"), *[F.col(f"l.{c}").alias(f"{c}_y") for c in ("n", "level", "place")])
-    rows = prefixes.select("token", F.col("key").alias("x"), *[F.col(c).alias(f"{c}_x") for c in ("n", "level", "place")])
+    best = F.min(F.struct((F.col("m") / F.col("n")).alias("own"), "key", "n", "m", "level", "place")).alias("l")
+    leaders = prefixes.groupBy("token").agg(best, F.count(F.lit(1)).alias("of")).where("of > 1").select("token", F.col("l.key").alias("y"), *[F.col(f"l.{c}").alias(f"{c}_y") for c in ("n", "m", "level", "place")])
+    rows = prefixes.select("token", F.col("key").alias("x"), *[F.col(c).alias(f"{c}_x") for c in ("n", "m", "level", "place")])
     votes = rows.join(leaders, "token").where((F.col("x") != F.col("y")) & _in_prefixes("x", "y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("votes"))
     rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("votes"), "y"))  # at most as many rows as a prefix has tokens
     return votes.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select("x", "y")
@@ -312,7 +318,7 @@ def _other_pairs(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
     parts = named.groupBy("token", "root").agg(F.count(F.lit(1)).alias("of"))
     split = parts.groupBy("token").agg(F.max(F.struct("of", "root")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("top.root").alias("main"))
     rows = cut(named.join(split, "token").withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")))
-    columns = ("key", "n", "level", "place", "root")
+    columns = ("key", "n", "m", "level", "place", "root")
     outside = rows.where("root <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     cells = [df.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).alias(c)) for df, c in ((outside, "cells_x"), (rows, "cells_y"))]
     grid = cells[0].join(cells[1], ["token", "band"])
