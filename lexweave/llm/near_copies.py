@@ -345,13 +345,14 @@ def near_copy_components(docs: DataFrame, key: str = "doc_id", text: str = "text
     links = first.union(_links(_other_pairs(prefixes, components(first)), sets))
     roots = components(cut(links))
     rows = described.where(F.col("kind") == _DESCRIBED).select("doc", "key", "n")
-    # Rows without shingles or id all have one class, or none: they stay out of the joins.
+    # Rows without shingles or id all have one class, or none: they stay out of the joins.  These are merge joins, as
+    # there are as many classes as documents, which Spark may take for few and broadcast.
     linked, rest = rows.where("n > 0 AND doc IS NOT NULL"), rows.where("n = 0 OR doc IS NULL")
     classes = linked.groupBy("key").agg(F.min("doc").alias("least"))
-    rooted = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = classes.join(roots.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(smallest, "root").select("key", "component_id")
-    out = linked.join(of_class, "key").select("doc", "n", "component_id").unionByName(rest.select("doc", "n", F.col("doc").alias("component_id")))
+    of_class = rooted.join(smallest.hint("merge"), "root").select("key", "component_id")
+    out = linked.join(of_class.hint("merge"), "key").select("doc", "n", "component_id").unionByName(rest.select("doc", "n", F.col("doc").alias("component_id")))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
