@@ -100,11 +100,14 @@ def buckets_for(df: DataFrame) -> int:
     return min(_MOST_BUCKETS, max(partitions_of(df), -(-known // BUCKET_BYTES)))
 
 
-def exchanged(df: DataFrame, kinds: bool = False) -> DataFrame:
+def exchanged(df: DataFrame, buckets: int, kinds: bool = False) -> DataFrame:
     """Rows at their bucket's partition, bucket by bucket; kinds: and by kind in a bucket."""
     partitions = partitions_of(df)
     out = df.repartitionById(partitions, F.pmod("dest", F.lit(partitions)).cast("int"))
-    return out.sortWithinPartitions("dest", "kind") if kinds else out.sortWithinPartitions("dest")
+    if kinds:
+        return out.sortWithinPartitions("dest", "kind")
+    # With no more buckets than partitions each partition is one bucket.
+    return out.sortWithinPartitions("dest") if buckets > partitions else out
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:

@@ -244,8 +244,8 @@ def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int
                 yield from box.full()
         yield from box.rest()
 
-    told = exchanged(docs.mapInArrow(ask, MESSAGE)).mapInArrow(answer, MESSAGE)
-    done = exchanged(told).mapInArrow(assemble, MESSAGE)
+    told = exchanged(docs.mapInArrow(ask, MESSAGE), buckets).mapInArrow(answer, MESSAGE)
+    done = exchanged(told, buckets).mapInArrow(assemble, MESSAGE)
     return cut(done.select("key", "n", "m", F.col("kind").alias("level"), "a"))
 
 
@@ -349,8 +349,9 @@ def near_copy_components(docs: DataFrame, key: str = "doc_id", text: str = "text
     # there are as many classes as documents, which Spark may take for few and broadcast.
     linked, rest = rows.where("n > 0 AND doc IS NOT NULL"), rows.where("n = 0 OR doc IS NULL")
     classes = linked.groupBy("key").agg(F.min("doc").alias("least"))
-    rooted = classes.join(roots.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = cut(classes.join(roots.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    # Written before it is joined, so that Spark can split a component that holds a large part of all classes.
+    smallest = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     of_class = rooted.join(smallest.hint("merge"), "root").select("key", "component_id")
     out = linked.join(of_class.hint("merge"), "key").select("doc", "n", "component_id").unionByName(rest.select("doc", "n", F.col("doc").alias("component_id")))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")

@@ -278,10 +278,10 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         yield from box.rest()
 
     packed = some.mapInArrow(pack, MESSAGE)
-    told = exchanged(some.mapInArrow(ask, MESSAGE)).mapInArrow(answer, MESSAGE)
-    judged = exchanged(told.unionByName(packed), kinds=True).mapInArrow(extend, MESSAGE)
-    settled = exchanged(judged).mapInArrow(answer, MESSAGE)
-    done = exchanged(settled.unionByName(packed), kinds=True).mapInArrow(drop, MESSAGE)
+    told = exchanged(some.mapInArrow(ask, MESSAGE), buckets).mapInArrow(answer, MESSAGE)
+    judged = exchanged(told.unionByName(packed), buckets, kinds=True).mapInArrow(extend, MESSAGE)
+    settled = exchanged(judged, buckets).mapInArrow(answer, MESSAGE)
+    done = exchanged(settled.unionByName(packed), buckets, kinds=True).mapInArrow(drop, MESSAGE)
     return done.select(F.col("doc").alias(key), F.col("n").alias("n_words"), F.col("m").alias("n_removed"), F.decode("a", "UTF-8").alias("kept"))
 
 

@@ -515,3 +515,16 @@ def test_mixing_warns_of_unmet_targets(spark, docs):
     with pytest.warns(UserWarning, match="right: .* of 150"):
         out = rows(mixing.mixed(docs(texts), labels, {"left": 0.5, "right": 0.5}).orderBy("doc_id"))
     assert all(r["rate"] == pytest.approx(0.5, abs=0.01) for r in out[:20]) and out[20]["rate"] == 1.0
+
+
+def test_more_buckets_than_partitions(spark, docs, monkeypatch):
+    rng = random.Random(6)
+    passages = [" ".join(f"{rng.choice('abcd')}{rng.randrange(9)}" for _ in range(40)) for _ in range(8)]
+    texts = {i: " ".join(rng.choice(passages) if rng.random() < 0.5 else f"z{rng.randrange(999)} " * 9 for _ in range(rng.randint(1, 5))) for i in range(80)}
+    monkeypatch.setattr(substrings, "buckets_for", lambda _: 37)
+    monkeypatch.setattr(near_copies, "buckets_for", lambda _: 37)
+    got = rows(substrings.repeats_removed(docs(texts)))
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == brute_kept(list(texts.items()))
+    many = {r["doc_id"]: r["component_id"] for r in rows(near_copies.near_copy_components(docs(texts)))}
+    monkeypatch.setattr(near_copies, "buckets_for", lambda _: 8)
+    assert many == {r["doc_id"]: r["component_id"] for r in rows(near_copies.near_copy_components(docs(texts)))}
