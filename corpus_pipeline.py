@@ -41,7 +41,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held = Held(docs, "doc_id", "text")
     stay = near_copy_components(held.rows, "k", "t").where("k = component_id").select("k").distinct()
     first = Window.partitionBy("k").orderBy(F.xxhash64("t"), "t")
-    named = held.rows.where("k IS NOT NULL").join(stay, "k", "left_semi").withColumn("nth", F.row_number().over(first))
+    named = held.rows.where("k IS NOT NULL").join(stay.hint("merge"), "k", "left_semi").withColumn("nth", F.row_number().over(first))
     return held.back(named.where("nth = 1").drop("nth").unionByName(held.rows.where("k IS NULL")))
 
 
