@@ -321,11 +321,12 @@ def _other_pairs(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
     columns = ("key", "n", "m", "level", "place", "root")
     outside = rows.where("root <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     cells = [df.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).alias(c)) for df, c in ((outside, "cells_x"), (rows, "cells_y"))]
-    grid = cells[0].join(cells[1], ["token", "band"])
+    # Written before it is joined, so that Spark can split the rows of a token that many classes share.
+    grid = cut(cells[0].join(cells[1], ["token", "band"]))
     part = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
-    x = outside.join(grid, ["token", "band"]).select("token", "band", part("cells_x").alias("i"), every("cells_y").alias("j"), *[F.col(c).alias(f"{c}_x") for c in columns])
-    y = rows.join(grid, ["token", "band"]).select("token", "band", every("cells_x").alias("i"), part("cells_y").alias("j"), *[F.col(c).alias(f"{c}_y") for c in columns], (F.col("root") == F.col("main")).alias("main_y"))
+    x = outside.join(grid.hint("merge"), ["token", "band"]).select("token", "band", part("cells_x").alias("i"), every("cells_y").alias("j"), *[F.col(c).alias(f"{c}_x") for c in columns])
+    y = rows.join(grid.hint("merge"), ["token", "band"]).select("token", "band", every("cells_x").alias("i"), part("cells_y").alias("j"), *[F.col(c).alias(f"{c}_y") for c in columns], (F.col("root") == F.col("main")).alias("main_y"))
     apart = (F.col("root_x") != F.col("root_y")) & (F.col("main_y") | (F.col("key_x") < F.col("key_y")))
     met = x.join(y, ["token", "band", "i", "j"]).where(apart & _in_prefixes("x", "y"))
     counted = met.groupBy(F.least("key_x", "key_y").alias("x"), F.greatest("key_x", "key_y").alias("y")).agg(F.count(F.lit(1)).alias("matches"), F.min(_level("x", "y")).alias("level"))
