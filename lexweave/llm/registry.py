@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import chat, decontamination, mixing, near_copies, pii, quality, secret_scan, sharding, substrings, toxicity
+from lexweave.llm import chat, decontamination, mixing, near_copies, pii, quality, secret_scan, sharding, substrings, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
         "op9_soft_membership_mixing": mixing.op9_soft_membership_mixing,
         "op10_block_anchor_substrings": substrings.op10_block_anchor_substrings,
+        "op11_ball_tree_topk": topk_search.op11_ball_tree_topk,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "quality_base_rules": quality.ORACLE_BASE,
         "op6_adaptive_prefix_jaccard": near_copies.ORACLE,
         "op10_block_anchor_substrings": substrings.ORACLE,
+        "op11_ball_tree_topk": topk_search.ORACLE,
     }
