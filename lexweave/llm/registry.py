@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import chat, decontamination, mixing, near_copies, pii, quality, secret_scan, sharding, substrings, topk_search, toxicity
+from lexweave.llm import chat, decontamination, mixing, near_copies, pii, quality, secret_scan, sharding, substrings, token_alignment, topk_search, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_soft_membership_mixing": mixing.op9_soft_membership_mixing,
         "op10_block_anchor_substrings": substrings.op10_block_anchor_substrings,
         "op11_ball_tree_topk": topk_search.op11_ball_tree_topk,
+        "op12_union_find_alignment": token_alignment.op12_union_find_alignment,
+        "op13_welford_whitening": whitening.op13_welford_whitening,
     }
 
 
