@@ -57,6 +57,9 @@ class Welford:
         """Takes the rows of ``x`` in, one after the other: the rank-one updates of all of them in one product."""
         if not len(x):
             return
+        if not self.n:
+            # The first row's own update is none, so what stands for the mean before it is free.
+            self.mean = x[0].astype(np.float64)
         # Row i's mean before it: differences to the mean before the batch, summed up and divided by their number.
         far = x.astype(np.float64) - self.mean
         before = np.arange(self.n, self.n + len(x), dtype=np.float64)
@@ -201,8 +204,9 @@ def frequent_length(vectors: DataFrame, vector: str) -> int:
 
 
 def fit_whitening(vectors: DataFrame, vector: str, most: int = COMPONENTS) -> Whitening:
-    """The ``most`` components of the greatest variance, fitted on all vectors, which are of one length and not null."""
-    state = moments(vectors, vector, frequent_length(vectors, vector))
+    """The ``most`` components of the greatest variance, fitted on all vectors, not null, of the most frequent length."""
+    length = frequent_length(vectors, vector)
+    state = moments(vectors.where(F.size(F.col(quoted(vector))) == length), vector, length)
     values, columns = symmetric_qr(state.m / max(1, state.n))
     kept = min(most, int((values > ZERO * max(values[:1].max(initial=0.0), 0.0)).sum()) if state.n else 0)
     return Whitening(state, values[:kept], columns[:, :kept], float(np.trace(state.m) / max(1, state.n)))
