@@ -37,31 +37,34 @@ OFFSET, COMPONENTS = 100_000, 8
 FAN, ROWS = 64, 4096
 #: Share of the greatest variance up to which one counts as zero.
 ZERO = 1e-12
-_STATE = "part bigint, n bigint, mean binary, m binary, sums binary"
+_STATE = "part bigint, n bigint, base binary, mean binary, m binary, sums binary"
 
 
 @dataclass
 class Welford:
-    """Number of vectors, mean, and sum of centred outer products; ``sums`` are exact sums of integer vectors."""
+    """Number of vectors, mean, and sum of centred outer products; ``sums`` are exact sums of integer vectors.
+
+    The mean is kept as its difference to ``base``, the first vector, so that a common offset takes none of its digits.
+    """
 
     n: int
+    base: np.ndarray
     mean: np.ndarray
     m: np.ndarray
     sums: np.ndarray
 
     @classmethod
     def empty(cls, length: int, integers: bool) -> Welford:
-        return cls(0, np.zeros(length), np.zeros((length, length)), np.array([0] * length, object) if integers else np.zeros(length))
+        return cls(0, np.zeros(length), np.zeros(length), np.zeros((length, length)), np.array([0] * length, object) if integers else np.zeros(length))
 
     def update(self, x: np.ndarray) -> None:
         """Takes the rows of ``x`` in, one after the other: the rank-one updates of all of them in one product."""
         if not len(x):
             return
         if not self.n:
-            # The first row's own update is none, so what stands for the mean before it is free.
-            self.mean = x[0].astype(np.float64)
+            self.base = x[0].astype(np.float64)
         # Row i's mean before it: differences to the mean before the batch, summed up and divided by their number.
-        far = x.astype(np.float64) - self.mean
+        far = x - self.base - self.mean
         before = np.arange(self.n, self.n + len(x), dtype=np.float64)
         drift = (np.cumsum(far, 0) - far) / np.maximum(before, 1)[:, None]
         delta = far - drift
@@ -71,23 +74,26 @@ class Welford:
         self.sums = self.sums + (x.sum(0).astype(object) if self.sums.dtype == object else x.sum(0))
 
     def merge(self, other: Welford) -> None:
-        n = self.n + other.n
-        if n:
-            d = other.mean - self.mean
-            self.m += other.m + np.outer(d, d) * (self.n * other.n / n)
-            self.mean = self.mean + d * (other.n / n)
-            self.sums, self.n = self.sums + other.sums, n
+        if not other.n:
+            return
+        if not self.n:
+            self.base = other.base
+        n, d = self.n + other.n, other.base - self.base + other.mean - self.mean
+        self.m += other.m + np.outer(d, d) * (self.n * other.n / n)
+        self.mean = self.mean + d * (other.n / n)
+        self.sums, self.n = self.sums + other.sums, n
 
     def batch(self, part: int) -> pa.RecordBatch:
         sums = ",".join(map(str, self.sums.tolist())).encode()
-        arrays = [pa.array([part]), pa.array([self.n]), *[pa.array([v], pa.binary()) for v in (self.mean.tobytes(), self.m.tobytes(), sums)]]
-        return pa.RecordBatch.from_arrays(arrays, names=["part", "n", "mean", "m", "sums"])
+        arrays = [pa.array([part]), pa.array([self.n]), *[pa.array([v], pa.binary()) for v in (self.base.tobytes(), self.mean.tobytes(), self.m.tobytes(), sums)]]
+        return pa.RecordBatch.from_arrays(arrays, names=["part", "n", "base", "mean", "m", "sums"])
 
     @classmethod
     def of(cls, row: dict, integers: bool) -> Welford:
         mean = np.frombuffer(row["mean"])
         sums = row["sums"].decode().split(",") if row["sums"] else []
-        return cls(row["n"], mean, np.frombuffer(row["m"]).reshape(len(mean), len(mean)).copy(), np.array([int(s) for s in sums], object) if integers else np.array([float(s) for s in sums]))
+        whole = np.array([int(s) for s in sums], object) if integers else np.array([float(s) for s in sums])
+        return cls(row["n"], np.frombuffer(row["base"]), mean, np.frombuffer(row["m"]).reshape(len(mean), len(mean)).copy(), whole)
 
 
 def _matrix(column: pa.Array, length: int) -> np.ndarray:
@@ -184,7 +190,7 @@ class Whitening:
     trace: float
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.state.mean) @ self.components) / np.sqrt(self.variances)
+        return ((x - self.state.base - self.state.mean) @ self.components) / np.sqrt(self.variances)
 
     def deviations(self, x: np.ndarray) -> list[int]:
         """Of integer vectors, the exact sum over dimensions of (n x - sum)^2."""

@@ -142,7 +142,7 @@ def test_welford_updates_are_rank_one():
         m += np.outer(d, v - mean)
     for at in range(0, 50, 7):
         state.update(x[at : at + 7])
-    assert np.allclose(state.mean, mean, rtol=1e-14) and np.allclose(state.m, m, rtol=1e-7)
+    assert np.allclose(state.base + state.mean, mean, rtol=1e-14) and np.allclose(state.m, m, rtol=1e-7)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 80])
@@ -156,7 +156,7 @@ def test_symmetric_qr(n):
 
 
 def test_deviations_are_exact_beyond_longs():
-    state = Welford(10**7, np.zeros(2), np.eye(2), np.array([10**12, -(10**12)], object))
+    state = Welford(10**7, np.zeros(2), np.zeros(2), np.eye(2), np.array([10**12, -(10**12)], object))
     fit = whitening.Whitening(state, np.ones(2), np.eye(2), 2.0)
     x = np.array([[100_000, -100_000], [2 * 10**6, 5]], np.int64)
     assert fit.deviations(x) == [sum((10**7 * int(c) - s) ** 2 for c, s in zip(r, state.sums)) for r in x]
