@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.plans.entity_queries import QUERIES
-from lexweave.plans.entity_sql import SQL
+from lexweave.plans import engine_queries, entity_queries, entity_sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in (*entity_queries.QUERIES, *engine_queries.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return entity_sql.SQL | engine_queries.SQL

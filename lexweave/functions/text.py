@@ -89,22 +89,27 @@ def candidate_spans(source: Column | str, min_n: int = 1, max_n: int = 5, min_ch
 
 
 @functools.cache
-def _case_free() -> dict[str, str]:
-    """Small letters whose case-free form is another text, such as ß or a final sigma."""
+def _case_free() -> tuple[str, str, dict[str, str]]:
+    """Small letters whose case-free form is one other letter, these forms, and those of which it is several letters."""
     letters = map(chr, range(0x80, 0x20000))
-    return {c: c.casefold() for c in letters if c.lower() == c and c.casefold() != c}
+    special = {c: c.casefold() for c in letters if c.lower() == c and c.casefold() != c}
+    one = {c: f for c, f in special.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in special.items() if len(f) > 1}
 
 
 def casefolded(x: Column | str) -> Column:
-    """Text for comparisons without case; '' for null."""
-    special = _case_free()
-    small = F.lower(F.coalesce(col(x), F.lit("")))
+    """Text for comparisons without case; '' for null.
 
-    def letter(c: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(t) for kv in special.items() for t in kv]), c), c)
+    Texts without any of the letters that need more than small letters, which are nearly all, take one search for them.
+    """
+    one, forms, several = _case_free()
+    small = F.lower(F.coalesce(col(x), F.lit("")))
 
     def folded(t: Column) -> Column:
-        return F.when(t.rlike(f"[{''.join(special)}]"), F.array_join(F.transform(F.split(t, ""), letter), "")).otherwise(t)
+        out = F.translate(t, one, forms)
+        for c, f in several.items():
+            out = F.replace(out, F.lit(c), F.lit(f))
+        return F.when(t.rlike(f"[{one}{''.join(several)}]"), out).otherwise(t)
 
     return let(small, folded)
 
@@ -130,6 +135,11 @@ def _hit(x: Column, y: Column) -> Column:
     return F.when((x == "") | (y == ""), 0.0).when(F.contains(x, y) | F.contains(y, x), 1.0).otherwise(0.0)
 
 
+def jaccard_of(a: Column, b: Column) -> Column:
+    """Overlap of two arrays of feature tokens, 0 if either has none."""
+    return _jaccard(a, b)
+
+
 def jaccard(a: Column | str, b: Column | str) -> Column:
     """Overlap of two texts' feature tokens, 0 if either has none."""
     return let(feature_tokens(a), lambda x: let(feature_tokens(b), lambda y: _jaccard(x, y)))
@@ -140,15 +150,20 @@ def substring_hit(a: Column | str, b: Column | str) -> Column:
     return _hit(feature_text(a), feature_text(b))
 
 
-def surface_overlap(source: Column | str, pool: Column) -> Column:
-    """Best of overlap and substring hit of the source with any text of an array, 0 if it has none."""
+def compared(x: Column | str) -> Column:
+    """What overlaps are measured on: a text's feature text t and feature tokens w."""
+    return let(feature_text(x), lambda t: F.struct(t.alias("t"), tokens_of_feature_text(t).alias("w")))
+
+
+def best_overlap(one: Column, pool: Column) -> Column:
+    """Best of overlap and substring hit of one ``compared`` text with any of an array, 0 if that has none that isn't empty."""
+    some = F.filter(pool, lambda p: p["t"] != "")
+    return F.coalesce(let(one, lambda o: F.array_max(F.transform(some, lambda p: F.greatest(_hit(o["t"], p["t"]), _jaccard(o["w"], p["w"]))))), F.lit(0.0))
 
-    def best(text: Column, words: Column) -> Column:
-        texts = F.filter(F.transform(pool, feature_text), lambda p: p != "")
-        return F.array_max(F.transform(texts, lambda p: F.greatest(_hit(text, p), _jaccard(words, tokens_of_feature_text(p)))))
 
-    found = let(feature_text(source), lambda t: let(tokens_of_feature_text(t), lambda w: best(t, w)))
-    return F.coalesce(found, F.lit(0.0))
+def surface_overlap(source: Column | str, pool: Column) -> Column:
+    """Best of overlap and substring hit of the source with any text of an array, 0 if it has none."""
+    return best_overlap(compared(source), F.transform(pool, compared))
 
 
 def truncated(x: Column | str, n: int) -> Column:

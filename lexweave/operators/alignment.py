@@ -13,19 +13,25 @@ BOUNDARY, SUBSTRING = ("boundary_exact", 1.0), ("substring", 0.85)
 _FOLDING = "[ΣσςϐϑϕϖϰϱϵµſİıKÅΩẛιͅᲀ-ᲈ]"
 
 
-def _small(x: Column) -> Column:
+def small(x: Column) -> Column:
     """Small letters of as many characters, so that places in them are places in the text."""
     return F.lower(F.replace(x, F.lit("İ"), F.lit("I")))
 
 
-def raw_match(source: Column, variant: Column, small_source: Column | None = None) -> Column:
+def folds_alike(x: Column) -> Column:
+    """Whether a text has no letter that equals others besides its small one when case is ignored."""
+    return ~x.rlike(_FOLDING)
+
+
+def raw_match(source: Column, variant: Column, small_source: Column | None = None, plain_source: Column | None = None) -> Column:
     """The first match of a variant: at word boundaries if there is one, else anywhere; null if there is none.
 
     Most variants occur nowhere, or the first time at word boundaries, which shows at the place that small letters tell
     and the two characters beside it.  Only for others a regular expression looks further.
     Fields are ordered so that of several matches the greatest is the best: score, length, leftmost start.
     """
-    small_source = _small(source) if small_source is None else small_source
+    small_source = small(source) if small_source is None else small_source
+    plain_source = folds_alike(source) if plain_source is None else plain_source
     # A variant is quoted piece by piece, as \E would end the quotation.
     quoted = F.concat(F.lit("\\Q"), F.replace(variant, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     bounded = F.concat(F.lit(f"(?isu)^(.*?)(?<!{tx.WORD})("), quoted, F.lit(f")(?!{tx.WORD})"))
@@ -39,9 +45,9 @@ def raw_match(source: Column, variant: Column, small_source: Column | None = Non
     def judged(at: Column) -> Column:
         length = F.char_length(variant)
         here = F.substring(source, at, length)
-        beside = [F.when(at > 1, F.substring(source, at - 1, F.lit(1))).otherwise(""), F.substring(source, at + length, F.lit(1))]
-        free = ~beside[0].rlike(tx.WORD) & ~beside[1].rlike(tx.WORD)
-        plain = ~F.concat(source, variant).rlike(_FOLDING)
+        beside = F.concat(F.when(at > 1, F.substring(source, at - 1, F.lit(1))).otherwise(""), F.substring(source, at + length, F.lit(1)))
+        free = ~beside.rlike(tx.WORD)
+        plain = plain_source & folds_alike(variant)
         loose = F.when(at > 0, match(SUBSTRING, at - 1, here))
 
         def searched(before: Column) -> Column:
@@ -51,18 +57,26 @@ def raw_match(source: Column, variant: Column, small_source: Column | None = Non
         further = searched(F.call_function("regexp_extract", source, bounded, F.lit(1)))
         return F.when(plain & (at == 0), loose).when(plain & free, match(BOUNDARY, at - 1, here)).otherwise(further)
 
-    return tx.let(F.call_function("locate", _small(variant), small_source), judged)
+    return tx.let(F.call_function("locate", small(variant), small_source), judged)
+
+
+def align_surface(source: Column | str, surface: Column | str, small_source: Column | None = None, plain_source: Column | None = None) -> Column:
+    """The match of a span that is normalised and valid already, such as an n-gram of the source; null for none.
+
+    small_source, plain_source: ``small`` and ``folds_alike`` of the stripped source, made before, once an example.
+    """
+    return tx.let(raw_match(tx.col(source), tx.col(surface), small_source, plain_source), lambda best: _span(tx.col(source), best))
 
 
 def align(source: Column | str, label: Column | str, aliases: Column | str, min_chars: int = 2) -> Column:
     """The best match of a label and its aliases in a source: by score, then length, then leftmost; null for none."""
-    return tx.let(tx.safe(source), lambda text: tx.let(_small(text), lambda small: _best(text, small, label, aliases, min_chars)))
+    return tx.let(tx.safe(source), lambda text: tx.let(small(text), lambda folded: _best(text, folded, label, aliases, min_chars)))
 
 
-def _best(text: Column, small: Column, label: Column | str, aliases: Column | str, min_chars: int) -> Column:
+def _best(text: Column, folded: Column, label: Column | str, aliases: Column | str, min_chars: int) -> Column:
     names = tx.distinct_by_surface(F.concat(F.array(tx.safe(label)), F.coalesce(tx.col(aliases), F.array().cast("array<string>"))))
     variants = F.filter(names, lambda v: tx.valid_span(v, min_chars))
-    matches = F.filter(F.transform(variants, lambda v: raw_match(text, v, small)), lambda m: m.isNotNull())
+    matches = F.filter(F.transform(variants, lambda v: raw_match(text, v, folded)), lambda m: m.isNotNull())
     return tx.let(F.array_max(matches), lambda best: _span(text, best))
 
 
@@ -79,9 +93,9 @@ def legacy_span(source: Column | str, label: Column | str, aliases: Column | str
     names = F.array_distinct(F.concat(F.array(tx.safe(label)), F.transform(F.coalesce(tx.col(aliases), F.array().cast("array<string>")), tx.safe)))
     ordered = F.sort_array(F.transform(F.filter(names, lambda n: n != ""), lambda n: F.struct((-F.char_length(n)).alias("l"), n.alias("n"))))
 
-    def first(text: Column, small: Column) -> Column:
-        at = lambda n: F.call_function("locate", _small(n), small)
+    def first(text: Column, folded: Column) -> Column:
+        at = lambda n: F.call_function("locate", small(n), folded)
         hits = F.filter(ordered, lambda x: at(x["n"]) > 0)
         return tx.let(F.get(hits, 0), lambda x: F.when(x.isNull(), "").otherwise(F.substring(text, at(x["n"]), F.char_length(x["n"]))))
 
-    return tx.let(tx.safe(source), lambda text: tx.let(_small(text), lambda small: first(text, small)))
+    return tx.let(tx.safe(source), lambda text: tx.let(small(text), lambda folded: first(text, folded)))

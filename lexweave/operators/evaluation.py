@@ -34,20 +34,24 @@ def mention_sets(records: DataFrame, order: str | None = None) -> DataFrame:
     return rows.groupBy("id").agg(last.alias("mentions"))
 
 
-def evaluate_predictions(predictions: DataFrame, references: DataFrame, score: Score | None = None, scores: DataFrame | None = None, entity_types: list[str] | None = None, order: str | None = None) -> DataFrame:
+def evaluate_predictions(predictions: DataFrame, references: DataFrame, score: Score | None = None, scores: DataFrame | None = None, entity_types: list[str] | None = None, order: str | None = None, predictions_order: str | None = None, make_score: Callable[[], Score] | None = None) -> DataFrame:
     """One row of metrics of predictions (id, prediction) against references (id, source, targets, entity_types).
 
-    score: scores (source, reference, prediction) in batches; or scores (id, score) that are there already, one for each
-    reference.  A record's best reference counts, and a missing prediction counts as 0.
+    Of predictions of one id the last counts: by ``predictions_order``, or by their column ``ordinal`` (see
+    ``files.json_lines``) if they have one; without any order the greatest text does, so that the choice is always the same.
+    Of records of one id it is the last by ``order``.
+
+    score: scores (source, reference, prediction) in batches; or make_score, which loads such a function once a worker; or
+    scores (id, score) that are there already, one for each reference.  A record's best reference counts, and a missing prediction counts as 0.
     """
     records = usable_references(references, entity_types)
-    said = metrics.last_of(predictions, "id", "prediction")
+    said = metrics.last_of(predictions, "id", "prediction", predictions_order or ("ordinal" if "ordinal" in predictions.columns else None))
     names = metrics.entity_accuracy(mention_sets(records, order), said)
     if scores is None:
-        if score is None:
+        if score is None and make_score is None:
             raise ValueError("there must be scores, or a function that scores")
         pairs = records.select("id", "source", F.explode("targets").alias("t")).select("id", "source", F.col("t.translation").alias("reference")).join(said, "id")
-        scores = scored_frame(pairs, score)
+        scores = scored_frame(pairs, score, make=make_score)
     best = metrics.best_reference_mean(scores.join(said.select("id"), "id", "left_semi"), records)
     both = names.crossJoin(best.select(F.col("mean_score").alias("comet")))  # one row each
     final = metrics.harmonic_mean("m_eta", "comet")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,58 +10,93 @@ from pyspark.sql.window import Window
 
 from lexweave.functions import text as tx
 from lexweave.operators import memory, rerank, retrieval
-from lexweave.operators.alignment import align, legacy_span
+from lexweave.operators.alignment import align, align_surface, folds_alike, legacy_span, small
+
+
+#: Columns that are made once an example or once a row of the knowledge base, for alignment and features.
+_ENTITY = "_entity"
+
+
+def prepared(kb: DataFrame) -> DataFrame:
+    """A knowledge base with what features need of its entities, made before it meets candidates."""
+    return kb.withColumn(_ENTITY, rerank.prepared_entity())
 
 
 def aligned(found: DataFrame, examples: DataFrame, min_chars: int = 2) -> DataFrame:
     """Candidates with their examples' source and gold_qid, and their spans in it.
 
     A surface candidate's own n-gram is aligned, an anchored one's names.  span_text is the n-gram, or else what matched.
+    A source is stripped, folded and cut into tokens once, before it meets its candidates.
     """
-    rows = found.join(examples.select("example_id", "source", "gold_qid"), "example_id")
+    some = examples.select("example_id", "source", "gold_qid", tx.safe("source").alias("_text"))
+    some = some.select("*", small(F.col("_text")).alias("_small"), folds_alike(F.col("_text")).alias("_plain"), rerank.prepared_source("_text").alias("_tokens"))
+    rows = found.join(some, "example_id")
     by_surface = F.col("source_span").isNotNull()
-    label = F.when(by_surface, F.col("source_span")).otherwise(F.col("label_en"))
-    aliases = F.when(by_surface, F.array().cast("array<string>")).otherwise(F.col("aliases_en"))
-    out = rows.withColumn("span", align("source", label, aliases, min_chars))
+    span = F.when(by_surface, align_surface("_text", "source_span", F.col("_small"), F.col("_plain"))).otherwise(align("_text", "label_en", "aliases_en", min_chars))
+    out = rows.withColumn("span", span).drop("_text", "_small", "_plain")
     return out.withColumn("span_text", F.coalesce("source_span", F.col("span.matched_text"), F.lit("")))
 
 
-def featured(rows: DataFrame) -> DataFrame:
+def _features(rows: DataFrame, passed_span: str | None = None) -> dict[str, Column]:
+    """Features of aligned candidates, by what was prepared of them."""
+    entity = F.col(_ENTITY) if _ENTITY in rows.columns else None
+    return {f"f_{k}": v for k, v in rerank.features("source", "span_text", "_score", passed_span, F.col("_tokens"), entity).items()}
+
+
+def featured(rows: DataFrame, by: Sequence[str] = ("example_id",)) -> DataFrame:
     """Aligned candidates with their features, as ``f_`` columns; the first candidate's span is passed to all of an example."""
-    first = F.first_value("span_text").over(Window.partitionBy("example_id").orderBy("rank"))
+    first = F.first_value("span_text").over(Window.partitionBy(*by).orderBy("rank"))
     named = rows.withColumn("passed_span", first).withColumn("_score", F.col("span.match_score"))
-    return named.withColumns({f"f_{k}": v for k, v in rerank.features("source", "span_text", "_score", "passed_span").items()}).drop("_score")
+    return named.withColumns(_features(named, "passed_span")).drop("_score", "_tokens", _ENTITY)
 
 
 def feature_columns() -> dict[str, Column]:
     return {f: F.col(f"f_{f}") for f in rerank.FEATURES}
 
 
-def scored(rows: DataFrame, strategy: str = "heuristic", model: Callable[[Column], Column] | None = None, prior_weight: float = rerank.PRIOR_WEIGHT) -> DataFrame:
+def scored(rows: DataFrame, strategy: str = "heuristic", model: Callable[[Column], Column] | None = None, prior_weight: float = rerank.PRIOR_WEIGHT, by: Sequence[str] = ("example_id",)) -> DataFrame:
     """Featured candidates with reranker_score, prior_bonus, final_score, final_rank and margin_to_next."""
     out = rows.withColumn("reranker_score", F.round(rerank.score(feature_columns(), strategy, model), 6)).withColumn("prior_bonus", rerank.prior("qid", "gold_qid"))
-    return rerank.reranked(out, weight=prior_weight)
+    return rerank.reranked(out, weight=prior_weight, by=by)
 
 
-def selected(
-    examples: DataFrame, kb: DataFrame, mode: str = "rerank", index: DataFrame | None = None, top_k: int = 10, per_surface_k: int = 5, min_n: int = 1, max_n: int = 5, min_chars: int = 2,
+def selected_by_mode(
+    examples: DataFrame, kb: DataFrame, modes: Sequence[str], index: DataFrame | None = None, top_k: int = 10, per_surface_k: int = 5, min_n: int = 1, max_n: int = 5, min_chars: int = 2,
     strategy: str = "heuristic", model: Callable[[Column], Column] | None = None, prior_weight: float = rerank.PRIOR_WEIGHT,
 ) -> DataFrame:
-    """The candidate of each example that a mode chooses, aligned; examples without candidates have no row."""
-    found = retrieval.candidates(examples, kb, index, mode, top_k, per_surface_k, min_n, max_n, min_chars)
-    if mode != "rerank":
-        return aligned(found.where("rank = 1"), examples, min_chars)
-    return scored(featured(aligned(found, examples, min_chars)), strategy, model, prior_weight).where("final_rank = 1")
+    """The candidate of each example that each mode chooses, aligned, with the column ``mode``, of one lookup for all modes."""
+    reranks = "rerank" in modes
+    found = retrieval.candidates_of_modes(examples, prepared(kb) if reranks else kb, modes, index, top_k, per_surface_k, min_n, max_n, min_chars, (_ENTITY,) if reranks else ())
+    rows = aligned(found.where((F.col("mode") == "rerank") | (F.col("rank") == 1)), examples, min_chars)
+    if not reranks:
+        return rows.drop("_tokens")
+    keys = ("example_id", "mode")
+    best = scored(featured(rows, keys), strategy, model, prior_weight, keys)
+    return best.where(F.when(F.col("mode") == "rerank", F.col("final_rank") == 1).otherwise(F.col("rank") == 1))
 
 
-def entity_memories(examples: DataFrame, kb: DataFrame, mode: str = "rerank", alias_limit: int = 1, max_chars: int = 80, **more: object) -> DataFrame:
-    """All examples with ``memory``, that of the candidate which the mode chooses; null for none.
+def selected(examples: DataFrame, kb: DataFrame, mode: str = "rerank", **more: object) -> DataFrame:
+    """The candidate of each example that a mode chooses, aligned; examples without candidates have no row.
 
-    more: as for ``selected``.
+    more: as for ``selected_by_mode``.
     """
-    best = selected(examples, kb, mode, **more).select("example_id", "qid", "target_label", "target_aliases", "entity_type", "description", "span_text")
+    return selected_by_mode(examples, kb, (mode,), **more).drop("mode")
+
+
+def entity_memories_by_mode(examples: DataFrame, kb: DataFrame, modes: Sequence[str], alias_limit: int = 1, max_chars: int = 80, **more: object) -> DataFrame:
+    """All examples, once a mode (column ``mode``), with ``memory``, that of the candidate which the mode chooses; null for none.
+
+    more: as for ``selected_by_mode``.
+    """
+    best = selected_by_mode(examples, kb, modes, **more).select("example_id", "mode", "qid", "target_label", "target_aliases", "entity_type", "description", "span_text")
     block = memory.memory_block("source", "span_text", "qid", "target_label", "target_aliases", "entity_type", "description", alias_limit, max_chars)
-    return examples.join(best.withColumn("_found", F.lit(True)), "example_id", "left").select(*examples.columns, F.when(F.col("_found"), block).alias("memory"), tx.safe("target_label").alias("target_label"))
+    asked = examples.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    return asked.join(best.withColumn("_found", F.lit(True)), ["example_id", "mode"], "left").select(*examples.columns, "mode", F.when(F.col("_found"), block).alias("memory"), tx.safe("target_label").alias("target_label"))
+
+
+def entity_memories(examples: DataFrame, kb: DataFrame, mode: str = "rerank", alias_limit: int = 1, max_chars: int = 80, **more: object) -> DataFrame:
+    """All examples with ``memory``, that of the candidate which the mode chooses; null for none."""
+    return entity_memories_by_mode(examples, kb, (mode,), alias_limit, max_chars, **more).drop("mode")
 
 
 def gold_memories(examples: DataFrame, kb: DataFrame, alias_limit: int = 1, max_chars: int = 80) -> DataFrame:
@@ -88,7 +123,7 @@ def primary_qid(gold: Column | str, entity_qids: Column | str) -> Column:
 
 def with_gold(found: DataFrame, examples: DataFrame, kb: DataFrame) -> DataFrame:
     """Candidates, and for examples whose gold entity is usable but not among them, that one as the last."""
-    missing = retrieval.candidates(examples, kb, mode="anchored").join(found.select("example_id", "qid"), ["example_id", "qid"], "left_anti")
+    missing = retrieval.candidates(examples, kb, mode="anchored", more=[c for c in (_ENTITY,) if c in found.columns]).join(found.select("example_id", "qid"), ["example_id", "qid"], "left_anti")
     last = found.groupBy("example_id").agg(F.max("rank").alias("_last"))
     rescued = missing.join(last, "example_id", "left").withColumn("rank", F.coalesce("_last", F.lit(0)) + 1).drop("_last")
     return found.unionByName(rescued.select(*found.columns))
@@ -100,9 +135,9 @@ def training_rows(examples: DataFrame, kb: DataFrame, max_negatives: int = 8, re
     No span is passed, as there is none in training: candidates are compared with their own.  rescue: a usable gold
     entity that wasn't found is added.  more: as for ``retrieval.candidates``.
     """
-    found = retrieval.candidates(examples, kb, **more)
-    rows = aligned(with_gold(found, examples, kb) if rescue else found, examples).withColumn("_score", F.col("span.match_score"))
-    rows = rows.withColumns({f"f_{k}": v for k, v in rerank.features("source", "span_text", "_score").items()})
+    found = retrieval.candidates(examples, prepared(kb), more=(_ENTITY,), **more)
+    rows = aligned(with_gold(found, examples, prepared(kb)) if rescue else found, examples).withColumn("_score", F.col("span.match_score"))
+    rows = rows.withColumns(_features(rows)).drop("_tokens", _ENTITY)
     return rerank.hard_negatives(rows.withColumns({c: F.round(f"f_{c}", 6) for c in ("surface_overlap_score", "span_match_score")}), F.col("gold_qid"), max_negatives)
 
 

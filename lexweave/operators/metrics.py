@@ -16,6 +16,12 @@ def gold_ranks(examples: DataFrame, candidates: DataFrame) -> DataFrame:
     return gold.join(candidates.select("example_id", "qid", "rank"), ["example_id", "qid"], "left").groupBy("example_id").agg(F.min("rank").alias("gold_rank"))
 
 
+def gold_ranks_by(examples: DataFrame, candidates: DataFrame, by: str, values: Sequence[str]) -> DataFrame:
+    """(example_id, by, gold_rank), as ``gold_ranks`` for each of several values of a column of the candidates."""
+    gold = examples.where(tx.safe("gold_qid") != "").select("example_id", F.col("gold_qid").alias("qid"), F.explode(F.array(*[F.lit(v) for v in values])).alias(by))
+    return gold.join(candidates.select("example_id", "qid", by, "rank"), ["example_id", "qid", by], "left").groupBy("example_id", by).agg(F.min("rank").alias("gold_rank"))
+
+
 def recall_at(ks: Sequence[int], rank: Column | str = "gold_rank") -> dict[str, Column]:
     return {f"recall_at_{k}": F.coalesce(F.avg(F.coalesce(tx.col(rank) <= k, F.lit(False)).cast("double")), F.lit(0.0)) for k in ks}
 
@@ -29,7 +35,9 @@ def ranking_summary(ranks: DataFrame, ks: Sequence[int] = (1, 3, 5), rank: str =
 
 def last_of(rows: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
     """(key, value): of rows of one key the last by ``order``, or else the greatest value."""
-    return rows.groupBy(key).agg(F.max(F.struct(F.col(order or key).alias("o"), F.col(value).alias("v")))["v"].alias(value))
+    if order is None:
+        return rows.groupBy(key).agg(F.max(value).alias(value))
+    return rows.groupBy(key).agg(F.max(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))["v"].alias(value))
 
 
 def entity_accuracy(mentions: DataFrame, predictions: DataFrame, skip_empty: bool = False, order: str | None = None) -> DataFrame:

@@ -22,18 +22,31 @@ HEURISTIC = {"context": 0.45, "surface": 0.20, "description": 0.10, "span": 0.15
 PRIOR_WEIGHT = 0.1
 
 
-def features(source: Column | str, span: Column | str, match_score: Column | str, passed_span: Column | str | None = None) -> dict[str, Column]:
+def prepared_source(source: Column | str) -> Column:
+    """What features need of a source, made once an example: its feature tokens."""
+    return tx.feature_tokens(source)
+
+
+def prepared_entity() -> Column:
+    """What features need of an entity (target_label, target_aliases, description), made once a row of the knowledge base."""
+    names = F.concat(F.array(tx.safe("target_label")), F.coalesce(F.col("target_aliases"), F.array().cast("array<string>")))
+    return F.struct(F.transform(names, tx.compared).alias("names"), tx.feature_tokens("description").alias("described"))
+
+
+def features(source: Column | str, span: Column | str, match_score: Column | str, passed_span: Column | str | None = None, source_tokens: Column | None = None, entity: Column | None = None) -> dict[str, Column]:
     """Features of a candidate row (target_label, target_aliases, entity_type, description, popularity, ambiguity_count).
 
     span: the candidate's own span text; passed_span: one given for all candidates of the example, which goes first.
+    source_tokens, entity: what ``prepared_source`` and ``prepared_entity`` made before.
     """
     passed = tx.safe(passed_span) if passed_span is not None else F.lit("")
     own = tx.safe(span)
     compared = F.when(passed != "", passed).when(own != "", own).otherwise(tx.safe(source))
     aliases = F.coalesce(F.col("target_aliases"), F.array().cast("array<string>"))
     score = tx.non_negative(match_score)
-    surface = tx.surface_overlap(compared, F.concat(F.array(tx.safe("target_label"), own), aliases))
-    description = tx.jaccard(source, "description")
+    source_tokens, entity = prepared_source(source) if source_tokens is None else source_tokens, prepared_entity() if entity is None else entity
+    surface = tx.best_overlap(tx.compared(compared), F.concat(F.array(tx.compared(own)), entity["names"]))
+    description = tx.let(source_tokens, lambda x: tx.let(entity["described"], lambda y: tx.jaccard_of(x, y)))
     context = F.round(CONTEXT["surface"] * surface + CONTEXT["description"] * description + CONTEXT["match"] * score, 6)
     return {
         "context_suitability": context,
@@ -107,9 +120,9 @@ def prior(qid: Column | str, canonical: Column | str) -> Column:
     return F.when(F.coalesce(tx.col(qid) == tx.or_null(canonical), F.lit(False)), 1.0).otherwise(0.0)
 
 
-def reranked(scored: DataFrame, score: str = "reranker_score", bonus: str = "prior_bonus", weight: float = PRIOR_WEIGHT) -> DataFrame:
+def reranked(scored: DataFrame, score: str = "reranker_score", bonus: str = "prior_bonus", weight: float = PRIOR_WEIGHT, by: Sequence[str] = ("example_id",)) -> DataFrame:
     """With final_score, final_rank (retrieval rank breaks ties) and the first's margin to the next (null if it is alone)."""
-    order = Window.partitionBy("example_id").orderBy(F.desc("final_score"), "rank")
+    order = Window.partitionBy(*by).orderBy(F.desc("final_score"), "rank")
     out = scored.withColumn("final_score", F.col(score) + weight * F.col(bonus))
     out = out.withColumn("final_rank", F.row_number().over(order)).withColumn("_next", F.lead("final_score").over(order))
     return out.withColumn("margin_to_next", F.when(F.col("final_rank") == 1, F.col("final_score") - F.col("_next"))).drop("_next")

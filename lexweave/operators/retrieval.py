@@ -5,15 +5,22 @@ language_available, popularity, surfaces (normalised).  Examples: example_id, so
 
 A surface's best ``per_surface_k`` entities don't depend on the example, so they are ranked once on the index, and with
 the anchored entities they make one table of lookups by (kind, key, language).  Examples ask for their gold entity and
-for those of their n-grams that may be surfaces: n-grams are hashed inside the array of a text's words and held against
-a bit table of the index's hashes (of a size bounded by ``MOST_BITS``) before any becomes a row, so texts are not
-shuffled and hardly any n-grams are.  What is looked up are keys, ranks and the number of the knowledge base's row; its
-fields are joined to the ranked candidates that are left in the end.  Examples are dealt out by id once, which serves
-both windows.
+for those of their n-grams that may be surfaces, which are found inside the array of a text's words before any becomes a
+row, so texts are not shuffled and hardly any n-grams are: a place must hold a word that some surface starts with, by a
+bit table of such words, and an n-gram there must be in a Bloom filter of all surfaces.  The filter has ``BITS`` bits a
+surface however many there are.  It is split by hash into tables of ``TABLE_BITS`` at most, each of which is held against
+the n-grams of its range in a branch of its own; what the branches find is put together.
+
+What is looked up are keys, ranks and the number of the knowledge base's row; its fields are joined to the ranked
+candidates that are left in the end.  Several modes share one lookup: its hits are ranked once for each set of stages
+that a mode looks at.  Examples are dealt out by id once, which serves all windows.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,9 +29,11 @@ from lexweave.functions import text as tx
 
 MODES = ("anchored", "surface", "retrieve", "rerank")
 KB_FIELDS = ("target_label", "target_aliases", "label_en", "aliases_en", "entity_type", "description", "popularity")
-#: Bits a surface in the table that n-grams are held against, and bits at most; with less than one a surface it is left out.
-BITS, MOST_BITS = 16, 1 << 24
+#: Bits a surface in the filter that n-grams are held against, bits of one of its tables, and of the table of first words.
+BITS, TABLE_BITS, FIRST_BITS = 16, 1 << 27, 1 << 24
 _ANCHORED, _SURFACE = 0, 1
+#: The sets of candidates that modes choose from, by the stages they have; two modes choose from all.
+_SETS = {"anchored": "anchored", "surface": "surface", "retrieve": "all", "rerank": "all"}
 
 
 def usable() -> Column:
@@ -75,19 +84,46 @@ def _gram_hash(hashes: Column, at: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(hashes, at + i) for i in range(n)])
 
 
-def _bits(index: DataFrame, n_surfaces: int, min_n: int, max_n: int) -> tuple[Column, int] | None:
-    """A table of the surfaces' hashes as one array of 64-bit numbers, and its bits; None if they were too few."""
-    bits = 1 << 21
-    while bits < BITS * n_surfaces and bits < MOST_BITS:
-        bits *= 2
-    if bits < n_surfaces:
-        return None
-    words = index.select(tx.tokens("surface").alias("w")).where(F.size("w").between(min_n, max_n)).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    gram = F.coalesce(*[F.when(F.size("w") == n, _gram_hash(F.col("h"), F.lit(0), n)) for n in range(min_n, max_n + 1)])
-    placed = words.select(F.pmod(gram, F.lit(bits)).alias("p")).select(F.shiftright("p", 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int")).alias("bit"))
-    full = index.sparkSession.range(bits // 64).join(placed.groupBy("id").agg(F.bit_or("bit").alias("bits")), "id", "left")
-    whole = full.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("b")))), lambda x: x["b"]).alias("t"))
-    return whole.scalar(), bits
+def _power(least: int, most: int) -> int:
+    """The least power of two from 2^21 on that is no smaller than ``least``, but ``most`` at most."""
+    return min(most, max(1 << 21, 1 << max(0, least - 1).bit_length()))
+
+
+def _probes(h: Column, bits: int) -> list[Column]:
+    """Places of a hash in a table."""
+    return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(bits))]
+
+
+def _held(table: Column, place: Column) -> Column:
+    # A place is 0 or more, so its upper bits are the place of a 64-bit number.
+    return tx.let(place, lambda p: F.call_function("getbit", F.get(table, F.shiftright(p, 6).cast("int")), (p % 64).cast("int"))) == 1
+
+
+def _table(places: DataFrame, bits: int) -> Column:
+    """A column p of places as one array of 64-bit numbers, put together in blocks."""
+    block = 512
+    numbers = places.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))).alias("bits"))
+    some = numbers.groupBy(F.floor(F.col("i") / block).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") % block).cast("int"), "bits"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0).cast("bigint")))
+    whole = places.sparkSession.range(bits // 64 // block).join(some, "id", "left").select("id", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0).cast("bigint"), block)).otherwise(dense).alias("b"))
+    return whole.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("id", "b"))), lambda x: x["b"])).alias("t")).scalar()
+
+
+def _piece(h: Column, pieces: int) -> Column:
+    """Which of the filter's tables a hash belongs to."""
+    return F.pmod(F.shiftrightunsigned(h, 44), F.lit(pieces))
+
+
+def _filters(surfaces: DataFrame, n_surfaces: int, min_n: int, max_n: int) -> tuple[Column, int, list[Column], int]:
+    """The table of first words and its bits; the tables of the surfaces' n-grams and the bits of one."""
+    pieces = max(1, -(-BITS * n_surfaces // TABLE_BITS))
+    first_bits, bits = _power(BITS * n_surfaces, FIRST_BITS), _power(-(-BITS * n_surfaces // pieces), TABLE_BITS)
+    words = surfaces.select(tx.tokens("surface").alias("w")).where(F.size("w").between(min_n, max_n)).select(F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    first = _table(words.select(F.explode(F.array(*_probes(F.get("h", 0), first_bits))).alias("p")), first_bits)
+    gram = F.coalesce(*[F.when(F.size("h") == n, _gram_hash(F.col("h"), F.lit(0), n)) for n in range(min_n, max_n + 1)])
+    grams = words.select(gram.alias("g"))
+    tables = [_table(grams.where(_piece(F.col("g"), pieces) == i).select(F.explode(F.array(*_probes(F.col("g"), bits))).alias("p")), bits) for i in range(pieces)]
+    return first, first_bits, tables, bits
 
 
 def example_spans(examples: DataFrame, min_n: int = 1, max_n: int = 5, min_chars: int = 2) -> DataFrame:
@@ -95,72 +131,99 @@ def example_spans(examples: DataFrame, min_n: int = 1, max_n: int = 5, min_chars
     return asking(examples).select("example_id", "target_lang", F.explode(tx.candidate_spans("source", min_n, max_n, min_chars)).alias("surface"))
 
 
-def _found_spans(words: Column, hashes: Column, table: Column, bits: int, min_n: int, max_n: int, min_chars: int) -> Column:
-    """Valid distinct n-grams of an array of words whose hashes are in a table of bits."""
+def _found_spans(words: Column, hashes: Column, starts: Column, table: Column, bits: int, piece: int, pieces: int, min_n: int, max_n: int, min_chars: int) -> Column:
+    """Valid distinct n-grams of an array of words, from given places on, that a table of the filter holds."""
 
     def known(at: Column, n: int, t: Column) -> Column:
-        # pmod is 0 or more, so its upper bits are the place in the table.
-        held = tx.let(F.pmod(_gram_hash(hashes, at, n), F.lit(bits)), lambda p: F.call_function("getbit", F.get(t, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")))
-        return held == 1
+        def held(h: Column) -> Column:
+            one, other = _probes(h, bits)
+            both = _held(t, one) & _held(t, other)
+            return both if pieces == 1 else (_piece(h, pieces) == piece) & both
+
+        return (at + n <= F.size(words)) & tx.let(_gram_hash(hashes, at, n), held)
 
-    def of(n: int) -> Column:
-        places = tx.let(table, lambda t: F.filter(F.sequence(F.lit(0), F.size(words) - n), lambda i: known(i, n, t)))
-        return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    def of(n: int, places: Column, t: Column) -> Column:
+        return F.transform(F.filter(places, lambda i: known(i, n, t)), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
 
-    every = F.array_distinct(F.flatten(F.array(*[of(n) for n in range(min_n, max_n + 1)])))
-    return F.filter(every, lambda s: (F.char_length(s) >= min_chars) & s.rlike(r"\p{L}"))
+    found = tx.let(starts, lambda places: tx.let(table, lambda t: F.flatten(F.array(*[of(n, places, t) for n in range(min_n, max_n + 1)]))))
+    return F.filter(F.array_distinct(found), lambda s: (F.char_length(s) >= min_chars) & s.rlike(r"\p{L}"))
 
 
-def _asked(examples: DataFrame, index: DataFrame | None, n_surfaces: int, anchored: bool, min_n: int, max_n: int, min_chars: int) -> DataFrame:
+def _asked(examples: DataFrame, surfaces: DataFrame | None, n_surfaces: int, anchored: bool, min_n: int, max_n: int, min_chars: int) -> DataFrame:
     """(example_id, target_lang, stage, key): what examples look up."""
-    some = asking(examples)
-    gold = F.filter(F.array(tx.or_null("gold_qid")), lambda q: q.isNotNull())
-    keys = [F.transform(gold, lambda q: F.struct(F.lit(_ANCHORED).alias("stage"), q.alias("key")))] if anchored else []
-    if index is not None:
+    some, parts = asking(examples), []
+
+    def rows(frame: DataFrame, stage: int, keys: Column) -> DataFrame:
+        return frame.select("example_id", "target_lang", F.lit(stage).alias("stage"), F.explode(keys).alias("key"))
+
+    if anchored:
+        parts.append(rows(some, _ANCHORED, F.filter(F.array(tx.or_null("gold_qid")), lambda q: q.isNotNull())))
+    if surfaces is not None:
         low, high = max(1, min_n), max(1, min_n, max_n)
-        table = _bits(index, n_surfaces, low, high)
-        if table is None:
-            spans = tx.candidate_spans("source", min_n, max_n, min_chars)
-        else:
-            some = some.withColumn("_words", tx.tokens(tx.normalize_surface("source"))).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_table", table[0])
-            spans = _found_spans(F.col("_words"), F.col("_hashes"), F.col("_table"), table[1], low, high, min_chars)
-        keys.append(F.transform(spans, lambda s: F.struct(F.lit(_SURFACE).alias("stage"), s.alias("key"))))
-    return some.select("example_id", "target_lang", F.explode(F.concat(*keys)).alias("a")).select("example_id", "target_lang", "a.stage", "a.key")
+        first, first_bits, tables, bits = _filters(surfaces, n_surfaces, low, high)
+        read = some.select("example_id", "target_lang", tx.tokens(tx.normalize_surface("source")).alias("_words")).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
 
+        def starting(h: Column, t: Column) -> Column:
+            one, other = _probes(h, first_bits)
+            return _held(t, one) & _held(t, other)
 
-def candidates(examples: DataFrame, kb: DataFrame, index: DataFrame | None = None, mode: str = "rerank", top_k: int = 10, per_surface_k: int = 5, min_n: int = 1, max_n: int = 5, min_chars: int = 2) -> DataFrame:
-    """Ranked candidates of each example: anchored ones first, then longer spans before shorter, then by popularity.
+        places = F.filter(F.sequence(F.lit(0), F.size("_words") - low), lambda i: starting(F.get("_hashes", i), F.col("_first")))
+        begun = read.withColumn("_first", first).withColumn("_starts", F.when(F.size("_words") >= low, places)).drop("_first")
+        for i, table in enumerate(tables):
+            spans = _found_spans(F.col("_words"), F.col("_hashes"), F.col("_starts"), F.col("_table"), bits, i, len(tables), low, high, min_chars)
+            parts.append(rows(begun.withColumn("_table", table), _SURFACE, spans))
+    return functools.reduce(DataFrame.unionByName, parts)
 
-    Of rows for one entity the first is kept, and of each example the first ``top_k``; mode "retrieve" keeps one.
-    Examples without a source or a language have none.
+
+def candidates_of_modes(
+    examples: DataFrame, kb: DataFrame, modes: Sequence[str], index: DataFrame | None = None, top_k: int = 10, per_surface_k: int = 5, min_n: int = 1, max_n: int = 5, min_chars: int = 2, more: Sequence[str] = ()
+) -> DataFrame:
+    """Ranked candidates of each example in each mode, as ``candidates`` gives them for one, with the column ``mode``.
+
+    All modes share one lookup and one deal of its hits by example.  more: further columns of the knowledge base.
     """
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {', '.join(MODES)}: {mode}")
+    for mode in modes:
+        if mode not in MODES:
+            raise ValueError(f"mode must be one of {', '.join(MODES)}: {mode}")
     tables, by_surface, n_surfaces = [], None, 0
-    if mode != "surface":
+    if any(m != "surface" for m in modes):
         found = anchored_index(kb).select("target_lang", "qid", "kb_row", F.lit(_ANCHORED).alias("stage"), F.col("qid").alias("key"), F.lit(1).alias("in_span_rank"), F.lit(1).cast("bigint").alias("ambiguity_count"))
         tables.append(found)
-    if mode != "anchored":
+    if any(m != "anchored" for m in modes):
         by_surface = surface_index(kb) if index is None else index
         n_surfaces = kb.agg(F.sum(F.greatest(F.size("surfaces"), F.lit(0)))).first()[0] or 0
         ranked = ranked_index(by_surface, per_surface_k)
         tables.append(ranked.select("target_lang", "qid", "kb_row", F.lit(_SURFACE).alias("stage"), F.col("surface").alias("key"), "in_span_rank", "ambiguity_count"))
-    lookup = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+    lookup = functools.reduce(DataFrame.unionByName, tables)
     surfaces = kb.select(F.explode("surfaces").alias("surface")) if by_surface is not None else None
-    hits = _asked(examples, surfaces, n_surfaces, mode != "surface", min_n, max_n, min_chars).join(lookup, ["stage", "key", "target_lang"])
+    hits = _asked(examples, surfaces, n_surfaces, len(tables) == 2 or by_surface is None, min_n, max_n, min_chars).join(lookup, ["stage", "key", "target_lang"])
     span = F.when(F.col("stage") == _SURFACE, F.col("key"))
     rows = hits.select(
         "example_id", "qid", "kb_row", "stage", span.alias("source_span"), F.when(span.isNotNull(), tx.token_count("key")).otherwise(0).alias("n_tokens"),
         F.when(span.isNotNull(), F.char_length("key")).otherwise(0).alias("n_chars"), "in_span_rank", "ambiguity_count",
     )
+    sets = sorted({_SETS[m] for m in modes})
+    mine = F.array(*[F.when(F.lit(s == "all") | (F.col("stage") == (_ANCHORED if s == "anchored" else _SURFACE)), F.lit(s)) for s in sets])
     order = ["stage", F.desc("n_tokens"), F.desc("n_chars"), "source_span", "in_span_rank"]
     dealt = rows.repartition("example_id")
-    first = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("example_id", "qid").orderBy(*order))).where("_nth = 1").drop("_nth")
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("example_id").orderBy(*order)))
-    best = ranked.where(F.col("rank") <= (1 if mode == "retrieve" else top_k))
-    fields = kb.select(_kb_row().alias("kb_row"), *KB_FIELDS).dropDuplicates(["kb_row"])
+    # One set has all rows of its lookup.
+    dealt = dealt.withColumn("_set", F.lit(sets[0])) if len(sets) == 1 else dealt.withColumn("_set", F.explode(F.array_compact(mine)))
+    first = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("example_id", "_set", "qid").orderBy(*order))).where("_nth = 1").drop("_nth")
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("example_id", "_set").orderBy(*order)))
+    kept = F.array_compact(F.array(*[F.when((F.col("_set") == _SETS[m]) & (F.col("rank") <= (1 if m == "retrieve" else top_k)), F.lit(m)) for m in modes]))
+    best = ranked.where(F.col("rank") <= top_k).withColumn("mode", F.explode(kept))
+    fields = kb.select(_kb_row().alias("kb_row"), *KB_FIELDS, *more).dropDuplicates(["kb_row"])
     source = F.when(F.col("stage") == _ANCHORED, "anchored_qid").otherwise("surface_search")
-    return best.join(fields, "kb_row").select("example_id", "qid", "stage", source.alias("candidate_source"), "source_span", "n_tokens", "n_chars", "in_span_rank", "ambiguity_count", *KB_FIELDS, "rank")
+    return best.join(fields, "kb_row").select("example_id", "mode", "qid", "stage", source.alias("candidate_source"), "source_span", "n_tokens", "n_chars", "in_span_rank", "ambiguity_count", *KB_FIELDS, *more, "rank")
+
+
+def candidates(examples: DataFrame, kb: DataFrame, index: DataFrame | None = None, mode: str = "rerank", top_k: int = 10, per_surface_k: int = 5, min_n: int = 1, max_n: int = 5, min_chars: int = 2, more: Sequence[str] = ()) -> DataFrame:
+    """Ranked candidates of each example: anchored ones first, then longer spans before shorter, then by popularity.
+
+    Of rows for one entity the first is kept, and of each example the first ``top_k``; mode "retrieve" keeps one.
+    Examples without a source or a language have none.
+    """
+    return candidates_of_modes(examples, kb, (mode,), index, top_k, per_surface_k, min_n, max_n, min_chars, more).drop("mode")
 
 
 def first_by_qid(candidates: DataFrame, order: str = "rank") -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexweave.functions import text as tx
-from lexweave.operators import evaluation, linking, memory, metrics, rerank, retrieval, samples
+from lexweave.operators import evaluation, linking, listwise, memory, metrics, rerank, retrieval, samples
 from lexweave.operators.alignment import align, legacy_span
 from lexweave.plans.bindings import benchmark_kb, document_examples, order_examples, part_kb, part_terms, read
 from lexweave.sources import dataset, files
@@ -109,8 +107,8 @@ def _memories(spark: SparkSession, sf_dir: str, mode: str = "anchored") -> DataF
 
 def pipeline_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each mode of the pipeline remembers of each order."""
-    parts = [_memories(spark, sf_dir, mode).select("example_id", F.lit(mode).alias("mode"), "memory.qid", "memory.source_span", "memory.canonical_target") for mode in retrieval.MODES]
-    return functools.reduce(DataFrame.unionByName, parts)
+    rows = linking.entity_memories_by_mode(order_examples(spark, sf_dir), part_kb(spark, sf_dir), retrieval.MODES)
+    return rows.select("example_id", "mode", "memory.qid", "memory.source_span", "memory.canonical_target")
 
 
 def gold_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,18 +150,27 @@ def noisy_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a chat: the system's message, then all turns in order."""
     rows = read(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')")
-    pairs = rows.groupBy("conv_id").agg(dataset.first_by(F.when(F.col("role") == "user", F.col("text")), "turn").alias("ask"), dataset.first_by(F.when(F.col("role") == "assistant", F.col("text")), "turn").alias("answer"))
-    return pairs.select("conv_id", memory.rendered_chat(memory.chat_messages("ask", F.lit(memory.SYSTEM), "answer"), open_answer=False).alias("chat"))
+    turns = rows.groupBy("conv_id").agg(dataset.ordered_list(F.struct("role", tx.safe("text").alias("content")), "turn", F.when(F.col("role") == "user", 0).otherwise(1)).alias("turns"))
+    system = F.array(F.struct(F.lit("system").alias("role"), F.lit(memory.SYSTEM).alias("content")))
+    return turns.select("conv_id", memory.rendered_chat(F.concat(system, "turns"), open_answer=False).alias("chat"))
+
+
+def _turn_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, p, f): for each assistant's turn the ids of all that was said before, and of that and the answer.
+
+    Words' lengths stand for token ids, as a tokenizer is the user's choice.
+    """
+    ids = F.transform(tx.tokens(tx.normalize_surface("text")), lambda w: F.char_length(w))
+    said = read(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')").select("conv_id", "turn", "role", ids.alias("ids"))
+    before = F.flatten(F.collect_list("ids").over(Window.partitionBy("conv_id").orderBy("turn", F.desc("role")).rowsBetween(Window.unboundedPreceding, -1)))
+    return said.withColumn("p", before).where("role = 'assistant'").select("conv_id", "turn", "p", F.concat("p", "ids").alias("f"))
 
 
 def completion_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words' lengths stand for token ids, as a tokenizer is the user's choice."""
-    ids = lambda c: F.transform(tx.tokens(tx.normalize_surface(c)), lambda w: F.char_length(w))
-    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(dataset.first_by(F.when(F.col("role") == "user", F.col("text")), "turn").alias("ask"), dataset.first_by(F.when(F.col("role") == "assistant", F.col("text")), "turn").alias("answer"))
-    made = rows.select("conv_id", ids("ask").alias("p"), F.concat(ids("ask"), ids("answer")).alias("f"))
-    out = made.select("conv_id", memory.completion_labels("p", "f", 0, 2048).alias("labels")).where("labels IS NOT NULL")
-    return out.select("conv_id", F.size("labels").alias("n_labels"), F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"), F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
+    out = _turn_ids(spark, sf_dir).select("conv_id", "turn", memory.completion_labels("p", "f", 0, 2048).alias("labels")).where("labels IS NOT NULL")
+    return out.select("conv_id", "turn", F.size("labels").alias("n_labels"), F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"), F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
 
 
 def _hard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,11 +192,10 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.training_groups(order_examples(spark, sf_dir), part_kb(spark, sf_dir))
 
 
-def reranker_mlp(spark: SparkSession, sf_dir: str, fit_groups: int = 2_000) -> DataFrame:
-    """Scores by a scorer that is trained on the driver, on ``fit_groups`` groups at most, those of the lowest hashes."""
+def reranker_mlp(spark: SparkSession, sf_dir: str, epochs: int = 10, steps: int = 4) -> DataFrame:
+    """Scores by a scorer that is trained on all groups where they are."""
     groups = _groups(spark, sf_dir)
-    some = groups.orderBy(F.xxhash64("example_id")).limit(fit_groups).collect()
-    model, _ = rerank.trained([(r["numeric_features"], r["labels"]) for r in some])
+    model = listwise.trained(groups, epochs, steps, rate=1e-2).scorer
     rows = groups.select("example_id", F.explode(F.arrays_zip("numeric_features", "qids")).alias("c"))
     return rows.select("example_id", F.col("c.qids").alias("qid"), model.column(F.col("c.numeric_features")).alias("score"))
 
@@ -206,12 +212,10 @@ def fixed_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With and without the gold entity as an anchored candidate."""
-    examples, kb = order_examples(spark, sf_dir), part_kb(spark, sf_dir)
-    parts = []
-    for name, mode in (("anchored_and_surface", "rerank"), ("surface_only", "surface")):
-        ranks = metrics.gold_ranks(examples, retrieval.candidates(examples, kb, mode=mode))
-        parts.append(ranks.agg(*[F.round(c, 9).alias(n) for n, c in metrics.recall_at((1, 3, 5, 10)).items()]).select(F.lit(name).alias("candidates"), "*"))
-    return parts[0].unionByName(parts[1])
+    examples, kb, modes = order_examples(spark, sf_dir), part_kb(spark, sf_dir), ("rerank", "surface")
+    ranks = metrics.gold_ranks_by(examples, retrieval.candidates_of_modes(examples, kb, modes), "mode", modes)
+    name = F.when(F.col("mode") == "rerank", "anchored_and_surface").otherwise("surface_only")
+    return ranks.groupBy(name.alias("candidates")).agg(*[F.round(c, 9).alias(n) for n, c in metrics.recall_at((1, 3, 5, 10)).items()])
 
 
 def legacy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,9 +237,12 @@ def _mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     Numbers go round by the number of items, counted, so that each is asked for; they are in the order of the items' ids.
     """
     benchmark = read(spark, sf_dir, "benchmark")
-    nth = F.row_number().over(Window.orderBy("item_id")) - 1
-    items = benchmark.select("item_id", "text").withColumn("_item", nth).select("_item", tx.tokens(tx.normalize_surface("text")).alias("_w"))
-    asked = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.pmod("doc_id", F.lit(max(1, benchmark.count()))).alias("_item")).join(items, "_item")
+    # Items are few a bucket of ids: numbered within it, and the buckets, by their order, laid end to end.
+    bucket = benchmark.select("item_id", "text", F.floor(F.col("item_id") / 4096).alias("_b"))
+    starts = bucket.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("_b").orderBy("item_id")) - 1
+    items = bucket.withColumn("_nth", nth).join(starts, "_b").select((F.col("_start") + F.col("_nth")).alias("_item"), tx.tokens(tx.normalize_surface("text")).alias("_w"))
+    asked = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).withColumn("_item", F.pmod("id", benchmark.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar())).join(items, "_item")
     mentions = asked.select("id", F.array(F.get("_w", 0), F.array_join(F.slice("_w", 1, 2), " ")).alias("mentions"))
     return mentions, read(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("prediction"))
 

@@ -129,12 +129,13 @@ def mode_query(mode: str, chosen: str, *ctes: str, cand: str = BOTH) -> str:
 
 
 RECALLS = ", ".join(f"round(coalesce(avg(coalesce(gr <= {k}, false)::INT), 0.0), 9) AS recall_at_{k}" for k in (1, 3, 5, 10))
-FIRST_TURNS = """
-f AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user' AND trim(text) <> '') AS ask, arg_min(text, turn) FILTER (WHERE role = 'assistant' AND trim(text) <> '') AS answer
-      FROM conversations {where} GROUP BY conv_id)
-"""
 _IDS = "list_transform(list_filter(string_split({0}, ' '), lambda w: w <> ''), lambda w: length(w))"
 
+TURN_IDS = f"""
+s AS (SELECT conv_id, turn, role, {_IDS.format(norm('text'))} AS ids FROM conversations WHERE role IN ('user', 'assistant')),
+i AS (SELECT *, coalesce(flatten(list(ids) OVER (PARTITION BY conv_id ORDER BY turn, role DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), []) AS p FROM s)
+"""
+
 ASSEMBLY = """WITH l AS (SELECT l_orderkey AS example_id, list(l_returnflag || l_linestatus ORDER BY l_linenumber, l_partkey, l_returnflag || l_linestatus) AS targets,
         list('P' || l_partkey ORDER BY l_linenumber, 'P' || l_partkey) AS qids FROM lineitem GROUP BY 1),
       t AS (SELECT l_orderkey AS example_id, list_filter(list(p_type ORDER BY l_linenumber, p_type), lambda x: true) AS ty FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
@@ -176,13 +177,11 @@ SQL = {
     "noisy_memory": f"""WITH {PARTS}, {MEMORIES} SELECT example_id, head || line_type || line_text AS drop_alias, head || line_alias || line_type AS drop_description,
       replace(head, '  Target (en): ' || label, '  Target (en): ' || alias) || line_alias || line_type || line_text AS replace_canonical_with_alias FROM txt WHERE qid IS NOT NULL""",
     "sft_samples": f"WITH {PARTS}, {MEMORIES} SELECT example_id, {PROMPT} AS prompt, label AS target, 'entity-memory' AS mode FROM txt WHERE qid IS NOT NULL",
-    "chat_messages": f"""WITH {FIRST_TURNS.format(where="WHERE role IN ('user', 'assistant')")}
-      SELECT conv_id, '[SYSTEM]' || chr(10) || '{SYSTEM}' || chr(10) || chr(10) || '[USER]' || chr(10) || coalesce({strip('ask')}, '') ||
-        CASE WHEN answer IS NULL THEN '' ELSE chr(10) || chr(10) || '[ASSISTANT]' || chr(10) || {strip('answer')} END AS chat FROM f""",
-    "completion_labels": f"""WITH {FIRST_TURNS.format(where='')},
-      i AS (SELECT conv_id, {_IDS.format(norm('ask'))} AS p, {_IDS.format(norm('answer'))} AS q FROM f),
-      l AS (SELECT conv_id, len(p) AS k, list_concat(list_concat(list_transform(p, lambda x: -100), q), [0])[1:2048] AS labels FROM i)
-      SELECT conv_id, len(labels)::INT AS n_labels, len(list_filter(labels, lambda x: x = -100))::INT AS n_masked, array_to_string(labels, ',') AS labels FROM l WHERE len(list_filter(labels, lambda x: x <> -100)) > 0""",
+    "chat_messages": f"""SELECT conv_id, '[SYSTEM]' || chr(10) || '{SYSTEM}' || string_agg(chr(10) || chr(10) || '[' || upper(role) || ']' || chr(10) || {strip('text')}, '' ORDER BY turn, role DESC) AS chat
+      FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id""",
+    "completion_labels": f"""WITH {TURN_IDS},
+      l AS (SELECT conv_id, turn, list_concat(list_concat(list_transform(p, lambda x: -100), ids), [0])[1:2048] AS labels FROM i WHERE role = 'assistant')
+      SELECT conv_id, turn, len(labels)::INT AS n_labels, len(list_filter(labels, lambda x: x = -100))::INT AS n_masked, array_to_string(labels, ',') AS labels FROM l WHERE len(list_filter(labels, lambda x: x <> -100)) > 0""",
     "hard_negatives": parts_query(
         """SELECT example_id, (row_number() OVER (PARTITION BY example_id ORDER BY label DESC, nth) - 1)::INT AS candidate_rank_in_group, qid, label FROM (
           SELECT cand.example_id, qid, coalesce(qid = gold_qid, false)::INT AS label,

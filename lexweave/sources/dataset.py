@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as tx
+from lexweave.sources import shared
 
 
 def filtered(table: DataFrame, **equal: str | None) -> DataFrame:
@@ -74,7 +76,7 @@ def assembled(examples: DataFrame, references: DataFrame, entities: DataFrame, t
     """Examples with target, targets, gold_qid, qids, types, and mentions recovered from terms in the target language.
 
     References without a translation are left out.  Examples that miss what is required raise an error that tells how
-    many and names the first five.
+    many and names up to five, in one run for all that is required; ``save`` finds that out in the run that writes them.
     """
     refs = references.where(tx.safe("translation_text") != "")
     qids = entities.join(types.groupBy("qid").agg(F.sort_array(F.collect_set("type_text")).alias("types")), "qid", "left")
@@ -90,23 +92,59 @@ def assembled(examples: DataFrame, references: DataFrame, entities: DataFrame, t
         *examples.columns, F.get("targets", 0)["translation"].alias("target"), "targets", F.get("qids", 0).alias("gold_qid"),
         F.coalesce("qids", F.array().cast("array<string>")).alias("entity_qids"), F.coalesce("entity_types", F.array().cast("array<string>")).alias("entity_types"),
     )
-    if require_references:
-        _require(out, F.coalesce(F.size("targets") > 0, F.lit(False)), "a reference")
-    if require_mentions:
-        _require(out, F.exists("targets", lambda t: F.size(t["mention_candidates"]) > 0), "a mention")
+    required = [n for n, asked in (("a reference", require_references), ("a mention", require_mentions)) if asked]
+    if required:
+        _raised(out.agg(*_lacks(required)).first().asDict())
     return out
 
 
+def save(examples: DataFrame, path: str, require_references: bool = True, require_mentions: bool = True) -> None:
+    """Writes assembled examples (not yet held against what is required) to a new folder, in one run.
+
+    What they lack is observed while they are written; if they do, an error tells how many and names five, and nothing is
+    left.  The folder gets its name once all is written and nothing is lacking.
+    """
+    spark, beside = examples.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"
+    required = [n for n, asked in (("a reference", require_references), ("a mention", require_mentions)) if asked]
+    seen = Observation()
+    (examples.observe(seen, *_lacks(required)) if required else examples).write.parquet(beside)
+    try:
+        if required:
+            _raised(seen.get)
+        shared.rename(spark, beside, path)
+    except BaseException:
+        shared.delete(spark, beside)
+        raise
+
+
 def _target() -> Column:
     own, recovered = tx.or_null("mention_text"), F.coalesce("recovered", F.array().cast("array<string>"))
     names = tx.ordered_distinct(F.concat(F.array(own), recovered))
     return F.struct(tx.safe("translation_text").alias("translation"), F.coalesce(own, F.get(recovered, 0)).alias("mention"), names.alias("mention_candidates"))
 
 
-def _require(rows: DataFrame, holds: Column, what: str) -> None:
-    bad = rows.where(~F.coalesce(holds, F.lit(False))).agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_set("example_id")), 1, 5).alias("ids")).first()
-    if bad["n"]:
-        raise ValueError(f"{bad['n']} examples lack {what}, such as {', '.join(map(str, bad['ids']))}")
+#: What an example of some requirement holds, and into how many groups by hash examples that lack it are dealt; the least of each group is named.
+_HOLDS = {"a reference": lambda: F.size("targets") > 0, "a mention": lambda: F.exists("targets", lambda t: F.size(t["mention_candidates"]) > 0)}
+_NAMED = 5
+
+
+def _lacks(required: list[str]) -> list[Column]:
+    """Aggregates of bounded size: for each requirement the number of examples that lack it, and five of these."""
+    out = []
+    for i, name in enumerate(required):
+        lacks = ~F.coalesce(_HOLDS[name](), F.lit(False))
+        group = F.pmod(F.xxhash64("example_id"), F.lit(_NAMED))
+        least = [F.min(F.when(lacks & (group == g), F.col("example_id"))) for g in range(_NAMED)]
+        out += [F.count_if(lacks).alias(f"n{i}_{name}"), F.array_sort(F.array_compact(F.array(*least))).alias(f"ids{i}_{name}")]
+    return out
+
+
+def _raised(found: dict) -> None:
+    """Raises an error of the first requirement that examples lack."""
+    for key, n in found.items():
+        if key.startswith("n") and n:
+            place, _, name = key[1:].partition("_")
+            raise ValueError(f"{n} examples lack {name}, such as {', '.join(map(str, found[f'ids{place}_{name}']))}")
 
 
 def knowledge_base(entity: DataFrame, terms: DataFrame, types: DataFrame, target_lang: str) -> DataFrame:

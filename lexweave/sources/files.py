@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexweave.functions import text as tx
+from lexweave.sources.keyed import first_of_keys
 
 # The feeds' schemas.
 TRAIN = "id string, source_locale string, target_locale string, source string, target string, entities array<string>"
@@ -18,9 +20,48 @@ ENTITIES = f"entities map<string, struct<missing: string, labels: {NAMED}, alias
 PREDICTIONS = "id string, source_language string, target_language string, text string, prediction string"
 
 
-def json_lines(spark: SparkSession, folder: str, schema: str, recursive: bool = True, pattern: str = "*.jsonl") -> DataFrame:
-    """All JSON-lines files of a folder; missing fields are null, and there is no schema inference."""
-    return spark.read.schema(schema).option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).json(folder)
+def json_lines(spark: SparkSession, folder: str, schema: str, recursive: bool = True, pattern: str = "*.jsonl", ordinal: str | None = None) -> DataFrame:
+    """All JSON-lines files of a folder; missing fields are null, and there is no schema inference.
+
+    ordinal: name of a further column that orders rows as they stand in the files, and files by path.
+    """
+    rows = spark.read.schema(schema).option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).json(folder)
+    return rows if ordinal is None else with_ordinal(rows, ordinal)
+
+
+def with_ordinal(rows: DataFrame, name: str) -> DataFrame:
+    """Rows, as they are read from files, with a column that orders them as they stand there: by path, block and place.
+
+    A block of a file is read by one task from its start to its end, so the task's running number orders its rows; tasks
+    need not know of one another, and nothing is sorted.  Only for a table that was just read: behind a shuffle, places
+    are lost.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", place.alias(name))
+
+
+def varied_lines(spark: SparkSession, folder: str, fields: Mapping[str, tuple[str, Sequence[str]]], recursive: bool = True, pattern: str = "*.jsonl", ordinal: str | None = None) -> DataFrame:
+    """JSON lines whose fields go by several names: a column for each of ``fields`` (name: type and aliases), and the raw line
+    where it is no JSON object, as ``corrupt`` (null otherwise).
+
+    Each line is read once, as a VARIANT.  Of a field's aliases the first counts that has a value of its type which isn't
+    an empty text.  An alias may be a path, such as ``$.target.text``.  Blank lines are no rows.
+    """
+    lines = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(folder)
+    lines = lines if ordinal is None else with_ordinal(lines, ordinal)
+    return unified(lines.where(~F.col("value").rlike(r"^\s*$")), "value", fields)
+
+
+def unified(rows: DataFrame, text: str, fields: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
+    """``rows`` with the fields of a column of JSON texts, as ``varied_lines`` has them, instead of that column."""
+    held = rows.withColumn("_v", F.try_parse_json(text)).withColumn("_v", F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.col("_v")))
+
+    def value(kind: str, aliases: Sequence[str]) -> Column:
+        found = [F.try_variant_get("_v", a if a.startswith("$") else f"$['{a}']", kind) for a in aliases]
+        return F.coalesce(*[tx.or_null(f) if kind == "string" else f for f in found])
+
+    others = [c for c in rows.columns if c != text]
+    return held.select(*others, *[value(*f).alias(n) for n, f in fields.items()], F.when(F.col("_v").isNull(), F.col(text)).alias("corrupt"))
 
 
 def qid_locale_pairs(train: DataFrame, evaluation: DataFrame) -> DataFrame:
@@ -103,12 +144,6 @@ def jdbc(spark: SparkSession, name: str, partition: tuple[str, int, int, int] |
     return reader.load()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a file or folder, on whatever file system."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def prediction_records(predictions: DataFrame) -> DataFrame:
     """Predictions (id, source_lang, target_lang, text, prediction) as records with locales."""
     source, target = tx.locale_of(F.coalesce(tx.or_null("source_lang"), F.lit("en"))), tx.locale_of("target_lang")
@@ -120,6 +155,42 @@ def write_json_lines(rows: DataFrame, folder: str) -> None:
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(folder)
 
 
-def missing_from(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows, one a key, whose keys aren't stored yet: what an idempotent append adds."""
-    return rows.dropDuplicates(keys).join(stored.select(*keys).distinct(), keys, "left_anti")
+def missing_from(rows: DataFrame, stored: DataFrame, keys: list[str], order: Column | str | None = None) -> DataFrame:
+    """Rows, one a key (the first by ``order``, or else the least), whose keys aren't stored yet: what an idempotent append adds.
+
+    For a stored table of any kind, all of whose keys are read; ``sources.keyed`` reads only those that may be there.
+    """
+    return first_of_keys(rows, keys, order).join(stored.select(*keys).distinct(), keys, "left_anti")
+
+
+def fallback_chain(fallbacks: DataFrame, languages: Sequence[str] | None = None) -> DataFrame:
+    """(lang_code, fallback, distance) of every language and all that can stand in for it, itself at distance 0.
+
+    fallbacks: (lang_code, fallback, place): a language's own fallbacks in order.  A language is reached by the fewest
+    steps, then by the places on the way; rings end.  The relation is joined with itself, each round one step further,
+    until nothing new is reached: as many rounds as the longest way has steps.  languages: only these are started from.
+    """
+    steps = fallbacks.where((tx.safe("lang_code") != "") & (tx.safe("fallback") != "")).groupBy("lang_code", "fallback").agg(F.min("place").alias("place"))
+    every = steps.select("lang_code").union(steps.select("fallback")).distinct()
+    every = every if languages is None else every.where(F.col("lang_code").isin(list(languages)))
+    way = "array<bigint>"
+    reached = every.select("lang_code", F.col("lang_code").alias("fallback"), F.lit(0).alias("distance"), F.array().cast(way).alias("way"))
+    last, distance = reached, 0
+    while True:
+        distance += 1
+        step = steps.select(F.col("lang_code").alias("fallback"), F.col("fallback").alias("_next"), F.col("place").cast("bigint").alias("_place"))
+        on = last.join(step, "fallback").select("lang_code", F.col("_next").alias("fallback"), F.concat("way", F.array("_place")).alias("way"))
+        new = on.groupBy("lang_code", "fallback").agg(F.min("way").alias("way")).join(reached, ["lang_code", "fallback"], "left_anti")
+        last = new.select("lang_code", "fallback", F.lit(distance).alias("distance"), "way").checkpoint()
+        if last.isEmpty():
+            break
+        reached = reached.unionByName(last)
+    return reached.select("lang_code", "fallback", F.row_number().over(Window.partitionBy("lang_code").orderBy("distance", "way", "fallback")).alias("distance")).withColumn("distance", F.col("distance") - 1)
+
+
+def terms_with_fallback(terms: DataFrame, chain: DataFrame) -> DataFrame:
+    """(qid, lang_code, term_type, term_text, from_lang): for each entity, language of a chain and kind of term those of the
+    nearest language that has any."""
+    near = terms.withColumnRenamed("lang_code", "fallback").join(F.broadcast(chain), "fallback")
+    least = near.groupBy("qid", "lang_code", "term_type").agg(F.min("distance").alias("distance"))
+    return near.join(least, ["qid", "lang_code", "term_type", "distance"]).select("qid", "lang_code", "term_type", "term_text", F.col("fallback").alias("from_lang"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexweave.sources import shared
 
 
 def metrics_path(explicit: str | None, predictions: str | None, folder: str | None) -> str:
@@ -46,8 +49,15 @@ def overlaid(given: dict, defaults: dict, summary: dict) -> dict:
     return defaults | {k: v for k, v in summary.items() if k in defaults and v is not None} | {k: v for k, v in given.items() if v is not None}
 
 
-def write_json_array(rows: DataFrame, folder: str) -> None:
-    """Rows as one JSON array of objects a file, in their order; for lists that one file holds."""
-    spark = rows.sparkSession
-    lines = [r.asDict(recursive=True) for r in rows.toLocalIterator()]
-    write_json(spark, lines, folder)
+def write_json_array(rows: DataFrame, path: str) -> None:
+    """Rows as one JSON array of objects in one file, in their order; characters as they are.
+
+    Each partition writes its lines; the parts' bytes are then streamed into the file, one after the other.  Parts are
+    named in the order of partitions, so sorted rows stay sorted.
+    """
+    spark, held = rows.sparkSession, shared.folder(rows.sparkSession)
+    rows.select(F.concat(F.lit(","), F.to_json(F.struct("*"))).alias("value")).write.option("compression", "none").text(held)
+    parts = sorted((n for n in shared.names(spark, held) if n.startswith("part-")), key=lambda n: int(n.split("-")[1]))
+    # The comma before the first row goes.
+    shared.joined(spark, [f"{held}/{n}" for n in parts], path, b"[\n", b"]\n", skip=1)
+    shared.delete(spark, held)

@@ -6,38 +6,25 @@ import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexweave.sources.files import exists, missing_from
+from lexweave.sources.keyed import KeyedTable
 
 
-def append_missing(path: str, keys: Sequence[str], run: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: writes a batch's new keys to a Parquet table, so that repeated input changes nothing.
+def append_missing(path: str, keys: Sequence[str], run: str, order: str | None = None, buckets: int = 256) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: adds a batch's new keys to a keyed table, so that repeated input changes nothing.
 
-    A batch has a folder of its own in the table, named by run and number (columns ingest_run and ingest_batch).  A batch
-    that is tried again, as one that was half written is, writes its folder anew and is held against all others.
+    A batch that is tried again, as one that was half written is, writes its folders anew and is held against all others.
     """
+    table = KeyedTable(path, keys, buckets)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch
-        if exists(spark, path):
-            stored = spark.read.schema(f"{_ddl(batch)}, ingest_run string, ingest_batch bigint").parquet(path)
-            others = stored.where((F.col("ingest_run") != run) | (F.col("ingest_batch") != number))
-            new = missing_from(batch, others.select(*keys), list(keys))
-        else:
-            new = batch.dropDuplicates(list(keys))
-        new.write.mode("overwrite").parquet(f"{path}/ingest_run={run}/ingest_batch={number}")
+        table.append(batch, run, number, order)
 
     return write
 
 
-def _ddl(rows: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-
-
-def ingest(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str) -> StreamingQuery:
+def ingest(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str, order: str | None = None, buckets: int = 256) -> StreamingQuery:
     """Starts the ingest of what is there now; a run is what has one checkpoint folder."""
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
-    return stream.writeStream.foreachBatch(append_missing(path, keys, run)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(append_missing(path, keys, run, order, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
