@@ -56,7 +56,14 @@ def feature_columns() -> dict[str, Column]:
 
 def scored(rows: DataFrame, strategy: str = "heuristic", model: Callable[[Column], Column] | None = None, prior_weight: float = rerank.PRIOR_WEIGHT, by: Sequence[str] = ("example_id",)) -> DataFrame:
     """Featured candidates with reranker_score, prior_bonus, final_score, final_rank and margin_to_next."""
-    out = rows.withColumn("reranker_score", F.round(rerank.score(feature_columns(), strategy, model), 6)).withColumn("prior_bonus", rerank.prior("qid", "gold_qid"))
+    if strategy in ("features", "vector") and model is not None:
+        # A column of its own, which the condition that always holds keeps Spark from moving into the model's call: it can't
+        # call Python on arguments that are lambda functions' results.
+        rows = rows.withColumn("_input", F.when(F.monotonically_increasing_id() >= 0, rerank.model_input(feature_columns(), strategy)))
+        score = model(F.col("_input"))
+    else:
+        score = rerank.score(feature_columns(), strategy, model)
+    out = rows.withColumn("reranker_score", F.round(score, 6)).withColumn("prior_bonus", rerank.prior("qid", "gold_qid")).drop("_input")
     return rerank.reranked(out, weight=prior_weight, by=by)
 
 

@@ -112,7 +112,12 @@ def score(values: dict[str, Column], strategy: str = "heuristic", model: Callabl
         return heuristic(values)
     if model is None:
         raise ValueError(f"strategy {strategy} needs a model")
-    return model(F.struct(*[values[f].alias(f) for f in FEATURES]) if strategy == "features" else vector(values))
+    return model(model_input(values, strategy))
+
+
+def model_input(values: dict[str, Column], strategy: str) -> Column:
+    """What a model of a strategy takes."""
+    return F.struct(*[values[f].alias(f) for f in FEATURES]) if strategy == "features" else vector(values)
 
 
 def prior(qid: Column | str, canonical: Column | str) -> Column:
@@ -203,10 +208,11 @@ def listwise_loss(scores: np.ndarray, gold: int) -> tuple[float, np.ndarray]:
     return float(-np.log(max(p[gold], 1e-300))), g
 
 
-def trained(groups: Sequence[tuple[np.ndarray, Sequence[int]]], epochs: int = 10, batch: int = 16, rate: float = 1e-3, decay: float = 1e-5, hidden: int = 128, dropout: float = 0.1, seed: int = 0, validate: Sequence[tuple[np.ndarray, Sequence[int]]] = ()) -> tuple[ListwiseScorer, list[dict]]:
-    """A scorer trained by AdamW on groups of (features, labels), and the loss and top-1 accuracy of each epoch.
+def trained(groups: Sequence[tuple[np.ndarray, Sequence[int]]], epochs: int = 10, batch: int = 16, rate: float = 1e-3, decay: float = 1e-5, hidden: int = 128, dropout: float = 0.1, seed: int = 0, validate: Sequence[tuple[np.ndarray, Sequence[int]]] = (), batches: Callable[[int], list[list[int]]] | None = None) -> tuple[ListwiseScorer, list[dict]]:
+    """A scorer trained by AdamW on groups of (features, labels) in one place, and the loss and top-1 accuracy of each epoch.
 
-    With ``validate``, the weights of the best top-1 accuracy are returned.
+    For groups that fit there; ``operators.listwise`` trains where the groups are.  batches: gives an epoch's batches as
+    places of groups, instead of shuffled ones of ``batch``.  With ``validate``, the weights of the best top-1 accuracy are returned.
     """
     rng, model = np.random.default_rng(seed), ListwiseScorer.fresh(hidden, seed)
     some = [(np.asarray(x, float), next((i for i, y in enumerate(labels) if y == 1), -1)) for x, labels in groups if len(x) and len(labels)]
@@ -214,10 +220,14 @@ def trained(groups: Sequence[tuple[np.ndarray, Sequence[int]]], epochs: int = 10
     first, second, step, history, best = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, [], (-1.0, None)
     for _ in range(epochs):
         total, n = 0.0, 0
-        order = rng.permutation(len(some))
-        for at in range(0, len(order), batch):
+        if batches is None:
+            order = rng.permutation(len(some))
+            dealt = [order[at : at + batch] for at in range(0, len(order), batch)]
+        else:
+            dealt = batches(len(history))
+        for places in dealt:
             grads = [np.zeros_like(p) for p in params]
-            used = [some[i] for i in order[at : at + batch] if some[i][1] >= 0]
+            used = [some[i] for i in places if some[i][1] >= 0]
             for x, gold in used:
                 h = np.maximum(x @ params[0] + params[1], 0)
                 keep = (rng.random(h.shape) >= dropout) / (1 - dropout)

@@ -1,6 +1,7 @@
 """Retrieval, assembly, files, metrics, ingest and the driver's contract."""
 
 import ast
+import hashlib
 import json
 from pathlib import Path
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.slots import generate_halving, generated_frame, scored_frame
 from lexweave.functions import text as tx
-from lexweave.operators import evaluation, linking, metrics, rerank, retrieval, samples
-from lexweave.sources import dataset, files, runs
+from lexweave.operators import evaluation, linking, listwise, metrics, rerank, retrieval, samples
+from lexweave.sources import dataset, files, models, runs
+from lexweave.sources.keyed import KeyedTable, first_of_keys
 from lexweave.streaming.ingest import append_missing, ingest
 
 KB = "qid string, target_lang string, label_en string, aliases_en array<string>, target_label string, target_aliases array<string>, entity_type string, description string, language_available boolean, popularity double, surfaces array<string>"
@@ -47,15 +49,54 @@ def test_examples_without_source_have_no_candidates(spark, kb):
         assert [x[0] for x in ranked(retrieval.candidates(some, kb, mode=mode))] == [5]
 
 
-def test_bits_only_leave_out_what_is_no_surface(spark, monkeypatch):
+def test_filter_only_leaves_out_what_is_no_surface(spark, monkeypatch):
+    """One table or several, full or not: the same candidates; and a filter split among tables still leaves most n-grams out."""
     words = ["ab", "cd", "ef", "gh", "ij"]
     texts = [(i, " ".join(words[(i * 7 + j * j) % 5] for j in range(12)) + ".", "ko", None) for i in range(40)]
     some = spark.createDataFrame(texts, "example_id int, source string, target_lang string, gold_qid string")
     rows = [(f"Q{i}", "ko", "l", [], f"label {i}", [], None, None, i % 4 > 0, float(i % 3), [" ".join(words[(i + j) % 5] for j in range(1 + i % 5)), words[i % 5]]) for i in range(30)]
     table = spark.createDataFrame(rows, KB)
     want = ranked(retrieval.candidates(some, table, mode="surface", top_k=50))
-    monkeypatch.setattr(retrieval, "_bits", lambda *_: None)
-    assert want and ranked(retrieval.candidates(some, table, mode="surface", top_k=50)) == want
+    assert want
+    for bits, most in ((16, 1 << 8), (1, 1 << 6)):
+        monkeypatch.setattr(retrieval, "BITS", bits)
+        monkeypatch.setattr(retrieval, "TABLE_BITS", most)
+        assert retrieval._filter_size(60)[0] == (4 if bits == 16 else 1)
+        assert ranked(retrieval.candidates(some, table, mode="surface", top_k=50)) == want
+
+
+def test_split_filter_leaves_most_ngrams_unexploded(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TABLE_BITS", 1 << 12)
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    surfaces = sorted({" ".join(rng.choice(vocabulary, rng.integers(2, 5))) for _ in range(2000)})
+    held = spark.createDataFrame([(s,) for s in surfaces], "surface string")
+    texts = [(i, " ".join(rng.choice(vocabulary, 200)) + " " + surfaces[i], "ko", None) for i in range(50)]
+    some = spark.createDataFrame(texts, "example_id int, source string, target_lang string, gold_qid string")
+    assert retrieval._filter_size(len(surfaces))[0] > 5
+    asked = {(r["example_id"], r["key"]) for r in retrieval._asked(some, held, len(surfaces), False, 1, 5, 2).collect()}
+    grams = {(i, " ".join(t.split()[a : a + n])) for i, t, *_ in texts for n in range(1, 6) for a in range(len(t.split()) - n + 1)}
+    assert {g for g in grams if g[1] in set(surfaces)} <= asked <= grams
+    assert len(asked) < 0.05 * len(grams)
+
+
+def test_ngram_hashes_tell_ngrams_apart():
+    h = np.random.default_rng(1).integers(0, 50, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for n in (1, 2, 5):
+        found = {}
+        for at, g in enumerate(retrieval.gram_hashes(h, n).tolist()):
+            assert found.setdefault(g, tuple(h[at : at + n])) == tuple(h[at : at + n])
+    assert len(retrieval.gram_hashes(h[:2], 3)) == 0
+
+
+def test_candidates_of_modes_are_those_of_each(spark, kb, examples):
+    rows = lambda df: sorted(tuple(r) for r in df.select("example_id", "rank", "qid", "candidate_source", "source_span").collect())
+    found = retrieval.candidates_of_modes(examples, kb, retrieval.MODES, top_k=3).cache()
+    for mode in retrieval.MODES:
+        assert rows(found.where(F.col("mode") == mode)) == rows(retrieval.candidates(examples, kb, mode=mode, top_k=3)) != []
+    both = linking.entity_memories_by_mode(examples, kb, retrieval.MODES).select("example_id", "mode", "memory").collect()
+    for mode in retrieval.MODES:
+        assert {r["example_id"]: r["memory"] for r in both if r["mode"] == mode} == {r["example_id"]: r["memory"] for r in linking.entity_memories(examples, kb, mode).collect()}
 
 
 def test_knowledge_base_rows_of_one_entity(spark):
@@ -241,23 +282,174 @@ def test_assembly_raises_and_kb(spark):
 
 def test_ingest_is_idempotent(spark, tmp_path):
     schema = "id int, v string"
-    spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], schema).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (None, "n"), (None, "m")], schema).write.parquet(str(tmp_path / "in"))
     for n in range(2):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        ingest(stream, str(tmp_path / "out"), ["id"], str(tmp_path / f"c{n}")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+        ingest(stream, str(tmp_path / "out"), ["id"], str(tmp_path / f"c{n}"), buckets=4).awaitTermination(60)
+    assert sorted(map(tuple, KeyedTable(str(tmp_path / "out"), ["id"], 4).rows(spark, schema).select("id", "v").collect()), key=str) == [(1, "a"), (2, "c"), (None, "m")]
 
 
 def test_ingest_survives_a_half_written_batch(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], "id int, v string")
-    write = append_missing(str(tmp_path / "out"), ["id"], "r")
+    write = append_missing(str(tmp_path / "out"), ["id"], "r", buckets=4)
     write(rows.where("id = 1"), 0)
     write(rows.where("id > 1"), 1)
-    part = next((tmp_path / "out" / "ingest_run=r" / "ingest_batch=1").glob("part-*.parquet"))
+    part = next((tmp_path / "out" / "rows").glob("key_bucket=*/ingest_run=r/ingest_batch=1/part-*.parquet"))
     part.unlink()  # as if the batch had been cut off
     write(rows.where("id > 1"), 1)
     write(rows, 2)
-    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+    assert sorted(r["id"] for r in KeyedTable(str(tmp_path / "out"), ["id"], 4).rows(spark, "id int, v string").collect()) == [1, 2, 3]
+
+
+def test_appends_read_only_buckets_that_may_hold_a_key(spark, tmp_path, monkeypatch):
+    table = KeyedTable(str(tmp_path / "t"), ["id"], 16)
+    table.append(spark.range(400).withColumn("v", F.lit(1)), "r", 0)
+    new = spark.range(1000, 1003).withColumn("v", F.lit(2))
+    read = []
+    monkeypatch.setattr(KeyedTable, "rows", lambda self, spark, schema, f=KeyedTable.rows: (read.append(1), f(self, spark, schema))[1])
+    assert table.missing(new).count() == 3 and not read  # no filter holds them
+    some = table.missing(spark.range(5, 6).withColumn("v", F.lit(3)))
+    assert some.count() == 0 and read
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("PartitionFilters") :]
+    assert "key_bucket" in scan[: scan.index("PushedFilters")]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_first_of_keys_in_any_partitioning(spark, parts):
+    rows = spark.createDataFrame([(1, 3, "x"), (1, 2, "z"), (1, 2, "y"), (None, 1, None), (None, 1, "q"), (2, None, "n")], "k int, o int, v string").repartition(parts)
+    got = sorted((tuple(r) for r in first_of_keys(rows, ["k"], "o").collect()), key=str)
+    assert [r[:2] for r in got] == [(1, 2), (2, None), (None, 1)] and got[0][2] == "y"
+    assert files.missing_from(rows, rows.where("k = 1"), ["k"]).where("k = 1").count() == 0
+
+
+def test_input_order_of_files(spark, tmp_path):
+    """The last of a key is the last line of the last file, in any number of splits."""
+    for f in range(3):
+        (tmp_path / f"f{f}.jsonl").write_text("".join('{"id": "%d", "prediction": "%s"}\n' % (i % 7, f"{f}-{i}") for i in range(500)))
+    with_size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (with_size, "3000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = files.json_lines(spark, str(tmp_path), files.PREDICTIONS, ordinal="ordinal").select("id", "prediction", "ordinal").repartition(5)
+            last = {r["id"]: r["prediction"] for r in metrics.last_of(rows, "id", "prediction", "ordinal").collect()}
+            assert last == {str(k): f"2-{max(i for i in range(500) if i % 7 == k)}" for k in range(7)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", with_size)
+    records = spark.createDataFrame([("1", "s", [("x", "zeta", None)], [])], "id string, source string, targets array<struct<translation: string, mention: string, mention_candidates: array<string>>>, entity_types array<string>")
+    said = spark.createDataFrame([("1", "zz none", 1), ("1", "a zeta b", 2)], "id string, prediction string, ordinal int")
+    assert evaluation.evaluate_predictions(said, records, scores=spark.createDataFrame([("1", 0.5)], "id string, score double")).first()["correct"] == 1
+
+
+def test_varied_feeds(spark, tmp_path):
+    lines = ['{"id": 1, "source": "a", "target_locale": "ko"}', '{"example_id": "2", "text": " b ", "source": "", "lang": "de"}', '{"meta": {"id": 3, "locale": "fr"}, "sentence": "c", "source": null}', "", "   ", '{"id": 4', "[1]", '{"id": [1], "example_id": 5}']
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    fields = {"id": ("bigint", ("id", "example_id", "$.meta.id")), "source": ("string", ("source", "text", "sentence")), "locale": ("string", ("target_locale", "lang", "$.meta.locale"))}
+    rows = files.varied_lines(spark, str(tmp_path), fields, ordinal="at").orderBy("at").drop("at").collect()
+    assert [tuple(r) for r in rows] == [(1, "a", "ko", None), (2, "b", "de", None), (3, "c", "fr", None), (None, None, None, '{"id": 4'), (None, None, None, "[1]"), (5, None, None, None)]
+
+
+def test_fallback_chains(spark):
+    steps = spark.createDataFrame([("a", "b", 0), ("a", "c", 1), ("b", "d", 0), ("c", "d", 0), ("d", "a", 0), ("x", "", 0), (None, "a", 0)], "lang_code string, fallback string, place int")
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    chain = files.fallback_chain(steps)
+    assert {l: [r["fallback"] for r in chain.where(F.col("lang_code") == l).orderBy("distance").collect()] for l in "abd"} == {"a": list("abcd"), "b": list("bdac"), "d": list("dabc")}
+    terms = spark.createDataFrame([("Q", "c", "label", "x"), ("Q", "d", "label", "y"), ("Q", "d", "alias", "z")], "qid string, lang_code string, term_type string, term_text string")
+    got = {(r["lang_code"], r["term_type"]): (r["term_text"], r["from_lang"]) for r in files.terms_with_fallback(terms, chain).collect()}
+    assert got[("a", "label")] == ("x", "c") and got[("b", "label")] == ("y", "d") and got[("c", "alias")] == ("z", "d")
+
+
+def test_json_array_in_one_file(spark, tmp_path):
+    for n, parts in ((0, 1), (1, 3), (1000, 7)):
+        runs.write_json_array(spark.range(n).select(F.col("id"), F.lit("é").alias("v")).repartitionByRange(parts, "id").sortWithinPartitions("id"), f"{tmp_path}/{n}.json")
+        assert runs.read_json(spark, f"{tmp_path}/{n}.json") == [{"id": i, "v": "é"} for i in range(n)]
+
+
+def test_requirements_are_observed_while_writing(spark, tmp_path):
+    none, one = [], [("t", "m", ["m"])]
+    schema = "example_id int, targets array<struct<translation: string, mention: string, mention_candidates: array<string>>>"
+    rows = spark.createDataFrame([(i, none if i in (3, 5) else one) for i in range(9)], schema)
+    with pytest.raises(ValueError, match="2 examples lack a reference, such as 3, 5"):
+        dataset.save(rows, str(tmp_path / "out"))
+    assert not list(tmp_path.iterdir())
+    dataset.save(rows.where("example_id < 3"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    with pytest.raises(ValueError, match="4 examples lack a mention"):
+        dataset.save(spark.createDataFrame([(i, [("t", None, [])]) for i in range(4)], schema), str(tmp_path / "no"), require_references=False)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_batches_by_length(spark, parts):
+    rng = np.random.default_rng(7)
+    data = [(str(i), rng.integers(1, 9, n).tolist(), [-100] + rng.integers(1, 9, n - 1).tolist()) for i, n in enumerate([*rng.integers(1, 12, 50).tolist(), *[5] * 60])]
+    rows = spark.createDataFrame([*data, ("x", [1], None)], "example_id string, full_ids array<int>, labels array<int>").repartition(parts)
+    got = samples.batched(rows, 8).orderBy("batch").collect()
+    want = sorted(data, key=lambda r: (len(r[1]), hashlib.md5(r[0].encode()).hexdigest()))
+    for b, r in enumerate(got):
+        own = want[8 * b : 8 * b + 8]
+        width = max(len(x[1]) for x in own)
+        pad = lambda x, v: x + [v] * (width - len(x))
+        assert (r["batch"], r["size"], r["width"], r["keys"]) == (b, len(own), width, [x[0] for x in own])
+        assert r["input_ids"] == [pad(x[1], 0) for x in own] and r["attention_mask"] == [pad([1] * len(x[1]), 0) for x in own] and r["batch_labels"] == [pad(x[2], -100) for x in own]
+    assert sum(r["size"] for r in got) == len(data)
+
+
+def test_chat_templates(spark):
+    rows = spark.createDataFrame([([("user", "q"), ("assistant", "a")],)], "m array<struct<role: string, content: string>>")
+    signs = {"user": ("<u>", "</u>"), "assistant": ("<a>", "</a>")}
+    assert rows.select(samples.templated("m", signs, "<s>", "<a>").alias("t")).first()["t"] == "<s><u>q</u><a>a</a><a>"
+    with pytest.raises(Exception, match="lacks role assistant"):
+        rows.select(samples.templated("m", {"user": ("", "")})).collect()
+
+
+def _ranking_groups(spark, n=60):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=(3 + i % 4, 11)).tolist()) for i in range(n)]
+    rows = [(i, x, [int(k == int(np.argmax([v[0] for v in x]))) for k in range(len(x))], []) for i, x in rows] + [(n, [[0.0] * 11], [0], []), (n + 1, [], [], [])]
+    return spark.createDataFrame(rows, "example_id int, numeric_features array<array<double>>, labels array<int>, qids array<string>"), rows
+
+
+def test_distributed_training_is_the_drivers(spark):
+    """With the batches that it makes and nothing dropped out, the parameters are those of training in one place."""
+    groups, rows = _ranking_groups(spark)
+    batch = {r["example_id"]: r["b"] for r in groups.select("example_id", F.pmod(F.xxhash64("example_id"), F.lit(3)).alias("b")).collect()}
+    some = [(np.array(x), labels, i) for i, x, labels, _ in rows if 1 in labels]
+    place = {i: k for k, (*_, i) in enumerate(some)}
+    batches = lambda epoch: [[place[i] for i in place if batch[i] == b] for b in np.random.default_rng([5, epoch]).permutation(3).tolist()]
+    model, history = rerank.trained([(x, y) for x, y, _ in some], epochs=3, rate=1e-2, hidden=8, dropout=0.0, seed=5, batches=batches)
+    state = listwise.trained(groups.repartition(5), 3, 3, rate=1e-2, hidden=8, dropout=0.0, seed=5)
+    for a, b in zip(state.params, (model.w1, model.b1, model.w2, [model.b2])):
+        assert np.abs(a - b).max() < 1e-9
+    assert [h["loss"] for h in state.history] == pytest.approx([h["loss"] for h in history]) and all(h["groups"] == 60 for h in state.history)
+
+
+def test_training_learns_stops_and_goes_on(spark, tmp_path):
+    groups, _ = _ranking_groups(spark)
+    whole = listwise.trained(groups, 6, 2, rate=3e-2, hidden=16, seed=1)
+    assert whole.history[-1]["loss"] < 0.6 * whole.history[0]["loss"]
+    store = str(tmp_path / "store")
+    listwise.trained(groups, 2, 2, rate=3e-2, hidden=16, seed=1, store=store, validate=groups)
+    assert models.versions(spark, store) == [1, 2]
+    again = listwise.trained(groups.repartition(3), 6, 2, rate=3e-2, hidden=16, seed=1, store=store, validate=groups)
+    assert all(np.abs(a - b).max() < 1e-9 for a, b in zip(whole.params, again.params)) and models.versions(spark, store) == [1, 2, 3, 4, 5, 6]
+    best = again.best()
+    assert again.history[best - 1]["top1"] == max(h["top1"] for h in again.history)
+    x = np.random.default_rng(0).normal(size=(4, 11))
+    assert (listwise.best_scorer(spark, store)(x) == listwise.State.load(spark, store, best).scorer(x)).all()
+    assert listwise.judged(groups, whole.scorer)["top1"] > 0.7
+    with pytest.raises(FileExistsError):
+        again.save(spark, store)
+    assert not [n for n in (tmp_path / "store").iterdir() if ".part" in n.name]
+    empty = listwise.trained(groups.where("example_id < 0"), 1, 2)
+    assert empty.history == [{"loss": 0.0, "top1": None, "groups": 0}]
+
+
+def test_wrapped_parameters_are_read_by_their_plain_names(spark, tmp_path):
+    models.save(spark, str(tmp_path), 3, {"module.w1": np.ones(2)}, note="n")
+    arrays, values = models.load(spark, str(tmp_path))
+    assert list(arrays) == ["w1"] and values == {"note": "n"}
+    with pytest.raises(FileNotFoundError):
+        models.load(spark, str(tmp_path / "none"))
 
 
 def score_by_length(sources, references, predictions):
@@ -281,6 +473,39 @@ def test_evaluation_from_the_command_line(spark, tmp_path):
     assert evaluate.main([*common, "--metrics", str(tmp_path / "m.json")], spark)["total"] == 2
 
 
+def make_generator(max_new_tokens, do_sample, **more):
+    return lambda prompts: [f"{'[ENTITY MEMORY]' in p} {max_new_tokens} {do_sample} seoul" for p in prompts]
+
+
+def make_score():
+    return score_by_length
+
+
+def test_generation_from_the_command_line(spark, tmp_path):
+    from lexweave import evaluate
+
+    t = tmp_path / "t"
+    spark.createDataFrame([(1, "validation", "en", "ko", "go to Seoul"), (2, "test", "en", "ko", "s")], "example_id int, split string, source_locale string, target_locale string, source string").write.parquet(str(t / "examples"))
+    spark.createDataFrame([(1, 1, "x", "Seoul", 0)], "reference_id int, example_id int, translation_text string, mention_text string, reference_order int").write.parquet(str(t / "references"))
+    spark.createDataFrame([(1, "Q1", 0)], "example_id int, qid string, entity_order int").write.parquet(str(t / "entities"))
+    spark.createDataFrame([("Q1", "City")], "qid string, type_text string").write.parquet(str(t / "types"))
+    spark.createDataFrame([(1, "Q1", "en", "label", "Seoul"), (2, "Q1", "ko", "label", "서울")], "term_id int, qid string, lang_code string, term_type string, term_text string").write.parquet(str(t / "terms"))
+    spark.createDataFrame([("Q1", 1.0)], "qid string, popularity_score double").write.parquet(str(t / "entity"))
+    state = listwise.State.of(rerank.ListwiseScorer.fresh(4))
+    state.epoch, state.history = 1, [{"loss": 1.0, "top1": 0.5, "groups": 1}]
+    state.save(spark, str(tmp_path / "scorer"))
+    for mode, more, memory in (("plain", [], "False"), ("entity-aware", ["--entity-pipeline-mode", "rerank", "--scorer", str(tmp_path / "scorer")], "True")):
+        out = tmp_path / f"predictions-{mode}"
+        common = ["--tables", str(t), "--predictions", str(out), "--make-score", f"{__name__}:make_score", "--generator", f"{__name__}:make_generator", "--target-locale", "ko", "--temperature", "0.5", "--max-new-tokens", "9"]
+        got = evaluate.main([*common, "--mode", mode, *more], spark)
+        assert (got["correct"], got["total"], got["settings"]["mode"]) == (1, 1, mode)
+        assert [r["prediction"] for r in files.json_lines(spark, str(out), files.PREDICTIONS, pattern="*.txt").collect()] == [f"{memory} 9 True seoul"]
+    with pytest.raises(ValueError, match="target locale"):
+        evaluate.main([x for x in common if x not in ("--target-locale", "ko")] + ["--mode", "entity-aware"], spark)
+    with pytest.raises(ValueError, match="--score"):
+        evaluate.main(["--tables", str(t), "--predictions", "p"], spark)
+
+
 def test_databases_are_named_by_settings():
     found = files.jdbc_options({"DB_HOST": "h", "DB_NAME": "n", "DB_USER": "u"})
     assert found == {"url": "jdbc:mysql://h:3306/n?characterEncoding=UTF-8", "user": "u"}
@@ -358,17 +583,11 @@ def test_reranker_trains_in_full(spark, monkeypatch):
     from lexweave.plans import entity_queries
 
     groups = spark.createDataFrame([(i, [[float(i % 7)] * 11, [0.0] * 11], [1, 0], ["a", "b"]) for i in range(900)], "example_id int, numeric_features array<array<double>>, labels array<int>, qids array<string>")
-    seen, train = {}, rerank.trained
+    seen, train = [], listwise.trained
     monkeypatch.setattr(entity_queries, "_groups", lambda spark, sf_dir: groups)
-
-    def trained(some, **more):
-        model, history = train(some, **more)
-        seen.update(groups=len(some), epochs=len(history))
-        return model, history
-
-    monkeypatch.setattr(rerank, "trained", trained)
-    assert entity_queries.reranker_mlp(spark, "").count() == 1800
-    assert seen == {"groups": 900, "epochs": 10}
+    monkeypatch.setattr(listwise, "trained", lambda *a, **more: seen.append(train(*a, **more)) or seen[-1])
+    assert entity_queries.reranker_mlp(spark, "", epochs=2).count() == 1800
+    assert [h["groups"] for h in seen[0].history] == [900, 900]
 
 
 SMALL = "/root/testdata/sf0.001"
