@@ -36,13 +36,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest id.
 
-    Rows of one id count as one document, and of their texts one stays; rows without an id all stay.
+    Rows are told apart by id and text (by 64 bits of their hash), so unlike texts of one id, as sources that are joined may
+    have, all stay.  Of equal rows one stays; rows without an id all stay.
     """
     held = Held(docs, "doc_id", "text")
-    stay = near_copy_components(held.rows, "k", "t").where("k = component_id").select("k").distinct()
-    first = Window.partitionBy("k").orderBy(F.xxhash64("t"), "t")
-    named = held.rows.where("k IS NOT NULL").join(stay.hint("merge"), "k", "left_semi").withColumn("nth", F.row_number().over(first))
-    return held.back(named.where("nth = 1").drop("nth").unionByName(held.rows.where("k IS NULL")))
+    rows = held.rows.withColumn("row", F.xxhash64("k", "t"))
+    named = rows.where("k IS NOT NULL")
+    found = near_copy_components(named, "row", "t").select("row", "component_id").distinct()
+    ids = named.select("row", "k").distinct()
+    least = ids.join(found.hint("merge"), "row").groupBy("component_id").agg(F.min(F.struct("k", "row"))["row"].alias("row")).select("row")
+    first = Window.partitionBy("row").orderBy("k")
+    stay = named.join(least.hint("merge"), "row", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return held.back(stay.drop("nth").unionByName(rows.where("k IS NULL")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
