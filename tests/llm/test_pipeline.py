@@ -28,3 +28,13 @@ def test_stages_take_effect(spark, tmp_path):
     assert set(seen[1]) == set(range(80)) - {70}
     assert item not in seen[2][5]["text"] and seen[2][5]["n_chars"] == len(seen[2][5]["text"]) and seen[2][4]["text"] == texts[4]
     assert {r["shard"] for r in seen[4].values()} <= set(range(16)) and set(seen[4]) == set(seen[3])
+
+
+def test_unlike_texts_of_one_id_all_stay(spark):
+    rng = random.Random(4)
+    made = lambda: " ".join(rng.choice("abcdefghij") * 2 + str(rng.randrange(50)) for _ in range(40))
+    one, other, third = made(), made(), made()
+    rows = [(1, one), (1, other), (1, one), (2, one + " end"), (3, third), (4, ""), (4, None), (5, ""), (None, one), (None, None), (0, other + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, one), (0, other + " end"), (3, third), (4, ""), (4, None), (5, ""), (None, one), (None, None)], key=str)
