@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexweave.functions import text as tx
+from lexweave.sources import shared
 
 MODES = ("anchored", "surface", "retrieve", "rerank")
 KB_FIELDS = ("target_label", "target_aliases", "label_en", "aliases_en", "entity_type", "description", "popularity")
@@ -132,6 +133,8 @@ def _numbers(surfaces: DataFrame, pieces: int, bits: int, min_n: int, max_n: int
             sizes = np.diff(ends, prepend=0)
             for n in range(min_n, max_n + 1):
                 g = gram_hashes(h, n)[(ends - sizes)[sizes == n]]
+                if not len(g):
+                    continue
                 at = np.concatenate(_places(g, bits))
                 values = [np.tile(_piece(g, pieces), 2), at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))]
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in values], names=["piece", "id", "bits"])
@@ -200,12 +203,19 @@ def _asked(examples: DataFrame, surfaces: DataFrame | None, n_surfaces: int, anc
         low, high = max(1, min_n), max(1, min_n, max_n)
         pieces, bits = _filter_size(n_surfaces)
         numbers = _numbers(surfaces, pieces, bits, low, high)
+        if pieces > 1:
+            # Written by piece once, so that each table is made of its own numbers alone.
+            held = shared.folder(examples.sparkSession)
+            numbers.write.partitionBy("piece").parquet(held)
+            numbers = examples.sparkSession.read.schema("id bigint, bits bigint, piece bigint").parquet(held)
         read = some.select("example_id", "target_lang", tx.tokens(tx.normalize_surface("source")).alias("words")).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
         for i in range(pieces):
             found = _found_spans(read, examples.sparkSession.sparkContext.broadcast(_table(numbers, i, bits)), bits, i, pieces, low, high)
             spans = F.array_distinct(F.transform("spans", lambda x: F.array_join(F.slice("words", x["start"] + 1, x["n"]), " ")))
             keys = rows(found, _SURFACE, spans)
             parts.append(keys.where((F.char_length("key") >= min_chars) & F.col("key").rlike(r"\p{L}")))
+        if pieces > 1:
+            shared.delete(examples.sparkSession, held)
     return functools.reduce(DataFrame.unionByName, parts)
 
 

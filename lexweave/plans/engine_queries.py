@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as tx
 from lexweave.operators import evaluation, linking, listwise, memory, metrics, retrieval, samples
-from lexweave.plans.bindings import order_examples, part_kb, part_terms, read
+from lexweave.plans.bindings import order_examples, part_kb, read
 from lexweave.plans.entity_queries import FIXED, _groups, _order_tables, _told, _turn_ids
 from lexweave.plans.entity_sql import ASSEMBLY, FEATURED_OWN, HARD, LANGUAGE, MEMORIES, ONLY_SURFACE, PARTS, PROMPT, SPANS, TURN_IDS, VECTOR, norm, parts_query, strip
 from lexweave.sources import dataset, files, runs, shared

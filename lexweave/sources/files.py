@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexweave.functions import text as tx
+from lexweave.sources import shared
 from lexweave.sources.keyed import first_of_keys
 
 # The feeds' schemas.
@@ -181,7 +182,10 @@ def fallback_chain(fallbacks: DataFrame, languages: Sequence[str] | None = None)
         step = steps.select(F.col("lang_code").alias("fallback"), F.col("fallback").alias("_next"), F.col("place").cast("bigint").alias("_place"))
         on = last.join(step, "fallback").select("lang_code", F.col("_next").alias("fallback"), F.concat("way", F.array("_place")).alias("way"))
         new = on.groupBy("lang_code", "fallback").agg(F.min("way").alias("way")).join(reached, ["lang_code", "fallback"], "left_anti")
-        last = new.select("lang_code", "fallback", F.lit(distance).alias("distance"), "way").checkpoint()
+        # Written, as each round's plan would else hold those of all before it.
+        held = shared.folder(fallbacks.sparkSession)
+        new.select("lang_code", "fallback", F.lit(distance).alias("distance"), "way").write.parquet(held)
+        last = fallbacks.sparkSession.read.schema("lang_code string, fallback string, distance int, way array<bigint>").parquet(held)
         if last.isEmpty():
             break
         reached = reached.unionByName(last)

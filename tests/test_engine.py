@@ -351,7 +351,6 @@ def test_varied_feeds(spark, tmp_path):
 
 def test_fallback_chains(spark):
     steps = spark.createDataFrame([("a", "b", 0), ("a", "c", 1), ("b", "d", 0), ("c", "d", 0), ("d", "a", 0), ("x", "", 0), (None, "a", 0)], "lang_code string, fallback string, place int")
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     chain = files.fallback_chain(steps)
     assert {l: [r["fallback"] for r in chain.where(F.col("lang_code") == l).orderBy("distance").collect()] for l in "abd"} == {"a": list("abcd"), "b": list("bdac"), "d": list("dabc")}
     terms = spark.createDataFrame([("Q", "c", "label", "x"), ("Q", "d", "label", "y"), ("Q", "d", "alias", "z")], "qid string, lang_code string, term_type string, term_text string")
