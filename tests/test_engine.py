@@ -611,3 +611,24 @@ def test_queries_match_sql(spark, name):
     assert columns == sorted(got.columns)
     key = lambda rows: sorted(tuple("" if v is None else str(v) for v in r) for r in rows)
     assert key(got.select(*columns).collect()) == key(want.select(*[f'"{c}"' for c in columns]).fetchall())
+
+
+def test_small_index_gives_what_the_join_gives(spark, kb, examples, monkeypatch):
+    """Also where an id comes twice, with other sources, gold entities or languages, and where surfaces are of several languages."""
+    columns = [c for c in examples.columns if c in ("example_id", "source", "target_lang", "gold_qid")]
+    some = examples.select(*columns)
+    twice = some.unionByName(some.withColumn("source", F.concat(F.lit("and "), F.col("source"), F.lit(" and "), F.col("source"))))
+    told = lambda rows: sorted(map(repr, rows.select("example_id", "mode", "rank", "qid", "candidate_source", "source_span", "ambiguity_count", "target_label").collect()))
+    for asked in (some, twice):
+        monkeypatch.setattr(retrieval, "SMALL", 1 << 16)
+        found = told(retrieval.candidates_of_modes(asked, kb, retrieval.MODES))
+        monkeypatch.setattr(retrieval, "SMALL", -1)
+        assert found and found == told(retrieval.candidates_of_modes(asked, kb, retrieval.MODES))
+
+
+def test_features_of_a_small_index_deal_examples_out_once(spark, kb, examples):
+    """Candidates never meet their examples or the knowledge base by a shuffle: what is dealt out by example is a row each."""
+    found = retrieval.candidates(examples, linking.named(linking.prepared(kb)), more=(linking._NAMES, linking._ENTITY), carry=linking.carried())
+    rows = linking.scored(linking.featured(linking.aligned(found, examples)))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(example_id") == 1 and "Exchange hashpartitioning(kb_row" not in plan
