@@ -632,3 +632,16 @@ def test_features_of_a_small_index_deal_examples_out_once(spark, kb, examples):
     rows = linking.scored(linking.featured(linking.aligned(found, examples)))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(example_id") == 1 and "Exchange hashpartitioning(kb_row" not in plan
+
+
+def test_features_of_prepared_texts_are_those_of_the_texts(spark, kb, examples):
+    """What spans are compared by comes with the candidates, and gives what the texts give; also where an id comes twice."""
+    some = examples.unionByName(examples.withColumn("source", F.concat(F.lit("in YORK "), "source")))
+    found = retrieval.candidates(some, linking.named(linking.prepared(kb)), more=(linking._NAMES, linking._ENTITY), carry=linking.carried())
+    rows = linking.aligned(found, some)
+    assert set(linking.made(rows)) == {"source_made", "entity", "own_made", "passed_made"}
+    told = lambda df: sorted(map(repr, df.select("example_id", "source", "qid", *sorted(c for c in df.columns if c.startswith("f_"))).collect()))
+    got = told(linking.featured(rows))
+    texts = rows.withColumn("_score", F.col("span.match_score"))
+    values = rerank.features("source", "span_text", "_score", "passed_span")
+    assert got and got == told(texts.withColumns({f"f_{k}": v for k, v in values.items()}))
