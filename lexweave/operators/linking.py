@@ -184,18 +184,22 @@ def with_gold(found: DataFrame, examples: DataFrame, kb: DataFrame) -> DataFrame
     return found.unionByName(rescued.select(*found.columns))
 
 
+def _training_candidates(examples: DataFrame, kb: DataFrame, rescue: bool = False, **more: object) -> DataFrame:
+    """Aligned candidates with ``f_`` features, without a passed span, and with the rounded scores that order them."""
+    found = retrieval.candidates(examples, named(prepared(kb)), more=(_ENTITY,) if rescue else (_NAMES, _ENTITY), carry=None if rescue else carried(), **more)
+    rows = aligned(with_gold(found, examples, prepared(kb)) if rescue else found, examples).withColumn("_score", F.col("span.match_score"))
+    return _with_features(rows).drop(*_MADE).withColumns({c: F.round(f"f_{c}", 6) for c in ("surface_overlap_score", "span_match_score")})
+
+
 def training_rows(examples: DataFrame, kb: DataFrame, max_negatives: int = 8, rescue: bool = False, **more: object) -> DataFrame:
     """Candidates to train a scorer on: each example's gold one (label 1) and its hardest others, with ``f_`` features and places.
 
     No span is passed, as there is none in training: candidates are compared with their own.  rescue: a usable gold
     entity that wasn't found is added.  more: as for ``retrieval.candidates``.
     """
-    found = retrieval.candidates(examples, named(prepared(kb)), more=(_ENTITY,) if rescue else (_NAMES, _ENTITY), carry=None if rescue else carried(), **more)
-    rows = aligned(with_gold(found, examples, prepared(kb)) if rescue else found, examples).withColumn("_score", F.col("span.match_score"))
-    rows = _with_features(rows).drop(*_MADE)
-    return rerank.hard_negatives(rows.withColumns({c: F.round(f"f_{c}", 6) for c in ("surface_overlap_score", "span_match_score")}), F.col("gold_qid"), max_negatives)
+    return rerank.hard_negatives(_training_candidates(examples, kb, rescue, **more), F.col("gold_qid"), max_negatives)
 
 
 def training_groups(examples: DataFrame, kb: DataFrame, max_negatives: int = 8, **more: object) -> DataFrame:
     """(example_id, numeric_features, labels, qids): the rows to train on, one for each example."""
-    return rerank.grouped(training_rows(examples, kb, max_negatives, **more).withColumn("features", rerank.vector(feature_columns())))
+    return rerank.hard_groups(_training_candidates(examples, kb, **more).withColumn("features", rerank.vector(feature_columns())), F.col("gold_qid"), max_negatives)

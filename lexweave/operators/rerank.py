@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from lexweave.functions import text as tx
 
@@ -145,16 +145,36 @@ def reranked(scored: DataFrame, score: str = "reranker_score", bonus: str = "pri
     return out.withColumn("margin_to_next", F.when(F.col("final_rank") == 1, F.col("final_score") - F.col("_next"))).drop("_next")
 
 
+def _hardest() -> WindowSpec:
+    """An example's candidates in the order to train on: gold ones first, others by how well they seem to fit."""
+    return Window.partitionBy("example_id").orderBy(F.desc("label"), F.desc("surface_overlap_score"), F.desc("popularity"), F.desc("ambiguity_count"), F.desc("span_match_score"), "rank")
+
+
+def _labelled(candidates: DataFrame, gold: Column) -> DataFrame:
+    return candidates.withColumn("label", F.coalesce(F.col("qid") == gold, F.lit(False)).cast("int"))
+
+
 def hard_negatives(candidates: DataFrame, gold: Column, most: int = 8) -> DataFrame:
     """Rows to train on: the gold candidate (label 1) and the ``most`` hardest others, by how well they seem to fit.
 
-    Without a gold identifier no row is positive.
+    Without a gold identifier no row is positive.  One order serves all: gold ones come first, so a place is known by it and
+    by how many gold ones there are.
     """
-    positive = F.coalesce(F.col("qid") == gold, F.lit(False))
-    order = Window.partitionBy("example_id", "label").orderBy(F.desc("surface_overlap_score"), F.desc("popularity"), F.desc("ambiguity_count"), F.desc("span_match_score"), "rank")
-    rows = candidates.withColumn("label", positive.cast("int")).withColumn("_nth", F.row_number().over(order)).where((F.col("label") == 1) | (F.col("_nth") <= most))
-    place = F.row_number().over(Window.partitionBy("example_id").orderBy(F.desc("label"), "_nth")) - 1
-    return rows.withColumn("candidate_rank_in_group", place).drop("_nth")
+    order = _hardest()
+    golds = F.sum("label").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = _labelled(candidates, gold).withColumn("candidate_rank_in_group", F.row_number().over(order) - 1).withColumn("_golds", golds)
+    return rows.where((F.col("label") == 1) | (F.col("candidate_rank_in_group") - F.col("_golds") < most)).drop("_golds")
+
+
+def hard_groups(candidates: DataFrame, gold: Column, most: int = 8) -> DataFrame:
+    """``grouped`` of ``hard_negatives`` of candidates with ``features``, in the one order that tells places."""
+    order = _hardest()
+    every = F.collect_list(F.struct("features", "label", "qid")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    some = _labelled(candidates, gold).select("example_id", "features", "label", "qid", "surface_overlap_score", "popularity", "ambiguity_count", "span_match_score", "rank")
+    whole = some.withColumns({"_nth": F.row_number().over(order), "_every": every}).where("_nth = 1")
+    golds = F.size(F.filter("_every", lambda x: x["label"] == 1))
+    kept = whole.select("example_id", F.slice("_every", F.lit(1), golds + F.lit(max(0, most))).alias("g"))
+    return kept.select("example_id", F.col("g.features").alias("numeric_features"), F.col("g.label").alias("labels"), F.col("g.qid").alias("qids")).where(F.size("numeric_features") > 0)
 
 
 def grouped(rows: DataFrame) -> DataFrame:

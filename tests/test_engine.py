@@ -645,3 +645,13 @@ def test_features_of_prepared_texts_are_those_of_the_texts(spark, kb, examples):
     texts = rows.withColumn("_score", F.col("span.match_score"))
     values = rerank.features("source", "span_text", "_score", "passed_span")
     assert got and got == told(texts.withColumns({f"f_{k}": v for k, v in values.items()}))
+
+
+def test_training_groups_take_one_order(spark, kb, examples):
+    """Places, what is left out and groups come of one sort of the candidates, and of no aggregate over them."""
+    sorts = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [example_id#" in x]
+    rows = linking.training_rows(examples, kb, 1)
+    assert len(sorts(rows)) == 1 and len(sorts(linking.training_groups(examples, kb))) == 1
+    want = {r["example_id"]: r for r in rerank.grouped(rows.withColumn("features", rerank.vector(linking.feature_columns()))).collect()}
+    got = {r["example_id"]: r for r in linking.training_groups(examples, kb, 1).collect()}
+    assert got and got == want
