@@ -655,3 +655,9 @@ def test_training_groups_take_one_order(spark, kb, examples):
     want = {r["example_id"]: r for r in rerank.grouped(rows.withColumn("features", rerank.vector(linking.feature_columns()))).collect()}
     got = {r["example_id"]: r for r in linking.training_groups(examples, kb, 1).collect()}
     assert got and got == want
+
+
+def test_overlaps_are_measured_only_where_they_are_asked_for(spark, kb, examples):
+    found = retrieval.candidates(examples, linking.named(linking.prepared(kb)), more=(linking._NAMES, linking._ENTITY), carry=linking.carried())
+    rows = linking.featured(linking.aligned(found, examples), where=F.col("qid") == "Q1").select("qid", "f_surface_overlap_score", "f_description_overlap_score").collect()
+    assert {(r[0] == "Q1", r[1] is not None, r[2] is not None) for r in rows} == {(True, True, True), (False, False, False)}
