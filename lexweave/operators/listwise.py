@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,11 +98,40 @@ def summed(params: Sequence[np.ndarray], x: np.ndarray, starts: np.ndarray, gold
     return [x.T @ back, back.sum(0), held.T @ g, np.array([g.sum()])], float(loss), int((leads == gold).sum())
 
 
-def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(key, features, place of the gold one) of the groups that can be learned from."""
-    for key, features, labels in zip(*[batch.column(c).to_pylist() for c in ("key", "numeric_features", "labels")]):
-        if features and labels and 1 in labels[: len(features)]:
-            yield key, np.array([[0.0 if v is None else v for v in f] for f in features], float), labels.index(1)
+def _groups(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the groups that can be learned from: keys, sizes, places of the gold ones, and all their candidates' features."""
+    features, labels = batch.column("numeric_features"), batch.column("labels")
+    sizes, n_labels = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) for c in (features, labels)]
+    row = np.repeat(np.arange(len(sizes)), n_labels)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n_labels) - n_labels, n_labels)
+    right = (pc.fill_null(labels.flatten(), 0).to_numpy(zero_copy_only=False) == 1) & (place < sizes[row])
+    # Rows are in order, so the first of a row is its first gold one.
+    known, first = np.unique(row[right], return_index=True)
+    used = np.zeros(len(sizes), bool)
+    used[known] = True
+    vectors = features.flatten().filter(pa.array(np.repeat(used, sizes)))
+    x = pc.fill_null(vectors.flatten(), 0.0).to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+    return batch.column("key").to_numpy()[known].view(np.uint64), sizes[known], place[right][first], x
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits mixed well (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _kept(seed: Sequence[int], keys: np.ndarray, sizes: np.ndarray, hidden: int, dropout: float) -> np.ndarray:
+    """Weights of all candidates' hidden units: 0 for those dropped out, which a group's key, the seed and their place tell."""
+    for s in seed:
+        keys = _mixed(keys + _STEP * np.uint64(s + 1))
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    own = _mixed(np.repeat(keys, sizes) + _STEP * (place.astype(np.uint64) + np.uint64(1)))
+    drawn = _mixed(own[:, None] + _STEP * np.arange(1, hidden + 1, dtype=np.uint64))
+    return ((drawn >> np.uint64(11)) >= np.uint64(dropout * (1 << 53))) / (1 - dropout)
 
 
 def _sums(groups: DataFrame, params, seed: Sequence[int], dropout: float) -> list[dict]:  # noqa: ANN001
@@ -114,19 +144,15 @@ def _sums(groups: DataFrame, params, seed: Sequence[int], dropout: float) -> lis
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total, loss, hits, n, part = params.value, None, 0.0, 0, 0, 0
         for batch in batches:
-            some = list(_groups(batch))
-            if not some:
+            keys, sizes, golds, x = _groups(batch)
+            if not len(keys):
                 continue
             part = batch.column("part")[0].as_py()
-            sizes = np.array([len(x) for _, x, _ in some])
             starts = np.cumsum(sizes) - sizes
-            keep: np.ndarray | float = 1.0
-            if dropout:
-                drawn = [np.random.default_rng([*seed, key & 0xFFFFFFFFFFFFFFFF]).random((len(x), shapes[0][1])) for key, x, _ in some]
-                keep = (np.concatenate(drawn) >= dropout) / (1 - dropout)
-            gradients, more, right = summed(own, np.concatenate([x for _, x, _ in some]), starts, starts + np.array([g for *_, g in some]), keep)
+            keep = _kept(seed, keys, sizes, shapes[0][1], dropout) if dropout else 1.0
+            gradients, more, right = summed(own, x, starts, starts + golds, keep)
             total = gradients if total is None else [a + b for a, b in zip(total, gradients)]
-            loss, hits, n = loss + more, hits + right, n + len(some)
+            loss, hits, n = loss + more, hits + right, n + len(keys)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([loss]), pa.array([hits]), pa.array([flat(total)], pa.binary())], names=["part", "n", "loss", "hits", "gradient"])
 
@@ -149,22 +175,34 @@ def judged(groups: DataFrame, model: ListwiseScorer) -> dict:
     return {"groups": n, "loss": sum(r["loss"] for r in rows) / n if n else None, "top1": sum(r["hits"] for r in rows) / n if n else None}
 
 
+def _deal(groups: DataFrame, steps: int, path: str) -> None:
+    """Writes groups by batch."""
+    batch, salt = F.pmod(F.xxhash64("example_id"), F.lit(steps)), F.pmod(F.xxhash64("example_id", F.lit(1)), F.lit(FAN))
+    groups.withColumn("batch", batch).repartition("batch", salt).write.partitionBy("batch").parquet(path)
+
+
 def trained(
-    groups: DataFrame, epochs: int = 10, steps: int = 8, rate: float = 1e-3, decay: float = 1e-5, hidden: int = 128, dropout: float = 0.1, seed: int = 0, validate: DataFrame | None = None, store: str | None = None
+    groups: DataFrame, epochs: int = 10, steps: int = 8, rate: float = 1e-3, decay: float = 1e-5, hidden: int = 128, dropout: float = 0.1, seed: int = 0, validate: DataFrame | None = None, store: str | None = None,
+    kept: str | None = None,
 ) -> State:
     """A scorer trained on all groups, with each epoch's mean loss and its top-1 accuracy (on ``validate``, if that is given).
 
     steps: batches an epoch.  store: a folder of versions (see ``sources.models``), one an epoch; what it holds is gone on from.
+    kept: a folder of the shared file system that isn't there yet, which all columns of the groups are written to, and stay in, so
+    that who goes on with the groups needn't make them again.
     """
     spark = groups.sparkSession
+    if kept is not None:
+        _deal(groups, steps, kept)
     state = State.of(ListwiseScorer.fresh(hidden, seed))
     if store is not None and models.versions(spark, store):
         state = State.load(spark, store)
     if state.epoch >= epochs:
         return state
-    batch, salt = F.pmod(F.xxhash64("example_id"), F.lit(steps)), F.pmod(F.xxhash64("example_id", F.lit(1)), F.lit(FAN))
-    held = shared.folder(spark)
-    groups.select("example_id", "numeric_features", "labels", batch.alias("batch")).repartition("batch", salt).write.partitionBy("batch").parquet(held)
+    held = kept
+    if held is None:
+        held = shared.folder(spark)
+        _deal(groups.select("example_id", "numeric_features", "labels"), steps, held)
     written = spark.read.schema(f"example_id {groups.schema['example_id'].dataType.simpleString()}, numeric_features array<array<double>>, labels array<int>, batch bigint").parquet(held)
     while state.epoch < epochs:
         loss, n, hits = 0.0, 0, 0
@@ -185,7 +223,8 @@ def trained(
         state.history.append({"loss": loss / max(1, n), "top1": top1, "groups": n})
         if store is not None:
             state.save(spark, store)
-    shared.delete(spark, held)
+    if kept is None:
+        shared.delete(spark, held)
     return state
 
 

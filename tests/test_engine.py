@@ -661,3 +661,18 @@ def test_overlaps_are_measured_only_where_they_are_asked_for(spark, kb, examples
     found = retrieval.candidates(examples, linking.named(linking.prepared(kb)), more=(linking._NAMES, linking._ENTITY), carry=linking.carried())
     rows = linking.featured(linking.aligned(found, examples), where=F.col("qid") == "Q1").select("qid", "f_surface_overlap_score", "f_description_overlap_score").collect()
     assert {(r[0] == "Q1", r[1] is not None, r[2] is not None) for r in rows} == {(True, True, True), (False, False, False)}
+
+
+def test_groups_are_kept_and_read_by_columns(spark, tmp_path):
+    """Training leaves its groups, whole, to who goes on with them; nulls in them count for nothing."""
+    rows = [(1, [[1.0, None], [2.0, 3.0]], [0, 1, 1], ["a", "b"]), (2, None, [1], []), (3, [[1.0, 1.0]], None, ["c"]), (4, [[5.0, 6.0]], [None], ["d"]), (5, [[7.0, 8.0], [9.0, 1.0]], [1, 1], ["e", "f"]), (6, [[0.0, 0.0]], [0, 1], ["g"])]
+    groups = spark.createDataFrame(rows, "example_id int, numeric_features array<array<double>>, labels array<int>, qids array<string>")
+    batch = groups.select(F.col("example_id").cast("bigint").alias("key"), "numeric_features", "labels").toArrow().combine_chunks().to_batches()[0]
+    keys, sizes, golds, x = listwise._groups(batch)
+    assert (keys.tolist(), sizes.tolist(), golds.tolist(), x.tolist()) == ([1, 5], [2, 2], [1, 0], [[1.0, 0.0], [2.0, 3.0], [7.0, 8.0], [9.0, 1.0]])
+    held = str(tmp_path / "groups")
+    some, _ = _ranking_groups(spark)
+    listwise.trained(some, 1, 2, kept=held)
+    assert sorted(map(repr, spark.read.schema(some.schema).parquet(held).select(*some.columns).collect())) == sorted(map(repr, some.collect()))
+    drawn = listwise._kept((1, 2), keys, np.array([500, 500]), 64, 0.25)
+    assert abs((drawn == 0).mean() - 0.25) < 0.01 and set(np.unique(drawn)) == {0.0, 1 / 0.75} and (drawn[500:] == listwise._kept((1, 2), keys[1:], np.array([500]), 64, 0.25)).all()
