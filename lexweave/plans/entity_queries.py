@@ -217,7 +217,9 @@ def fixed_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With and without the gold entity as an anchored candidate."""
     examples, kb, modes = order_examples(spark, sf_dir), part_kb(spark, sf_dir), ("rerank", "surface")
-    ranks = metrics.gold_ranks_by(examples, retrieval.candidates_of_modes(examples, kb, modes), "mode", modes)
+    found = retrieval.candidates_of_modes(examples, kb, modes, carry=retrieval.Carry(lambda some: some, lambda key: key))
+    # Where candidates know their example's gold entity, only that one goes on.
+    ranks = metrics.gold_ranks_by(examples, found.where("qid = gold_qid") if "gold_qid" in found.columns else found, "mode", modes)
     name = F.when(F.col("mode") == "rerank", "anchored_and_surface").otherwise("surface_only")
     return ranks.groupBy(name.alias("candidates")).agg(*[F.round(c, 9).alias(n) for n, c in metrics.recall_at((1, 3, 5, 10)).items()])
 

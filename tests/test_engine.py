@@ -676,3 +676,12 @@ def test_groups_are_kept_and_read_by_columns(spark, tmp_path):
     assert sorted(map(repr, spark.read.schema(some.schema).parquet(held).select(*some.columns).collect())) == sorted(map(repr, some.collect()))
     drawn = listwise._kept((1, 2), keys, np.array([500, 500]), 64, 0.25)
     assert abs((drawn == 0).mean() - 0.25) < 0.01 and set(np.unique(drawn)) == {0.0, 1 / 0.75} and (drawn[500:] == listwise._kept((1, 2), keys[1:], np.array([500]), 64, 0.25)).all()
+
+
+def test_recall_deals_out_gold_candidates_alone(spark, tmp_path, monkeypatch):
+    from lexweave.plans import entity_queries
+
+    seen, ranks = [], metrics.gold_ranks_by
+    monkeypatch.setattr(metrics, "gold_ranks_by", lambda examples, found, *more: seen.append(found) or ranks(examples, found, *more))
+    entity_queries.retrieval_recall(spark, SMALL)
+    assert seen[0].where("NOT qid <=> gold_qid").isEmpty() and not seen[0].isEmpty()
