@@ -18,8 +18,10 @@ that a mode looks at.  Examples are dealt out by id once, which serves all windo
 
 Where surfaces yield ``SMALL`` entities at most in all, however large the knowledge base, no hit becomes a row before it is
 ranked: the ranked index is broadcast, and each example gets the numbers of its hits, in their order, in the pass that
-hashes its n-grams (equal hashes are held against the words).  Examples then meet their gold entities by identifier and are
-dealt out by id, as one row each; candidates come of that row with the broadcast entities' fields.
+hashes its n-grams (equal hashes are held against the words).  Of these only the numbers that can become candidates are
+kept.  Examples then meet their gold entities by identifier and are
+dealt out by id, as one row each; candidates come of that row with the broadcast entities' fields.  Texts and
+fields of gold entities are dealt out only if they are asked for.
 """
 
 from __future__ import annotations
@@ -47,6 +49,7 @@ BITS, TABLE_BITS = 16, 1 << 27
 #: Rows of a ranked index that are broadcast at most.
 SMALL = 1 << 16
 _ANCHORED, _SURFACE = 0, 1
+_LOW = 0xFFFFFFFF
 #: The sets of candidates that modes choose from, by the stages they have; two modes choose from all.
 _SETS = {"anchored": "anchored", "surface": "surface", "retrieve": "all", "rerank": "all"}
 
@@ -102,6 +105,12 @@ def anchored_index(kb: DataFrame) -> DataFrame:
     return kb.where(usable()).select("qid", "target_lang", "popularity", "target_label", _kb_row().alias("kb_row")).withColumn("_nth", rank).where("_nth = 1").select("qid", "target_lang", "kb_row")
 
 
+def anchor_rows(kb: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(qid, target_lang, and fields): the most popular usable row of each entity."""
+    nth = F.row_number().over(Window.partitionBy("qid", "target_lang").orderBy(F.desc("popularity"), "target_label"))
+    return kb.where(usable()).select("qid", "target_lang", *fields, nth.alias("_nth")).where("_nth = 1").drop("_nth")
+
+
 def asking(examples: DataFrame) -> DataFrame:
     """Examples that can have candidates: those with a source and a language."""
     return examples.where((tx.safe("source") != "") & (tx.safe("target_lang") != ""))
@@ -251,8 +260,8 @@ def _small_index(ranked: DataFrame, min_n: int, max_n: int, min_chars: int) -> p
     return None if found.num_rows > SMALL else found.sort_by([("n_tokens", "descending"), ("n_chars", "descending"), ("key", "ascending"), ("in_span_rank", "ascending")])
 
 
-def _with_hits(rows: DataFrame, index: pa.Table, min_n: int, max_n: int) -> DataFrame:
-    """Rows (target_lang, gold, words, h, ...) with ``hits``, (l, q) of the index's rows that they ask for: numbers of row and qid, the first row of each qid, in order; g is gold's number."""
+def _with_hits(rows: DataFrame, index: pa.Table, min_n: int, max_n: int, longest: int) -> DataFrame:
+    """Rows (target_lang, gold, words, h, ...) with ``hits``, the index's rows that they ask for, as l * 2^32 + q: numbers of row and qid, the first row of each qid, in order, ``longest`` at most; g is gold's number."""
     keys, langs, qids = [index.column(c).combine_chunks().dictionary_encode() for c in ("key", "target_lang", "qid")]
     first = np.unique(keys.indices.to_numpy(zero_copy_only=False), return_index=True)[1]
     n_langs, lang = max(1, len(langs.dictionary)), langs.indices.fill_null(-1).to_numpy(zero_copy_only=False)
@@ -274,7 +283,7 @@ def _with_hits(rows: DataFrame, index: pa.Table, min_n: int, max_n: int) -> Data
         seen[g >> np.uint64(44)] = True
         tables[n] = (g[order], own[order], seen)
     known = rows.sparkSession.sparkContext.broadcast((tables, by_entry, begins, q_of, langs.dictionary, qids.dictionary, flat, places, n_langs))
-    passed = [f.name for f in rows.schema if f.name not in ("words", "h", "gold", "target_lang")]
+    passed = [f.name for f in rows.schema if f.name not in ("words", "h")]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, by_entry, begins, q_of, langs, qids, flat, places, n_langs = known.value
@@ -313,49 +322,53 @@ def _with_hits(rows: DataFrame, index: pa.Table, min_n: int, max_n: int) -> Data
             row, l = row[fresh], l[fresh]
             order = np.lexsort((l, row))
             row, l = row[order], l[order]
+            some = np.arange(len(row)) - np.searchsorted(row, row) < longest
+            row, l = row[some], l[some]
             offsets = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            hits = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays([pa.array(l.astype(np.int32)), pa.array(q_of[l].astype(np.int32))], names=["l", "q"]))
+            hits = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((l.astype(np.int64) << 32) | (q_of[l] & _LOW)))
             gold = batch.column("gold")
             number = pc.if_else(pc.is_valid(gold), pc.index_in(gold, value_set=qids), pa.scalar(None, pa.int32())).fill_null(-1)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], hits, number], names=[*passed, "hits", "g"])
 
-    shape = T.StructType([rows.schema[c] for c in passed]).add("hits", T.ArrayType(T.StructType().add("l", T.IntegerType()).add("q", T.IntegerType()))).add("g", T.IntegerType())
+    shape = T.StructType([rows.schema[c] for c in passed]).add("hits", T.ArrayType(T.LongType())).add("g", T.IntegerType())
     return rows.mapInArrow(found, shape)
 
 
-def _candidates_of_rows(examples: DataFrame, kb: DataFrame, modes: Sequence[str], index: pa.Table | None, top_k: int, min_n: int, max_n: int, more: Sequence[str], carry: Carry | None) -> DataFrame:
+def _candidates_of_rows(examples: DataFrame, kb: DataFrame, modes: Sequence[str], index: pa.Table | None, top_k: int, min_n: int, max_n: int, fields: Sequence[str], carry: Carry | None) -> DataFrame:
     """``candidates_of_modes`` by a small index, or none for anchored candidates alone."""
-    spark, fields, anchored = examples.sparkSession, [*KB_FIELDS, *more], any(m != "surface" for m in modes)
-    rows = asking(examples).select("example_id", "source", "target_lang", "gold_qid", (tx.or_null("gold_qid") if anchored else F.lit(None).cast("string")).alias("gold"))
+    spark, anchored = examples.sparkSession, any(m != "surface" for m in modes)
+    told = ["source", "gold_qid"] if carry is not None else []
+    rows = asking(examples).select("example_id", "target_lang", *told, (tx.or_null("gold_qid") if anchored else F.lit(None).cast("string")).alias("gold"), *([tx.tokens(tx.normalize_surface("source")).alias("words")] if index is not None else []))
+    if index is not None:
+        # Candidates are as many as the first hits, however many of these are gold: each such gives an anchored one.
+        longest = max(1 if m == "retrieve" else top_k for m in modes if m != "anchored")
+        rows = _with_hits(rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))), index, min_n, max_n, longest)
+    else:
+        rows = rows.withColumn("hits", F.array().cast("array<bigint>")).withColumn("g", F.lit(-1))
     if anchored:
-        nth = F.row_number().over(Window.partitionBy("qid", "target_lang").orderBy(F.desc("popularity"), "target_label"))
-        best = kb.where(usable()).select("qid", "target_lang", *fields, nth.alias("_nth")).where("_nth = 1")
-        best = best.select(F.col("qid").alias("gold"), "target_lang", F.struct("qid", *fields).alias("anchor"))
+        best = anchor_rows(kb, fields).select(F.col("qid").alias("gold"), "target_lang", F.struct("qid", *fields).alias("anchor"))
         rows = rows.join(best, ["gold", "target_lang"], "left" if index is not None else "inner")
     else:
         nothing = F.struct(F.lit(None).cast("string").alias("qid"), *[F.lit(None).cast(kb.schema[c].dataType).alias(c) for c in fields])
         rows = rows.withColumn("anchor", F.when(F.lit(False), nothing))
-    if index is not None:
-        read = rows.withColumn("words", tx.tokens(tx.normalize_surface("source")))
-        rows = _with_hits(read.withColumn("h", F.transform("words", lambda w: F.xxhash64(w))), index, min_n, max_n)
-    else:
-        rows = rows.withColumn("hits", F.array().cast("array<struct<l: int, q: int>>")).withColumn("g", F.lit(-1))
     # Rows of one id make one example: their hits are put together, of one qid the first.
-    whole = rows.where((F.size("hits") > 0) | F.col("anchor").isNotNull()).groupBy("example_id").agg(F.collect_list(F.struct("hits", "anchor", "g", "source", "gold_qid")).alias("r"))
+    whole = rows.where((F.size("hits") > 0) | F.col("anchor").isNotNull()).groupBy("example_id").agg(F.collect_list(F.struct("hits", "anchor", "g", *told)).alias("r"))
     alone, one = F.size("r") == 1, F.get("r", 0)
+    q = lambda x: x.bitwiseAND(F.lit(_LOW))
+    l = lambda x: F.shiftright(x, 32).cast("int")
 
     def merged(parts: Column, same: Callable[[Column, Column], Column]) -> Column:
         none = F.filter(parts, lambda x: F.lit(False))
         return F.aggregate(parts, none, lambda kept, x: F.when(F.exists(kept, lambda y: same(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
 
-    hits = F.when(alone, one["hits"]).otherwise(merged(F.array_sort(F.flatten(F.transform("r", lambda x: x["hits"]))), lambda x, y: x["q"] == y["q"]))
+    hits = F.when(alone, one["hits"]).otherwise(merged(F.array_sort(F.flatten(F.transform("r", lambda x: x["hits"]))), lambda x, y: q(x) == q(y)))
     anchors = F.filter(F.transform("r", lambda x: x["anchor"]), lambda a: a.isNotNull())
     anchors = F.when(alone, anchors).otherwise(merged(anchors, lambda x, y: x["qid"].eqNullSafe(y["qid"])))
     whole = whole.select("example_id", "r", hits.alias("_hits"), anchors.alias("_anchors"))
     first = F.transform("_anchors", lambda _, i: -1 - i.cast("int"))
-    golds = F.transform("r", lambda x: x["g"])
-    others = F.filter("_hits", lambda x: ~F.array_contains(golds, x["q"]))
-    by_set = {"anchored": first, "surface": F.transform("_hits", lambda x: x["l"]), "all": F.concat(first, F.transform(others, lambda x: x["l"]))}
+    golds = F.transform(F.filter("r", lambda x: x["anchor"].isNotNull()), lambda x: x["g"].cast("bigint"))
+    others = F.filter("_hits", lambda x: ~F.array_contains(golds, q(x)))
+    by_set = {"anchored": first, "surface": F.transform("_hits", l), "all": F.concat(first, F.transform(others, l))}
 
     def listed(mode: str) -> Column:
         best = F.slice(by_set[_SETS[mode]], 1, 1 if mode == "retrieve" else top_k)
@@ -376,7 +389,7 @@ def _candidates_of_rows(examples: DataFrame, kb: DataFrame, modes: Sequence[str]
             rows = rows.withColumns({"_own": nothing, "_first_own": nothing})
     else:
         held = spark.createDataFrame(index.append_column("l", pa.array(np.arange(index.num_rows, dtype=np.int32))).drop_columns(["w", "h", "target_lang"]), "key string, qid string, kb_row bigint, in_span_rank int, ambiguity_count bigint, n_tokens int, n_chars int, l int")
-        of_index = kb.select(_kb_row().alias("kb_row"), *fields).join(F.broadcast(held), "kb_row").dropDuplicates(["l"])
+        of_index = kb.select(_kb_row().alias("kb_row"), *fields).join(F.broadcast(held), "kb_row").dropDuplicates(["l"]) if fields else held
         if carry is not None:
             held = held.withColumn("_own", carry.span(F.col("key")))
             of_index = of_index.withColumn("_own", carry.span(F.col("key")))
@@ -397,24 +410,24 @@ def _candidates_of_rows(examples: DataFrame, kb: DataFrame, modes: Sequence[str]
 
 def candidates_of_modes(
     examples: DataFrame, kb: DataFrame, modes: Sequence[str], index: DataFrame | None = None, top_k: int = 10, per_surface_k: int = 5, min_n: int = 1, max_n: int = 5, min_chars: int = 2, more: Sequence[str] = (),
-    carry: Carry | None = None,
+    carry: Carry | None = None, fields: Sequence[str] = KB_FIELDS,
 ) -> DataFrame:
     """Ranked candidates of each example in each mode, as ``candidates`` gives them for one, with the column ``mode``.
 
-    All modes share one lookup and one deal of its hits by example.  more: further columns of the knowledge base.  carry: what
+    All modes share one lookup and one deal of its hits by example.  fields, more: the columns of the knowledge base that candidates get, and further ones.  carry: what
     candidates are to keep of their examples and spans.  Those of a small index do, and they have _is_anchor, _anchor_first and
     _first_span, by which the first candidate's span is known, and _own and _first_own, what was made of it and of their own.
     """
     for mode in modes:
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}: {mode}")
-    tables, by_surface, n_surfaces, small = [], None, 0, None
+    tables, by_surface, n_surfaces, small, wanted = [], None, 0, None, [*fields, *more]
     if any(m != "anchored" for m in modes):
         by_surface = surface_index(kb) if index is None else index
         ranked = ranked_index(by_surface, per_surface_k)
         small = _small_index(ranked, max(1, min_n), max(1, min_n, max_n), min_chars)
     if small is not None or by_surface is None:
-        return _candidates_of_rows(examples, kb, modes, small, top_k, max(1, min_n), max(1, min_n, max_n), more, carry)
+        return _candidates_of_rows(examples, kb, modes, small, top_k, max(1, min_n), max(1, min_n, max_n), wanted, carry)
     if any(m != "surface" for m in modes):
         found = anchored_index(kb).select("target_lang", "qid", "kb_row", F.lit(_ANCHORED).alias("stage"), F.col("qid").alias("key"), F.lit(1).alias("in_span_rank"), F.lit(1).cast("bigint").alias("ambiguity_count"))
         tables.append(found)
@@ -439,18 +452,18 @@ def candidates_of_modes(
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("example_id", "_set").orderBy(*order)))
     kept = F.array_compact(F.array(*[F.when((F.col("_set") == _SETS[m]) & (F.col("rank") <= (1 if m == "retrieve" else top_k)), F.lit(m)) for m in modes]))
     best = ranked.where(F.col("rank") <= top_k).withColumn("mode", F.explode(kept))
-    fields = kb.select(_kb_row().alias("kb_row"), *KB_FIELDS, *more).dropDuplicates(["kb_row"])
+    best = best.join(kb.select(_kb_row().alias("kb_row"), *wanted).dropDuplicates(["kb_row"]), "kb_row") if wanted else best
     source = F.when(F.col("stage") == _ANCHORED, "anchored_qid").otherwise("surface_search")
-    return best.join(fields, "kb_row").select("example_id", "mode", "qid", "stage", source.alias("candidate_source"), "source_span", "n_tokens", "n_chars", "in_span_rank", "ambiguity_count", *KB_FIELDS, *more, "rank")
+    return best.select("example_id", "mode", "qid", "stage", source.alias("candidate_source"), "source_span", "n_tokens", "n_chars", "in_span_rank", "ambiguity_count", *wanted, "rank")
 
 
-def candidates(examples: DataFrame, kb: DataFrame, index: DataFrame | None = None, mode: str = "rerank", top_k: int = 10, per_surface_k: int = 5, min_n: int = 1, max_n: int = 5, min_chars: int = 2, more: Sequence[str] = (), carry: Carry | None = None) -> DataFrame:
+def candidates(examples: DataFrame, kb: DataFrame, index: DataFrame | None = None, mode: str = "rerank", top_k: int = 10, per_surface_k: int = 5, min_n: int = 1, max_n: int = 5, min_chars: int = 2, more: Sequence[str] = (), carry: Carry | None = None, fields: Sequence[str] = KB_FIELDS) -> DataFrame:
     """Ranked candidates of each example: anchored ones first, then longer spans before shorter, then by popularity.
 
     Of rows for one entity the first is kept, and of each example the first ``top_k``; mode "retrieve" keeps one.
     Examples without a source or a language have none.
     """
-    return candidates_of_modes(examples, kb, (mode,), index, top_k, per_surface_k, min_n, max_n, min_chars, more, carry).drop("mode")
+    return candidates_of_modes(examples, kb, (mode,), index, top_k, per_surface_k, min_n, max_n, min_chars, more, carry, fields).drop("mode")
 
 
 def first_by_qid(candidates: DataFrame, order: str = "rank") -> DataFrame:

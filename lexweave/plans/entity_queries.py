@@ -33,12 +33,12 @@ def ambiguity_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surface_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.candidates(document_examples(spark, sf_dir), benchmark_kb(spark, sf_dir), mode="surface", min_n=3)
+    found = retrieval.candidates(document_examples(spark, sf_dir), benchmark_kb(spark, sf_dir), mode="surface", min_n=3, fields=())
     return found.select("example_id", "rank", "qid", F.col("source_span").alias("surface"), "ambiguity_count")
 
 
-def _part_candidates(spark: SparkSession, sf_dir: str, mode: str = "rerank") -> DataFrame:
-    return retrieval.candidates(order_examples(spark, sf_dir), part_kb(spark, sf_dir), mode=mode)
+def _part_candidates(spark: SparkSession, sf_dir: str, mode: str = "rerank", fields: tuple[str, ...] = ()) -> DataFrame:
+    return retrieval.candidates(order_examples(spark, sf_dir), part_kb(spark, sf_dir), mode=mode, fields=fields)
 
 
 def surface_topk_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def surface_topk_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _part_candidates(spark, sf_dir, "anchored").select("example_id", "qid", "target_label", "entity_type", "popularity")
+    return _part_candidates(spark, sf_dir, "anchored", ("target_label", "entity_type", "popularity")).select("example_id", "qid", "target_label", "entity_type", "popularity")
 
 
 def retrieve_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +217,7 @@ def fixed_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With and without the gold entity as an anchored candidate."""
     examples, kb, modes = order_examples(spark, sf_dir), part_kb(spark, sf_dir), ("rerank", "surface")
-    found = retrieval.candidates_of_modes(examples, kb, modes, carry=retrieval.Carry(lambda some: some, lambda key: key))
+    found = retrieval.candidates_of_modes(examples, kb, modes, carry=retrieval.Carry(lambda some: some, lambda key: key), fields=())
     # Where candidates know their example's gold entity, only that one goes on.
     ranks = metrics.gold_ranks_by(examples, found.where("qid = gold_qid") if "gold_qid" in found.columns else found, "mode", modes)
     name = F.when(F.col("mode") == "rerank", "anchored_and_surface").otherwise("surface_only")

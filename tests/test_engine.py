@@ -685,3 +685,25 @@ def test_recall_deals_out_gold_candidates_alone(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(metrics, "gold_ranks_by", lambda examples, found, *more: seen.append(found) or ranks(examples, found, *more))
     entity_queries.retrieval_recall(spark, SMALL)
     assert seen[0].where("NOT qid <=> gold_qid").isEmpty() and not seen[0].isEmpty()
+
+
+def test_hits_are_cut_to_candidates_before_they_are_dealt_out(spark, kb, examples, monkeypatch):
+    """What isn't asked for stays behind: further hits, sources and the fields of entities."""
+    seen, made = [], retrieval._with_hits
+    monkeypatch.setattr(retrieval, "_with_hits", lambda *args: seen.append(made(*args)) or seen[-1])
+    found = retrieval.candidates(examples, kb, mode="retrieve", fields=())
+    assert seen[0].agg(F.max(F.size("hits"))).first()[0] == 1 and "source" not in seen[0].columns
+    assert not set(found.columns) & set(retrieval.KB_FIELDS)
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "collect_list" in line]
+    assert dealt and not any("source#" in line or "target_label" in line for line in dealt)
+    want = [tuple(r) for r in retrieval.candidates(examples, kb, mode="rerank").where("rank = 1").select("example_id", "qid", "candidate_source", "source_span").orderBy("example_id").collect()]
+    assert want and want == [tuple(r) for r in found.select("example_id", "qid", "candidate_source", "source_span").orderBy("example_id").collect()]
+
+
+def test_gold_of_another_language_leaves_the_surface_candidate(spark, monkeypatch):
+    """Rows of one id: a gold entity without a usable row in its row's language gives no anchored candidate, and takes no other's place."""
+    table = spark.createDataFrame([("Q1", "ko", "York", [], "York", [], None, None, True, 1.0, ["york"])], KB)
+    some = spark.createDataFrame([(1, "York", "ko", None), (1, "York", "de", "Q1")], "example_id int, source string, target_lang string, gold_qid string")
+    for small in (1 << 16, -1):
+        monkeypatch.setattr(retrieval, "SMALL", small)
+        assert [(r["qid"], r["candidate_source"]) for r in retrieval.candidates(some, table).collect()] == [("Q1", "surface_search")]
