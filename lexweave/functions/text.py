@@ -24,8 +24,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def stripped(x: Column | str) -> Column:
-    """Without white space at either end, Unicode's included; null stays null."""
-    return F.regexp_replace(col(x), f"^{BLANK}+|{BLANK}+$", "")
+    """Without white space at either end, Unicode's included; null stays null.
+
+    A column whose text begins and ends with a sign of ASCII, as nearly all do, isn't searched.
+    """
+    out = F.regexp_replace(col(x), f"^{BLANK}+|{BLANK}+$", "")
+    if not isinstance(x, str):
+        return out
+    first, last = F.left(F.col(x), F.lit(1)), F.right(F.col(x), F.lit(1))
+    return F.when(first.between("!", "~") & last.between("!", "~"), F.col(x)).otherwise(out)
 
 
 def safe(x: Column | str) -> Column:

@@ -146,12 +146,32 @@ def entity_memories_by_mode(examples: DataFrame, kb: DataFrame, modes: Sequence[
 
     more: as for ``selected_by_mode``.
     """
+    if tuple(modes) == ("anchored",) and more.get("top_k", 10) >= 1:
+        return _anchored_memories(examples, kb, alias_limit, max_chars, more.get("min_chars", 2))
     best = selected_by_mode(examples, kb, modes, **more).select("example_id", "mode", "qid", "target_label", "target_aliases", "entity_type", "description", "span_text")
     block = memory.memory_block("source", "span_text", "qid", "target_label", "target_aliases", "entity_type", "description", alias_limit, max_chars)
     asked = examples.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
     return asked.join(best.withColumn("_found", F.lit(True)), ["example_id", "mode"], "left").select(*examples.columns, "mode", F.when(F.col("_found"), block).alias("memory"), tx.safe("target_label").alias("target_label"))
 
 
+def _anchored_memories(examples: DataFrame, kb: DataFrame, alias_limit: int, max_chars: int, min_chars: int) -> DataFrame:
+    """``entity_memories_by_mode`` of anchored candidates alone: examples meet their gold entities as whole rows, made once.
+
+    Rows of one id have one entity, that of the greatest identifier among their usable ones; each has its own source's span of it.
+    """
+    fields = ("target_label", "target_aliases", "entity_type", "description", _NAMES)
+    best = retrieval.anchor_rows(named(kb, min_chars), fields).select(F.col("qid").alias("_gold"), "target_lang", F.struct("qid", *fields).alias("_own"))
+    asks = (tx.safe("source") != "") & (tx.safe("target_lang") != "")
+    rows = examples.withColumn("_gold", F.when(asks, tx.or_null("gold_qid"))).join(best, ["_gold", "target_lang"], "left")
+    rows = rows.withColumn("_anchor", F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("_gold"))).over(Window.partitionBy("example_id")))
+    found = F.col("_anchor").isNotNull()
+    rows = rows.withColumn("_text", tx.safe("source"))
+    span = align_names(F.col("_text"), small(F.col("_text")), folds_alike(F.col("_text")), F.col(f"_anchor.{_NAMES}"))
+    rows = rows.withColumn("_span", F.coalesce(F.when(found, span)["matched_text"], F.lit("")))
+    block = memory.memory_block("source", "_span", *[f"_anchor.{c}" for c in ("qid", "target_label", "target_aliases", "entity_type", "description")], alias_limit, max_chars)
+    return rows.select(*examples.columns, F.lit("anchored").alias("mode"), F.when(found, block).alias("memory"), tx.safe("_anchor.target_label").alias("target_label"))
+
+
 def entity_memories(examples: DataFrame, kb: DataFrame, mode: str = "rerank", alias_limit: int = 1, max_chars: int = 80, **more: object) -> DataFrame:
     """All examples with ``memory``, that of the candidate which the mode chooses; null for none."""
     return entity_memories_by_mode(examples, kb, (mode,), alias_limit, max_chars, **more).drop("mode")

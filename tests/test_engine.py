@@ -707,3 +707,22 @@ def test_gold_of_another_language_leaves_the_surface_candidate(spark, monkeypatc
     for small in (1 << 16, -1):
         monkeypatch.setattr(retrieval, "SMALL", small)
         assert [(r["qid"], r["candidate_source"]) for r in retrieval.candidates(some, table).collect()] == [("Q1", "surface_search")]
+
+
+def test_anchored_memories_make_examples_once(spark):
+    """Also where an id comes twice: each row of examples gives one, with its own source."""
+    from lexweave.plans import entity_queries
+
+    for query in (entity_queries.sft_samples, entity_queries.noisy_samples):
+        plan = query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("l_linenumber#") and sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
+    table = spark.createDataFrame([("Q1", "ko", "York", [], "York", [], None, None, True, 1.0, [])], KB)
+    some = spark.createDataFrame([(1, "in York", "ko", "Q1"), (1, "at york", "ko", "Q1"), (2, "York", "ko", None)], "example_id int, source string, target_lang string, gold_qid string")
+    got = linking.entity_memories(some, table, "anchored").select("example_id", "memory.source_sentence", "memory.source_span").collect()
+    assert sorted(map(tuple, got), key=repr) == [(1, "at york", "york"), (1, "in York", "York"), (2, None, None)]
+
+
+def test_stripping_looks_at_both_ends(spark):
+    texts = ["", " ", "a", "a b", " a", "a ", " a　", "a\n", "a\r\n", "\x1ca", "é", "é ", "~!", None, "a ", "x\x85"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.stripped("t").alias("a"), tx.stripped(F.col("t")).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] == ["", "", "a", "a b", "a", "a", "a", "a", "a", "a", "é", "é", "~!", None, "a", "x"]
