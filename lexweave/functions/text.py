@@ -66,6 +66,13 @@ def tokens(normalized: Column | str) -> Column:
     return F.filter(F.split(col(normalized), " "), lambda t: t != "")
 
 
+def first_token(x: Column | str, head: int = 256) -> Column:
+    """The first word of a text once normalised, null if it has none; the text's head tells it if a second word follows there."""
+    words = tokens(normalize_surface(F.left(col(x), F.lit(head))))
+    enough = (F.size(words) > 1) | F.coalesce(F.char_length(col(x)) <= head, F.lit(True))
+    return F.when(enough, F.get(words, 0)).otherwise(F.get(tokens(normalize_surface(x)), 0))
+
+
 def ngrams(words: Column | str, min_n: int = 1, max_n: int = 5) -> Column:
     """Distinct n-grams of an array of words, joined by blanks; min_n is 1 at least and max_n min_n at least."""
     low = max(1, min_n)
@@ -107,7 +114,8 @@ def _case_free() -> tuple[str, str, dict[str, str]]:
 def casefolded(x: Column | str) -> Column:
     """Text for comparisons without case; '' for null.
 
-    Texts without any of the letters that need more than small letters, which are nearly all, take one search for them.
+    Texts without any of the letters that need more than small letters, which are nearly all, take one search for them, by
+    a table (a pattern of so many letters took fifty times as long as making letters small); those of ASCII alone take none.
     """
     one, forms, several = _case_free()
     small = F.lower(F.coalesce(col(x), F.lit("")))
@@ -116,7 +124,8 @@ def casefolded(x: Column | str) -> Column:
         out = F.translate(t, one, forms)
         for c, f in several.items():
             out = F.replace(out, F.lit(c), F.lit(f))
-        return F.when(t.rlike(f"[{one}{''.join(several)}]"), out).otherwise(t)
+        plain = (F.octet_length(t) == F.char_length(t)) | (F.translate(t, f"{one}{''.join(several)}", "") == t)
+        return F.when(plain, t).otherwise(out)
 
     return let(small, folded)
 

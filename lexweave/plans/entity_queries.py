@@ -261,7 +261,7 @@ def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the labelled documents: their sources' and languages' names as mentions, their kinds as entity types."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), "lang", F.col("source").alias("site"))
     labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("x"))
-    first = F.element_at(tx.tokens(tx.normalize_surface("source")), 1)
+    first = tx.first_token("source")
     target = F.struct(F.col("lang").alias("translation"), F.coalesce(first, F.lit("none")).alias("mention"), F.array("site").alias("mention_candidates"))
     types = F.array(F.when(F.col("q") == 1, "Good").otherwise("POOR"), F.when(F.col("x") == 1, "Toxic").otherwise("clean"))
     return docs.join(labels, "id").select("id", "source", F.array(target).alias("targets"), types.alias("entity_types"))
