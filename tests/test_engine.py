@@ -702,11 +702,12 @@ def test_hits_are_cut_to_candidates_before_they_are_dealt_out(spark, kb, example
 
 def test_gold_of_another_language_leaves_the_surface_candidate(spark, monkeypatch):
     """Rows of one id: a gold entity without a usable row in its row's language gives no anchored candidate, and takes no other's place."""
-    table = spark.createDataFrame([("Q1", "ko", "York", [], "York", [], None, None, True, 1.0, ["york"])], KB)
+    row = lambda q, lang: (q, lang, "York", [], "York", [], None, None, True, 1.0, ["york"])
+    table = spark.createDataFrame([row("Q1", "ko"), row("Q2", "de")], KB)
     some = spark.createDataFrame([(1, "York", "ko", None), (1, "York", "de", "Q1")], "example_id int, source string, target_lang string, gold_qid string")
     for small in (1 << 16, -1):
         monkeypatch.setattr(retrieval, "SMALL", small)
-        assert [(r["qid"], r["candidate_source"]) for r in retrieval.candidates(some, table).collect()] == [("Q1", "surface_search")]
+        assert {(r["qid"], r["candidate_source"]) for r in retrieval.candidates(some, table).collect()} == {("Q1", "surface_search"), ("Q2", "surface_search")}
 
 
 def test_anchored_memories_make_examples_once(spark):
