@@ -16,7 +16,7 @@ from lexweave.sources.keyed import KeyedTable
 
 def _evaluation_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as an evaluation feed, written as JSON lines and read back: their languages as locales, sources as entities."""
-    first = F.element_at(tx.tokens(tx.normalize_surface("text")), 1)
+    first = F.get(tx.tokens(tx.normalize_surface("text")), 0)
     target = F.struct(F.substring("text", 1, 40).alias("translation"), first.alias("mention"))
     rows = read(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id"), "text", F.lit("en").alias("source_locale"), F.col("lang").alias("target_locale"), F.concat(F.lit("Q"), "source").alias("wikidata_id"),
@@ -95,7 +95,7 @@ def duplicate_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_json_lines(lines.drop("_turn"), held)
     predictions = files.json_lines(spark, held, files.PREDICTIONS, pattern="*.txt", ordinal="ordinal")
     last = rows.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
-    word = F.coalesce(F.element_at(tx.tokens(tx.normalize_surface("text")), -1), F.lit("none"))
+    word = F.coalesce(F.try_element_at(tx.tokens(tx.normalize_surface("text")), F.lit(-1)), F.lit("none"))
     records = last.select(F.col("conv_id").cast("string").alias("id"), F.col("text").alias("source"), F.array(F.struct(F.lit("x").alias("translation"), word.alias("mention"), F.array(F.lit("").cast("string")).alias("mention_candidates"))).alias("targets"), F.array().cast("array<string>").alias("entity_types"))
     scores = records.select("id", F.lit(0.5).alias("score"))
     out = evaluation.evaluate_predictions(predictions.select("id", "prediction", "ordinal"), records, scores=scores)

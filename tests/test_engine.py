@@ -742,3 +742,21 @@ def test_folding_searches_no_pattern(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.casefolded("t").alias("f"))
     assert "RLIKE" not in df._jdf.queryExecution().analyzed().toString()
     assert all(r["f"] == (r["t"] or "").casefold() for r in df.collect() if r["t"] != "ΑΣ")
+
+
+@pytest.mark.parametrize("name", ["feed_references", "feed_entities", "feed_example_entities", "qid_locale_array", "duplicate_predictions"])
+def test_feeds_of_texts_without_words(spark, tmp_path, name):
+    """Texts that are null, empty or nothing but signs have no first or last word, which is no error."""
+    import duckdb
+
+    from lexweave import catalog
+
+    texts = ["First word, then more.", "", None, " \t ", "... !?"]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    for n in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {n} AS SELECT * FROM '{tmp_path}/{n}.parquet/*.parquet'")
+    want, got = con.sql(catalog.oracle_sql()[name]), catalog.queries()[name](spark, str(tmp_path))
+    key = lambda rows: sorted(tuple("" if v is None else str(v) for v in r) for r in rows)
+    assert key(got.select(*want.columns).collect()) == key(want.fetchall())
