@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from lexweave.operators.rerank import ListwiseScorer
 from lexweave.sources import models, shared
 
-#: Rows of summed gradients that one task adds up.
-FAN = 64
+#: Rows of summed gradients that one task adds up, and candidates whose hidden units are computed at once: few enough that
+#: these stay in a core's cache, and that matrix products take no threads besides the task's own.
+FAN, BLOCK = 64, 160
 _SUMS = "part bigint, n bigint, loss double, hits bigint, gradient binary"
 NAMES = ("w1", "b1", "w2", "b2")
 
@@ -130,8 +131,19 @@ def _kept(seed: Sequence[int], keys: np.ndarray, sizes: np.ndarray, hidden: int,
         keys = _mixed(keys + _STEP * np.uint64(s + 1))
     place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     own = _mixed(np.repeat(keys, sizes) + _STEP * (place.astype(np.uint64) + np.uint64(1)))
-    drawn = _mixed(own[:, None] + _STEP * np.arange(1, hidden + 1, dtype=np.uint64))
-    return ((drawn >> np.uint64(11)) >= np.uint64(dropout * (1 << 53))) / (1 - dropout)
+    # 64 bits serve four units; weights are by the share that 16 bits make of the dropout.
+    drawn = _mixed(own[:, None] + _STEP * np.arange(1, -(-hidden // 4) + 1, dtype=np.uint64)).view(np.uint16)[:, :hidden]
+    least = min(round(dropout * 65536), 65535)
+    return (drawn >= least) * (1 / (1 - least / 65536))
+
+
+def _blocks(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Groups in runs of up to ``most`` candidates, one group at least."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
 
 
 def _sums(groups: DataFrame, params, seed: Sequence[int], dropout: float) -> list[dict]:  # noqa: ANN001
@@ -148,11 +160,14 @@ def _sums(groups: DataFrame, params, seed: Sequence[int], dropout: float) -> lis
             if not len(keys):
                 continue
             part = batch.column("part")[0].as_py()
-            starts = np.cumsum(sizes) - sizes
-            keep = _kept(seed, keys, sizes, shapes[0][1], dropout) if dropout else 1.0
-            gradients, more, right = summed(own, x, starts, starts + golds, keep)
-            total = gradients if total is None else [a + b for a, b in zip(total, gradients)]
-            loss, hits, n = loss + more, hits + right, n + len(keys)
+            places = np.append(0, np.cumsum(sizes))
+            for some in _blocks(sizes, BLOCK):
+                starts = places[some] - places[some.start]
+                keep = _kept(seed, keys[some], sizes[some], shapes[0][1], dropout) if dropout else 1.0
+                gradients, more, right = summed(own, x[places[some.start] : places[some.stop]], starts, starts + golds[some], keep)
+                total = gradients if total is None else [a + b for a, b in zip(total, gradients)]
+                loss, hits = loss + more, hits + right
+            n += len(keys)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([loss]), pa.array([hits]), pa.array([flat(total)], pa.binary())], names=["part", "n", "loss", "hits", "gradient"])
 

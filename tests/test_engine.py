@@ -760,3 +760,18 @@ def test_feeds_of_texts_without_words(spark, tmp_path, name):
     want, got = con.sql(catalog.oracle_sql()[name]), catalog.queries()[name](spark, str(tmp_path))
     key = lambda rows: sorted(tuple("" if v is None else str(v) for v in r) for r in rows)
     assert key(got.select(*want.columns).collect()) == key(want.fetchall())
+
+
+def test_gradients_are_summed_in_blocks(spark, monkeypatch):
+    """Hidden units are computed for a bounded number of candidates at once, whatever an Arrow batch holds; sums are the same."""
+    rows = [(i, [[(i * 7 + j * 3) % 31 / 31] * 11 for j in range(1 + i % 9)], [0] * (i % 9) + [1]) for i in range(400)] + [(400, [[j / 900] * 11 for j in range(900)], [1] + [0] * 899)]
+    groups = spark.createDataFrame(rows, "example_id int, numeric_features array<array<double>>, labels array<int>").coalesce(1)
+    model = rerank.ListwiseScorer.fresh(8, 3)
+    sizes = np.array([len(r[1]) for r in rows])
+    runs = list(listwise._blocks(sizes, listwise.BLOCK))
+    assert [s.start for s in runs] + [len(sizes)] == [0] + [s.stop for s in runs]
+    assert all(sizes[s].sum() <= listwise.BLOCK or s.stop - s.start == 1 for s in runs) and len(runs) < 30
+    x, starts = np.concatenate([r[1] for r in rows]), np.cumsum(sizes) - sizes
+    want = listwise.summed(listwise.State.of(model).params, x, starts, starts + np.array([r[2].index(1) for r in rows]))
+    got = listwise.judged(groups, model)
+    assert got["groups"] == 401 and got["loss"] == pytest.approx(want[1] / 401) and got["top1"] == pytest.approx(want[2] / 401)
